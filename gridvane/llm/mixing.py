@@ -80,12 +80,13 @@ def mix(
     docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 8,
 ) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) of every document.
+    """(id, source, size, source_size, target, copies, taken, uid) of every row; uid is its number in docs.
 
     weights: of the sources in order of their names by code point, repeating; share: words of the
     mix over words of the corpus; most: copies that no document exceeds.
     """
-    base = written(word_counts(docs, id_col, text_col, source_col).toDF("id", "source", "size"))
+    numbered = docs.select(id_col, source_col, text_col).withColumn("uid", F.monotonically_increasing_id())
+    base = written(word_counts(numbered, id_col, text_col, source_col, "uid").toDF("id", "source", "uid", "size"))
     buckets = 256 * parts_for(base, 1 << 23)
     table = written(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
@@ -116,4 +117,11 @@ def mix(
     # without a cut, all sampled rows fit
     rest = x.where("not (bucket <=> cut and bucket is not null)").withColumn("more", F.coalesce((F.col("bucket") < F.coalesce("cut", F.lit(buckets))).cast("bigint"), F.lit(0)))
     out = middle.unionByName(rest).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(F.lit(0)).cast("bigint"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "uid")
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: every row of docs as often as mix() says, all its columns unchanged."""
+    counts = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").alias("__copies"))
+    rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(counts, "__uid")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*docs.columns)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, mixing, quality
+from . import bpe, exact, langid, mixing, quality, simhash
 from .common import split_of
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -43,7 +43,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op5_byte_bpe, op7_exact_dedup, op8_mixing)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op5_byte_bpe, op7_exact_dedup, op8_mixing, op10_simhash)}
 
 _WS = r"[\x20\x09-\x0D]+"
 ORACLE_SQL = {

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, mixing, quality, simhash
+from . import bpe, epsgrid, exact, langid, mixing, quality, simhash
 from .common import split_of
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsgrid.links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -47,10 +51,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op5_byte_bpe, op7_exact_dedup, op8_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op4_embedding_dedup, op5_byte_bpe, op7_exact_dedup, op8_mixing, op10_simhash)}
 
 _WS = r"[\x20\x09-\x0D]+"
 ORACLE_SQL = {
+    "op4_embedding_dedup": """
+        WITH RECURSIVE v AS MATERIALIZED (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        r AS (SELECT a AS n, a AS m FROM l UNION SELECT r.n, l.b FROM r JOIN l ON r.m = l.a),
+        c AS (SELECT n, min(m) AS component FROM r GROUP BY n),
+        k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+        FROM embeddings LEFT JOIN c ON c.n = vec_id LEFT JOIN k ON k.a = vec_id""",
     "op7_exact_dedup": rf"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256

@@ -57,8 +57,12 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes under df (file sizes for a scan); never runs a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's estimate of the bytes under df (file sizes for a scan); never runs a job.
+
+    Where Catalyst knows nothing, as for rows from Python, 8 MB for each partition.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else df.rdd.getNumPartitions() << 23
 
 
 def parts_for(df: DataFrame, each: int) -> int:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, epsgrid, exact, langid, mixing, quality, simhash
+from . import bpe, epsgrid, exact, langid, mixing, quality, simhash, substring
 from .common import split_of
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.clean(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsgrid.links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -51,7 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op4_embedding_dedup, op5_byte_bpe, op7_exact_dedup, op8_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_substring_dedup, op4_embedding_dedup, op5_byte_bpe, op7_exact_dedup, op8_mixing, op10_simhash)}
 
 _WS = r"[\x20\x09-\x0D]+"
 ORACLE_SQL = {

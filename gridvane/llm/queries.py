@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, epsgrid, exact, langid, mixing, quality, simhash, substring
+from . import bpe, epsgrid, exact, langid, mixing, quality, simhash, substring, suffix
 from .common import split_of
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -43,6 +43,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.clean(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(documents(spark, sf_dir)).drop("uid")
 
@@ -55,7 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_substring_dedup, op4_embedding_dedup, op5_byte_bpe, op7_exact_dedup, op8_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_substring_dedup, op4_embedding_dedup, op5_byte_bpe, op6_suffix_dedup, op7_exact_dedup, op8_mixing, op10_simhash)}
 
 _WS = r"[\x20\x09-\x0D]+"
 ORACLE_SQL = {

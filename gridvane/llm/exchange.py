@@ -20,11 +20,11 @@ from .common import parts_for, plan_bytes
 CHUNK, BUCKET = 2 << 20, 8 << 20
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(chunk, uid, id, text): each row in one of so many chunks that each holds about CHUNK bytes."""
+def chunked(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(chunk, uid, id, text, more...): each row in one of so many chunks that each holds about CHUNK bytes."""
     n = parts_for(docs, CHUNK)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("uid", F.monotonically_increasing_id())
-    return rows.select(F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int").alias("chunk"), "uid", "id", "text")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), *more).withColumn("uid", F.monotonically_increasing_id())
+    return rows.select(F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int").alias("chunk"), "uid", "id", "text", *more)
 
 
 def bucket_bits(docs: DataFrame, each: int = BUCKET) -> int:

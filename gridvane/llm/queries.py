@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, epsgrid, exact, langid, mixing, quality, simhash, substring, suffix
+from . import bpe, epsgrid, exact, langid, lm, mixing, quality, simhash, substring, suffix
 from .common import split_of
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -56,11 +56,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), split_of(F.col("doc_id"), 10) == 0)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_substring_dedup, op4_embedding_dedup, op5_byte_bpe, op6_suffix_dedup, op7_exact_dedup, op8_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_substring_dedup, op4_embedding_dedup, op5_byte_bpe, op6_suffix_dedup, op7_exact_dedup, op8_mixing, op9_lm_score, op10_simhash)}
 
 _WS = r"[\x20\x09-\x0D]+"
 ORACLE_SQL = {

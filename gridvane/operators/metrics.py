@@ -54,10 +54,10 @@ def percentile_at(rows: DataFrame, value: str, shares: list[float], by: list[str
     by = by or []
     order = Window.partitionBy(*by).orderBy(value)
     whole = Window.partitionBy(*by)
-    x = rows.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("at", F.row_number().over(order) - 1)
+    x = rows.withColumn("__n", F.count(F.lit(1)).over(whole)).withColumn("__at", F.row_number().over(order) - 1)
     x = x.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    index = F.least(F.floor(F.col("share") * F.col("n")), F.col("n") - 1)
-    return x.where(F.col("at") == index).select(*by, "share", F.col(value).alias("value"))
+    index = F.least(F.floor(F.col("share") * F.col("__n")), F.col("__n") - 1)
+    return x.where(F.col("__at") == index).select(*by, "share", F.col(value).alias("value"))
 
 
 def norm_percentiles(vectors: DataFrame, step: int = 5) -> DataFrame:

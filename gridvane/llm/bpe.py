@@ -14,6 +14,7 @@ without a shuffle; a worker's cache of pieces has a fixed bound.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a worker remembers at most; each is a short string and its ids.
+#: Half of the pieces that a worker remembers at most; each is a short string and its ids.
 CACHE = 250_000
 #: Longer pieces are not remembered.
 CACHED_LEN = 64
@@ -41,31 +42,36 @@ class Bpe(dict):
         import regex
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.ranks, self.longest = ranks, max(map(len, ranks), default=1)
         self.find = regex.compile(pattern).findall
         self.tokens = {v: k for k, v in ranks.items()}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        rank = self.ranks.get(raw)
-        ids = np.array([rank] if rank is not None else self.merge(raw), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            rank = self.ranks.get(raw)
+            tokens = (rank,) if rank is not None else self.merge(raw)
+            ids = struct.pack(f"<{len(tokens)}I", *tokens)
         if len(piece) <= CACHED_LEN:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE:  # pieces that come again move from the older half to the newer one
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
     def merge(self, raw: bytes) -> list[int]:
-        n, rank_of, longest = len(raw), self.ranks.get, self.longest
+        n, rank_of, longest, none = len(raw), self.ranks.get, self.longest, _NONE
         size = 1 << max(0, n - 2).bit_length()
-        tree = [_NONE] * (2 * size)
-        for i in range(n - 1):
-            tree[size + i] = rank_of(raw[i : i + 2], _NONE)
+        tree = [none] * size
+        tree += [rank_of(raw[i : i + 2], none) for i in range(n - 1)]
+        tree += [none] * (2 * size - len(tree))
         for i in range(size - 1, 0, -1):
             a, b = tree[i + i], tree[i + i + 1]
             tree[i] = a if a < b else b
         after, before = list(range(1, n + 2)), list(range(-1, n))
-        while (best := tree[1]) != _NONE:
+        while (best := tree[1]) != none:
             at = 1
             while at < size:
                 at += at
@@ -76,29 +82,53 @@ class Bpe(dict):
             end = after[gone]
             after[i] = end
             before[end] = i
-            changes = [(gone, _NONE)]
-            far = after[end] if end < n else 0
-            changes.append((i, rank_of(raw[i:far], _NONE) if far and far - i <= longest else _NONE))
-            if (p := before[i]) >= 0:
-                changes.append((p, rank_of(raw[p:end], _NONE) if end - p <= longest else _NONE))
-            for leaf, value in changes:
-                k = size + leaf
-                if k >= 2 * size or tree[k] == value:
-                    continue
-                tree[k] = value
+            # the leaves of the neighbours that now pair anew, and of the token that is no more
+            if end < n:
+                far = after[end]
+                tree[at] = rank_of(raw[i:far], none) if far - i <= longest else none
+                k = size + gone
+                if tree[k] != none:
+                    tree[k] = none
+                    k >>= 1
+                    while k:
+                        a, b = tree[k + k], tree[k + k + 1]
+                        if b < a:
+                            a = b
+                        if tree[k] == a:
+                            break
+                        tree[k] = a
+                        k >>= 1
+            else:
+                tree[at] = none
+            k = at >> 1
+            while k:
+                a, b = tree[k + k], tree[k + k + 1]
+                if b < a:
+                    a = b
+                if tree[k] == a:
+                    break
+                tree[k] = a
                 k >>= 1
-                while k:
-                    a, b = tree[k + k], tree[k + k + 1]
-                    if b < a:
-                        a = b
-                    if tree[k] == a:
-                        break
-                    tree[k] = a
+            p = before[i]
+            if p >= 0:
+                k = size + p
+                new = rank_of(raw[p:end], none) if end - p <= longest else none
+                if tree[k] != new:
+                    tree[k] = new
                     k >>= 1
-        out, i = [], 0
+                    while k:
+                        a, b = tree[k + k], tree[k + k + 1]
+                        if b < a:
+                            a = b
+                        if tree[k] == a:
+                            break
+                        tree[k] = a
+                        k >>= 1
+        out, i, ranks = [], 0, self.ranks
         while i < n:
-            out.append(self.ranks[raw[i : after[i]]])
-            i = after[i]
+            end = after[i]
+            out.append(ranks[raw[i:end]])
+            i = end
         return out
 
     def encode(self, text: str) -> bytes:

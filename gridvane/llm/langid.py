@@ -153,7 +153,10 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
             column = batch.column(batch.num_columns - 1)
             data, offsets = flat(column)
             corrected, total = model.counts(data, offsets)
-            some = np.diff(np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])[offsets]) > 0
+            some = np.zeros(len(offsets) - 1, bool)
+            for a, b in slices(offsets):
+                letters = np.flatnonzero(_ASCII_LETTER[data[offsets[a] : offsets[b]]])
+                some[a:b] = np.diff(np.searchsorted(letters, offsets[a : b + 1] - offsets[a])) > 0
             for i in np.flatnonzero(~some & (np.diff(offsets) > 0)):
                 some[i] = any(map(str.isalpha, column[int(i)].as_py()))
             best = corrected.argmax(1) if k else np.zeros(len(some), int)

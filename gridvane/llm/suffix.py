@@ -211,7 +211,8 @@ class Chunk:
 
 def _columns(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rows' (bucket, chunk), key, second key, whether it stands for several, row) of one bucket's entries."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in _NAMES)))
+    # in order of chunks: a bucket that is worked out again, in any order of arrival, answers alike
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in _NAMES)), key=lambda r: r[1])
     keys = [np.frombuffer(r[2], np.uint64) for r in rows]
     more = [np.frombuffer(r[3], np.uint64) if r[3] else np.zeros(len(k), np.uint64) for r, k in zip(rows, keys)]
     multi = np.concatenate([np.frombuffer(r[4], bool) for r in rows])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def parse_lines(lines: DataFrame) -> DataFrame:
     """(id, labels): lines(id, line) hold comma separated labels, up to a tab; carriage returns and blanks go."""
     text = F.regexp_replace(F.element_at(F.split("line", "\t"), 1), r"[\r\n]", "")
-    return lines.select("id", F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "").alias("labels"))
+    return lines.select("id", F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "").alias("labels"))
 
 
 def encode(points: DataFrame, universal: str | None = None) -> tuple[DataFrame, DataFrame]:

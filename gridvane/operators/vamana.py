@@ -235,9 +235,11 @@ def insert(index: DataFrame, rows: DataFrame, degree: int = 64, width: int = 100
 
     A shard that would outgrow SHARD twice over should be built anew.
     """
+    # new columns throughout: rows may come from the index's own table
+    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])
     entries = index.where("start").groupBy("shard").agg(F.min_by("vec", "id").alias("vec")).select(F.col("shard").cast("bigint").alias("query_id"), "vec")
     placed = nearest_centres(rows, entries, 1).select("id", F.col("centre").cast("int").alias("shard"))
-    new = _with_labels(rows).join(placed, "id").select("shard", "id", F.col("vec").cast("array<float>").alias("vec"), F.col("labels").cast("array<bigint>").alias("labels"))
+    new = _with_labels(rows).join(placed, "id").select(F.col("shard").alias("shard"), F.col("id").alias("id"), F.col("vec").cast("array<float>").alias("vec"), F.col("labels").cast("array<bigint>").alias("labels"))
 
     def link(old: pa.Table, new: pa.Table) -> pa.Table:
         if not new.num_rows:

@@ -52,7 +52,7 @@ def inner_product(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """1 - cos; NaN for a zero vector."""
     norms = norm(a) * norm(b)
-    return F.when(norms == 0, F.lit(float("nan"))).otherwise(1 - dot(a, b) / norms)
+    return F.when(norms == 0, F.lit(float("nan"))).otherwise(1 - F.try_divide(dot(a, b), norms))
 
 
 def fast_l2(base: Column, query: Column) -> Column:
@@ -70,9 +70,9 @@ def norm(v: Column) -> Column:
 
 
 def normalised(v: Column, eps: float = 0.0) -> Column:
-    """v over sqrt(eps + sum of squares)."""
+    """v over sqrt(eps + sum of squares); a zero vector stays zero."""
     n = F.sqrt(F.lit(float(eps)) + dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    return F.transform(v, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(F.try_divide(x.cast("double"), n)))
 
 
 def normalise(vectors: DataFrame, vector_col: str = "vec", eps: float = 1e-300) -> DataFrame:
@@ -86,7 +86,7 @@ def mips_augment(vectors: DataFrame, vector_col: str = "vec") -> DataFrame:
     Adds column max_norm. M is one aggregate of the table, joined as its only row.
     """
     largest = vectors.agg(F.max(norm(F.col(vector_col))).alias("max_norm"))
-    scaled = F.transform(F.col(vector_col), lambda x: x.cast("double") / F.col("max_norm"))
+    scaled = F.transform(F.col(vector_col), lambda x: F.coalesce(F.try_divide(x.cast("double"), F.col("max_norm")), F.lit(0.0)))
     rest = F.sqrt(F.greatest(F.lit(0.0), 1 - dot(F.col("__scaled"), F.col("__scaled"))))
     rows = vectors.join(F.broadcast(largest))  # one row
     return rows.withColumn("__scaled", scaled).withColumn(vector_col, F.concat("__scaled", F.array(rest))).drop("__scaled")

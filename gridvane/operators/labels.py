@@ -55,7 +55,7 @@ def statistics(points: DataFrame, density: int) -> DataFrame:
     per = points.agg(F.count(F.lit(1)).alias("n_points"), F.avg((F.size("labels") >= density).cast("double")).alias("dense_share"), F.sum(F.size("labels").cast("bigint")).alias("pairs"))
     counts = label_counts(points).agg(F.count(F.lit(1)).alias("n_labels"))
     one = per.join(F.broadcast(counts))  # one row each
-    return one.select("n_points", "n_labels", "dense_share", (F.col("pairs") / F.col("n_points")).alias("labels_per_point"), (F.col("pairs") / F.col("n_labels")).alias("points_per_label"))
+    return one.select("n_points", "n_labels", "dense_share", F.try_divide("pairs", "n_points").alias("labels_per_point"), F.try_divide("pairs", "n_labels").alias("points_per_label"))
 
 
 def top_labels(points: DataFrame, n: int = 3) -> DataFrame:

@@ -28,7 +28,7 @@ def recall_at_k(truth: DataFrame, results: DataFrame, k: int) -> DataFrame:
     wanted = _tied_truth(truth, k).select("query_id", "id")
     found = results.where(F.col("rank") <= k).select("query_id", "id").join(wanted, ["query_id", "id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
     per = truth.select("query_id").distinct().join(found, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    return per.agg((F.sum("found") * 100.0 / F.count(F.lit(1)) / k).alias("recall"), F.count(F.lit(1)).alias("n_queries"))
+    return per.agg((F.try_divide(F.sum("found") * 100.0, F.count(F.lit(1))) / k).alias("recall"), F.count(F.lit(1)).alias("n_queries"))
 
 
 def recall_active(truth: DataFrame, results: DataFrame, active: DataFrame, k: int) -> DataFrame:
@@ -37,7 +37,7 @@ def recall_active(truth: DataFrame, results: DataFrame, active: DataFrame, k: in
     wanted = _tied_truth(marked, k, F.col("live")).where("live = 1").select("query_id", "id")
     found = results.where(F.col("rank") <= k).select("query_id", "id").join(wanted, ["query_id", "id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
     per = truth.select("query_id").distinct().join(found, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    return per.agg((F.sum("found") * 100.0 / F.count(F.lit(1)) / k).alias("recall"), F.count(F.lit(1)).alias("n_queries"))
+    return per.agg((F.try_divide(F.sum("found") * 100.0, F.count(F.lit(1))) / k).alias("recall"), F.count(F.lit(1)).alias("n_queries"))
 
 
 def range_recall(queries: DataFrame, truth: DataFrame, results: DataFrame) -> DataFrame:

@@ -690,3 +690,122 @@ def consolidate_report(spark, sf_dir):
 @query(f"""WITH {_E} SELECT src, dst FROM e WHERE src % 11 <> 0 AND dst % 11 <> 0 UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src % 11 <> 0 AND a.dst % 11 = 0 AND b.dst % 11 <> 0 AND a.src <> b.dst""")
 def process_delete_candidates(spark, sf_dir):
     return maintenance.delete_candidates(edges(spark, sf_dir), embeddings(spark, sf_dir).where("id % 11 = 0").select("id"))
+
+
+# ---------------------------------------------------------------- workloads
+
+
+@query(f"""WITH {_TRACE}, x AS (SELECT * FROM t WHERE event = 'expand'), p AS (SELECT (src // 5) * 5 AS seed, dst AS id FROM e WHERE dst % 3 <> 0)
+    SELECT count(*) AS n_expanded, count(*) FILTER (WHERE node_id IN (SELECT id FROM p)) AS n_cached, count(*) FILTER (WHERE (parent_id, node_id) IN (SELECT (seed, id) FROM p)) AS n_with_parent FROM x""")
+def page_capture(spark, sf_dir):
+    from .operators import workloads
+
+    pages = edges(spark, sf_dir).where("dst % 3 <> 0").select((F.floor(F.col("src") / 5) * 5).alias("seed"), F.col("dst").alias("id"))
+    return workloads.page_capture(trace(spark, sf_dir), pages)
+
+
+@query(f"WITH {_NP}, {_HOT} SELECT sum(n_expand)::BIGINT AS heat, (SELECT sum(n_expand) FROM hot WHERE place <= 100)::BIGINT AS heat_listed FROM np")
+def heat_mass(spark, sf_dir):
+    from .operators import workloads
+
+    _, np_ = _profiles(spark, sf_dir)
+    return workloads.heat_mass(np_, layouts.flat(np_, 100))
+
+
+# ---------------------------------------------------------------- B, C, D: no SQL; recall and invariants are tested
+
+
+def _recall(base, queries, found, k=10, metric="l2"):
+    """(recall, n_queries) of a search, beside the exact one."""
+    return metrics.recall_at_k(knn.exact(base, queries, 2 * k, metric), found, k)
+
+
+@query(None)
+def vamana_search(spark, sf_dir):
+    from .operators import vamana
+    from .plans.tables import written
+
+    base = scaled(spark, sf_dir)
+    return _recall(base, asked(base), vamana.search(written(vamana.build(base, 32, 50)), asked(base), 10, 50))
+
+
+@query(None)
+def vamana_sharded_search(spark, sf_dir):
+    from .operators import vamana
+    from .plans.tables import written
+
+    base = embeddings(spark, sf_dir)
+    return _recall(base, asked(base), vamana.search(written(vamana.build(base, 32, 50, shard_size=400)), asked(base), 10, 50))
+
+
+@query(None)
+def pq_beam_search(spark, sf_dir):
+    from .operators import vamana
+    from .plans.tables import written
+
+    base = embeddings(spark, sf_dir)
+    index = written(vamana.build(base, 32, 50))
+    return _recall(base, asked(base), vamana.search(index, asked(base), 10, 60, book=pq.train(base, 16, 64), beam=4))
+
+
+@query(None)
+def stitched_search(spark, sf_dir):
+    from .operators import vamana
+    from .plans.tables import written
+
+    base = labelled(spark, sf_dir)
+    index = written(vamana.build_stitched(base, 16, 32, stitched_degree=24))
+    queries = asked(base, 20, F.col("label").cast("bigint").alias("label"))
+    found = vamana.search(index, queries, 10, 50)
+    return metrics.recall_at_k(knn.exact_with_label(base, queries, 20), found, 10)
+
+
+@query(None)
+def range_search_graph(spark, sf_dir):
+    from .operators import vamana
+    from .plans.tables import written
+
+    base = embeddings(spark, sf_dir)
+    found = vamana.search(written(vamana.build(base, 32, 50)), asked(base), 1, 16, radius=1.2)
+    return metrics.range_recall(asked(base), knn.in_range(base, asked(base), 1.2), found)
+
+
+@query(None)
+def kmeans_clusters(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    centres = pq.kmeans_distributed(base.select("id", "vec"), 8)
+    table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "query_id bigint, vec array<double>")
+    return graph.nearest_centres(base, table, 1).groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("residual"))
+
+
+@query(None)
+def consolidated_index(spark, sf_dir):
+    from .operators import vamana
+    from .plans.tables import written
+
+    base = embeddings(spark, sf_dir)
+    left = vamana.consolidate(written(vamana.build(base, 32, 50)), base.where("id % 11 = 0").select("id"), 32)
+    return left.agg(F.count(F.lit(1)).alias("n_live"), F.max(F.size("nbrs")).alias("max_degree"))
+
+
+def _greedy(name: str) -> None:
+    def run(spark, sf_dir):
+        from .plans import greedy
+
+        ep, np_ = _profiles(spark, sf_dir)
+        return greedy.greedy_layout(name, np_, ep, CAP, 300, edges(spark, sf_dir))
+
+    run.__name__ = f"layout_{name}"
+    query(None)(run)
+
+
+for _name in ("node", "node_top4first", "edge", "edge_dir", "edge_star", "edge_u", "edge_pair", "edge_clique", "dir_edge_star", "edge_replica", "edge_star_dup", "frontier", "frontier_page", "frontier_dup", "frontier_topk", "cooccur_star", "dbeam_cooccur", "parent", "parent_star", "dbeam_estar_split", "directed_beam", "directed_beam_starfill", "directed_beam_top4first", "directed_beam_inseed", "directed_beam_tight", "directed_beam_dual", "directed_beam_hybrid", "directed_star", "directed_beam_pct30", "directed_beam_pct50", "directed_beam_pct80", "directed_beam_pct90", "directed_beam_pct100", "directed_seed_replica"):
+    _greedy(_name)
+
+
+@query(None)
+def lfu_pool(spark, sf_dir):
+    from .streaming import pool
+
+    requests = reads(spark, sf_dir).select(F.col("query_id").alias("pool"), "seq", F.col("sector").alias("item"))
+    return pool.replay(requests, 16)

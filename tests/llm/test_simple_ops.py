@@ -114,7 +114,7 @@ def brute_targets(sizes, most=3.0):
 @pytest.mark.parametrize("which", ["odd", "sf"])
 def test_mixing(spark, odd, which):
     docs = odd if which == "odd" else documents(spark)
-    rows = mixing.mix(docs).collect()
+    rows = mixing.mix(docs).drop("uid").collect()
     assert len(rows) == docs.count()
     size, longest, taken = collections.Counter(), collections.Counter(), collections.Counter()
     for r in rows:
@@ -127,7 +127,7 @@ def test_mixing(spark, odd, which):
         assert r.source_size == size[r.source] and r.target == pytest.approx(target[r.source])
     for s in size:
         assert abs(taken[s] - target[s]) <= longest[s] / 2 + 1
-    again = mixing.mix(docs.repartition(3)).collect()
+    again = mixing.mix(docs.repartition(3)).drop("uid").collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
@@ -135,6 +135,8 @@ def test_mixing_words(odd, none):
     got = {r.doc_id: r.size for r in mixing.word_counts(odd, "doc_id", "text").toDF("doc_id", "size").collect()}
     assert got == {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in ROWS}
     assert mixing.mix(none).count() == 0
+    want = {r.uid: r.copies for r in mixing.mix(odd).collect()}
+    assert mixing.repeated(odd).count() == sum(want.values()) and mixing.repeated(odd).columns == odd.columns
 
 
 def test_language_id(spark, odd, none):

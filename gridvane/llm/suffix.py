@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import flat, mixed, prefix_sums, span_hash
+from .common import flat, mixed, powers, prefix_sums, span_hash
 from .exchange import binary_rows, bucket_bits, sliced_rows
 
 LENGTH, GRAM, SPREAD, PART = 400, 16, 96, 12
 #: All strings of an anchor share the anchors this far behind it.
 SHARED = LENGTH + 2 - 2 * SPREAD - GRAM
+#: Bytes that a stretch covers, and stretches that are worked on at once, in the cache.
+_REACH, _WORK = GRAM + SPREAD - 1, 1 << 16
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157)
 _SETTLED, _STANDS, _OPEN = 1, 2, 3
 _ENTRY = "bucket int, chunk int, keys binary, more binary, multi binary"
@@ -47,6 +49,19 @@ _KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 _ANSWER = "chunk int, step int, bucket int, said binary"
 
 
+def _minimisers(sums: np.ndarray, a: int, b: int) -> np.ndarray:
+    """For each start in [a, b), where the smallest of the next SPREAD hashes of GRAM bytes is, the first of equals."""
+    m = b - a + SPREAD - 1
+    _, inverse = powers(a + m)
+    h = mixed((sums[a + GRAM : a + GRAM + m] - sums[a : a + m]) * inverse[a : a + m])
+    h &= ~np.uint64((1 << 20) - 1)
+    h |= np.arange(m, dtype=np.uint64)
+    for s in (1, 2, 4, 8, 16, 32):
+        h = np.minimum(h[:-s], h[s:])
+    h = np.minimum(h[:-32], h[32:])  # 64 and 32 more make SPREAD
+    return (h & np.uint64((1 << 20) - 1)).astype(np.int64) + a
+
+
 def pair(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return mixed(a * _A + b * _B)
 
@@ -99,38 +114,28 @@ class Chunk:
         self._anchors()
 
     def _anchors(self) -> None:
+        """The minimisers of all stretches within a text, and the strings that each of them owns."""
         n = len(self.data)
-        reach = GRAM + SPREAD - 1
-        self.at = self.owner_lo = self.owner_hi = np.zeros(0, np.int64)
-        if n < reach:
-            self.next = self.at
-            return
-        start = np.arange(n - GRAM + 1)
-        shift = np.uint64(int(n).bit_length())
-        v = ((span_hash(self.sums, start, start + GRAM) >> shift) << shift) | start.astype(np.uint64)
-        for s in (1, 2, 4, 8, 16, 32):
-            v = np.minimum(v[:-s], v[s:])
-        v = np.minimum(v[: len(v) - 32], v[32:])  # 64 and 32 more make SPREAD
-        best = (v & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
-        end = np.repeat(self.offsets[1:], np.diff(self.offsets))
-        place = np.arange(len(best))
-        fits = place + reach <= end[: len(best)]
-        place, best, end = place[fits], best[fits], end[: len(fits)][fits]
-        if not len(place):
-            self.next = self.at
-            return
-        new = np.ones(len(best), bool)
-        new[1:] = best[1:] != best[:-1]  # a minimiser lies in its own text, so texts never share one
-        first = np.flatnonzero(new)
-        self.at = best[first]
-        ends = end[first]
-        self.owner_lo = place[first]
-        last = place[np.concatenate([first[1:], [len(place)]]) - 1]
-        self.owner_hi = np.minimum(last, ends - LENGTH)
-        nxt = np.arange(1, len(self.at) + 1)
-        same = np.zeros(len(self.at), bool)
-        same[:-1] = ends[1:] == ends[:-1]
-        self.next = np.where(same, nxt, -1)
+        best = [_minimisers(self.sums, a, min(a + _WORK, n - _REACH + 1)) for a in range(0, n - _REACH + 1, _WORK)]
+        best = np.concatenate(best) if best else np.zeros(0, np.int64)
+        ends = self.offsets[1:]
+        fits = np.zeros(len(best) + 1, np.int32)  # stretches that end in the text they start in
+        lo, hi = self.offsets[:-1], ends - _REACH + 1
+        some = hi > lo
+        fits[lo[some]] += 1
+        fits[hi[some]] -= 1
+        new = np.cumsum(fits)[:-1] > 0
+        inside = np.flatnonzero(new & np.concatenate([[True], (best[1:] != best[:-1]) | (fits[1:-1] > 0)])) if len(best) else np.zeros(0, np.int64)
+        # a minimiser lies in its own text, so no two texts share one
+        self.at = best[inside]
+        of = np.searchsorted(ends, self.at, "right")
+        self.owner_lo = inside
+        same = of[1:] == of[:-1]
+        last = np.append(inside[1:] - 1, 0)
+        closing = np.append(~same, True) if len(of) else np.zeros(0, bool)
+        last = np.where(closing, ends[of] - _REACH, last[: len(of)]) if len(of) else inside
+        self.owner_hi = np.minimum(last, ends[of] - LENGTH)
+        self.next = np.where(closing, -1, np.arange(1, len(of) + 1))
 
     def _hop(self, i: np.ndarray, n: int) -> np.ndarray:
         for _ in range(n):

@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ END = 10
 BITS = (17, 19, 21, 21, 21)
 #: The predictor whose gate chooses a set of weights.
 LEADS = 3
-SLICE, FIRST_SLICE = 4 << 20, 1 << 16
+SLICE, FIRST_SLICE = 2 << 20, 1 << 16
 GATES, SEEN = 26, 13
 KNOTS, REACH = 33, 12.0
 _K = np.random.default_rng(909).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
@@ -211,20 +212,21 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Events]:
 def _sum_segments(table: pa.Table) -> pa.Table:
     total = np.zeros(SEGMENT, np.float64)
     for kind, raw in zip(table.column("kind").to_pylist(), table.column("sums").to_pylist()):
-        x = np.frombuffer(raw, ("<u2", "<u4", "<f8")[kind])
+        x = np.frombuffer(zstandard.decompress(raw), ("<u2", "<u4", "<f8")[kind])
         total[: len(x)] += x
-    return pa.table({"segment": table.column("segment")[:1], "kind": pa.array([2], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"segment": table.column("segment")[:1], "kind": pa.array([2], pa.int32()), "sums": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
 
 
 _SUMS = "segment int, kind int, sums binary"
 
 
 def _segments(x: np.ndarray, kind: int | None = None) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     for i in range(0, len(x), SEGMENT):
         part = x[i : i + SEGMENT]
         if part.any():
             k = kind if kind is not None else int(part.max() > 0xFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array([i // SEGMENT], pa.int32()), pa.array([k], pa.int32()), pa.array([part.astype(("<u2", "<u4", "<f8")[k]).tobytes()], pa.binary())], ["segment", "kind", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([i // SEGMENT], pa.int32()), pa.array([k], pa.int32()), pa.array([squeeze(part.astype(("<u2", "<u4", "<f8")[k]).tobytes())], pa.binary())], ["segment", "kind", "sums"])
 
 
 def _gathered(rows: DataFrame, size: int) -> np.ndarray:
@@ -232,7 +234,7 @@ def _gathered(rows: DataFrame, size: int) -> np.ndarray:
     out = np.zeros(-(-size // SEGMENT) * SEGMENT)
     got = rows.groupBy("segment").applyInArrow(_sum_segments, _SUMS).toArrow()
     for segment, raw in zip(got.column("segment").to_pylist(), got.column("sums").to_pylist()):
-        out[segment * SEGMENT : (segment + 1) * SEGMENT] = np.frombuffer(raw, "<f8")
+        out[segment * SEGMENT : (segment + 1) * SEGMENT] = np.frombuffer(zstandard.decompress(raw), "<f8")
     return out[:size]
 
 

@@ -83,7 +83,8 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     kind = pa.large_binary()
-    column = pc.fill_null(column.cast(kind) if column.type != kind else column, b"")
+    column = column.cast(kind) if column.type != kind else column
+    column = pc.fill_null(column, b"") if column.null_count else column
     _, offsets, data = column.buffers()
     ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

@@ -146,6 +146,7 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
     """
     keep = [id_col, *more]
     names = [f"k{i}" for i in range(len(keep))]
+    sent = [(c, n) for c, n in zip(keep, names) if c != text_col]  # the text crosses to Python once
     k = len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +154,7 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
             column = batch.column(batch.num_columns - 1)
             data, offsets = flat(column)
             corrected, total = model.counts(data, offsets)
+            passed = [column if c == text_col else batch.column(batch.schema.get_field_index(n)) for c, n in zip(keep, names)]
             some = np.zeros(len(offsets) - 1, bool)
             for a, b in slices(offsets):
                 letters = np.flatnonzero(_ASCII_LETTER[data[offsets[a] : offsets[b]]])
@@ -165,10 +167,10 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
             score = np.where(some & (top > 0), (part - 1 / k) / (1 - 1 / k) if k > 1 else part, 0.0)
             pred = [model.languages[j] if s and k else UNDETERMINED for j, s in zip(best, some)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.where(some, top / np.maximum(1, total), 0.0))],
+                [*passed, pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.where(some, top / np.maximum(1, total), 0.0))],
                 [*names, "lang_pred", "score", "coverage"],
             )
 
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(*[F.col(c).alias(n) for c, n in sent], F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names))
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, coverage double").toDF(*keep, "lang_pred", "score", "coverage")

@@ -43,7 +43,7 @@ END = 10
 BITS = (17, 19, 21, 21, 21)
 #: The predictor whose gate chooses a set of weights.
 LEADS = 3
-SLICE, FIRST_SLICE = 2 << 20, 1 << 16
+SLICE, FIRST_SLICE = 3 << 20, 1 << 16
 GATES, SEEN = 26, 13
 KNOTS, REACH = 33, 12.0
 _K = np.random.default_rng(909).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
@@ -90,8 +90,8 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = (x[1:] ^ x[:-1]) > low
     of = np.empty(len(x), np.int64)
     of[place] = np.cumsum(new) - 1
-    first = place[new]
-    if (key[first][of] != key).any():
+    first, full = place[new], key[place]
+    if ((full[1:] != full[:-1]) & ~new[1:]).any():
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
     return first, of
 
@@ -178,12 +178,12 @@ class Model:
 
     def event_bits(self, events: Events, batch: int = 1 << 16) -> np.ndarray:
         """Bits of each decision."""
-        out = np.zeros(len(events.byte))
+        out, refined = np.zeros(len(events.byte)), self.refined.astype(np.float32)
         for node, bit, slots in events.bits():
             for a in range(0, len(node), batch):
                 part = slice(a, a + batch)
                 x = self.mixed([s[part] for s in slots])
-                p = (_squash(x) + self.refined.take(node[part] * KNOTS + _knot(x))) / 2
+                p = (_squash(x) + refined.take(node[part] * KNOTS + _knot(x))) * np.float32(0.5)
                 out[part] -= np.log2(np.where(bit[part] == 1, p, 1 - p))
         return out
 

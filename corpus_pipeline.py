@@ -7,12 +7,14 @@ each stage against a brute-force version.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridvane.llm import bpe, exact, langid, mixing, simhash
-from gridvane.llm.common import written
+from gridvane.llm.common import numbered, written
 from gridvane.llm.queries import RANKS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,9 +22,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_COVERAGE = 0.2
 
 
-def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of docs whose number among them is in chosen(uid)."""
-    return docs.select(*COLUMNS).withColumn("uid", F.monotonically_increasing_id()).join(chosen.select("uid"), "uid", "left_semi").select(*COLUMNS)
+def _kept(docs: DataFrame, groups: Callable[..., DataFrame]) -> DataFrame:
+    """The rows of docs that groups() keeps; both sides of the join take a row's number from one written table."""
+    docs = numbered(docs.select(*COLUMNS))
+    return docs.join(groups(docs, uid=F.col("uid")).where("kept").select("uid"), "uid", "left_semi").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +36,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal normalised texts, the one with the smallest doc_id stays."""
-    return _only(docs, exact.groups(docs).where("kept"))
+    return _kept(docs, exact.groups)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints, the document with the smallest doc_id stays."""
-    return _only(docs, simhash.groups(docs).where("kept"))
+    return _kept(docs, simhash.groups)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

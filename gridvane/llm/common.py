@@ -56,6 +56,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "uid") -> DataFrame:
+    """df with a number for each row, written: every later scan of it finds the same numbers.
+
+    monotonically_increasing_id() alone depends on how a scan packs files into splits, which differs
+    between two scans when the cluster's cores do.
+    """
+    return written(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes under df (file sizes for a scan); never runs a job.
 

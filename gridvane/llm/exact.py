@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import flat, written
@@ -77,11 +77,11 @@ def _texts(column) -> Iterator[bytes]:
         yield normalised(whole[a:b])
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short=_short) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short=_short, uid: Column | None = None) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256, uid) of every row.
 
-    short: the 64-bit chunk hash (tests put a weak one in its place). uid numbers the rows of docs
-    as monotonically_increasing_id() does, which is stable for a table that is read from files.
+    short: the 64-bit chunk hash (tests put a weak one in its place). uid: what numbers the rows
+    of docs; whoever joins the result with docs gives a column of a written table (common.numbered).
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string").alias("text")
@@ -103,7 +103,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shor
                 longs.append([_long(c) for c in parts])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shas, pa.string()), pa.array(digests, pa.list_(pa.int64())), pa.array(longs, pa.list_(pa.int64()))], ["id", "uid", "sha", "digests", "longs"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), text)
+    rows = docs.select(F.col(id_col).alias("id"), (F.monotonically_increasing_id() if uid is None else uid).alias("uid"), text)
     rows = written(rows.mapInArrow(recipes, f"id {kind}, uid bigint, sha string, digests array<bigint>, longs array<bigint>"))
 
     found = docs.select(text).mapInArrow(contents, "digest bigint, content binary").groupBy("digest").agg(F.min("content").alias("a"), F.max("content").alias("b"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, parts_for, slices, words, written
+from .common import flat, numbered, parts_for, slices, words, written
 
 #: Sources up to which the table of sources (one short row each) is broadcast; beyond, it is joined.
 BROADCAST_SOURCES = 10_000
@@ -78,15 +78,16 @@ def uniform(key: Column, seed: int) -> Column:
 
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 8,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 8, uid: Column | None = None,
 ) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken, uid) of every row; uid is its number in docs.
+    """(id, source, size, source_size, target, copies, taken, uid) of every row.
 
     weights: of the sources in order of their names by code point, repeating; share: words of the
-    mix over words of the corpus; most: copies that no document exceeds.
+    mix over words of the corpus; most: copies that no document exceeds; uid: what numbers the rows
+    of docs; whoever joins the result with docs gives a column of a written table (common.numbered).
     """
-    numbered = docs.select(id_col, source_col, text_col).withColumn("uid", F.monotonically_increasing_id())
-    base = written(word_counts(numbered, id_col, text_col, source_col, "uid").toDF("id", "source", "uid", "size"))
+    rows = docs.select(id_col, source_col, text_col, (F.monotonically_increasing_id() if uid is None else uid).alias("uid"))
+    base = written(word_counts(rows, id_col, text_col, source_col, "uid").toDF("id", "source", "uid", "size"))
     buckets = 256 * parts_for(base, 1 << 23)
     table = written(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
@@ -122,6 +123,6 @@ def mix(
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every row of docs as often as mix() says, all its columns unchanged."""
-    counts = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").alias("__copies"))
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(counts, "__uid")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*docs.columns)
+    rows = numbered(docs, "__uid")
+    counts = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, uid=F.col("__uid"), **options).where("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").alias("__copies"))
+    return rows.join(counts, "__uid").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*docs.columns)

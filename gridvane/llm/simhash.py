@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import IS_WS, flat, lowered, slices, words, written
@@ -170,8 +170,12 @@ def _and_none(batches):
     yield None
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """(id, fingerprint, component_id, kept, uid) of every row; of each group the first row by id is kept."""
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, uid: Column | None = None) -> DataFrame:
+    """(id, fingerprint, component_id, kept, uid) of every row; of each group the first row by id is kept.
+
+    uid: what numbers the rows of docs; whoever joins the result with docs gives a column of a
+    written table (common.numbered).
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +183,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile
             fp = fingerprints(*flat(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["id", "uid", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), (F.monotonically_increasing_id() if uid is None else uid).alias("uid"), F.col(text_col).cast("string").alias("text"))
     rows = written(rows.mapInArrow(run, f"id {kind}, uid bigint, fp bigint"))
     prints = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")))
     found = components(links(prints.select("fp"), tile))

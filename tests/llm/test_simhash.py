@@ -110,3 +110,25 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() == counts[4]
     assert queries.op10_simhash(spark, SF).columns == ["doc_id", "fingerprint", "component_id"]
+
+
+@pytest.mark.parametrize("name, module, operator", [("exact_copies", "exact", "groups"), ("near_copies", "simhash", "groups"), ("mix", "mixing", "mix")])
+def test_stages_do_not_depend_on_splits(spark, tmp_path, monkeypatch, name, module, operator):
+    """The next scan packs files otherwise, as when executors come or go between two scans."""
+    documents(spark).repartition(12).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    module, stage = getattr(corpus_pipeline, module), dict(corpus_pipeline.STAGES)[name]
+    want = sorted(r.doc_id for r in stage(spark, docs, SF).collect())
+    plain, setting = getattr(module, operator), "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(setting)
+
+    def then_changed(*args, **options):
+        out = plain(*args, **options)
+        spark.conf.set(setting, str(1 << 30))
+        return out
+
+    monkeypatch.setattr(module, operator, then_changed)
+    try:
+        assert sorted(r.doc_id for r in stage(spark, docs, SF).collect()) == want
+    finally:
+        spark.conf.set(setting, before)

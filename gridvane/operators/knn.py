@@ -70,7 +70,7 @@ def ranked(pairs: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
-def _candidates(base: DataFrame, queries: DataFrame, metric: str, k: int | None, within: float | None, label: bool) -> DataFrame:
+def _candidates(base: DataFrame, queries: DataFrame, metric: str, k: int | None, within: float | None, label: bool, universal: int | str | None = None) -> DataFrame:
     check_metric(metric)
     names = ["query_id", "vec", *(["label"] if label else [])]
     schema = "query_id bigint, id bigint, distance double"
@@ -79,12 +79,12 @@ def _candidates(base: DataFrame, queries: DataFrame, metric: str, k: int | None,
         ids = np.array(block["query_id"], np.int64)
         matrix = np.array([np.asarray(v, np.float64) for v in block["vec"]])
         wanted = block.get("label")
-        part = base.select(*(["id", "vec", "labels"] if label else ["id", "vec"])).mapInArrow(_scanner(ids, matrix, wanted, metric, k, within), schema)
+        part = base.select(*(["id", "vec", "labels"] if label else ["id", "vec"])).mapInArrow(_scanner(ids, matrix, wanted, metric, k, within, universal), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else base.sparkSession.createDataFrame([], schema)
 
 
-def _scanner(ids: np.ndarray, matrix: np.ndarray, wanted: list | None, metric: str, k: int | None, within: float | None):
+def _scanner(ids: np.ndarray, matrix: np.ndarray, wanted: list | None, metric: str, k: int | None, within: float | None, universal: int | str | None = None):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -93,7 +93,8 @@ def _scanner(ids: np.ndarray, matrix: np.ndarray, wanted: list | None, metric: s
                 fits = None
                 if wanted is not None:
                     sets = [set(x or ()) for x in part.column(2).to_pylist()]
-                    kinds = {w: np.array([w in s for s in sets]) for w in set(wanted)}
+                    every = np.array([universal is not None and universal in s for s in sets])
+                    kinds = {w: every | np.array([w in s for s in sets]) for w in set(wanted)}
                 for a in range(0, len(ids), 256):
                     d = distances(metric, matrix[a : a + 256], vec)
                     if wanted is not None:
@@ -121,11 +122,7 @@ def exact(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> Da
 
 def exact_with_label(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", universal: int | None = None) -> DataFrame:
     """As exact(), among base rows whose labels hold the query's label, or the universal one."""
-    labels = F.col("labels")
-    if universal is not None:  # a point with the universal label passes for any query label
-        asked = [r[0] for r in queries.select("label").distinct().limit(QUERY_BLOCK + 1).collect()]
-        labels = F.when(F.array_contains("labels", universal), F.array_union("labels", F.array(*[F.lit(x) for x in asked]))).otherwise(labels)
-    return ranked(_candidates(base.withColumn("labels", labels), queries, metric, k, None, True), k).select("query_id", "rank", "id", "distance")
+    return ranked(_candidates(base, queries, metric, k, None, True, universal), k).select("query_id", "rank", "id", "distance")
 
 
 def filtered(base: DataFrame, label: int, universal: int | None = None) -> DataFrame:

@@ -131,3 +131,11 @@ def test_maintenance(spark):
     for bad in ((0, 1, 10), (5, 6, 20), (5, 5, 8)):
         with pytest.raises(ValueError):
             maintenance.check_window(*bad)
+
+
+def test_more_labels_than_a_block_of_queries(spark):
+    n = knn.QUERY_BLOCK + 200
+    base = spark.createDataFrame([(0, [0.0, 0.0], [99]), (1, [1.0, 0.0], [5])], "id bigint, vec array<double>, labels array<bigint>")
+    queries = spark.range(n).select(F.col("id").alias("query_id"), F.array(F.lit(0.0), F.lit(0.0)).alias("vec"), (F.col("id") + 1000).alias("label"))
+    found = knn.exact_with_label(base, queries, 3, universal=99)
+    assert found.where("id = 0").select("query_id").distinct().count() == found.count() == n

@@ -45,6 +45,8 @@ class Packer:
                 self.arcs[a][b] = max(self.arcs[a].get(b, 0), c)
         for kids in self.out.values():
             kids.sort(key=lambda k: (-k[1], k[0]))
+        self.heaviest = {a: max(more.values()) for a, more in self.both.items()}
+        self.heaviest_of_all = max(self.heaviest.values(), default=0)
         self.used: set[tuple[int, int]] = set()
         self.pages: list[list[int]] = []
         self.size = 0
@@ -123,17 +125,22 @@ class Packer:
         return page
 
     def path(self, ends: tuple[int, int], hops: int, page: list[int]) -> list[int]:
-        """The simple path of pending nodes from either end, up to `hops` long, with the best mean weight."""
+        """The simple path of pending nodes from either end, up to `hops` long, with the best mean weight.
+
+        All usable steps are tried, but for ways whose mean cannot reach the best one: the next step
+        weighs at most what the node's heaviest edge does, later ones what the region's heaviest does.
+        """
         best, found = 0.0, []
         for end in ends:
             stack = [(end, [], 0)]
             while stack:
                 at, way, total = stack.pop()
-                if way and (total / len(way), [-x for x in way]) > (best, [-x for x in found]):
-                    best, found = total / len(way), way
-                if len(way) < hops:
-                    more = sorted(self.both[at].items(), key=lambda x: (x[1], -x[0]))[-8:]  # the heaviest steps
-                    stack.extend((v, [*way, v], total + c) for v, c in more if v in self.pending and v not in page and v not in way and self.near(at, v))
+                n = len(way)
+                if way and (total / n, [-x for x in way]) > (best, [-x for x in found]):
+                    best, found = total / n, way
+                if any((total + self.heaviest.get(at, 0) + (m - 1) * self.heaviest_of_all) / (n + m) >= best for m in range(1, hops - n + 1)):
+                    more = [(c, -v) for v, c in self.both[at].items() if v in self.pending and v not in page and v not in way and self.near(at, v)]
+                    stack.extend((-v, [*way, -v], total + c) for c, v in sorted(more))
         return found
 
 

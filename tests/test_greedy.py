@@ -63,3 +63,27 @@ def test_tables(spark, region):
     where = spark.createDataFrame([(7, 1), (7, 2), (5, 3), (6, 3), (4, 1)], "sector bigint, id bigint")
     assert [tuple(r) for r in greedy.cover_sectors(wanted, where).collect()] == [(1, [7, 5], 1)]
     assert greedy.set_cover({3}, {5: {3}, 6: {3}}, {6}) == [6]
+
+
+def test_best_path_tries_all_neighbours():
+    """A light first step before a heavy second one, behind eight heavier edges of which some are placed."""
+    spokes = [(0, v, 20 + v) for v in range(2, 12)]
+    p = greedy.Packer({n: 1 for n in range(15)}, [(0, 1, 50), *spokes, (0, 12, 1), (12, 13, 500)], None, 5, 15)
+    assert p.path((0, 1), 2, [0, 1]) == [12, 13]
+    p.pending -= set(range(2, 12))
+    p.pending -= {13}
+    assert p.path((0, 1), 2, [0, 1]) == [12]
+
+
+def test_best_path_like_brute_force(region):
+    heat, edges = region
+    for hops in (1, 2, 3):
+        p = greedy.Packer(heat, edges, None, 5, 60)
+        p.pending -= set(range(0, 120, 4))
+        for u, v, _ in edges[:20]:
+            ways, level = [], [((e,), 0) for e in (u, v)]
+            for _ in range(hops):
+                level = [((*w, x), t + c) for w, t in level for x, c in p.both[w[-1]].items() if x in p.pending and x not in (u, v) and x not in w]
+                ways += level
+            want = max(((t / (len(w) - 1), [-x for x in w[1:]]) for w, t in ways), default=(0, []))[1]
+            assert p.path((u, v), hops, [u, v]) == [-x for x in want]

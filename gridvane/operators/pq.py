@@ -180,26 +180,34 @@ def decode(codes: DataFrame, book: Codebook) -> DataFrame:
 
 
 def table_distances(codes: DataFrame, queries: DataFrame, book: Codebook, k: int, metric: str = "l2") -> DataFrame:
-    """(query_id, rank, id, distance): the k nearest codes by summed table entries; queries are a stated, small set."""
-    from .knn import QUERY_BLOCK, ranked
+    """(query_id, rank, id, distance): the k nearest codes by summed table entries; queries in blocks, each a pass over the codes."""
+    from .knn import _blocks, ranked
 
-    rows = queries.select("query_id", "vec").limit(QUERY_BLOCK + 1).collect()
-    if len(rows) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries at once")
-    ids = np.array([r[0] for r in rows], np.int64)
-    tables = book.tables(np.array([list(map(float, r[1])) for r in rows]), metric)
+    schema = "query_id bigint, id bigint, distance double"
+    out = None
+    for block in _blocks(queries, ["query_id", "vec"]):
+        ids = np.array(block["query_id"], np.int64)
+        tables = book.tables(np.array([list(map(float, v)) for v in block["vec"]]), metric)
+        part = codes.select("id", "code").mapInArrow(_table_scanner(ids, tables, k), schema)
+        out = part if out is None else out.unionByName(part)
+    out = out if out is not None else codes.sparkSession.createDataFrame([], schema)
+    return ranked(out, k).select("query_id", "rank", "id", "distance")
 
+
+def _table_scanner(ids: np.ndarray, tables: list[np.ndarray], k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 own = part.column(0).to_numpy(zero_copy_only=False)
                 c = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-                d = np.zeros((len(ids), len(own)))
-                for i, t in enumerate(tables):
-                    d += t[:, c[:, i]]
-                keep = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < d.shape[1] else np.ones(d.shape, bool)
-                i, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(d[i, j])], ["query_id", "id", "distance"])
-
-    return ranked(codes.select("id", "code").mapInArrow(scan, "query_id bigint, id bigint, distance double"), k).select("query_id", "rank", "id", "distance")
+                for a in range(0, len(ids), 256):
+                    some = ids[a : a + 256]
+                    d = np.zeros((len(some), len(own)))
+                    for i, t in enumerate(tables):
+                        d += t[a : a + 256, c[:, i]]
+                    keep = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < d.shape[1] else np.ones(d.shape, bool)
+                    i, j = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([pa.array(some[i]), pa.array(own[j]), pa.array(d[i, j])], ["query_id", "id", "distance"])
+
+    return scan

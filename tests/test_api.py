@@ -106,3 +106,9 @@ def test_catalogue_like_sql(spark, con, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 200
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["vamana_search", "stitched_search", "range_search_graph"])
+def test_searches_ask_every_hundredth_row(spark, name):
+    n = catalogue.embeddings(spark, SF).where("id % 100 = 0").count()
+    assert catalogue.QUERIES[name](spark, SF).first().n_queries == n

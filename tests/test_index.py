@@ -139,3 +139,12 @@ def test_more_labels_than_a_block_of_queries(spark):
     queries = spark.range(n).select(F.col("id").alias("query_id"), F.array(F.lit(0.0), F.lit(0.0)).alias("vec"), (F.col("id") + 1000).alias("label"))
     found = knn.exact_with_label(base, queries, 3, universal=99)
     assert found.where("id = 0").select("query_id").distinct().count() == found.count() == n
+
+
+def test_table_distances_in_blocks(spark):
+    book = pq.Codebook([np.array([[0.0], [1.0]])], np.array([0, 1]))
+    codes = spark.createDataFrame([(0, [0]), (1, [1]), (2, [1])], "id bigint, code array<smallint>")
+    n = knn.QUERY_BLOCK + 300
+    queries = spark.range(n).select(F.col("id").alias("query_id"), F.array((F.col("id") % 2).cast("double")).alias("vec"))
+    got = pq.table_distances(codes, queries, book, 1).collect()
+    assert len(got) == n and all(r.id == r.query_id % 2 and r.distance == 0 for r in got)

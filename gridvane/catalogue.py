@@ -387,7 +387,7 @@ def degree_stats(spark, sf_dir):
 def bfs_levels(spark, sf_dir):
     from .plans.tables import written
 
-    return graph.bfs_levels(written(edges(spark, sf_dir)), embeddings(spark, sf_dir).where("id = 0"), 8)
+    return graph.bfs_levels(written(edges(spark, sf_dir)), embeddings(spark, sf_dir).where("id = 0"), 32)
 
 
 @query(f"""WITH {_E}, one AS (SELECT src AS start_id, dst AS id FROM e WHERE src < 5), two AS (SELECT start_id, e.dst AS id FROM one JOIN e ON e.src = one.id)
@@ -812,5 +812,7 @@ for _name in ("node", "node_top4first", "edge", "edge_dir", "edge_star", "edge_u
 def lfu_pool(spark, sf_dir):
     from .streaming import pool
 
-    requests = reads(spark, sf_dir).select(F.col("query_id").alias("pool"), "seq", F.col("sector").alias("item"))
+    # as reads(), of all edges: every 40 nodes are eight more queries, so pools keep their length
+    e = edges(spark, sf_dir)
+    requests = e.select((F.floor(F.col("src") / 40) * 8 + F.col("src") % 8).alias("pool"), (F.col("src") * (1 << 31) + F.col("dst")).alias("seq"), F.floor(F.col("dst") / CAP).alias("item"))
     return pool.replay(requests, 16)

@@ -112,3 +112,15 @@ def test_entry(spark):
 def test_searches_ask_every_hundredth_row(spark, name):
     n = catalogue.embeddings(spark, SF).where("id % 100 = 0").count()
     assert catalogue.QUERIES[name](spark, SF).first().n_queries == n
+
+
+def test_lfu_pool_replays_all_edges(spark):
+    got = catalogue.QUERIES["lfu_pool"](spark, SF).select("pool", "seq").collect()
+    n = catalogue.embeddings(spark, SF).count()
+    assert len(got) == len(set(got)) == 8 * n and len({r.pool for r in got}) > 8
+
+
+def test_bfs_levels_beyond_eight(spark, monkeypatch):
+    chain = spark.range(20).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    monkeypatch.setattr(catalogue, "edges", lambda *_: chain)
+    assert {r.level: r.n_nodes for r in catalogue.QUERIES["bfs_levels"](spark, SF).collect()} == {i: 1 for i in range(21)}

@@ -14,28 +14,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, plan_bytes
+#: Bytes of text that make a chunk, rows of one at most about, and bytes of text that make a bucket.
+CHUNK, ROWS, BUCKET = 3500 << 10, 50_000, 13 << 20
 
-#: Bytes of stored table that make a chunk, and that make a bucket.
-CHUNK, BUCKET = 2 << 20, 8 << 20
 
+def measured(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """(rows, bytes of text) of docs: one pass, on the JVM."""
+    text = F.col(text_col).cast("string")
+    found = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text).cast("bigint")), F.lit(0))).first()
+    return found[0], found[1]
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """(chunk, uid, id, text, more...): each row in one of so many chunks that each holds about CHUNK bytes."""
-    n = parts_for(docs, CHUNK)
+
+def chunked(docs: DataFrame, size: tuple[int, int], id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(chunk, uid, id, text, more...): each row in one of so many chunks that each holds about CHUNK bytes and ROWS rows at most.
+
+    size: measured(docs). A text is never cut, so a longer one makes its chunk that much larger.
+    """
+    n = max(1, -(-size[0] // ROWS), -(-size[1] // CHUNK))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), *more).withColumn("uid", F.monotonically_increasing_id())
     return rows.select(F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int").alias("chunk"), "uid", "id", "text", *more)
 
 
-def bucket_bits(docs: DataFrame, each: int = BUCKET) -> int:
-    """log2 of a number of buckets of about `each` bytes of stored table."""
-    return max(0, (-(-plan_bytes(docs) // each) - 1).bit_length())
+def bucket_bits(size: tuple[int, int], each: int = BUCKET) -> int:
+    """log2 of a number of buckets of about `each` bytes of text; size: measured(docs)."""
+    return max(0, (-(-size[1] // each) - 1).bit_length())
 
 
-def sliced_rows(order: np.ndarray, bucket: np.ndarray, n: int) -> list[tuple[int, slice]]:
+def sliced_rows(bucket: np.ndarray) -> list[tuple[int, slice]]:
     """(bucket, slice) of the non-empty buckets; bucket is ascending."""
-    cuts = np.searchsorted(bucket, np.arange(n + 1))
-    return [(b, slice(int(cuts[b]), int(cuts[b + 1]))) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+    if not len(bucket):
+        return []
+    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+    return [(int(bucket[a]), slice(a, b)) for a, b in zip(cuts, cuts[1:])]
 
 
 def to_deltas(values: np.ndarray) -> bytes:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import IS_WS, flat, lowered, mixed, prefix_sums, slices, span_hash, word_hashes, words
-from .exchange import binary_rows, bucket_bits, chunked, sliced_rows
+from .exchange import binary_rows, bucket_bits, chunked, measured, sliced_rows
 
 END = 10
 #: log2 of the slots of each predictor's table.
@@ -331,7 +331,7 @@ class _Tokens:
 
     def rows(self) -> pa.Table:
         chunk = self.docs.column("chunk")[0].as_py()
-        out = [(b, chunk, self.word[s].tobytes(), self.trained[s].tobytes()) for b, s in sliced_rows(self.word, self.bucket, 1 << self.bits)]
+        out = [(b, chunk, self.word[s].tobytes(), self.trained[s].tobytes()) for b, s in sliced_rows(self.bucket)]
         return binary_rows(out, ["bucket", "chunk", "words", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
 
@@ -355,9 +355,10 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     """
     held_out = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     model = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out), text_col))
-    bits = bucket_bits(docs, 16 << 20)
+    size = measured(docs, text_col)
+    bits = bucket_bits(size, 26 << 20)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), framed(F.col(text_col)).alias("text"), held_out.alias("held"))
-    rows = chunked(docs, "id", "text", "held")
+    rows = chunked(docs, size, "id", "text", "held")
 
     def send(d: pa.Table) -> pa.Table:
         return _Tokens(d, bits).rows()
@@ -368,7 +369,7 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
             return binary_rows([], names, kinds)
         t = _Tokens(d, bits)
         count = np.zeros(len(t.word), np.int64)
-        cuts = dict(sliced_rows(t.word, t.bucket, 1 << bits))
+        cuts = dict(sliced_rows(t.bucket))
         for b, raw in zip(a.column("bucket").to_pylist(), a.column("counts").to_pylist()):
             count[cuts[b]] = np.frombuffer(raw, np.int64)
         n = len(t.n_tokens)

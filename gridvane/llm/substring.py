@@ -13,7 +13,9 @@ Blocks and probes travel as sorted 26-bit remainders packed by bucket, about two
 answers are lists of anchors and one bit for each window.
 
 Nulls: a null text has no words; a null id counts as the largest. Rows that repeat an id do not
-remove each other's words. Texts of fewer than 13 words lose nothing. Extra columns are dropped.
+remove each other's words. Texts of fewer than 13 words lose nothing. An empty table gives no rows.
+Extra columns are dropped, whatever their names. A chunk holds a bounded number of rows and bytes of
+text; a text stays whole, and a task takes some 30 times the bytes of its longest text.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import flat, mixed, slices, word_hashes, words
-from .exchange import binary_rows, bucket_bits, chunked, from_deltas, sliced_rows, to_deltas
+from .exchange import binary_rows, bucket_bits, chunked, from_deltas, measured, sliced_rows, to_deltas
 
 WINDOW, BLOCK = 13, 7
 _REST = 26
@@ -73,16 +75,15 @@ def _packed_anchors(table: pa.Table, bits: int) -> pa.Table:
     at = np.flatnonzero(there)
     doc = texts.doc[at]
     block = (at - texts.at[:-1][doc]) % BLOCK == 0
-    # sorted by value, then text; the lowest bit tells a block
-    x = np.sort((h[at] << np.uint64(20)) | (doc.astype(np.uint64) << np.uint64(1)) | block.astype(np.uint64))
-    value = x >> np.uint64(20)
-    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(x) else np.zeros(0, np.int64)
-    last = np.concatenate([first[1:], [len(x)]]) - 1 if len(x) else first
-    some_block = np.bitwise_or.reduceat(x & np.uint64(1), first) == 1 if len(x) else np.zeros(0, bool)
-    several = (x[first] >> np.uint64(1)) != (x[last] >> np.uint64(1))
+    value = h[at]
+    order = np.argsort(value)
+    value, doc, block = value[order], doc[order], block[order]
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    some_block = np.logical_or.reduceat(block, first) if len(first) else np.zeros(0, bool)
+    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
     value = value[first]
     bucket, rest = value >> np.uint64(_REST), (value & np.uint64((1 << _REST) - 1)).astype(np.uint32)
-    rows = [(b, chunk, to_deltas(rest[s]), np.packbits(some_block[s]).tobytes(), np.packbits(several[s]).tobytes()) for b, s in sliced_rows(rest, bucket, 1 << bits)]
+    rows = [(b, chunk, to_deltas(rest[s]), np.packbits(some_block[s]).tobytes(), np.packbits(several[s]).tobytes()) for b, s in sliced_rows(bucket)]
     return binary_rows(rows, ["bucket", "chunk", "rests", "blocks", "several"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
 
@@ -141,7 +142,7 @@ def _packed_windows(docs: pa.Table, anchors: pa.Table, bits: int, bits2: int) ->
     place, order, bucket, key = _windows(texts, anchors, bits, bits2)
     first, least = _least(texts, place, order, bucket, key)
     rows = []
-    for b, s in sliced_rows(first, bucket[first], 1 << bits2):
+    for b, s in sliced_rows(bucket[first]):
         ids, which = np.unique(least[s], return_inverse=True)
         rows.append((b, chunk, key[first[s]].tobytes(), ids.tobytes(), which.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32).tobytes()))
     return binary_rows(rows, names, kinds)
@@ -176,7 +177,7 @@ def _cleaned(docs: pa.Table, answers: pa.Table, bits: int, bits2: int) -> pa.Tab
         place, order, bucket, key = _windows(texts, anchors, bits, bits2)
         first, least = _least(texts, place, order, bucket, key)
         bit = np.zeros(len(first), bool)
-        cuts = dict(sliced_rows(first, bucket[first], 1 << bits2))
+        cuts = dict(sliced_rows(bucket[first]))
         for b, raw in zip(said.column("bucket").to_pylist(), said.column("rests").to_pylist()):
             s = cuts[b]
             bit[s] = np.unpackbits(np.frombuffer(raw, np.uint8), count=s.stop - s.start)
@@ -208,8 +209,9 @@ def _cleaned(docs: pa.Table, answers: pa.Table, bits: int, bits2: int) -> pa.Tab
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, spans, kept_text) of every row: spans are [start, end) in words."""
-    bits, bits2 = bucket_bits(docs) + 2, bucket_bits(docs)
-    rows = chunked(docs, id_col, text_col)
+    size = measured(docs, text_col)
+    bits, bits2 = bucket_bits(size) + 2, bucket_bits(size)
+    rows = chunked(docs, size, id_col, text_col)
     probes = rows.groupBy("chunk").applyInArrow(lambda t: _packed_anchors(t, bits), "bucket int, chunk int, rests binary, blocks binary, several binary")
     anchors = probes.groupBy("bucket").applyInArrow(_found_anchors, "chunk int, bucket int, rests binary")
     windows = rows.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(lambda d, a: _packed_windows(d, a, bits, bits2), "bucket int, chunk int, keys binary, ids binary, which binary")

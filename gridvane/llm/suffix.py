@@ -14,13 +14,19 @@ What is left is settled exactly. Anchors of one rank compare the bytes that all
 if those occur twice, all strings of the run repeat. Runs that stay open are cut into twelves, and
 those that stay open into single strings, each compared in turn with one representative of every
 distinct run of the rank. So long copies cost one comparison for each anchor, and only the edges of
-repeats are looked at string by string.
+repeats are looked at string by string. Single strings are equal if 64-bit hashes of both their
+halves are; runs, if their rank and the hash of all bytes they span are.
+
+So doubling is a prefilter that ends short of the threshold: beyond the bytes that an anchor's strings
+share, ranks of anchors say nothing about a single string. Ranking every position, as a plain suffix
+array does, would take a row of 16 bytes for each byte of text in every round.
 
 Steps are packed exchanges (exchange.py); every step reads the one shuffle of the text.
 
 Nulls: a null text is empty. Texts below 400 bytes lose nothing. Rows that repeat an id count as
-separate texts. Removed bytes may split a character, so kept bytes are binary. Extra columns are
-dropped.
+separate texts. Removed bytes may split a character, so kept bytes are binary. An empty table gives
+no rows. Extra columns are dropped, whatever their names. A chunk holds a bounded number of rows and
+bytes of text; a text stays whole, and a task takes some 60 times the bytes of its longest text.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .common import flat, mixed, powers, prefix_sums, span_hash
-from .exchange import binary_rows, bucket_bits, sliced_rows
+from .exchange import binary_rows, bucket_bits, measured, sliced_rows
 
 LENGTH, GRAM, SPREAD, PART = 400, 16, 96, 12
 #: All strings of an anchor share the anchors this far behind it.
@@ -91,13 +97,13 @@ class Entries:
 
     def rows(self, chunk: int, bits: int) -> pa.Table:
         lean = not self.more.any()
-        out = [(b, chunk, self.keys[s].tobytes(), b"" if lean else self.more[s].tobytes(), self.multi[s].tobytes()) for b, s in sliced_rows(self.keys, self.bucket, 1 << bits)]
+        out = [(b, chunk, self.keys[s].tobytes(), b"" if lean else self.more[s].tobytes(), self.multi[s].tobytes()) for b, s in sliced_rows(self.bucket)]
         return binary_rows(out, _NAMES, _KINDS)
 
     def heard(self, answers: pa.Table, step: int, kind, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(answer of each item, bucket of each item)"""
         said = np.zeros(len(self.keys), kind)
-        cuts = dict(sliced_rows(self.keys, self.bucket, 1 << bits))
+        cuts = dict(sliced_rows(self.bucket))
         for s, b, raw in zip(*(answers.column(c).to_pylist() for c in ("step", "bucket", "said"))):
             if s == step:
                 said[cuts[b]] = np.frombuffer(raw, kind)
@@ -201,7 +207,8 @@ class Chunk:
         n = hi - lo + 1
         i = np.repeat(np.arange(len(lo)), n)
         p = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + lo[i]
-        return done, p, self._entries(span_hash(self.sums, p, p + LENGTH), multi=multi[i])
+        half = p + LENGTH // 2
+        return done, p, self._entries(span_hash(self.sums, p, half), span_hash(self.sums, half, p + LENGTH), multi[i])
 
     def removed(self, answers: pa.Table) -> np.ndarray:
         """For each byte, whether a repeated string covers it."""
@@ -264,8 +271,8 @@ def _settled(table: pa.Table, step: int) -> pa.Table:
 
 
 def _again(table: pa.Table, step: int) -> pa.Table:
-    rows, key, _, multi, row = _columns(table)
-    order, group = _grouped(key)
+    rows, key, more, multi, row = _columns(table)
+    order, group = _grouped(key, more)
     said = np.zeros(len(key), np.uint8)
     said[order] = np.bincount(group, weights=1 + multi[order])[group] > 1
     return _answers(rows, said, row, step)
@@ -308,8 +315,9 @@ def _functions(number: int, entries, judge, bits: int):
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept) of every row: spans are [start, end) in bytes of UTF-8."""
-    bits = bucket_bits(docs)
-    rows = exchange.chunked(docs, id_col, text_col)
+    size = measured(docs, text_col)
+    bits = bucket_bits(size)
+    rows = exchange.chunked(docs, size, id_col, text_col)
     steps = [
         (lambda c, a: c.round1()[-1], _ranks),
         (lambda c, a: c.round2(a)[-1], _ranks),

@@ -31,8 +31,8 @@ def test_baseline(spark, which, monkeypatch):
 
     docs = documents(spark) if which == "sf" else spark.createDataFrame(ROWS if which == "odd" else [], SCHEMA)
     if which == "sf":
-        monkeypatch.setattr(exchange, "parts_for", lambda d, each: 5)
-        monkeypatch.setattr(lm, "bucket_bits", lambda d, each: 2)
+        monkeypatch.setattr(exchange, "ROWS", 40)
+        monkeypatch.setattr(lm, "bucket_bits", lambda size, each: 2)
     out = lm.score(docs, split_of(F.col("doc_id"), 10) == 0).collect()
     got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out)
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])

@@ -50,7 +50,7 @@ def test_like_brute_force(spark, which, monkeypatch):
         docs = spark.createDataFrame({"odd": ROWS, "none": [], "made": [(k, t, None, None, None, None, None, None) for k, t in made()]}[which], SCHEMA)
     if which == "made":
         monkeypatch.setattr(exchange, "CHUNK", 8 << 10)
-        monkeypatch.setattr(substring, "bucket_bits", lambda d: 3)
+        monkeypatch.setattr(substring, "bucket_bits", lambda size: 3)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     out = substring.clean(docs).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in out) == brute(rows)
@@ -59,6 +59,20 @@ def test_like_brute_force(spark, which, monkeypatch):
         assert queries.op3_substring_dedup(spark, SF).count() == len(rows) and sum(r.n_removed for r in out) > 0
 
 
+def test_many_texts_in_a_chunk(spark, monkeypatch):
+    """More texts than a packed number of 19 bits would hold, in one chunk, and buckets of a table of 100 TB."""
+    from pyspark.sql import functions as F
+
+    pairs = [(k, " ".join(f"w{k % 200}x{i}" for i in range(13))) for k in range(400)]
+    empty = spark.range(1000, 901_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    docs = empty.unionByName(spark.createDataFrame(pairs, "doc_id bigint, text string"))
+    monkeypatch.setattr(exchange, "ROWS", 1 << 30)
+    for bits in (0, 23):
+        monkeypatch.setattr(substring, "bucket_bits", lambda size, bits=bits: bits)
+        out = substring.clean(docs if not bits else docs.where("doc_id < 1000")).where("n_removed > 0")
+        assert sorted((r.doc_id, r.n_removed) for r in out.collect()) == [(k, 13) for k in range(200, 400)]
+
+
 def test_deltas():
     rng = np.random.default_rng(8)
     for top, n in ((1 << 26, 1000), (1 << 20, 50000), (1 << 32, 10), (70000, 3)):

@@ -55,8 +55,8 @@ def test_like_brute_force(spark, which, monkeypatch):
     else:
         docs = spark.createDataFrame({"odd": ROWS, "none": [], "made": [(k, t, None, None, None, None, None, None) for k, t in made()]}[which], SCHEMA)
     if which == "made":
-        monkeypatch.setattr(exchange, "parts_for", lambda d, each: 7)
-        monkeypatch.setattr(suffix, "bucket_bits", lambda d: 2)
+        monkeypatch.setattr(exchange, "ROWS", 10)
+        monkeypatch.setattr(suffix, "bucket_bits", lambda size: 2)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     out = suffix.clean(docs).collect()
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out)

@@ -1,18 +1,23 @@
 """A dynamic index as numbered versions of tables, fed by batches or by a stream.
 
-One writer makes versions; readers use the last complete one. A version is a folder of Parquet
-tables under `path`, and the file `current` names it, so a batch that is replayed after a failure
-writes its version again and changes nothing that was read.
+One writer makes versions; readers use the last complete one. A version is a file in `current/`
+that names the folders of its tables, so what a step leaves alone is not written again. It is made
+from the last version below it, in a fresh folder, and named when its tables are there. A batch of a
+stream that is replayed finds its versions named and leaves them; one that was cut short is made
+again from the same base.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maintenance, vamana
+from ..plans.tables import written
 
 _POINTS = vamana._INDEX
 _TABLES = {"index": _POINTS, "tombstones": "id bigint"}
@@ -36,22 +41,56 @@ class DynamicIndex:
 
     def version(self) -> int:
         """Number of the last complete version, -1 before the first."""
+        return self._below(None)
+
+    def _below(self, version: int | None) -> int:
+        """The last complete version below a number, or the last of all; -1 if there is none."""
         fs, path = self._fs()
         if not fs.exists(path(f"{self.path}/current")):
             return -1
-        return max(int(s.getPath().getName()) for s in fs.listStatus(path(f"{self.path}/current")))
+        done = [int(s.getPath().getName()) for s in fs.listStatus(path(f"{self.path}/current")) if s.getPath().getName().isdigit()]
+        return max((v for v in done if version is None or v < version), default=-1)
+
+    def committed(self, version: int) -> bool:
+        fs, path = self._fs()
+        return fs.exists(path(f"{self.path}/current/{version}"))
+
+    def _folders(self, version: int) -> dict[str, str]:
+        """The folder of each table of a version, as its commit names them."""
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.path}/current/{version}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
         if v < 0:
             return self.spark.createDataFrame([], _TABLES[name])
-        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/v{v}/{name}")
+        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{self._folders(v)[name]}")
 
-    def _commit(self, version: int, **tables: DataFrame) -> None:
+    def _commit(self, version: int, base: int, **tables: DataFrame) -> None:
+        """Writes tables to a fresh folder and then names them, and the base's others, as a version.
+
+        The name appears at once by a rename; who finds it there already leaves it as it is.
+        """
+        own = f"v{version}-{uuid.uuid4().hex}"
         for name, t in tables.items():
-            t.write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
+            t.write.parquet(f"{self.path}/{own}/{name}")
+        folders = (self._folders(base) if base >= 0 else {}) | {name: f"{own}/{name}" for name in tables}
         fs, path = self._fs()
-        fs.create(path(f"{self.path}/current/{version}"), True).close()
+        made = path(f"{self.path}/current/_{own}")
+        stream = fs.create(made, True)
+        stream.write(bytearray(json.dumps(folders).encode()))
+        stream.close()
+        if self.committed(version) or not fs.rename(made, path(f"{self.path}/current/{version}")):
+            fs.delete(made, False)
+
+    def _numbers(self, version: int | None) -> tuple[int, int]:
+        """(the version to be made, the one it is made from)"""
+        base = self._below(version)
+        return (base + 1 if version is None else version), base
 
     # ------------------------------------------------------------ changes
 
@@ -64,43 +103,47 @@ class DynamicIndex:
         When the capacity would be passed and something is deleted, the index is consolidated first
         (with a warning); if it still does not fit, RuntimeError.
         """
-        index, dead = self.table("index"), self.table("tombstones")
+        version, base = self._numbers(version)
+        index, dead = self.table("index", base), self.table("tombstones", base)
         old = index.select("id", "vec").dropDuplicates(["id"])
         plain = rows.select("id", F.col("vec").cast("array<float>").alias("vec"))
         accepted, rejected = maintenance.insert_new(old, plain)
         new = accepted.join(old.select("id"), "id", "left_anti")
         n_new = new.count()
+        tables = {}
         if self.capacity is not None and old.count() + n_new > self.capacity:
             if dead.isEmpty():
                 raise RuntimeError(f"capacity {self.capacity} would be passed")
             warnings.warn("capacity would be passed: consolidating deletions first", stacklevel=2)
-            self.consolidate()
-            if self.n_live() + n_new > self.capacity:
+            index = written(vamana.consolidate(index, dead, self.degree, self.alpha, self.metric))
+            if index.select("id").distinct().count() + n_new > self.capacity:
                 raise RuntimeError(f"capacity {self.capacity} would be passed")
-            index, dead = self.table("index"), self.table("tombstones")
+            tables = {"index": index, "tombstones": dead.limit(0)}
         labels = rows.select("id", F.col("labels").cast("array<bigint>").alias("labels")).dropDuplicates(["id"]) if "labels" in rows.columns else None
         new = new.join(labels, "id", "left") if labels is not None else new
         if n_new:
-            grown = vamana.insert(index, new, self.degree, self.width, self.alpha, self.metric) if not index.isEmpty() else vamana.build(new, self.degree, self.width, self.alpha, self.metric)
-        else:
-            grown = index
-        self._commit(self.version() + 1 if version is None else version, index=grown, tombstones=dead)
+            tables["index"] = vamana.insert(index, new, self.degree, self.width, self.alpha, self.metric) if not index.isEmpty() else vamana.build(new, self.degree, self.width, self.alpha, self.metric)
+        if base < 0:
+            tables = {"index": index, "tombstones": dead} | tables
+        self._commit(version, base, **tables)
         return rejected
 
     def delete(self, ids: DataFrame, version: int | None = None) -> DataFrame:
-        """Marks ids(id) as deleted; returns failed(id): unknown or deleted before."""
-        index = self.table("index")
-        dead, failed = maintenance.lazy_delete(index.select("id").distinct(), self.table("tombstones"), ids)
-        self._commit(self.version() + 1 if version is None else version, index=index, tombstones=dead)
+        """Marks ids(id) as deleted; returns failed(id): unknown or deleted before. The index is not written again."""
+        version, base = self._numbers(version)
+        index = self.table("index", base)
+        dead, failed = maintenance.lazy_delete(index.select("id").distinct(), self.table("tombstones", base), ids)
+        self._commit(version, base, tombstones=dead, **({"index": index} if base < 0 else {}))
         return failed
 
     def consolidate(self, version: int | None = None) -> DataFrame:
         """Removes deleted points for good; returns a one-row report."""
-        index, dead = self.table("index"), self.table("tombstones")
+        version, base = self._numbers(version)
+        index, dead = self.table("index", base), self.table("tombstones", base)
         edges = index.select(F.col("id").alias("src"), F.explode("nbrs").alias("dst"))
         report = maintenance.consolidate_report(index.select("id").distinct(), edges, dead, self.capacity or 0)
         clean = vamana.consolidate(index, dead, self.degree, self.alpha, self.metric)
-        self._commit(self.version() + 1 if version is None else version, index=clean, tombstones=dead.limit(0))
+        self._commit(version, base, index=clean, tombstones=dead.limit(0))
         return report
 
     def search(self, queries: DataFrame, k: int, width: int, version: int | None = None, **options) -> DataFrame:
@@ -122,11 +165,11 @@ class DynamicIndex:
         batch = batch.persist()
         try:
             ops = {r.op for r in batch.select("op").distinct().collect()}
-            if "insert" in ops:
+            if "insert" in ops and not self.committed(4 * number + 1):
                 self.insert(batch.where("op = 'insert'").select("id", "vec"), 4 * number + 1)
-            if "delete" in ops:
+            if "delete" in ops and not self.committed(4 * number + 2):
                 self.delete(batch.where("op = 'delete'").select("id"), 4 * number + 2)
-            if "consolidate" in ops:
+            if "consolidate" in ops and not self.committed(4 * number + 3):
                 self.consolidate(4 * number + 3)
         finally:
             batch.unpersist()

@@ -54,6 +54,35 @@ def test_stream_of_changes(spark, tmp_path):
     assert index.version() == 3 and index.n_live() == 39 and index.table("tombstones").isEmpty()
 
 
+def test_replayed_batches(spark, tmp_path):
+    """A batch that comes again changes nothing, wherever it was cut short."""
+    kind = "op string, id bigint, vec array<float>"
+    add = lambda n, first: points(spark, n, first).select(F.lit("insert").alias("op"), "id", "vec")
+    first = add(40, 1)
+    second = add(40, 100).unionByName(spark.createDataFrame([("delete", 3, None), ("delete", 100, None)], kind))
+    third = spark.createDataFrame([("consolidate", None, None)], kind)
+    index = DynamicIndex(spark, str(tmp_path / "i"), degree=8, width=16)
+    state = lambda: (index.version(), index.n_live(), sorted(r.id for r in index.table("tombstones").collect()))
+    index.apply(first, 0)
+    # cut short after the insertion: the deletions are made when the batch comes again
+    index.insert(second.where("op = 'insert'").select("id", "vec"), 5)
+    assert state() == (5, 80, [])
+    index.apply(second, 1)
+    assert state() == (6, 78, [3, 100])
+    for batch, number in ((second, 1), (first, 0)):
+        index.apply(batch, number)
+        assert state() == (6, 78, [3, 100])
+    # tables written but not named, as by a writer that died
+    index.table("index").limit(3).write.parquet(str(tmp_path / "i" / "v11-dead" / "index"))
+    index.apply(third, 2)
+    index.apply(third, 2)
+    index.apply(second, 1)
+    assert state() == (11, 78, []) and index.table("index").select("id").distinct().count() == 78
+    # a deletion leaves the index where it was
+    index.delete(spark.createDataFrame([(5,)], "id bigint"))
+    assert index._folders(12)["index"] == index._folders(11)["index"] and index.n_live() == 77
+
+
 def test_sliding_window(spark, tmp_path):
     data = points(spark, 60, 1).select((F.col("id") - 1).alias("position"), "vec")
     index = DynamicIndex(spark, str(tmp_path / "w"), degree=8, width=16)

@@ -765,6 +765,17 @@ def stitched_search(spark, sf_dir):
     return metrics.recall_at_k(knn.exact_with_label(base, queries, 20), found, 10)
 
 
+@query(None)
+def filtered_graph_search(spark, sf_dir):
+    from .operators import vamana
+    from .plans.tables import written
+
+    base = labelled(spark, sf_dir)
+    queries = hundredths(base, F.col("label").cast("bigint").alias("label"))
+    found = vamana.search(written(vamana.build(base, 32, 50, filtered=True)), queries, 10, 50, universal=99)
+    return metrics.recall_at_k(knn.exact_with_label(base, queries, 20, universal=99), found, 10)
+
+
 @query(None)
 def range_search_graph(spark, sf_dir):
     from .operators import vamana

@@ -120,13 +120,19 @@ class DiskIndex(StaticIndex):
 
 
 def answer_json(index: StaticIndex, lines: DataFrame) -> DataFrame:
-    """JSON answers to JSON queries (a batch): each k and list width is served by its own search."""
+    """JSON answers to JSON queries (a batch): each k and list width, with or without labels, is served by its own search.
+
+    A label that the index does not know gets an error for an answer.
+    """
     good, bad = texts.parse_queries(lines)
-    kinds = good.select("k", "width", "label").distinct().limit(1000).collect()
+    names = index.labels.select("label", "label_id") if index.labels is not None else lines.sparkSession.createDataFrame([], "label string, label_id bigint")
+    good = good.join(F.broadcast(names), "label", "left")  # a row a label of the index
+    lost = good.where("label is not null and label_id is null").select("query_id", F.concat(F.lit("unknown label "), "label").alias("error"))
+    good, bad = good.where("label is null or label_id is not null"), bad.select("query_id", "error").unionByName(lost)
     out = None
-    for r in kinds:
-        same = good.where((F.col("k") == r.k) & (F.col("width") == r.width) & F.col("label").eqNullSafe(F.lit(r.label)))
-        found = index.search(same.select("query_id", "vec"), r.k, r.width, r.label)
+    for r in good.select("k", "width", F.col("label").isNotNull().alias("named")).distinct().toLocalIterator():
+        same = good.where((F.col("k") == r.k) & (F.col("width") == r.width) & (F.col("label").isNotNull() == r.named))
+        found = index.search(same.select("query_id", "vec", *([F.col("label_id").alias("label")] if r.named else [])), r.k, r.width)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return bad.select(F.to_json(F.struct("query_id", "error")).alias("value"))

@@ -97,24 +97,29 @@ def medoid(vectors: DataFrame) -> DataFrame:
 
 
 def nearest_centres(vectors: DataFrame, centres: DataFrame, k: int) -> DataFrame:
-    """(id, rank, centre, distance) of the k centres(query_id, vec) nearest to each vector; centres are few."""
-    from .knn import QUERY_BLOCK, distances  # noqa: F401
+    """(id, rank, centre, distance) of the k centres(query_id, vec) nearest to each vector.
+
+    Every task gets the centres, some for each shard of an index, and goes through them in blocks.
+    """
+    from .knn import QUERY_BLOCK, distances
 
     import numpy as np
     import pyarrow as pa
 
-    rows = sorted(centres.select("query_id", "vec").limit(QUERY_BLOCK + 1).collect())
-    if len(rows) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} centres")
+    rows = sorted(centres.select("query_id", "vec").collect())
     ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([list(map(float, r[1])) for r in rows])
 
     def assign(batches):
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
             vec = batch.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(own), -1)
-            d = distances("l2", matrix, vec).T
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            n = order.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(np.tile(np.arange(1, n + 1), len(own))), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["id", "rank", "centre", "distance"])
+            best, who = np.zeros((len(own), 0)), np.zeros((len(own), 0), np.int64)
+            for a in range(0, len(ids), QUERY_BLOCK):
+                d = np.concatenate([best, distances("l2", matrix[a : a + QUERY_BLOCK], vec).T], 1)
+                of = np.concatenate([who, np.broadcast_to(ids[a : a + QUERY_BLOCK], (len(own), min(QUERY_BLOCK, len(ids) - a)))], 1)
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]  # earlier blocks have smaller ids and come first
+                best, who = np.take_along_axis(d, order, 1), np.take_along_axis(of, order, 1)
+            n = best.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(np.tile(np.arange(1, n + 1), len(own))), pa.array(who.ravel()), pa.array(best.ravel())], ["id", "rank", "centre", "distance"])
 
     return vectors.select("id", "vec").mapInArrow(assign, "id bigint, rank bigint, centre bigint, distance double")

@@ -7,6 +7,8 @@ return in double.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -57,12 +59,13 @@ def greedy_search(query: np.ndarray, x: np.ndarray, nbrs: np.ndarray, starts: np
     return ids, dist, np.array(expanded, np.int64), hops, compared
 
 
-def robust_prune(pool: np.ndarray, dist: np.ndarray, x: np.ndarray, degree: int, alpha: float = 1.2, most: int = 750, metric: str = "l2", labels: list[frozenset] | None = None, own: frozenset | None = None) -> np.ndarray:
+def robust_prune(pool: np.ndarray, dist: np.ndarray, x: np.ndarray, degree: int, alpha: float = 1.2, most: int = 750, metric: str = "l2", labels: list[frozenset] | None = None, own: frozenset | None = None, saturate: bool = False) -> np.ndarray:
     """At most `degree` of the pool, nearest first, none that a chosen one shadows.
 
     A candidate c is shadowed by a chosen s when d(p, c) > a * d(s, c); a starts at 1 and grows by 1.2
     up to alpha while there is room, and what an earlier round shadowed may then come in. With labels,
-    s shadows c only if it has every label that c shares with the point (own).
+    s shadows c only if it has every label that c shares with the point (own). saturate: where alpha is
+    above 1, places that are left go to the nearest of the pool that are not chosen.
     """
     order = np.lexsort((pool, dist))[:most]
     pool, dist = pool[order], dist[order].astype(np.float64)
@@ -73,6 +76,8 @@ def robust_prune(pool: np.ndarray, dist: np.ndarray, x: np.ndarray, degree: int,
     picked = np.zeros(len(pool), bool)
     level = 1.0
     between = pairwise(metric, x[pool], x[pool])
+    if labels is not None:  # of each candidate, which of the point's labels it has
+        have = np.array([[v in labels[c] for v in own] for c in pool], bool).reshape(len(pool), -1)
     while level <= alpha + 1e-9 and len(chosen) < degree:
         for i in range(len(pool)):
             if len(chosen) >= degree:
@@ -87,10 +92,11 @@ def robust_prune(pool: np.ndarray, dist: np.ndarray, x: np.ndarray, degree: int,
             else:
                 ratio = np.where(gap > 0, dist / np.maximum(gap, 1e-30), np.inf)
             if labels is not None:
-                fits = np.array([(labels[c] & own if own is not None else labels[c]) <= labels[pool[i]] for c in pool])
-                ratio = np.where(fits, ratio, 0.0)
+                ratio = np.where((have & ~have[i]).any(1), 0.0, ratio)
             shadow[i + 1 :] = np.maximum(shadow[i + 1 :], ratio[i + 1 :])
         level *= 1.2
+    if saturate and alpha > 1 and len(chosen) < degree:
+        chosen += np.flatnonzero(~picked)[: degree - len(chosen)].tolist()
     return pool[chosen]
 
 
@@ -101,7 +107,7 @@ def padded(lists: list[np.ndarray], degree: int) -> np.ndarray:
     return out
 
 
-def add_back_edges(lists: list[np.ndarray], changed: np.ndarray, x: np.ndarray, degree: int, alpha: float, metric: str, slack: float = 1.3) -> None:
+def add_back_edges(lists: list[np.ndarray], changed: np.ndarray, x: np.ndarray, degree: int, alpha: float, metric: str, slack: float = 1.3, labels: list[frozenset] | None = None) -> None:
     """Gives each neighbour of the changed nodes an edge back; beyond slack * degree, a node is pruned anew."""
     back: dict[int, list[int]] = {}
     for i in changed.tolist():
@@ -113,19 +119,57 @@ def add_back_edges(lists: list[np.ndarray], changed: np.ndarray, x: np.ndarray,
             continue
         union = np.concatenate([lists[j], new])
         if len(union) > slack * degree:
-            union = robust_prune(union, pairwise(metric, x[j : j + 1], x[union])[0], x, degree, alpha, metric=metric)
+            union = robust_prune(union, pairwise(metric, x[j : j + 1], x[union])[0], x, degree, alpha, metric=metric, labels=labels, own=labels[j] if labels is not None else None)
         lists[j] = union
 
 
+def visited(points: np.ndarray, x: np.ndarray, nbrs: np.ndarray, starts: np.ndarray, width: int, metric: str = "l2") -> list[np.ndarray]:
+    """The nodes that a best-first search for each of the points expands, all searches in step.
+
+    starts: one entry for each search. As greedy_search with a beam of one; a list holds `width` nodes.
+    """
+    n, m = len(points), len(x)
+    rows = np.arange(n)
+    seen, expanded = np.zeros((n, m), bool), np.zeros((n, m), bool)
+    seen[rows, starts] = True
+    ids, done = np.full((n, width), -1, np.int64), np.ones((n, width), bool)
+    dist = np.full((n, width), np.inf, np.float32)
+    ids[:, 0], done[:, 0] = starts, False
+    dist[:, 0] = np.array([pairwise(metric, points[i : i + 1], x[starts[i : i + 1]])[0, 0] for i in rows], np.float32)
+    norms = (x * x).sum(1)
+    while len(rows):
+        take = np.argmin(done[rows], axis=1)  # lists are sorted, so the first open one is the nearest
+        node = ids[rows, take]
+        done[rows, take] = True
+        expanded[rows, node] = True
+        near = nbrs[node]
+        fresh = (near >= 0) & ~seen[rows[:, None], near]
+        at = np.nonzero(fresh)
+        seen[rows[at[0]], near[at]] = True
+        dots = np.matmul(x[near], points[rows][:, :, None])[:, :, 0]
+        d = -dots if metric == "ip" else 1 - dots if metric == "cosine" else norms[near] - 2 * dots + (points[rows] ** 2).sum(1)[:, None]
+        d = np.where(fresh, np.maximum(d, 0) if metric == "l2" else d, np.inf)
+        all_d, all_i = np.concatenate([dist[rows], d], 1), np.concatenate([ids[rows], near], 1)
+        all_done = np.concatenate([done[rows], ~fresh], 1)
+        order = np.argsort(all_d, axis=1, kind="stable")[:, :width]
+        dist[rows], ids[rows], done[rows] = (np.take_along_axis(v, order, 1) for v in (all_d, all_i, all_done))
+        rows = rows[~done[rows].all(1)]
+    return [np.flatnonzero(e) for e in expanded]
+
+
 def medoid_of(x: np.ndarray) -> int:
     return int(((x - x.mean(0)) ** 2).sum(1).argmin())
 
 
-def build(x: np.ndarray, degree: int, width: int, alpha: float = 1.2, metric: str = "l2", seed: int = 0, pool: int | None = None) -> tuple[np.ndarray, int]:
+def build(x: np.ndarray, degree: int, width: int, alpha: float = 1.2, metric: str = "l2", seed: int = 0, pool: int | None = None, labels: list[frozenset] | None = None) -> tuple[np.ndarray, int]:
     """(adjacency, medoid) of one shard.
 
-    Each point's pool is its exact nearest neighbours (blocks of matrix products) and some random
-    points as far reach; pools are pruned, edges get their way back, and long lists are pruned again.
+    First each point's pool is its exact nearest neighbours (blocks of matrix products) and some random
+    points as far reach; pools are pruned, edges get their way back. Then every point is searched for in
+    that graph, and what the search expands is pruned with the point's neighbours, so that lists lead to
+    their points; lists keep places for `degree` and long ones are pruned again. With labels the graph is
+    a filtered one: the pool also has the nearest points that share a label, shadowing minds
+    the labels.
     Everything reachable from the medoid: a component that is not gets an edge from its nearest
     reachable point.
     """
@@ -136,22 +180,45 @@ def build(x: np.ndarray, degree: int, width: int, alpha: float = 1.2, metric: st
     take = min(n - 1, pool or max(width, 2 * degree))
     far = rng.integers(0, n, (n, min(n - 1, max(4, degree // 4))))
     lists: list[np.ndarray] = []
+    own = lambda i: labels[i] if labels is not None else None
+    members = {v: np.array([i for i, s in enumerate(labels) if v in s]) for v in set().union(*labels)} if labels is not None else {}
     for a in range(0, n, 512):
         d = pairwise(metric, x[a : a + 512], x)
         d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
         near = np.argpartition(d, take - 1, axis=1)[:, :take]
         for i in range(len(d)):
             ids = np.unique(np.concatenate([near[i], far[a + i]]))
+            if labels is not None:
+                ids = np.union1d(ids, _sharing(d[i], members, labels[a + i], take))
             ids = ids[ids != a + i]
-            lists.append(robust_prune(ids, d[i, ids], x, degree, alpha, metric=metric))
-    add_back_edges(lists, np.arange(n), x, degree, alpha, metric)
-    for i in np.flatnonzero([len(v) > degree for v in lists]):
-        lists[i] = robust_prune(lists[i], pairwise(metric, x[i : i + 1], x[lists[i]])[0], x, degree, alpha, metric=metric)
+            lists.append(robust_prune(ids, d[i, ids], x, degree, alpha, metric=metric, labels=labels, own=own(a + i), saturate=True))
+    add_back_edges(lists, np.arange(n), x, degree, alpha, metric, labels=labels)
     start = medoid_of(x)
+    graph = padded(lists, math.ceil(1.3 * degree))
+    step = max(1, min(512, (1 << 26) // (2 * n)))
+    for a in range(0, n, step):
+        part = np.arange(a, min(n, a + step))
+        met = visited(x[part], x, graph, np.full(len(part), start), width, metric)
+        for i, found in zip(part.tolist(), met):
+            ids = np.union1d(found, lists[i])
+            ids = ids[ids != i]
+            lists[i] = robust_prune(ids, pairwise(metric, x[i : i + 1], x[ids])[0], x, degree, alpha, metric=metric, labels=labels, own=own(i), saturate=True)
+    add_back_edges(lists, np.arange(n), x, degree, alpha, metric, labels=labels)
+    for i in np.flatnonzero([len(v) > degree for v in lists]):
+        lists[i] = robust_prune(lists[i], pairwise(metric, x[i : i + 1], x[lists[i]])[0], x, degree, alpha, metric=metric, labels=labels, own=own(i), saturate=True)
     _connect(lists, start, x, degree, metric)
     return padded(lists, degree), start
 
 
+def _sharing(dist: np.ndarray, members: dict, own: frozenset, most: int) -> np.ndarray:
+    """Of each label of a point, the nearest points that have it."""
+    found = [np.zeros(0, np.int64)]
+    for v in own:
+        m = members[v]
+        found.append(m if len(m) <= most else m[np.argpartition(dist[m], most - 1)[:most]])
+    return np.unique(np.concatenate(found))
+
+
 def _connect(lists: list[np.ndarray], start: int, x: np.ndarray, degree: int, metric: str) -> None:
     reached = np.zeros(len(lists), bool)
     todo = [start]

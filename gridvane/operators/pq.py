@@ -152,7 +152,9 @@ def train(vectors: DataFrame, chunks: int, centres: int = CENTRES, metric: str =
 
 def fixed_codebook(rows: DataFrame, chunks: int) -> Codebook:
     """A codebook whose centres are the chunks of given vectors(id, vec), in order of id."""
-    x = np.array([list(map(float, r.vec)) for r in rows.orderBy("id").limit(CENTRES).collect()])
+    x = np.array([list(map(float, r.vec)) for r in rows.orderBy("id").limit(CENTRES + 1).collect()])
+    if len(x) > CENTRES:
+        raise ValueError(f"a code of one byte tells {CENTRES} centres apart, not more")
     offsets = chunk_offsets(x.shape[1], chunks)
     return Codebook([x[:, a:b] for a, b in zip(offsets, offsets[1:])], offsets)
 

@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import check_metric
@@ -77,8 +77,21 @@ def assign_shards(vectors: DataFrame, n: int, copies: int = 2, seed: int = 0) ->
     return vectors.join(near, "id")
 
 
-def build(vectors: DataFrame, degree: int = DEFAULTS["degree"], width: int = DEFAULTS["width"], alpha: float = DEFAULTS["alpha"], metric: str = "l2", shard_size: int = SHARD, copies: int = 2, seed: int = 0) -> DataFrame:
-    """An index of vectors(id, vec[, labels]); above shard_size rows in overlapping shards of two thirds the degree."""
+def _bounded(rows: DataFrame, shard_size: int) -> DataFrame:
+    """rows(shard, id, ...) with clusters beyond shard_size dealt into even parts by a hash of the id."""
+    n = F.count(F.lit(1))
+    sizes = rows.groupBy("shard").agg(F.when(n <= shard_size, 1).otherwise(F.ceil(n / (0.8 * shard_size))).cast("int").alias("parts"))  # hashing is not quite even
+    sizes = sizes.withColumn("before", F.sum("parts").over(Window.orderBy("shard")) - F.col("parts"))  # a row a cluster
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    return rows.join(sizes, "shard").withColumn("shard", (F.col("before") + part).cast("int")).drop("parts", "before")
+
+
+def build(vectors: DataFrame, degree: int = DEFAULTS["degree"], width: int = DEFAULTS["width"], alpha: float = DEFAULTS["alpha"], metric: str = "l2", shard_size: int = SHARD, copies: int = 2, seed: int = 0, filtered: bool = False, book: pq.Codebook | None = None) -> DataFrame:
+    """An index of vectors(id, vec[, labels]); above shard_size rows in overlapping shards of two thirds the degree.
+
+    filtered: pools and pruning mind the labels, so that the points of a label stay connected. book:
+    points are compared by their product codes, as where the vectors themselves would not fit.
+    """
     check_build(degree, width, alpha)
     check_metric(metric)
     n = vectors.count()
@@ -88,38 +101,63 @@ def build(vectors: DataFrame, degree: int = DEFAULTS["degree"], width: int = DEF
     def make(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("id")
         ids = table.column("id").to_numpy()
-        adjacency, start = kernels.build(_ready(_matrix(table.column("vec")), metric), own, width, alpha, metric, seed)
+        x = _matrix(table.column("vec"))
+        x = book.decode(book.encode(x)) if book is not None else x
+        sets = [frozenset(v or ()) for v in table.column("labels").to_pylist()] if filtered else None
+        adjacency, start = kernels.build(_ready(x, metric), own, width, alpha, metric, seed, labels=sets)
         return _rows(table.column("shard")[0].as_py(), ids, table.column("vec").combine_chunks(), [r[r >= 0] for r in adjacency], table.column("labels"), start)
 
     rows = assign_shards(_with_labels(vectors), shards, copies, seed).select("shard", "id", F.col("vec").cast("array<float>").alias("vec"), F.col("labels").cast("array<bigint>").alias("labels"))
+    rows = _bounded(rows, shard_size) if shards > 1 else rows
     return rows.groupBy("shard").applyInArrow(make, _INDEX)
 
 
-def build_stitched(points: DataFrame, degree: int = 64, width: int = 100, alpha: float = 1.2, metric: str = "l2", stitched_degree: int | None = None, seed: int = 0) -> DataFrame:
+def fitting_shards(n: int, dims: int, degree: int, budget_bytes: int, copies: int = 2) -> int:
+    """The smallest of 1, 3, 5, 7, ... shards of which each fits into a budget, vectors and lists in memory."""
+    each = 4 * dims + 8 * math.ceil(1.3 * degree) + 64
+    if budget_bytes < each * copies:
+        raise ValueError("the budget does not hold a single point")
+    if n * each <= budget_bytes:
+        return 1
+    parts = max(3, math.ceil(n * copies * each / budget_bytes))
+    return parts + 1 - parts % 2
+
+
+def build_within(vectors: DataFrame, budget_bytes: int, degree: int = DEFAULTS["degree"], width: int = DEFAULTS["width"], alpha: float = DEFAULTS["alpha"], metric: str = "l2", **options) -> DataFrame:
+    """build() in as many shards as a task's memory budget asks for; a cluster that still would not fit is split."""
+    n = vectors.count()
+    dims = vectors.select(F.size("vec").alias("d")).first()
+    shards = fitting_shards(n, dims.d if dims else 1, degree, budget_bytes)
+    return build(vectors, degree, width, alpha, metric, shard_size=max(1, n if shards == 1 else math.ceil(2 * n / shards)), **options)
+
+
+def build_stitched(points: DataFrame, degree: int = 64, width: int = 100, alpha: float = 1.2, metric: str = "l2", stitched_degree: int | None = None, seed: int = 0, shard_size: int = SHARD) -> DataFrame:
     """One graph out of a graph for each label: points(id, vec, labels).
 
-    Points of a label beyond SHARD are built in parts by a hash of the id. Edges are united, each
-    once, and lists above stitched_degree are pruned with the vectors of their neighbours at hand.
-    The entry points are those of the labels.
+    Above shard_size rows this is done in each of several shards, as in build(). Edges are united,
+    each once, and lists above stitched_degree are pruned with the vectors of their neighbours at
+    hand. The entry points are those of the labels.
     """
     check_build(degree, width, alpha)
     most = stitched_degree or degree
-    exploded = points.select("id", F.col("vec").cast("array<float>").alias("vec"), F.explode("labels").alias("label"))
-    parts = points.select(F.explode("labels").alias("label")).groupBy("label").agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("parts"))
-    exploded = exploded.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    n = points.count()
+    shards = 1 if n <= shard_size else math.ceil(2 * n / shard_size)
+    points = assign_shards(points.select("id", F.col("vec").cast("array<float>").alias("vec"), "labels"), shards, 2, seed)
+    points = _bounded(points, shard_size) if shards > 1 else points
+    exploded = points.select("shard", "id", "vec", F.explode("labels").alias("label"))
 
     def make(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("id")
         ids = table.column("id").to_numpy()
         adjacency, start = kernels.build(_ready(_matrix(table.column("vec")), metric), degree, width, alpha, metric, seed)
         src, k = np.nonzero(adjacency >= 0)
-        n = len(src)
-        return pa.table([pa.array(np.append(ids[src], ids[start])), pa.array(np.append(ids[adjacency[src, k]], -1)), pa.array([False] * n + [True])], names=["src", "dst", "start"])
+        n, shard = len(src), table.column("shard")[0].as_py()
+        return pa.table([pa.array([shard] * (n + 1), pa.int32()), pa.array(np.append(ids[src], ids[start])), pa.array(np.append(ids[adjacency[src, k]], -1)), pa.array([False] * n + [True])], names=["shard", "src", "dst", "start"])
 
-    links = exploded.groupBy("label", "part").applyInArrow(make, "src bigint, dst bigint, start boolean").distinct()
-    starts = links.where("start").select(F.col("src").alias("id")).distinct()
-    near = points.select(F.col("id").alias("dst"), F.col("vec").cast("array<float>").alias("nvec"))
-    full = links.where("not start").select("src", "dst").join(near, "dst").join(points.select(F.col("id").alias("src"), F.col("vec").cast("array<float>").alias("vec")), "src")
+    links = exploded.groupBy("shard", "label").applyInArrow(make, "shard int, src bigint, dst bigint, start boolean").distinct()
+    starts = links.where("start").select("shard", F.col("src").alias("id")).distinct()
+    near = points.select("shard", F.col("id").alias("dst"), F.col("vec").alias("nvec"))
+    full = links.where("not start").select("shard", "src", "dst").join(near, ["shard", "dst"]).join(points.select("shard", F.col("id").alias("src"), "vec"), ["shard", "src"])
 
     def cut(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("dst")
@@ -128,11 +166,11 @@ def build_stitched(points: DataFrame, degree: int = 64, width: int = 100, alpha:
         keep = np.arange(len(dst))
         if len(dst) > most:
             keep = kernels.robust_prune(keep, kernels.pairwise(metric, x[-1:], x[:-1])[0], x, most, alpha, metric=metric)
-        return pa.table([table.column("src")[:1], pa.array([dst[keep].tolist()], pa.list_(pa.int64()))], names=["id", "nbrs"])
+        return pa.table([table.column("shard")[:1], table.column("src")[:1], pa.array([dst[keep].tolist()], pa.list_(pa.int64()))], names=["shard", "id", "nbrs"])
 
-    pruned = full.groupBy("src").applyInArrow(cut, "id bigint, nbrs array<bigint>")
-    x = points.select("id", F.col("vec").cast("array<float>").alias("vec"), F.col("labels").cast("array<bigint>").alias("labels")).join(pruned, "id", "left").join(starts.withColumn("start", F.lit(True)), "id", "left")
-    return x.select(F.lit(0).alias("shard"), "id", "vec", F.coalesce("nbrs", F.expr("cast(array() as array<bigint>)")).alias("nbrs"), "labels", F.coalesce("start", F.lit(False)).alias("start"))
+    pruned = full.groupBy("shard", "src").applyInArrow(cut, "shard int, id bigint, nbrs array<bigint>")
+    x = points.select("shard", "id", "vec", F.col("labels").cast("array<bigint>").alias("labels")).join(pruned, ["shard", "id"], "left").join(starts.withColumn("start", F.lit(True)), ["shard", "id"], "left")
+    return x.select("shard", "id", "vec", F.coalesce("nbrs", F.expr("cast(array() as array<bigint>)")).alias("nbrs"), "labels", F.coalesce("start", F.lit(False)).alias("start"))
 
 
 def merge_shards(index: DataFrame, degree: int) -> DataFrame:

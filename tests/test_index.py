@@ -35,7 +35,7 @@ def test_one_shard(data, metric):
 def test_shards(data):
     base, queries = data
     index = vamana.build(base, 16, 32, shard_size=1000).cache()
-    assert index.select("shard").distinct().count() == 3 and index.select("id").distinct().count() == 1500
+    assert index.select("shard").distinct().count() >= 3 and index.groupBy("shard").count().agg(F.max("count")).first()[0] <= 1000 and index.select("id").distinct().count() == 1500
     assert recall(base, queries, vamana.search(index, queries.drop("label"), 5, 32)) >= 95
     merged = vamana.merge_shards(index, 16)
     assert merged.groupBy("src").count().agg(F.max("count")).first()[0] <= 16
@@ -51,6 +51,55 @@ def test_labels_and_stitched(data):
     assert metrics.recall_at_k(truth, found.select("query_id", "rank", "id", "distance"), 5).first().recall >= 90
 
 
+def test_stitched_shards(data):
+    base, queries = data
+    index = vamana.build_stitched(base, 12, 32, stitched_degree=16, shard_size=900).cache()
+    assert index.select("shard").distinct().count() > 1 and index.groupBy("shard").count().agg(F.max("count")).first()[0] <= 900
+    truth = knn.exact_with_label(base, queries, 10)
+    assert metrics.recall_at_k(truth, vamana.search(index, queries, 5, 40), 5).first().recall >= 90
+
+
+def test_filtered_build(data):
+    base, queries = data
+    index = vamana.build(base, 16, 32, filtered=True).cache()
+    assert index.agg(F.max(F.size("nbrs"))).first()[0] <= 16
+    found = vamana.search(index, queries, 5, 40, universal=99)
+    assert found.join(base.select("id", "labels"), "id").join(queries.select("query_id", "label"), "query_id").where("not array_contains(labels, label) and not array_contains(labels, 99l)").count() == 0
+    assert metrics.recall_at_k(knn.exact_with_label(base, queries, 10, universal=99), found, 5).first().recall >= 95
+
+
+def test_build_by_codes_and_within_a_budget(data):
+    base, queries = data
+    index = vamana.build(base, 16, 32, book=pq.train(base, 5, 64))
+    assert recall(base, queries, vamana.search(index, queries.drop("label"), 5, 32)) >= 90
+    assert vamana.fitting_shards(1500, 10, 16, 1 << 20) == 1 and vamana.fitting_shards(1500, 10, 16, 150_000) % 2 == 1
+    with pytest.raises(ValueError):
+        vamana.fitting_shards(10, 10, 16, 100)
+    small = vamana.build_within(base, 150_000, 16, 32).cache()
+    shards = vamana.fitting_shards(1500, 10, 16, 150_000)
+    assert small.groupBy("shard").count().agg(F.max("count")).first()[0] <= -(-3000 // shards)
+    assert recall(base, queries, vamana.search(small, queries.drop("label"), 5, 32)) >= 95
+
+
+def test_many_centres(spark):
+    n = knn.QUERY_BLOCK + 500
+    from gridvane.operators.graph import nearest_centres
+
+    centres = spark.range(n).select(F.col("id").alias("query_id"), F.array(F.col("id").cast("double")).alias("vec"))
+    got = nearest_centres(spark.createDataFrame([(1, [float(n - 2) + 0.1]), (2, [2.0])], "id bigint, vec array<double>"), centres, 3).orderBy("id", "rank").collect()
+    assert [(r.id, r.centre) for r in got] == [(1, n - 2), (1, n - 1), (1, n - 3), (2, 2), (2, 1), (2, 3)]
+    with pytest.raises(ValueError):
+        pq.fixed_codebook(centres.select(F.col("query_id").alias("id"), "vec").where("id < 300"), 1)
+
+
+@pytest.mark.parametrize("name", ["vamana_search", "vamana_sharded_search", "pq_beam_search", "stitched_search", "range_search_graph", "filtered_graph_search"])
+def test_registered_searches_at_sf01(spark, name):
+    from gridvane import catalogue
+
+    least = 90 if name == "pq_beam_search" else 95  # codes of 16 bytes rank what is measured in full afterwards
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.1").first().recall >= least
+
+
 def test_quantised_and_range(data):
     base, queries = data
     index = vamana.build(base, 16, 32).cache()

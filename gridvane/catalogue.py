@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import vectors as fv
 from .operators import graph, knn, labels, maintenance, metrics, pq, profile
 from .plans import layouts
+from .plans.tables import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,19 +54,16 @@ def labelled(spark, sf_dir) -> DataFrame:
     return scaled(spark, sf_dir).withColumn("labels", F.when(F.col("id") % 50 == 0, F.concat(own, F.array(F.lit(99).cast("bigint")))).otherwise(own))
 
 
-def asked(base: DataFrame, n: int = 20, *more) -> DataFrame:
-    return base.where(F.col("id") < n).select(F.col("id").alias("query_id"), "vec", *more)
-
-
-def hundredths(base: DataFrame, *more) -> DataFrame:
-    """The queries of searches without SQL: every row whose id is divisible by 100."""
+def asked(base: DataFrame, *more) -> DataFrame:
+    """The queries of searches: every row whose id is divisible by 100."""
     return base.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vec", *more)
 
 
 def edges(spark, sf_dir) -> DataFrame:
+    """The exact graph, written once for all that a query derives from it."""
     v = embeddings(spark, sf_dir)
     near = knn.exact(v, v.select(F.col("id").alias("query_id"), "vec"), 9).where("query_id <> id")
-    return knn.ranked(near.select("query_id", "id", "distance"), 8).select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+    return written(knn.ranked(near.select("query_id", "id", "distance"), 8).select(F.col("query_id").alias("src"), F.col("id").alias("dst")))
 
 
 def edge_profile(spark, sf_dir) -> DataFrame:
@@ -83,8 +81,8 @@ def trace(spark, sf_dir) -> DataFrame:
 
 
 def reads(spark, sf_dir) -> DataFrame:
-    """Sectors that a query over the graph reads: nodes of its hops in order, five to a sector."""
-    return edges(spark, sf_dir).where("src < 40").select((F.col("src") % 8).alias("query_id"), (F.col("src") * 1000 + F.col("dst")).alias("seq"), F.floor(F.col("dst") / CAP).alias("sector"))
+    """Sectors that queries over the graph read, eight queries for every 40 nodes: nodes in order, five to a sector."""
+    return edges(spark, sf_dir).select((F.floor(F.col("src") / 40) * 8 + F.col("src") % 8).alias("query_id"), (F.col("src") * (1 << 31) + F.col("dst")).alias("seq"), F.floor(F.col("dst") / CAP).alias("sector"))
 
 
 # ---------------------------------------------------------------- the same in SQL
@@ -105,7 +103,7 @@ _DISTANCE = {"l2": _L2, "ip": f"-{_DOT}", "cosine": f"1 - {_DOT} / (sqrt({_BB})
 
 
 def _knn(source: str, metric: str = "l2", k: int = 10, where: str = "true", more: str = "") -> str:
-    return f"""WITH {source}, d AS (SELECT q.id AS query_id, b.id AS id, {_DISTANCE[metric]} AS distance FROM v q, v b WHERE q.id < 20 AND {where}),
+    return f"""WITH {source}, d AS (SELECT q.id AS query_id, b.id AS id, {_DISTANCE[metric]} AS distance FROM v q, v b WHERE q.id % 100 = 0 AND {where}),
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM d)
         SELECT query_id, rank, id, distance{more} FROM r WHERE rank <= {k}"""
 
@@ -126,7 +124,7 @@ def _threshold(share: float) -> str:
 
 _TRACE = f"""{_E}, t AS (SELECT src % 10 AS query_id, dst % 4 AS hop, dst AS node_id, src AS parent_id, 'visit' AS event FROM e
     UNION ALL SELECT src % 10, dst % 4, dst, src, 'expand' FROM e WHERE (src + dst) % 3 = 0)"""
-_READS = f"{_E}, reads AS (SELECT src % 8 AS query_id, src * 1000 + dst AS seq, floor(dst / {CAP})::BIGINT AS sector FROM e WHERE src < 40)"
+_READS = f"{_E}, reads AS (SELECT src // 40 * 8 + src % 8 AS query_id, src * 2147483648 + dst AS seq, floor(dst / {CAP})::BIGINT AS sector FROM e)"
 _PAGE = f"CASE WHEN rn <= {CAP - 1} THEN 0 ELSE 1 + floor((rn - {CAP}) / {CAP}) END::BIGINT"
 
 
@@ -164,13 +162,13 @@ def knn_filtered_universal(spark, sf_dir):
 @query(_knn(_S, "l2", where="list_contains(b.labels, q.label::BIGINT)"))
 def knn_per_query_label(spark, sf_dir):
     base = labelled(spark, sf_dir)
-    return knn.exact_with_label(base, asked(base, 20, F.col("label").cast("bigint").alias("label")), 10)
+    return knn.exact_with_label(base, asked(base, F.col("label").cast("bigint").alias("label")), 10)
 
 
 @query(_knn(_S, "l2", where="(list_contains(b.labels, q.label::BIGINT) OR list_contains(b.labels, 99))"))
 def knn_per_query_label_universal(spark, sf_dir):
     base = labelled(spark, sf_dir)
-    return knn.exact_with_label(base, asked(base, 20, F.col("label").cast("bigint").alias("label")), 10, universal=99)
+    return knn.exact_with_label(base, asked(base, F.col("label").cast("bigint").alias("label")), 10, universal=99)
 
 
 @query(_knn(_S, "l2", where="b.id % 11 <> 0"))
@@ -179,7 +177,7 @@ def knn_active_tags(spark, sf_dir):
     return knn.exact(knn.without_tombstones(base, base.where("id % 11 = 0")), asked(base), 10)
 
 
-@query(f"""WITH {_S}, d AS (SELECT q.id AS query_id, b.id AS id, b.id % 3 AS partition, {_L2} AS distance FROM v q, v b WHERE q.id < 20),
+@query(f"""WITH {_S}, d AS (SELECT q.id AS query_id, b.id AS id, b.id % 3 AS partition, {_L2} AS distance FROM v q, v b WHERE q.id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id, partition ORDER BY distance, id) AS rn FROM d),
     m AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, partition, rn) AS rank, id, distance, partition FROM r WHERE rn <= 10)
     SELECT * FROM m WHERE rank <= 10""")
@@ -189,7 +187,7 @@ def knn_multi_index_merge(spark, sf_dir):
 
 
 @query(f"""WITH {_S}, c AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(x::DOUBLE * 100)) AS vec FROM embeddings),
-    d AS (SELECT q.id AS query_id, b.id AS id, {_L2} AS distance FROM c q, c b WHERE q.id < 20),
+    d AS (SELECT q.id AS query_id, b.id AS id, {_L2} AS distance FROM c q, c b WHERE q.id % 100 = 0),
     f AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rn FROM d) WHERE rn <= 30),
     g AS (SELECT f.query_id, f.id, {_L2} AS distance FROM f JOIN v b ON b.id = f.id JOIN v q ON q.id = f.query_id),
     r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM g)
@@ -200,7 +198,7 @@ def knn_rerank_3k(spark, sf_dir):
     return knn.rerank(first, base, asked(base), 10, fv.l2_squared(F.col("vec"), F.col("query_vec")))
 
 
-@query(f"WITH {_S}, d AS (SELECT q.id AS query_id, b.id AS id, {_L2} AS distance FROM v q, v b WHERE q.id < 20) SELECT * FROM d WHERE distance <= 6.0")
+@query(f"WITH {_S}, d AS (SELECT q.id AS query_id, b.id AS id, {_L2} AS distance FROM v q, v b WHERE q.id % 100 = 0) SELECT * FROM d WHERE distance <= 6.0")
 def range_search_exact(spark, sf_dir):
     base = scaled(spark, sf_dir)
     return knn.in_range(base, asked(base), 6.0)
@@ -212,7 +210,7 @@ def range_truth_cut(spark, sf_dir):
     return knn.cut_truth(knn.exact(base, asked(base), 30), 6.0)
 
 
-@query(f"""WITH {_S}, d AS (SELECT q.id AS query_id, b.id AS id, {_L2} AS distance FROM v q, v b WHERE q.id < 20),
+@query(f"""WITH {_S}, d AS (SELECT q.id AS query_id, b.id AS id, {_L2} AS distance FROM v q, v b WHERE q.id % 100 = 0),
     r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM d)
     SELECT query_id, rank, CASE WHEN id % 4 = 1 THEN id - 1 ELSE id END AS id, distance FROM r WHERE rank <= 10""")
 def knn_dummy_to_real(spark, sf_dir):
@@ -270,7 +268,7 @@ def medoid(spark, sf_dir):
     r AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY distance, centre) AS rank, centre, distance FROM d) SELECT * FROM r WHERE rank <= 2""")
 def assign_top2_centers(spark, sf_dir):
     base = scaled(spark, sf_dir)
-    return graph.nearest_centres(base, asked(base, 4), 2)
+    return graph.nearest_centres(base, base.where("id < 4").select(F.col("id").alias("query_id"), "vec"), 2)
 
 
 def _truth_and_results(spark, sf_dir):
@@ -278,10 +276,10 @@ def _truth_and_results(spark, sf_dir):
     return knn.exact(base, asked(base), 30), knn.exact(coarse, asked(coarse), 20)
 
 
-_TR = f"""{_V}, td AS (SELECT q.id AS query_id, b.id AS id, {_L2} AS distance FROM v q, v b WHERE q.id < 20),
+_TR = f"""{_V}, td AS (SELECT q.id AS query_id, b.id AS id, {_L2} AS distance FROM v q, v b WHERE q.id % 100 = 0),
     truth AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM td) WHERE rank <= 30),
     c AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(x::DOUBLE * 100)) AS vec FROM embeddings),
-    rd AS (SELECT q.id AS query_id, b.id AS id, {_L2} AS distance FROM c q, c b WHERE q.id < 20),
+    rd AS (SELECT q.id AS query_id, b.id AS id, {_L2} AS distance FROM c q, c b WHERE q.id % 100 = 0),
     res AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM rd) WHERE rank <= 20)"""
 
 
@@ -301,14 +299,14 @@ def recall_active_tags(spark, sf_dir):
 
 
 @query(f"""WITH {_TR}, t AS (SELECT query_id, id FROM td WHERE distance <= 1.2), s AS (SELECT query_id, count(*) AS n, count(res.id) AS f FROM t LEFT JOIN res USING (query_id, id) GROUP BY query_id)
-    SELECT avg(CASE WHEN n IS NULL THEN 100.0::DOUBLE ELSE f * 100.0::DOUBLE / n END) AS recall, count(*) AS n_queries FROM (SELECT id AS query_id FROM v WHERE id < 20) LEFT JOIN s USING (query_id)""")
+    SELECT avg(CASE WHEN n IS NULL THEN 100.0::DOUBLE ELSE f * 100.0::DOUBLE / n END) AS recall, count(*) AS n_queries FROM (SELECT id AS query_id FROM v WHERE id % 100 = 0) LEFT JOIN s USING (query_id)""")
 def range_recall(spark, sf_dir):
     base = embeddings(spark, sf_dir)
     _, results = _truth_and_results(spark, sf_dir)
     return metrics.range_recall(asked(base), knn.in_range(base, asked(base), 1.2), results)
 
 
-@query(f"""WITH {_S}, d AS (SELECT q.id AS query_id, b.id AS id, {_L2} AS distance FROM v q, v b WHERE q.id < 20), s AS (SELECT query_id, count(*) AS n FROM d WHERE distance <= 40.0 GROUP BY query_id),
+@query(f"""WITH {_S}, d AS (SELECT q.id AS query_id, b.id AS id, {_L2} AS distance FROM v q, v b WHERE q.id % 100 = 0), s AS (SELECT query_id, count(*) AS n FROM d WHERE distance <= 40.0 GROUP BY query_id),
     r AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS at_, count(*) OVER () AS c FROM s) SELECT p.share, r.n AS value FROM r, (SELECT unnest([0.5, 0.9, 0.99, 0.999])::DOUBLE AS share) p WHERE at_ = least(floor(p.share * c), c - 1)""")
 def query_stats_percentiles(spark, sf_dir):
     base = scaled(spark, sf_dir)
@@ -382,18 +380,17 @@ def degree_stats(spark, sf_dir):
     return graph.degree_stats(graph.undirected(edges(spark, sf_dir)))
 
 
-@query(f"""WITH RECURSIVE {_E}, r(id, level) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.id WHERE r.level < 8)
+@query(f"""WITH RECURSIVE {_E}, r(id, level) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.id WHERE r.level < 32)
     SELECT level, count(*) AS n_nodes FROM (SELECT id, min(level) AS level FROM r GROUP BY id) GROUP BY level""")
 def bfs_levels(spark, sf_dir):
-    from .plans.tables import written
 
-    return graph.bfs_levels(written(edges(spark, sf_dir)), embeddings(spark, sf_dir).where("id = 0"), 32)
+    return graph.bfs_levels(edges(spark, sf_dir), embeddings(spark, sf_dir).where("id = 0"), 32)
 
 
-@query(f"""WITH {_E}, one AS (SELECT src AS start_id, dst AS id FROM e WHERE src < 5), two AS (SELECT start_id, e.dst AS id FROM one JOIN e ON e.src = one.id)
+@query(f"""WITH {_E}, one AS (SELECT src AS start_id, dst AS id FROM e WHERE src % 100 = 0), two AS (SELECT start_id, e.dst AS id FROM one JOIN e ON e.src = one.id)
     SELECT start_id, id FROM (SELECT * FROM one UNION SELECT * FROM two) WHERE start_id <> id""")
 def khop_neighborhood(spark, sf_dir):
-    return graph.khop(edges(spark, sf_dir), embeddings(spark, sf_dir).where("id < 5"), 2)
+    return graph.khop(edges(spark, sf_dir), embeddings(spark, sf_dir).where("id % 100 = 0"), 2)
 
 
 @query(f"""WITH {_E}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY (dst * 2654435761 + src * 40503) % 1000003, dst) AS n FROM b)
@@ -624,9 +621,10 @@ def sector_jumps(spark, sf_dir):
     return layouts.sector_jumps(reads(spark, sf_dir))
 
 
-@query(f"WITH {_READS} SELECT floor(sector * 32 / 400.0)::BIGINT AS bucket, count(*) AS n_reads FROM reads GROUP BY 1")
+@query(f"WITH {_READS} SELECT floor(sector * 32.0::DOUBLE / (SELECT max(id) // {CAP} + 1 FROM v))::BIGINT AS bucket, count(*) AS n_reads FROM reads GROUP BY 1")
 def sector_histogram(spark, sf_dir):
-    return layouts.sector_histogram(reads(spark, sf_dir), 400)
+    last = embeddings(spark, sf_dir).agg(F.max("id")).first()[0] or 0
+    return layouts.sector_histogram(reads(spark, sf_dir), last // CAP + 1)
 
 
 def _requests(spark, sf_dir):
@@ -661,7 +659,7 @@ def pq_encode(spark, sf_dir):
     return pq.encode(base, pq.fixed_codebook(base.where("id < 16"), 8)).select("id", F.array_join(F.col("code").cast("array<string>"), ",").alias("code"))
 
 
-@query(f"""WITH {_PQ}, s AS (SELECT t.id AS query_id, code.id AS id, list_reduce(list(t.d ORDER BY t.c), lambda s, x: s + x) AS distance FROM cd t JOIN code ON code.c = t.c AND code.centre = t.centre WHERE t.id < 20 GROUP BY t.id, code.id),
+@query(f"""WITH {_PQ}, s AS (SELECT t.id AS query_id, code.id AS id, list_reduce(list(t.d ORDER BY t.c), lambda s, x: s + x) AS distance FROM cd t JOIN code ON code.c = t.c AND code.centre = t.centre WHERE t.id % 100 = 0 GROUP BY t.id, code.id),
     r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM s) SELECT * FROM r WHERE rank <= 10""")
 def pq_adc_topk(spark, sf_dir):
     base = embeddings(spark, sf_dir)
@@ -728,39 +726,35 @@ def _recall(base, queries, found, k=10, metric="l2"):
 @query(None)
 def vamana_search(spark, sf_dir):
     from .operators import vamana
-    from .plans.tables import written
 
     base = scaled(spark, sf_dir)
-    return _recall(base, hundredths(base), vamana.search(written(vamana.build(base, 32, 50)), hundredths(base), 10, 50))
+    return _recall(base, asked(base), vamana.search(written(vamana.build(base, 32, 50)), asked(base), 10, 50))
 
 
 @query(None)
 def vamana_sharded_search(spark, sf_dir):
     from .operators import vamana
-    from .plans.tables import written
 
     base = embeddings(spark, sf_dir)
-    return _recall(base, hundredths(base), vamana.search(written(vamana.build(base, 32, 50, shard_size=400)), hundredths(base), 10, 50))
+    return _recall(base, asked(base), vamana.search(written(vamana.build(base, 32, 50, shard_size=400)), asked(base), 10, 50))
 
 
 @query(None)
 def pq_beam_search(spark, sf_dir):
     from .operators import vamana
-    from .plans.tables import written
 
     base = embeddings(spark, sf_dir)
     index = written(vamana.build(base, 32, 50))
-    return _recall(base, hundredths(base), vamana.search(index, hundredths(base), 10, 60, book=pq.train(base, 16, 64), beam=4))
+    return _recall(base, asked(base), vamana.search(index, asked(base), 10, 60, book=pq.train(base, 16, 64), beam=4))
 
 
 @query(None)
 def stitched_search(spark, sf_dir):
     from .operators import vamana
-    from .plans.tables import written
 
     base = labelled(spark, sf_dir)
     index = written(vamana.build_stitched(base, 16, 32, stitched_degree=24))
-    queries = hundredths(base, F.col("label").cast("bigint").alias("label"))
+    queries = asked(base, F.col("label").cast("bigint").alias("label"))
     found = vamana.search(index, queries, 10, 50)
     return metrics.recall_at_k(knn.exact_with_label(base, queries, 20), found, 10)
 
@@ -768,10 +762,9 @@ def stitched_search(spark, sf_dir):
 @query(None)
 def filtered_graph_search(spark, sf_dir):
     from .operators import vamana
-    from .plans.tables import written
 
     base = labelled(spark, sf_dir)
-    queries = hundredths(base, F.col("label").cast("bigint").alias("label"))
+    queries = asked(base, F.col("label").cast("bigint").alias("label"))
     found = vamana.search(written(vamana.build(base, 32, 50, filtered=True)), queries, 10, 50, universal=99)
     return metrics.recall_at_k(knn.exact_with_label(base, queries, 20, universal=99), found, 10)
 
@@ -779,11 +772,10 @@ def filtered_graph_search(spark, sf_dir):
 @query(None)
 def range_search_graph(spark, sf_dir):
     from .operators import vamana
-    from .plans.tables import written
 
     base = embeddings(spark, sf_dir)
-    found = vamana.search(written(vamana.build(base, 32, 50)), hundredths(base), 1, 16, radius=1.2)
-    return metrics.range_recall(hundredths(base), knn.in_range(base, hundredths(base), 1.2), found)
+    found = vamana.search(written(vamana.build(base, 32, 50)), asked(base), 1, 16, radius=1.2)
+    return metrics.range_recall(asked(base), knn.in_range(base, asked(base), 1.2), found)
 
 
 @query(None)
@@ -797,7 +789,6 @@ def kmeans_clusters(spark, sf_dir):
 @query(None)
 def consolidated_index(spark, sf_dir):
     from .operators import vamana
-    from .plans.tables import written
 
     base = embeddings(spark, sf_dir)
     left = vamana.consolidate(written(vamana.build(base, 32, 50)), base.where("id % 11 = 0").select("id"), 32)
@@ -823,7 +814,5 @@ for _name in ("node", "node_top4first", "edge", "edge_dir", "edge_star", "edge_u
 def lfu_pool(spark, sf_dir):
     from .streaming import pool
 
-    # as reads(), of all edges: every 40 nodes are eight more queries, so pools keep their length
-    e = edges(spark, sf_dir)
-    requests = e.select((F.floor(F.col("src") / 40) * 8 + F.col("src") % 8).alias("pool"), (F.col("src") * (1 << 31) + F.col("dst")).alias("seq"), F.floor(F.col("dst") / CAP).alias("item"))
+    requests = reads(spark, sf_dir).toDF("pool", "seq", "item")
     return pool.replay(requests, 16)

@@ -25,12 +25,12 @@ def measured(docs: DataFrame, text_col: str) -> tuple[int, int]:
     return found[0], found[1]
 
 
-def chunked(docs: DataFrame, size: tuple[int, int], id_col: str, text_col: str, *more: str) -> DataFrame:
-    """(chunk, uid, id, text, more...): each row in one of so many chunks that each holds about CHUNK bytes and ROWS rows at most.
+def chunked(docs: DataFrame, size: tuple[int, int], id_col: str, text_col: str, *more: str, each: int | None = None) -> DataFrame:
+    """(chunk, uid, id, text, more...): each row in one of so many chunks that each holds about `each` bytes (CHUNK) and ROWS rows at most.
 
     size: measured(docs). A text is never cut, so a longer one makes its chunk that much larger.
     """
-    n = max(1, -(-size[0] // ROWS), -(-size[1] // CHUNK))
+    n = max(1, -(-size[0] // ROWS), -(-size[1] // (each or CHUNK)))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), *more).withColumn("uid", F.monotonically_increasing_id())
     return rows.select(F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int").alias("chunk"), "uid", "id", "text", *more)
 

@@ -1,27 +1,36 @@
 """LM scoring by online logistic context mixing.
 
 A text is its lower-cased words with one space between them and an end mark. Every byte is eight
-binary decisions. Five predictors look their counts of zeros and ones up in hashed tables: two, three
-and four bytes back, the word so far, and the word so far with the last byte above 0x7F that the text
-had (what tells languages apart). Each prediction is stretched to the logistic domain and weighted
-by a weight that gates choose, from how often this context and that of the word so far were seen and
-whether they were ever mixed. The sum is squashed to a probability, which an adaptive map of (place
-within the byte, probability) refines by what was seen after such a prediction. The bits of a text
-add up to its log probability.
-
-Training is one pass over all training texts. A task walks its texts in slices that double in size:
-it predicts a slice from the counts so far, corrects the weights and the map by the errors, then adds
-the slice to the counts. Tasks' counts and maps are summed and their weights averaged by the bits
-they saw; what tasks send grows with the corpus, the model has a fixed size.
-
-Equal decisions in a slice of texts (same contexts, same byte) are worked out once.
-
-The baseline scores tokens by their smoothed counts over all training texts. Distinct words of a
-chunk of texts travel to buckets of the hash space, which answer with counts (exchange.py).
+binary decisions. Four predictors give counts of zeros and ones for a decision: after the last one,
+two and three bytes of the word, and after the whole word so far. The first three contexts also hold
+the last byte above 0x7F that the text had before the word (what tells languages apart), the second
+one what ended the word before, if that is neither a letter or digit nor a full stop or comma. Each prediction is stretched to the
+logistic domain and weighted by a weight that gates choose, from how often this context and that of
+the word so far were seen and whether they were ever mixed. The sum is squashed to a probability,
+which an adaptive map of (place within the byte, probability) refines by what was seen after such a
+prediction. The bits of a text add up to its log probability.
+
+Counts are exact and grow with the corpus. A context is a hash of 56 bits and has counts of the bytes
+that followed it; the counts of a decision are sums over the bytes that agree so far. Chunks of texts
+send their distinct (context, byte) pairs to buckets of the hash space, which answer with all bytes
+that followed each context in the training texts (exchange.py). No task holds a table of the corpus.
+
+Weights and the map are learned online in each chunk, by mini-batches over all its training decisions:
+each is predicted from the chunk's counts without the occurrence itself, and the errors correct the
+weights batch after batch. Chunks' maps are summed and their weights averaged by how often each was
+used, in a tree of sums; these have a fixed size. Scoring applies them to the counts of the whole
+corpus and does not adapt any further.
+
+Equal decisions in a chunk (same contexts, same byte) are worked out once.
+
+The baseline scores tokens by their smoothed counts over all training texts, which are the counts of
+what ends a word after the whole word.
 
 Nulls: a null text is empty and has one token, the end. Rows with a null id are learned from.
 Without training texts every bit has probability one half and every token 1 / 1. Repeated rows are
-learned from and scored each; extra columns are dropped.
+learned from and scored each; ties do not occur. An empty table gives no rows. Extra columns are
+dropped, whatever their names. A chunk holds a bounded number of rows and bytes of text; a text stays
+whole, and a task takes some 100 times the bytes of its longest text.
 """
 
 from __future__ import annotations
@@ -35,45 +44,26 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_WS, flat, lowered, mixed, prefix_sums, slices, span_hash, word_hashes, words
+from .common import flat, lowered, mixed, prefix_sums, span_hash, words
 from .exchange import binary_rows, bucket_bits, chunked, measured, sliced_rows
 
-END = 10
-#: log2 of the slots of each predictor's table.
-BITS = (17, 19, 21, 21, 21)
-#: The predictor whose gate chooses a set of weights.
-LEADS = 3
-SLICE, FIRST_SLICE = 3 << 20, 1 << 16
+END, SPACE = 10, 32
+#: Predictors, and the one whose gate chooses a set of weights: that of the word so far.
+PREDICTORS, LEADS = 4, 3
 GATES, SEEN = 26, 13
 KNOTS, REACH = 33, 12.0
+#: Decisions between two corrections of the weights, in bytes.
+BATCH = 1 << 10
+#: Bytes of text in a chunk, and rows that one step of the tree of sums adds.
+CHUNK = 7 << 20
+FAN_IN = 256
 _K = np.random.default_rng(909).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
-_END_WORD = np.uint64(0xE17D)
-_START = np.concatenate([[0], np.cumsum([2 << b for b in BITS])])  # where each table begins; slots hold two counts
-SEGMENT = 1 << 16
-_PAD = 4
-
-
-def framed(text: Column) -> Column:
-    """A text between _PAD line feeds, what precedes its first byte, and one that becomes its end mark."""
-    return F.concat(F.lit(chr(END) * _PAD), F.coalesce(text.cast("string"), F.lit("")), F.lit(chr(END)))
-
-
-def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of framed texts: each is _PAD end marks, its words with spaces between, an end mark."""
-    blank = IS_WS[data]
-    out = lowered(data)
-    out[blank] = 32
-    keep = ~blank
-    keep[1:] |= ~blank[:-1]
-    for k in range(_PAD):
-        out[offsets[:-1] + k], keep[offsets[:-1] + k] = END, True
-    out[offsets[1:] - 1], keep[offsets[1:] - 1] = END, True
-    out, off = out[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
-    spare = np.zeros(len(out), bool)  # a space before an end mark
-    spare[:-1] = (out[:-1] == 32) & (out[1:] == END)
-    if spare.any():
-        out, off = out[~spare], off - np.concatenate([[0], np.cumsum(spare)])[off]
-    return out, off
+_LOW = np.uint64(0xFF)
+#: Leading bits that two bytes share, by their exclusive or.
+_SHARED = np.array([8 - int(i).bit_length() for i in range(256)], np.int64)
+_PLACE = np.arange(8)
+#: What ends a word, if it is no letter, digit, full stop or comma.
+_MARK = np.array([0 if i > 127 or chr(i).isalnum() or chr(i) in ".," else i for i in range(256)], np.uint8)
 
 
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,62 +86,117 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, of
 
 
+def _context(kind: int, value: np.ndarray) -> np.ndarray:
+    """56 bits in the upper bytes, the lowest two of them the predictor; the last byte is for what follows."""
+    return (mixed(value + _K[kind]) & ~np.uint64(0x3FF)) | np.uint64(kind << 8)
+
+
+_NO_WORD = _context(LEADS, span_hash(np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)))[0]
+
+
 @dataclass
 class Events:
-    """Distinct (contexts, byte) decisions of some framed texts."""
+    """Distinct (word so far, last high byte, next byte) decisions of some texts."""
 
-    base: list[np.ndarray]  # per predictor, the hash of each decision's context
+    pairs: list[np.ndarray]  # per predictor, each decision's context and byte
     byte: np.ndarray
-    count: np.ndarray
-    of: np.ndarray  # of each byte of the texts in turn, its decision
-    offsets: np.ndarray  # of the texts in `of`
+    step: np.ndarray  # of each byte of the distinct tokens in turn, its decision
+    begin: np.ndarray  # where each distinct token begins in `step`
+    token: np.ndarray  # of each word of the texts in turn, its distinct token
+    at: np.ndarray  # where each text's words begin in `token`
+    size: np.ndarray  # bytes of each text that are scored
 
     @classmethod
     def of_texts(cls, data: np.ndarray, offsets: np.ndarray) -> Events:
-        s, off = stream(data, offsets)
-        place = np.arange(len(s))
-        real = np.ones(len(s), bool)
-        for k in range(_PAD):
-            real[off[:-1] + k] = False
-        wide = s.astype(np.uint32)
-        four = np.zeros(len(s), np.uint32)
-        for k in range(1, 5):
-            four[k:] |= wide[:-k] << np.uint32(8 * (k - 1))
-        fresh, high = np.zeros(len(s), bool), np.zeros(len(s), bool)
-        fresh[1:] = (s[:-1] == 32) | (s[:-1] == END)
-        high[1:] = s[:-1] > 127
-        word = np.maximum.accumulate(np.where(fresh, place, 0))
-        high[off[:-1]] = True  # a text starts with what precedes it there: an end mark or nothing
-        last = s[np.maximum(0, np.maximum.accumulate(np.where(high, place, 0)) - 1)].astype(np.uint64)
-        last[last < 128] = 0
-        so_far = span_hash(prefix_sums(s), word, place)[real]
-        four, byte, last = four[real].astype(np.uint64), s[real], last[real]
-        key = mixed((four << np.uint64(8) | byte) * _K[10] + so_far + last * _K[13])
-        first, of = _distinct(key)
-        count = np.bincount(of)
-        four, so_far, last = four[first], so_far[first], last[first]
-        low = lambda k: four & np.uint64((1 << 8 * k) - 1)
-        contexts = [low(2) | last << np.uint64(32), low(3) | last << np.uint64(32), four, so_far, so_far + last * _K[14]]
-        return cls([mixed(c * _K[i] + _K[i + 5]) for i, c in enumerate(contexts)], byte[first].astype(np.int64), count, of, off - _PAD * np.arange(len(off)))
-
-    def bits(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """For each of the eight decisions: (node within the byte, bit, slot in each table)."""
-        for j in range(8):
-            node = (1 << j) | (self.byte >> (8 - j))
-            step = node.astype(np.uint64) * _K[11]
-            yield node, (self.byte >> (7 - j)) & 1, [(((b + step) * _K[12]) >> np.uint64(64 - w)).view(np.int64) for b, w in zip(self.base, BITS)]
-
-
-def _rated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stretched prediction, gate) from counts: zeros in the lower half of each value, ones in the upper."""
-    zeros, ones = (counts & np.uint64(0xFFFFFFFF)).astype(np.float32), (counts >> np.uint64(32)).astype(np.float32)
-    gate = ((zeros + ones).view(np.int32) >> 23) - 126  # the binary digits of a count
+        low = lowered(data)
+        starts, ends, at = words(low, offsets)
+        none = np.flatnonzero(np.diff(at) == 0)  # a text without words has an empty one
+        starts, ends = np.insert(starts, at[none], offsets[none]), np.insert(ends, at[none], offsets[none])
+        per = np.maximum(1, np.diff(at))
+        at = np.concatenate([[0], np.cumsum(per)])
+        final = np.zeros(len(starts), bool)
+        final[at[1:] - 1] = True
+        high = np.concatenate([[-1], np.maximum.accumulate(np.where(low > 127, np.arange(len(low)), -1))])[starts]
+        low = np.append(low, np.uint8(0))
+        high = np.where(high >= np.repeat(offsets[:-1], per), low[high], 0).astype(np.uint64)
+        first = np.zeros(len(starts), bool)
+        first[at[:-1]] = True
+        before = np.concatenate([[0], ends[:-1]])
+        high |= np.where(first, 0, _MARK[low[before - 1]]).astype(np.uint64) << np.uint64(8)
+        sums = prefix_sums(low[:-1])
+        first, token = _distinct(mixed(span_hash(sums, starts, ends) + high * _K[8]) + final * _K[9])
+        s, size, high, final = starts[first], ends[first] - starts[first] + 1, high[first], final[first]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        of = np.repeat(np.arange(len(first)), size)
+        j = np.arange(len(of)) - begin[of]
+        place = s[of] + j
+        byte = np.where(j == size[of] - 1, np.where(final, END, SPACE).astype(np.uint8)[of], low[place])
+        so_far, high = span_hash(sums, s[of], place), high[of]
+        first, step = _distinct(mixed(so_far + high * _K[8]) + byte * _K[10])
+        j, place, byte, so_far, high = (x[first] for x in (j, place, byte, so_far, high))
+        last = np.zeros(len(first), np.uint64)
+        pairs, follows = [], byte.astype(np.uint64)
+        for k in range(LEADS):
+            last |= np.where(j > k, low[place - k - 1], 0).astype(np.uint64) << np.uint64(8 * k)
+            pairs.append(_context(k, last | (high if k == 1 else high & _LOW) << np.uint64(32)) | follows)
+        pairs.append(_context(LEADS, so_far) | follows)
+        return cls(pairs, byte, step, begin, token, at, np.add.reduceat((ends - starts + 1), at[:-1]) if len(per) else per)
+
+    def entries(self, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(distinct pairs of all predictors, ascending; of each predictor, decision -> pair; counts of the pairs)"""
+        found, of, n = [], [], 0
+        for p in self.pairs:
+            first, own = _distinct(mixed(p))  # pairs of a context are alike in their upper bits, which _distinct() sorts by
+            found.append(p[first])
+            of.append(own + n)
+            n += len(first)
+        pair = np.concatenate(found)
+        order = np.argsort(pair)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        of = [rank.take(o) for o in of]
+        return pair[order], of, sum(np.bincount(o, weights=count, minlength=len(pair)) for o in of)
+
+    def counts(self, words: np.ndarray | None = None) -> np.ndarray:
+        """How often each decision occurs in the words for which `words` is set."""
+        tokens = np.bincount(self.token, weights=words, minlength=len(self.begin) - 1)
+        return np.bincount(self.step, weights=np.repeat(tokens, np.diff(self.begin)), minlength=len(self.byte))
+
+
+@dataclass
+class Children:
+    """The bytes that followed each of some contexts, and how often."""
+
+    start: np.ndarray
+    byte: np.ndarray
+    count: np.ndarray
+
+
+def rated(pair: np.ndarray, of: np.ndarray, children: Children, less: int = 0) -> np.ndarray:
+    """(pairs, 8): for each bit of a pair's byte, the stretched prediction that it comes; the lowest five bits are the gate.
+
+    of: the place of each pair's context in children; less: occurrences of the pair itself to be left out.
+    """
+    n = np.diff(children.start)[of]
+    who = np.repeat(np.arange(len(of)), n)
+    child = np.arange(len(who)) + np.repeat(children.start[:-1][of] - (np.cumsum(n) - n), n)
+    shared = _SHARED[(pair & _LOW).astype(np.uint8)[who] ^ children.byte[child]]
+    m = np.bincount(who * 9 + shared, weights=children.count[child], minlength=9 * len(of)).reshape(-1, 9)
+    other = m[:, :8].astype(np.float32)
+    same = np.cumsum(m[:, :0:-1], axis=1)[:, ::-1].astype(np.float32)
+    same = np.maximum(0, same - np.float32(less)) if less else same
+    gate = ((same + other).view(np.int32) >> 23) - 126  # the binary digits of a count
     np.clip(gate, 0, SEEN - 1, out=gate)
-    gate += np.int32(SEEN) * ((zeros > 0) & (ones > 0))
-    zeros += np.float32(0.05)
-    ones += np.float32(0.05)
-    ones /= zeros
-    return np.log(ones, out=ones), gate
+    gate += np.int32(SEEN) * ((same > 0) & (other > 0))
+    v = np.log((same + np.float32(0.05)) / (other + np.float32(0.05)))
+    return (v.view(np.uint32) & ~np.uint32(31)) | gate.astype(np.uint32)
+
+
+def _contexts(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each distinct context of ascending pairs begins, the number of each pair's context)"""
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] ^ pair[:-1]) > _LOW
+    return np.flatnonzero(new), np.cumsum(new) - 1
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -162,190 +207,190 @@ def _knot(x: np.ndarray) -> np.ndarray:
     return np.rint((np.clip(x, -np.float32(REACH), np.float32(REACH)) + np.float32(REACH)) * np.float32((KNOTS - 1) / (2 * REACH))).astype(np.int64)
 
 
+def _mixed(got: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(mixed predictions, the place of each weight that was used)"""
+    lead = (got[LEADS] & np.uint32(31)).astype(np.int64) * GATES
+    at = [lead + (g & np.uint32(31)) for g in got]
+    x = np.zeros(lead.shape, np.float32)
+    for g, w, a in zip(got, weights, at):
+        x += w.take(a, mode="clip") * (g & ~np.uint32(31)).view(np.float32)
+    return x, at
+
+
+def _nodes(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each bit in the tree of a byte's bits times KNOTS, bit), eight to a byte."""
+    wide = byte.astype(np.int64)[:, None]
+    return ((1 << _PLACE) | (wide >> (8 - _PLACE))) * KNOTS, (wide >> (7 - _PLACE)) & 1 == 1
+
+
 @dataclass
 class Model:
-    rated: list[np.ndarray]  # per predictor and slot, the stretched prediction; its lowest five bits are the gate
-    weights: np.ndarray  # by predictor, leading gate, own gate
+    weights: np.ndarray  # by predictor, leading gate and own gate
     refined: np.ndarray  # probability of a one after (node, knot of the mixed prediction)
 
-    def mixed(self, slots: list[np.ndarray]) -> np.ndarray:
-        got = [r.take(s) for r, s in zip(self.rated, slots)]
-        lead = (got[LEADS] & np.uint32(31)).astype(np.int64) * GATES
-        x = np.zeros(len(lead), np.float32)
-        for v, w in zip(got, self.weights):
-            x += w.ravel().take(lead + (v & np.uint32(31))) * (v & ~np.uint32(31)).view(np.float32)
-        return x
-
-    def event_bits(self, events: Events, batch: int = 1 << 16) -> np.ndarray:
-        """Bits of each decision."""
-        out, refined = np.zeros(len(events.byte)), self.refined.astype(np.float32)
-        for node, bit, slots in events.bits():
-            for a in range(0, len(node), batch):
-                part = slice(a, a + batch)
-                x = self.mixed([s[part] for s in slots])
-                p = (_squash(x) + refined.take(node[part] * KNOTS + _knot(x))) * np.float32(0.5)
-                out[part] -= np.log2(np.where(bit[part] == 1, p, 1 - p))
+    def bits(self, events: Events, rates: np.ndarray, of: list[np.ndarray]) -> np.ndarray:
+        """Bits of each decision; rates: rated() of the pairs, of: for each predictor, decision -> pair."""
+        out, refined, weights = np.zeros(len(events.byte)), self.refined.astype(np.float32).ravel(), self.weights.astype(np.float32)
+        for a in range(0, len(out), BATCH):
+            part = slice(a, a + BATCH)
+            x, _ = _mixed([rates.take(o[part], axis=0) for o in of], weights)
+            node, one = _nodes(events.byte[part])
+            p = refined.take(node + _knot(np.where(one, x, -x)), mode="clip")
+            p = (_squash(x) + np.where(one, p, 1 - p)) * np.float32(0.5)
+            out[part] = -np.log2(p).sum(1, dtype=np.float64)
         return out
 
-    def bits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bits, bytes) of each text; bytes are those of the words, spaces and end that are scored."""
-        out, size = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
-        for a, b in slices(offsets, SLICE):
-            e = Events.of_texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            out[a:b] = np.add.reduceat(self.event_bits(e)[e.of], e.offsets[:-1])
-            size[a:b] = np.diff(e.offsets)
-        return out, size
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Events]:
-    """A task's texts in slices that double in size up to SLICE."""
-    size = FIRST_SLICE
-    for batch in batches:
-        data, offsets = flat(batch.column(0))
-        a = 0
-        while a < len(offsets) - 1:
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
-            yield Events.of_texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            a, size = b, min(2 * size, SLICE)
-
-
-def _sum_segments(table: pa.Table) -> pa.Table:
-    total = np.zeros(SEGMENT, np.float64)
-    for kind, raw in zip(table.column("kind").to_pylist(), table.column("sums").to_pylist()):
-        x = np.frombuffer(zstandard.decompress(raw), ("<u2", "<u4", "<f8")[kind])
-        total[: len(x)] += x
-    return pa.table({"segment": table.column("segment")[:1], "kind": pa.array([2], pa.int32()), "sums": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
-
-
-_SUMS = "segment int, kind int, sums binary"
-
-
-def _segments(x: np.ndarray, kind: int | None = None) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    for i in range(0, len(x), SEGMENT):
-        part = x[i : i + SEGMENT]
-        if part.any():
-            k = kind if kind is not None else int(part.max() > 0xFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array([i // SEGMENT], pa.int32()), pa.array([k], pa.int32()), pa.array([squeeze(part.astype(("<u2", "<u4", "<f8")[k]).tobytes())], pa.binary())], ["segment", "kind", "sums"])
-
-
-def _gathered(rows: DataFrame, size: int) -> np.ndarray:
-    """Sums by segment, brought to the driver: the fixed size of the model."""
-    out = np.zeros(-(-size // SEGMENT) * SEGMENT)
-    got = rows.groupBy("segment").applyInArrow(_sum_segments, _SUMS).toArrow()
-    for segment, raw in zip(got.column("segment").to_pylist(), got.column("sums").to_pylist()):
-        out[segment * SEGMENT : (segment + 1) * SEGMENT] = np.frombuffer(zstandard.decompress(raw), "<f8")
-    return out[:size]
-
-
-class _Learner:
-    """What one task learns: counts, weights and the refining map."""
-
-    def __init__(self, rate: float):
-        self.tables = [np.zeros(1 << b, np.uint64) for b in BITS]
-        self.weights = np.full((len(BITS), GATES * GATES), 0.3, np.float32)
-        self.square = np.full((len(BITS), GATES * GATES), 1e-4)
-        self.refined, self.seen, self.rate = np.zeros((2, 256 * KNOTS)), 0.0, rate
-
-    def learn(self, e: Events, batch: int = 1 << 16) -> None:
-        many = e.count.astype(np.uint64)
-        for node, bit, slots in e.bits():
-            for a in range(0, len(node), batch):
-                part = slice(a, a + batch)
-                y, c = bit[part], e.count[part].astype(np.float32)
-                rated = [_rated(t.take(s[part])) for t, s in zip(self.tables, slots)]
-                lead = rated[LEADS][1].astype(np.int64) * GATES
-                at = [lead + g for _, g in rated]
-                x = np.zeros(len(y), np.float32)
-                for (v, _), g, w in zip(rated, at, self.weights):
-                    x += w.take(g) * v
-                error = c * (y - _squash(x))
-                place = node[part] * KNOTS + _knot(x)
-                self.refined[0] += np.bincount(place, weights=c, minlength=256 * KNOTS)
-                self.refined[1] += np.bincount(place, weights=c * y, minlength=256 * KNOTS)
-                for k, (v, _) in enumerate(rated):
-                    step = np.bincount(at[k], weights=error * v, minlength=GATES * GATES) / c.sum()
-                    self.square[k] += step * step
-                    self.weights[k] += self.rate * step / np.sqrt(self.square[k])
-                self.seen += float(c.sum())
-            for t, s in zip(self.tables, slots):
-                np.add.at(t, s, many << (bit * 32).view(np.uint64))
-
-    def packed(self) -> np.ndarray:
-        return np.concatenate([[self.seen], (self.weights * self.seen).ravel(), self.refined.ravel()])
-
-
-def train(texts: DataFrame, text_col: str = "text", rate: float = 0.02) -> Model:
-    """A model learned from all rows of texts."""
-    first = -(-int(_START[-1]) // SEGMENT)  # counts take the segments below
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Learner(rate)
-        for e in _texts(batches):
-            own.learn(e)
-        if own.seen:
-            yield from _segments(np.concatenate([t.view(np.uint32) for t in own.tables]))
-            for r in _segments(own.packed(), 2):
-                yield pa.RecordBatch.from_arrays([pa.array([r.column(0)[0].as_py() + first], pa.int32()), *r.columns[1:]], ["segment", "kind", "sums"])
-
-    n_weights, n_map = len(BITS) * GATES * GATES, 256 * KNOTS
-    rows = texts.select(framed(F.col(text_col)).alias("text")).mapInArrow(learn, _SUMS)
-    got = _gathered(rows, first * SEGMENT + 1 + n_weights + 2 * n_map)
-    rated = []
-    for k, at in enumerate(_START[:-1]):
-        t = got[at : _START[k + 1]].reshape(-1, 2)
-        t = (t / np.maximum(1, t.max(1, keepdims=True) / 0xFFFFFFFF)).astype(np.uint64)
-        v, g = _rated(t[:, 0] | t[:, 1] << np.uint64(32))
-        rated.append((v.view(np.uint32) & ~np.uint32(31)) | g.astype(np.uint32))
-    got = got[first * SEGMENT :]
-    seen, weights, sums = got[0], got[1 : 1 + n_weights], got[1 + n_weights :].reshape(2, 256, KNOTS)
+
+def learned(e: Events, many: np.ndarray, rates: np.ndarray, of: list[np.ndarray], rate: float = 0.03) -> np.ndarray:
+    """What one walk over decisions teaches: (use of the weights, weights times use, what came after which prediction).
+
+    many: how often each decision occurs. The weights are corrected after every BATCH of them.
+    """
+    weights = np.full((PREDICTORS, GATES * GATES), 0.2, np.float32)
+    square, used, refined = np.full(weights.shape, 1e-4), np.zeros(weights.shape), np.zeros((2, 256 * KNOTS))
+    who = np.flatnonzero(many)
+    for a in range(0, len(who), BATCH):
+        part = who[a : a + BATCH]
+        got = [rates.take(o[part], axis=0) for o in of]
+        x, at = _mixed(got, weights)
+        c = np.repeat(many[part].astype(np.float32), 8)
+        node, one = _nodes(e.byte[part])
+        place = (node + _knot(np.where(one, x, -x))).ravel()
+        refined[0] += np.bincount(place, weights=c, minlength=256 * KNOTS)
+        refined[1] += np.bincount(place, weights=c * one.ravel(), minlength=256 * KNOTS)
+        error, total = c * (1 - _squash(x)).ravel(), c.sum()
+        for k, g in enumerate(got):
+            cell = at[k].ravel()
+            step = np.bincount(cell, weights=error * (g & ~np.uint32(31)).view(np.float32).ravel(), minlength=GATES * GATES) / total
+            square[k] += step * step
+            weights[k] += rate * step / np.sqrt(square[k])
+            used[k] += np.bincount(cell, weights=c, minlength=GATES * GATES)
+    return np.concatenate([used.ravel(), (weights * used).ravel(), refined.ravel()])
+
+
+def model_of(total: np.ndarray | None) -> Model:
+    """The model that a sum of learned() makes; without any, every bit has probability one half."""
+    if total is None:
+        return Model(np.zeros((PREDICTORS, GATES * GATES)), np.full((256, KNOTS), 0.5))
+    n = PREDICTORS * GATES * GATES
+    used, weights, (seen, ones) = total[:n], total[n : 2 * n], total[2 * n :].reshape(2, 256, KNOTS)
     middle = 1 / (1 + np.exp(-(np.arange(KNOTS) / (KNOTS - 1) * 2 - 1) * REACH))[None, :]
-    refined = np.clip((sums[1] + 4 * middle) / (sums[0] + 4), 1e-6, 1 - 1e-6)
-    return Model(rated, (weights / seen if seen else weights).astype(np.float32).reshape(len(BITS), GATES, GATES), refined if seen else np.full((256, KNOTS), 0.5))
+    weights = np.where(used > 0, weights / np.maximum(used, 1e-9), 0.2).reshape(PREDICTORS, -1)
+    return Model(weights, np.clip((ones + 4 * middle) / (seen + 4), 1e-6, 1 - 1e-6))
+
 
+# ---------------------------------------------------------------- counts of the corpus, and the scores
 
-# ---------------------------------------------------------------- the baseline and the scores
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
 
-class _Tokens:
-    """The tokens of a chunk's texts: words, and one end for each text."""
+
+class Chunk:
+    """A chunk's texts, their decisions, and what it asks the buckets for."""
 
     def __init__(self, docs: pa.Table, bits: int):
-        self.docs, self.bits = docs.combine_chunks().sort_by("uid"), bits
-        self.data, self.offsets = flat(self.docs.column("text"))
-        held = self.docs.column("held").to_numpy(zero_copy_only=False).astype(bool)
-        low, hashes, counts = lowered(self.data), [], []
-        for a, b in slices(self.offsets):
-            part = low[self.offsets[a] : self.offsets[b]]
-            s, e, at = words(part, self.offsets[a : b + 1] - self.offsets[a])
-            hashes.append(word_hashes(part, s, e)), counts.append(np.diff(at))
-        n = len(held)
-        per = np.concatenate(counts)
-        self.doc = np.concatenate([np.repeat(np.arange(n), per), np.arange(n)])
-        tokens = np.concatenate([*hashes, np.full(n, _END_WORD)])
-        first, self.of = _distinct(tokens)  # in order of the upper bits, so by bucket
-        self.word = tokens[first]
-        self.trained = np.bincount(self.of, weights=~held[self.doc], minlength=len(self.word)).astype(np.int64)
-        self.n_tokens = per + 1
-        self.bucket = (self.word >> np.uint64(63 - bits)) >> np.uint64(1)
+        self.docs = docs.combine_chunks().sort_by("uid")
+        self.held = self.docs.column("held").to_numpy(zero_copy_only=False).astype(bool)
+        data, offsets = flat(self.docs.column("text"))
+        self.events = Events.of_texts(data, offsets)
+        e = self.events
+        self.n_tokens = np.diff(e.at) + (e.size > 1)  # an empty text has one token, the end
+        self.doc = np.repeat(np.arange(len(self.held)), np.diff(e.at))
+        self.many = e.counts(~self.held[self.doc])
+        self.pair, self.of, self.count = e.entries(self.many)
+        self.first, self.context = _contexts(self.pair)
+        self.bucket = (self.pair[self.first] >> np.uint64(63 - bits)) >> np.uint64(1)
 
     def rows(self) -> pa.Table:
-        chunk = self.docs.column("chunk")[0].as_py()
-        out = [(b, chunk, self.word[s].tobytes(), self.trained[s].tobytes()) for b, s in sliced_rows(self.bucket)]
-        return binary_rows(out, ["bucket", "chunk", "words", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+        """One row a bucket: contexts, how many bytes follow each, these bytes and their counts in training texts."""
+        chunk, out = self.docs.column("chunk")[0].as_py(), []
+        ends = np.append(self.first, len(self.pair))
+        seven = self.pair[self.first].view(np.uint8).reshape(-1, 8)[:, 1:]
+        width = np.diff(ends).astype(np.uint16)
+        counts = np.minimum(self.count, 0xFFFFFFFF).astype(np.uint32)
+        for b, s in sliced_rows(self.bucket):
+            lo, hi = int(ends[s.start]), int(ends[s.stop])
+            out.append((b, chunk, _pack(seven[s], width[s], (self.pair[lo:hi] & _LOW).astype(np.uint8), counts[lo:hi]), s.stop - s.start, 0 if out else int((~self.held).sum())))
+        if self.many.any():
+            own = Children(ends, (self.pair & _LOW).astype(np.uint8), self.count)
+            taught = learned(self.events, self.many, rated(self.pair, self.context, own, 1), self.of)
+            out.append((-1 - chunk // FAN_IN, chunk, _pack(taught), 0, 0))
+        if 0 not in {r[0] for r in out}:
+            out.append((0, chunk, _pack(), 0, 0))  # the bucket that brings the model
+        return binary_rows(out, _NAMES, _KINDS)
+
+    def children(self, answers: pa.Table) -> Children:
+        widths, follows, counts, cuts = {}, {}, {}, dict(sliced_rows(self.bucket))
+        for b, raw in zip(answers.column("bucket").to_pylist(), answers.column("said").to_pylist()):
+            if b not in cuts:
+                continue
+            n = cuts[b].stop - cuts[b].start
+            raw = zstandard.decompress(raw)
+            widths[b] = np.frombuffer(raw, np.uint16, n)
+            total = int(widths[b].sum())
+            follows[b], counts[b] = np.frombuffer(raw, np.uint8, total, 2 * n), np.frombuffer(raw, np.float32, total, 2 * n + total)
+        order = sorted(cuts)
+        return Children(np.concatenate([[0], *(widths[b].astype(np.int64) for b in order)]).cumsum(), np.concatenate([follows[b] for b in order]), np.concatenate([counts[b] for b in order]).astype(np.float64))
+
+
+_NAMES = ["bucket", "chunk", "pairs", "contexts", "texts"]
+_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+_SAID, _SAID_KINDS = ["chunk", "bucket", "said", "tokens", "known"], [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+_SUMS = "chunk int, bucket int, said binary, tokens bigint, known bigint"
+_SENT = "bucket int, chunk int, pairs binary, contexts bigint, texts bigint"
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    """For each chunk of one bucket, the training counts of its words; to chunk -1, their sum and how many are known."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("bucket", "chunk", "words", "counts"))))
-    word = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-    count = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
-    _, of = _distinct(word)
-    total = np.bincount(of, weights=count).astype(np.int64)
-    cuts = np.cumsum([0, *(len(r[2]) // 8 for r in rows)])
-    out = [(r[1], r[0], total[of[a:b]].tobytes(), None, None) for r, a, b in zip(rows, cuts, cuts[1:])]
-    out.append((-1, rows[0][0], None, int(total.sum()), int((total > 0).sum())))
-    return binary_rows(out, ["chunk", "bucket", "counts", "tokens", "known"], [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()])
+    """To each chunk of one bucket, the bytes that followed its contexts; to chunk -1, training tokens and how many differ.
+
+    What chunks learned comes in buckets below 0; its sums go to chunk -1 as well.
+    """
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in _NAMES)), key=lambda r: r[1])
+    if rows[0][0] < 0:
+        return binary_rows([(-1, rows[0][0], _summed(r[2] for r in rows), 0, 0)], _SAID, _SAID_KINDS)
+    contexts, widths, pairs, counts = [], [], [], []
+    for _, _, raw, n, _ in rows:
+        raw = zstandard.decompress(raw)
+        seven = np.zeros((n, 8), np.uint8)
+        seven[:, 1:] = np.frombuffer(raw, np.uint8, 7 * n).reshape(n, 7)
+        contexts.append(seven.view(np.uint64).ravel())
+        widths.append(np.frombuffer(raw, np.uint16, n, 7 * n).astype(np.int64))
+        total = int(widths[-1].sum())
+        pairs.append(np.repeat(contexts[-1], widths[-1]) | np.frombuffer(raw, np.uint8, total, 9 * n))
+        counts.append(np.frombuffer(raw, np.uint32, total, 9 * n + total))
+    pair, count = np.concatenate(pairs), np.concatenate(counts).astype(np.float64)
+    some = count > 0
+    pair, count = pair[some], count[some]
+    order = np.argsort(pair)
+    pair = pair[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = pair[1:] != pair[:-1]
+    total = np.add.reduceat(count[order], np.flatnonzero(new)) if len(pair) else count
+    pair = pair[new]
+    follows, small = (pair & _LOW).astype(np.uint8), total.astype(np.float32)
+    out = []
+    for r, c in zip(rows, contexts):
+        lo, hi = np.searchsorted(pair, c), np.searchsorted(pair, c | _LOW, "right")
+        n = hi - lo
+        at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+        out.append((r[1], r[0], _pack(n.astype(np.uint16), follows[at], small[at]), None, None))
+    ends = ((follows == SPACE) | (follows == END)) & ((pair >> np.uint64(8)) & np.uint64(3) == LEADS) & (pair & ~_LOW != _NO_WORD)
+    differ = len(np.unique(pair[ends] & ~_LOW))
+    out.append((-1, rows[0][0], None, int(total[ends].sum()) + sum(r[4] for r in rows), differ))
+    return binary_rows(out, _SAID, _SAID_KINDS)
+
+
+def _summed(parts) -> bytes | None:
+    """The sum of packed arrays; None if there are none."""
+    some = [np.frombuffer(zstandard.decompress(p)) for p in parts if p is not None]
+    return _pack(np.sum(some, axis=0)) if some else None
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """Sums of the rows for chunk -1."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "said", "tokens", "known"))), key=lambda r: r[0])
+    return binary_rows([(-1, rows[0][0], _summed(r[1] for r in rows), sum(r[2] for r in rows), sum(r[3] for r in rows))], _SAID, _SAID_KINDS)
 
 
 def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,34 +399,41 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     held_out: rows that are not learned from (none, if not given); scores are log10 probabilities.
     """
     held_out = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out), text_col))
     size = measured(docs, text_col)
-    bits = bucket_bits(size, 26 << 20)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), framed(F.col(text_col)).alias("text"), held_out.alias("held"))
-    rows = chunked(docs, size, "id", "text", "held")
+    bits = bucket_bits(size)
+    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held"))
+    rows = chunked(docs, size, "id", "text", "held", each=CHUNK)
 
     def send(d: pa.Table) -> pa.Table:
-        return _Tokens(d, bits).rows()
+        return Chunk(d, bits).rows()
 
     def both(d: pa.Table, a: pa.Table) -> pa.Table:
         names, kinds = ["id", "held_out", "n_tokens", "n_known", "logs", "bits", "size"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         if not d.num_rows:
             return binary_rows([], names, kinds)
-        t = _Tokens(d, bits)
-        count = np.zeros(len(t.word), np.int64)
-        cuts = dict(sliced_rows(t.bucket))
-        for b, raw in zip(a.column("bucket").to_pylist(), a.column("counts").to_pylist()):
-            count[cuts[b]] = np.frombuffer(raw, np.int64)
-        n = len(t.n_tokens)
-        known = np.bincount(t.doc, weights=count[t.of] > 0, minlength=n).astype(np.int64)
-        logs = np.bincount(t.doc, weights=np.log10(count + 0.1)[t.of], minlength=n)
-        total, size = model.value.bits(t.data, t.offsets)
-        return pa.table([t.docs.column("id"), t.docs.column("held"), pa.array(t.n_tokens.astype(np.int64)), pa.array(known), pa.array(logs), pa.array(total), pa.array(size)], names=names)
-
-    said = rows.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, words binary, counts binary").groupBy("bucket").applyInArrow(_counted, "chunk int, bucket int, counts binary, tokens bigint, known bigint")
-    answers = said.where("chunk >= 0").select("chunk", "bucket", "counts")
+        c = Chunk(d, bits)
+        brought = [m for m in a.column("model").to_pylist() if m is not None]
+        model = model_of(np.frombuffer(zstandard.decompress(brought[0])) if brought else None)
+        e, children, n = c.events, c.children(a), len(c.held)
+        # a word's count is that of what ends it after the whole word
+        ends = np.where((children.byte == SPACE) | (children.byte == END), children.count, 0.0)
+        ended = np.concatenate([[0.0], np.cumsum(ends)])[children.start]
+        count = np.diff(ended)[c.context[c.of[LEADS][e.step[e.begin[1:] - 1]]]]
+        count, some = np.rint(count[e.token]), np.repeat(e.size > 1, np.diff(e.at))
+        known = np.bincount(c.doc, weights=some & (count > 0), minlength=n).astype(np.int64)
+        logs = np.bincount(c.doc, weights=np.where(some, np.log10(count + 0.1), 0.0), minlength=n)
+        of_decision = model.bits(e, rated(c.pair, c.context, children), c.of)
+        of_token = np.add.reduceat(of_decision[e.step], e.begin[:-1])
+        total = np.add.reduceat(of_token[e.token], e.at[:-1])
+        return pa.table([c.docs.column("id"), c.docs.column("held"), pa.array(c.n_tokens.astype(np.int64)), pa.array(known), pa.array(logs), pa.array(total), pa.array(e.size.astype(np.int64))], names=names)
+
+    said = rows.groupBy("chunk").applyInArrow(send, _SENT).groupBy("bucket").applyInArrow(_counted, _SUMS)
+    # one row in the end, whatever the number of chunks: a step adds FAN_IN rows of those that bring sums
+    sums = said.where("chunk < 0").groupBy(F.floor(F.col("bucket") / FAN_IN)).applyInArrow(_total, _SUMS).groupBy("chunk").applyInArrow(_total, _SUMS)
+    answers = said.where("chunk >= 0").select("chunk", "bucket", "said", F.when(F.col("bucket") == 0, sums.select("said").scalar()).alias("model"))
     out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, bits double, size bigint")
-    sums = said.where("chunk < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v"))
-    n, v = sums.select("n").scalar(), sums.select("v").scalar()
-    out = out.withColumn("train_tokens", n).withColumn("base_score", F.col("logs") - F.col("n_tokens") * F.log10(n + 0.1 * (v + 1)))
+    ended = docs.where("not held").agg(F.count(F.lit(1)).alias("n")).select("n").scalar()  # how often the end token was seen
+    n, v = F.coalesce(sums.select("tokens").scalar(), F.lit(0)), F.coalesce(sums.select("known").scalar(), F.lit(0)) + F.when(ended > 0, 1).otherwise(0)
+    out = out.withColumn("train_tokens", n).withColumn("n_known", F.col("n_known") + F.when(ended > 0, 1).otherwise(0))
+    out = out.withColumn("base_score", F.col("logs") + F.log10(ended + 0.1) - F.col("n_tokens") * F.log10(n + 0.1 * (v + 1)))
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", (-F.col("bits") * float(np.log10(2))).alias("score"), (F.col("bits") / F.col("size")).alias("bits_per_byte"))

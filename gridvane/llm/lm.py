@@ -55,7 +55,7 @@ KNOTS, REACH = 33, 12.0
 #: Decisions between two corrections of the weights, in bytes.
 BATCH = 1 << 10
 #: Bytes of text in a chunk, and rows that one step of the tree of sums adds.
-CHUNK = 7 << 20
+CHUNK = 5 << 20
 FAN_IN = 256
 _K = np.random.default_rng(909).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64(0xFF)
@@ -132,6 +132,7 @@ class Events:
         place = s[of] + j
         byte = np.where(j == size[of] - 1, np.where(final, END, SPACE).astype(np.uint8)[of], low[place])
         so_far, high = span_hash(sums, s[of], place), high[of]
+        del of, sums
         first, step = _distinct(mixed(so_far + high * _K[8]) + byte * _K[10])
         j, place, byte, so_far, high = (x[first] for x in (j, place, byte, so_far, high))
         last = np.zeros(len(first), np.uint64)
@@ -140,7 +141,7 @@ class Events:
             last |= np.where(j > k, low[place - k - 1], 0).astype(np.uint64) << np.uint64(8 * k)
             pairs.append(_context(k, last | (high if k == 1 else high & _LOW) << np.uint64(32)) | follows)
         pairs.append(_context(LEADS, so_far) | follows)
-        return cls(pairs, byte, step, begin, token, at, np.add.reduceat((ends - starts + 1), at[:-1]) if len(per) else per)
+        return cls(pairs, byte, step.astype(np.int32), begin, token, at, np.add.reduceat((ends - starts + 1), at[:-1]) if len(per) else per)
 
     def entries(self, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """(distinct pairs of all predictors, ascending; of each predictor, decision -> pair; counts of the pairs)"""
@@ -231,8 +232,8 @@ class Model:
     def bits(self, events: Events, rates: np.ndarray, of: list[np.ndarray]) -> np.ndarray:
         """Bits of each decision; rates: rated() of the pairs, of: for each predictor, decision -> pair."""
         out, refined, weights = np.zeros(len(events.byte)), self.refined.astype(np.float32).ravel(), self.weights.astype(np.float32)
-        for a in range(0, len(out), BATCH):
-            part = slice(a, a + BATCH)
+        for a in range(0, len(out), 8 * BATCH):
+            part = slice(a, a + 8 * BATCH)
             x, _ = _mixed([rates.take(o[part], axis=0) for o in of], weights)
             node, one = _nodes(events.byte[part])
             p = refined.take(node + _knot(np.where(one, x, -x)), mode="clip")
@@ -297,6 +298,7 @@ class Chunk:
         e = self.events
         self.n_tokens = np.diff(e.at) + (e.size > 1)  # an empty text has one token, the end
         self.doc = np.repeat(np.arange(len(self.held)), np.diff(e.at))
+        del data
         self.many = e.counts(~self.held[self.doc])
         self.pair, self.of, self.count = e.entries(self.many)
         self.first, self.context = _contexts(self.pair)

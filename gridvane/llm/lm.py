@@ -2,9 +2,9 @@
 
 A text is its lower-cased words with one space between them and an end mark. Every byte is eight
 binary decisions. Four predictors give counts of zeros and ones for a decision: after the last one,
-two and three bytes of the word, and after the whole word so far. The first three contexts also hold
-the last byte above 0x7F that the text had before the word (what tells languages apart), the second
-one what ended the word before, if that is neither a letter or digit nor a full stop or comma. Each prediction is stretched to the
+two and three bytes of the word, and after the whole word so far. In its first bytes the first three
+contexts also hold the last byte above 0x7F that the text had before the word (what tells languages
+apart), the second one, anywhere, what ended the word before, if that is neither a letter or digit nor a full stop or comma. Each prediction is stretched to the
 logistic domain and weighted by a weight that gates choose, from how often this context and that of
 the word so far were seen and whether they were ever mixed. The sum is squashed to a probability,
 which an adaptive map of (place within the byte, probability) refines by what was seen after such a
@@ -54,8 +54,9 @@ GATES, SEEN = 26, 13
 KNOTS, REACH = 33, 12.0
 #: Decisions between two corrections of the weights, in bytes.
 BATCH = 1 << 10
-#: Bytes of text in a chunk, and rows that one step of the tree of sums adds.
-CHUNK = 5 << 20
+#: Bytes at the start of a word that are told apart by the last high byte before it.
+NEAR = 4
+#: Rows that one step of the tree of sums adds.
 FAN_IN = 256
 _K = np.random.default_rng(909).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64(0xFF)
@@ -132,6 +133,7 @@ class Events:
         place = s[of] + j
         byte = np.where(j == size[of] - 1, np.where(final, END, SPACE).astype(np.uint8)[of], low[place])
         so_far, high = span_hash(sums, s[of], place), high[of]
+        high[j >= NEAR] &= ~_LOW
         del of, sums
         first, step = _distinct(mixed(so_far + high * _K[8]) + byte * _K[10])
         j, place, byte, so_far, high = (x[first] for x in (j, place, byte, so_far, high))
@@ -242,7 +244,7 @@ class Model:
         return out
 
 
-def learned(e: Events, many: np.ndarray, rates: np.ndarray, of: list[np.ndarray], rate: float = 0.03) -> np.ndarray:
+def learned(e: Events, many: np.ndarray, rates: np.ndarray, of: list[np.ndarray], rate: float = 0.05) -> np.ndarray:
     """What one walk over decisions teaches: (use of the weights, weights times use, what came after which prediction).
 
     many: how often each decision occurs. The weights are corrected after every BATCH of them.
@@ -404,7 +406,7 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     size = measured(docs, text_col)
     bits = bucket_bits(size)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held"))
-    rows = chunked(docs, size, "id", "text", "held", each=CHUNK)
+    rows = chunked(docs, size, "id", "text", "held")
 
     def send(d: pa.Table) -> pa.Table:
         return Chunk(d, bits).rows()

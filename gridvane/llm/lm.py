@@ -289,6 +289,20 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The first bytes of all values, then their second bytes, and so on: what is alike compresses."""
+    return np.ascontiguousarray((x if x.ndim == 2 else x.view(np.uint8).reshape(len(x), -1)).T)
+
+
+def _values(raw: bytes, kind: type, n: int, at: int, width: int | None = None) -> np.ndarray:
+    """n values of _planes() that begin at a place; width: bytes of each that were sent, the upper ones of a value."""
+    size = np.dtype(kind).itemsize
+    out = np.zeros((n, size), np.uint8)
+    width = width or size
+    out[:, size - width :] = np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n).T
+    return out.view(kind).ravel()
+
+
 class Chunk:
     """A chunk's texts, their decisions, and what it asks the buckets for."""
 
@@ -315,7 +329,7 @@ class Chunk:
         counts = np.minimum(self.count, 0xFFFFFFFF).astype(np.uint32)
         for b, s in sliced_rows(self.bucket):
             lo, hi = int(ends[s.start]), int(ends[s.stop])
-            out.append((b, chunk, _pack(seven[s], width[s], (self.pair[lo:hi] & _LOW).astype(np.uint8), counts[lo:hi]), s.stop - s.start, 0 if out else int((~self.held).sum())))
+            out.append((b, chunk, _pack(_planes(seven[s]), _planes(width[s]), (self.pair[lo:hi] & _LOW).astype(np.uint8), _planes(counts[lo:hi])), s.stop - s.start, 0 if out else int((~self.held).sum())))
         if self.many.any():
             own = Children(ends, (self.pair & _LOW).astype(np.uint8), self.count)
             taught = learned(self.events, self.many, rated(self.pair, self.context, own, 1), self.of)
@@ -331,9 +345,9 @@ class Chunk:
                 continue
             n = cuts[b].stop - cuts[b].start
             raw = zstandard.decompress(raw)
-            widths[b] = np.frombuffer(raw, np.uint16, n)
+            widths[b] = _values(raw, np.uint16, n, 0)
             total = int(widths[b].sum())
-            follows[b], counts[b] = np.frombuffer(raw, np.uint8, total, 2 * n), np.frombuffer(raw, np.float32, total, 2 * n + total)
+            follows[b], counts[b] = np.frombuffer(raw, np.uint8, total, 2 * n), _values(raw, np.uint64, total, 2 * n + total)
         order = sorted(cuts)
         return Children(np.concatenate([[0], *(widths[b].astype(np.int64) for b in order)]).cumsum(), np.concatenate([follows[b] for b in order]), np.concatenate([counts[b] for b in order]).astype(np.float64))
 
@@ -356,13 +370,11 @@ def _counted(table: pa.Table) -> pa.Table:
     contexts, widths, pairs, counts = [], [], [], []
     for _, _, raw, n, _ in rows:
         raw = zstandard.decompress(raw)
-        seven = np.zeros((n, 8), np.uint8)
-        seven[:, 1:] = np.frombuffer(raw, np.uint8, 7 * n).reshape(n, 7)
-        contexts.append(seven.view(np.uint64).ravel())
-        widths.append(np.frombuffer(raw, np.uint16, n, 7 * n).astype(np.int64))
+        contexts.append(_values(raw, np.uint64, n, 0, 7))
+        widths.append(_values(raw, np.uint16, n, 7 * n).astype(np.int64))
         total = int(widths[-1].sum())
         pairs.append(np.repeat(contexts[-1], widths[-1]) | np.frombuffer(raw, np.uint8, total, 9 * n))
-        counts.append(np.frombuffer(raw, np.uint32, total, 9 * n + total))
+        counts.append(_values(raw, np.uint32, total, 9 * n + total))
     pair, count = np.concatenate(pairs), np.concatenate(counts).astype(np.float64)
     some = count > 0
     pair, count = pair[some], count[some]
@@ -372,13 +384,13 @@ def _counted(table: pa.Table) -> pa.Table:
     new[1:] = pair[1:] != pair[:-1]
     total = np.add.reduceat(count[order], np.flatnonzero(new)) if len(pair) else count
     pair = pair[new]
-    follows, small = (pair & _LOW).astype(np.uint8), total.astype(np.float32)
+    follows, sums = (pair & _LOW).astype(np.uint8), total.astype(np.uint64)
     out = []
     for r, c in zip(rows, contexts):
         lo, hi = np.searchsorted(pair, c), np.searchsorted(pair, c | _LOW, "right")
         n = hi - lo
         at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
-        out.append((r[1], r[0], _pack(n.astype(np.uint16), follows[at], small[at]), None, None))
+        out.append((r[1], r[0], _pack(_planes(n.astype(np.uint16)), follows[at], _planes(sums[at])), None, None))
     ends = ((follows == SPACE) | (follows == END)) & ((pair >> np.uint64(8)) & np.uint64(3) == LEADS) & (pair & ~_LOW != _NO_WORD)
     differ = len(np.unique(pair[ends] & ~_LOW))
     out.append((-1, rows[0][0], None, int(total[ends].sum()) + sum(r[4] for r in rows), differ))

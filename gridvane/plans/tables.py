@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a temporary folder for a local master and an error for a cluster."""
     sc = spark.sparkContext
+    if sc.getCheckpointDir() is None and (conf := sc.getConf().get("spark.checkpoint.dir")):
+        sc.setCheckpointDir(conf)
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")

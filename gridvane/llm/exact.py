@@ -8,7 +8,9 @@ list of its chunks' identifiers; recipes are grouped and compared instead of tex
 the network once, reduced to one copy a hash and task; recipes are a few bytes a kilobyte of text.
 
 Nulls: a null text counts as empty; empty texts are equal. Of rows that repeat an id and a text one
-is kept. Rows with different texts under one id are separate rows. Extra columns are dropped.
+is kept. Rows with different texts under one id are separate rows. An empty table gives no rows. Extra
+columns are dropped, whatever their names. A text stays whole: a task takes a few times the bytes of
+its longest one.
 """
 
 from __future__ import annotations
@@ -107,14 +109,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shor
     rows = written(rows.mapInArrow(recipes, f"id {kind}, uid bigint, sha string, digests array<bigint>, longs array<bigint>"))
 
     found = docs.select(text).mapInArrow(contents, "digest bigint, content binary").groupBy("digest").agg(F.min("content").alias("a"), F.max("content").alias("b"))
-    verified = found.select("digest", (F.col("a") != F.col("b")).alias("clash"))
+    # hashes under which contents differ; a table of their own, so that Spark sees how few there are
+    clashes = written(found.where("a <> b").select("digest", F.lit(True).alias("clash")))
     parts = rows.select("uid", F.posexplode(F.arrays_zip("digests", "longs")).alias("seq", "part"))
-    parts = parts.select("uid", "seq", F.col("part.digests").alias("digest"), F.col("part.longs").alias("long")).join(verified, "digest")
-    chunk_id = F.struct("seq", "digest", F.when(F.col("clash"), F.col("long")).otherwise(F.lit(0)).alias("extra"))
-    lists = parts.groupBy("uid").agg(F.array_sort(F.collect_list(chunk_id)).alias("recipe"))
-    lists = rows.select("id", "uid", "sha").join(lists, "uid", "left").withColumn("recipe", F.coalesce("recipe", F.expr("array()").cast(lists.schema["recipe"].dataType)))
-    lists = written(lists)
-
-    same = lists.groupBy("recipe").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    parts = parts.select("uid", "seq", F.col("part.digests").alias("digest"), F.col("part.longs").alias("extra")).join(clashes, "digest")
+    told = parts.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("seq", "extra"))).alias("told"))
+    # a recipe: the chunks' hashes, and the second digests of those whose hash does not tell
+    extra = F.transform("digests", lambda d, seq: F.coalesce(F.element_at("told", seq), F.lit(0).cast("bigint")))
+    recipe = F.when(F.col("told").isNull(), F.col("digests")).otherwise(F.concat("digests", extra))
+    lists = written(rows.join(told, "uid", "left").select("id", "uid", "sha", recipe.alias("recipe")))
+
+    # a table of its own too: the join then deals both sides anew, and Spark can split a large group's rows
+    same = written(lists.groupBy("recipe").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"), F.count(F.lit(1)).alias("group_size")))
     out = lists.join(same, "recipe")
     return out.select(F.col("id").alias(id_col), F.col("first.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), F.col("sha").alias("text_sha256"), "uid")

@@ -204,7 +204,7 @@ def links(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vecto
     reach_of = components(found.select("a", "b"))
     of = classes.select("label", "vec", "node", "copies", "first").join(counts, "node", "left").join(reach_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = written(of.select("label", "vec", "component", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    least_of = of.groupBy("component").agg(F.min("first").alias("least"))
+    least_of = written(of.groupBy("component").agg(F.min("first").alias("least")))  # so that Spark can split a large component's rows
     of = of.join(least_of, "component").select("label", "vec", "n_links", F.col("least.id").alias("component_id"))
     linked = usable.join(of, ["label", "vec"]).select("id", "n_links", "component_id")
     alone = rows.where("vec is null or label is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))

@@ -189,7 +189,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile
     found = components(links(prints.select("fp"), tile))
     of = prints.join(found, prints["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
     of = written(of)
-    least = of.groupBy("component").agg(F.min("first").alias("least"))
+    least = written(of.groupBy("component").agg(F.min("first").alias("least")))  # so that Spark can split a large component's rows
     of = of.join(least, "component").select("fp", "least")
     out = rows.join(of, "fp")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")

@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source gets a target number of words. Dividing it by the source's words gives the expected
-copies of each of its documents: the whole part is taken for certain, the fraction is the inclusion
-probability p of a fixed-size sample. Documents are ranked by the odds of a random number over the
-inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken in that order until the sample's words
-reach what the target still lacks; p differs between sources. The random number is a hash of the
+copies of each of its documents. Copies that are certain are allocated first: the whole part of what
+is expected. What the target still lacks is a sample with unequal inclusion probabilities: a document
+counts by its size, but one of more than BLOCK words, whose single copy would upset the target, less
+so: p = f / (f + (1 - f) * max(1, size / BLOCK)), f the fraction of a copy that is expected. Documents
+are ranked by the odds of a random number over the inclusion odds, (u / (1 - u)) / (p / (1 - p)), and
+taken in that order until their words reach what is lacking. The random number is a hash of the
 document id, so reruns agree.
 
 The order within a source is never sorted in one task: words are summed by source and rank bucket,
@@ -12,7 +14,8 @@ which names the one bucket that a source's cut falls in, and only that bucket's
 
 Nulls: a null source is a source of its own, last in order; null or empty texts have size 0, are
 never sampled (taken is 0) but are returned. Repeated rows count each. Ties in rank are cut by id,
-size. An empty table gives an empty result.
+size. An empty table gives an empty result. Extra columns may have any names; a text of any length is
+one document.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .common import flat, numbered, parts_for, slices, words, written
 
 #: Sources up to which the table of sources (one short row each) is broadcast; beyond, it is joined.
 BROADCAST_SOURCES = 10_000
+#: Words from which on a document is less likely to be sampled.
+BLOCK = 1000
 
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -100,7 +105,8 @@ def mix(
         return left.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("its")), "left").drop("its")
 
     u = uniform(F.col("id"), seed)
-    rank = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
+    odds = F.col("p") / (1 - F.col("p")) / F.greatest(F.lit(1.0), F.col("size") / BLOCK)
+    rank = (u / (1 - u)) / odds
     ranked = with_source(base, table).withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), rank))
     ranked = ranked.withColumn("bucket", F.when(F.col("rank").isNotNull(), F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * buckets), F.lit(buckets - 1))))
 
@@ -123,6 +129,10 @@ def mix(
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every row of docs as often as mix() says, all its columns unchanged."""
-    rows = numbered(docs, "__uid")
-    counts = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, uid=F.col("__uid"), **options).where("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").alias("__copies"))
-    return rows.join(counts, "__uid").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*docs.columns)
+    uid = "uid"
+    while uid in docs.columns:  # a name that the table does not have
+        uid += "_"
+    rows = numbered(docs, uid)
+    counts = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, uid=F.col(uid), **options).where("copies > 0")
+    counts = counts.select(F.col("uid").alias(uid), F.sequence(F.lit(1).cast("bigint"), F.col("copies")).alias(uid + "copies"))
+    return rows.join(counts, uid).withColumn(uid + "copies", F.explode(uid + "copies")).select(*docs.columns)

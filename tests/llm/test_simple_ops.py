@@ -111,11 +111,40 @@ def brute_targets(sizes, most=3.0):
     return out
 
 
+def brute_mix(rows):
+    """(id, size, copies) of rows (id, size, source, u): the rule of mixing.mix, in plain Python."""
+    sizes = collections.Counter()
+    for _, n, s, _ in rows:
+        sizes[s] += n
+    target, out = brute_targets(sizes), []
+    for s in sizes:
+        e = min(3.0, target[s] / sizes[s]) if sizes[s] else 0.0
+        whole, f = int(e), e - int(e)
+        lack, ranked = target[s] - whole * sizes[s], []
+        for i, n, _, u in (r for r in rows if r[2] == s):
+            p = f / (f + (1 - f) * max(1, n / mixing.BLOCK)) if f else 0.0
+            if p and n:
+                ranked.append((u / (1 - u) / (p / (1 - p)), i is not None, i or 0, n, i))
+            else:
+                out.append((i, n, whole if n else 0))
+        done = 0
+        for _, _, _, n, i in sorted(ranked):
+            done += n
+            out.append((i, n, whole + (done - n / 2 <= lack)))
+    return sorted(map(str, out))
+
+
 @pytest.mark.parametrize("which", ["odd", "sf"])
 def test_mixing(spark, odd, which):
+    from pyspark.sql import functions as F
+
     docs = odd if which == "odd" else documents(spark)
     rows = mixing.mix(docs).drop("uid").collect()
     assert len(rows) == docs.count()
+    luck = collections.defaultdict(list)
+    for r in docs.select("doc_id", mixing.uniform(F.col("doc_id"), 8).alias("u")).collect():
+        luck[r.doc_id].append(r.u)
+    assert sorted(str((r.doc_id, r.size, r.copies)) for r in rows) == brute_mix([(r.doc_id, r.size, r.source, luck[r.doc_id][0]) for r in rows])
     size, longest, taken = collections.Counter(), collections.Counter(), collections.Counter()
     for r in rows:
         size[r.source] += r.size
@@ -131,6 +160,21 @@ def test_mixing(spark, odd, which):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def test_mixing_prefers_short_documents(spark):
+    """Of documents with one expected share, those above BLOCK words are sampled less often."""
+    docs = spark.createDataFrame([(i, "a " * (8 * mixing.BLOCK if i % 2 else 100), "xyz"[i % 3]) for i in range(3000)], "doc_id bigint, text string, source string")
+    rows = [r for r in mixing.mix(docs).collect() if r.source == "x"]
+    long = [r.copies for r in rows if r.size > 1000]
+    short = [r.copies for r in rows if r.size <= 1000]
+    assert sum(short) / len(short) > 1.2 * sum(long) / len(long) > 0
+
+
+def test_mixing_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7, "k"), (2, "c", "y", 8, None)], "doc_id bigint, text string, source string, uid int, __copies string")
+    got = {tuple(r) for r in mixing.repeated(docs).collect()}
+    assert got <= {tuple(r) for r in docs.collect()} and got
+
+
 def test_mixing_words(odd, none):
     got = {r.doc_id: r.size for r in mixing.word_counts(odd, "doc_id", "text").toDF("doc_id", "size").collect()}
     assert got == {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in ROWS}

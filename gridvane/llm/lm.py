@@ -1,10 +1,10 @@
 """LM scoring by online logistic context mixing.
 
 A text is its lower-cased words with one space between them and an end mark. Every byte is eight
-binary decisions. Four predictors give counts of zeros and ones for a decision: after the last one,
-two and three bytes of the word, and after the whole word so far. In its first bytes the first three
+binary decisions. Three predictors give counts of zeros and ones for a decision: after the last two
+and three bytes of the word, and after the whole word so far. In its first bytes the first two
 contexts also hold the last byte above 0x7F that the text had before the word (what tells languages
-apart), the second one, anywhere, what ended the word before, if that is neither a letter or digit nor a full stop or comma. Each prediction is stretched to the
+apart), the first one, anywhere, what ended the word before, if that is neither a letter or digit nor a full stop or comma. Each prediction is stretched to the
 logistic domain and weighted by a weight that gates choose, from how often this context and that of
 the word so far were seen and whether they were ever mixed. The sum is squashed to a probability,
 which an adaptive map of (place within the byte, probability) refines by what was seen after such a
@@ -44,12 +44,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, lowered, mixed, prefix_sums, span_hash, words
+from .common import flat, lowered, mixed, powers, prefix_sums, span_hash, words
 from .exchange import binary_rows, bucket_bits, chunked, measured, sliced_rows
 
 END, SPACE = 10, 32
 #: Predictors, and the one whose gate chooses a set of weights: that of the word so far.
-PREDICTORS, LEADS = 4, 3
+PREDICTORS, LEADS = 3, 2
 GATES, SEEN = 26, 13
 KNOTS, REACH = 33, 12.0
 #: Decisions between two corrections of the weights, in bytes.
@@ -117,7 +117,8 @@ class Events:
         at = np.concatenate([[0], np.cumsum(per)])
         final = np.zeros(len(starts), bool)
         final[at[1:] - 1] = True
-        high = np.concatenate([[-1], np.maximum.accumulate(np.where(low > 127, np.arange(len(low)), -1))])[starts]
+        high = np.flatnonzero(low > 127)
+        high = np.concatenate([[-1], high])[np.searchsorted(high, starts)]
         low = np.append(low, np.uint8(0))
         high = np.where(high >= np.repeat(offsets[:-1], per), low[high], 0).astype(np.uint64)
         first = np.zeros(len(starts), bool)
@@ -128,20 +129,20 @@ class Events:
         first, token = _distinct(mixed(span_hash(sums, starts, ends) + high * _K[8]) + final * _K[9])
         s, size, high, final = starts[first], ends[first] - starts[first] + 1, high[first], final[first]
         begin = np.concatenate([[0], np.cumsum(size)])
-        of = np.repeat(np.arange(len(first)), size)
-        j = np.arange(len(of)) - begin[of]
-        place = s[of] + j
-        byte = np.where(j == size[of] - 1, np.where(final, END, SPACE).astype(np.uint8)[of], low[place])
-        so_far, high = span_hash(sums, s[of], place), high[of]
+        j = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
+        place = np.repeat(s, size) + j
+        byte = low[place]
+        byte[begin[1:] - 1] = np.where(final, END, SPACE)
+        _, inverse = powers(len(sums))
+        so_far = mixed((sums[place] - np.repeat(sums[s], size)) * np.repeat(inverse[s], size) + j.astype(np.uint64))  # span_hash(sums, s[of], place)
+        high = np.repeat(high, size)
         high[j >= NEAR] &= ~_LOW
-        del of, sums
+        del sums
         first, step = _distinct(mixed(so_far + high * _K[8]) + byte * _K[10])
         j, place, byte, so_far, high = (x[first] for x in (j, place, byte, so_far, high))
-        last = np.zeros(len(first), np.uint64)
-        pairs, follows = [], byte.astype(np.uint64)
-        for k in range(LEADS):
-            last |= np.where(j > k, low[place - k - 1], 0).astype(np.uint64) << np.uint64(8 * k)
-            pairs.append(_context(k, last | (high if k == 1 else high & _LOW) << np.uint64(32)) | follows)
+        follows, back = byte.astype(np.uint64), [np.where(j > k, low[place - k - 1], 0).astype(np.uint64) << np.uint64(8 * k) for k in range(3)]
+        two = back[0] | back[1]
+        pairs = [_context(0, two | high << np.uint64(32)) | follows, _context(1, two | back[2] | (high & _LOW) << np.uint64(32)) | follows]
         pairs.append(_context(LEADS, so_far) | follows)
         return cls(pairs, byte, step.astype(np.int32), begin, token, at, np.add.reduceat((ends - starts + 1), at[:-1]) if len(per) else per)
 

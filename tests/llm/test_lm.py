@@ -17,7 +17,7 @@ from .test_simple_ops import ROWS, SCHEMA, SF, documents
 
 #: Share of the baseline's log probability that the model must save on held-out texts. Of 180 texts it learns too
 #: little to save anything: the baseline, no distribution over strings, asks the same for an unknown word of any length.
-GAIN = {SF: -0.005, SF.replace("0.001", "0.01"): 0.04}
+GAIN = {SF: -0.015, SF.replace("0.001", "0.01"): 0.03}
 
 
 def tokens(text):
@@ -60,7 +60,7 @@ def plain(train, texts):
             at += len(b)
             for j, c in enumerate(b + (b"\n" if i >= len(ws) - 1 else b" ")):
                 h = last if j < lm.NEAR else 0
-                out.append(([(1, b[max(0, j - 1) : j], h), (2, b[max(0, j - 2) : j], h, mark), (3, b[max(0, j - 3) : j], h), (4, b[:j])], c))
+                out.append(([(2, b[max(0, j - 2) : j], h, mark), (3, b[max(0, j - 3) : j], h), (4, b[:j])], c))
             mark = b[-1] if b and b[-1] < 128 and not chr(b[-1]).isalnum() and b[-1] not in b".," else 0
         return out
 
@@ -81,8 +81,8 @@ def plain_bits(model, steps, counts, text):
                 same = sum(n for y, n in counts[x].items() if y >> (7 - i) == c >> (7 - i))
                 other = sum(n for y, n in counts[x].items() if y >> (7 - i) == (c >> (7 - i)) ^ 1)
                 rates.append((math.log((same + 0.05) / (other + 0.05)), min(12, (same + other).bit_length()) + 13 * (same > 0 and other > 0)))
-            w = model.weights.reshape(4, 26, 26)
-            v = sum(w[k, rates[3][1], g] * r for k, (r, g) in enumerate(rates))
+            w = model.weights.reshape(3, 26, 26)
+            v = sum(w[k, rates[2][1], g] * r for k, (r, g) in enumerate(rates))
             one = (c >> (7 - i)) & 1
             p = model.refined[(1 << i) | (c >> (8 - i)), lm._knot(np.array([v if one else -v]))[0]]
             total -= math.log2((1 / (1 + math.exp(-max(-12, min(12, v)))) + (p if one else 1 - p)) / 2)
@@ -132,10 +132,10 @@ def test_learns_like_a_plain_walk(monkeypatch):
     walk = [d for t in TEXTS for d in flat(t)]
     for d, i in zip(walk, np.concatenate([e.step[e.begin[k] : e.begin[k + 1]] for k in e.token])):
         assert order.setdefault(int(i), d) == d
-    w, square = np.full((4, 26, 26), 0.2), np.full((4, 26, 26), 1e-4)
-    used, refined = np.zeros((4, 26, 26)), np.zeros((2, 256, 33))
+    w, square = np.full((3, 26, 26), 0.2), np.full((3, 26, 26), 1e-4)
+    used, refined = np.zeros((3, 26, 26)), np.zeros((2, 256, 33))
     for a in range(0, len(order), 5):
-        step, total = np.zeros((4, 26, 26)), 0
+        step, total = np.zeros((3, 26, 26)), 0
         for i in range(a, min(a + 5, len(order))):
             contexts, c = order[i]
             n = seen[order[i]]
@@ -146,20 +146,20 @@ def test_learns_like_a_plain_walk(monkeypatch):
                     same = sum(m for y, m in counts[x].items() if y >> (7 - b) == c >> (7 - b)) - 1
                     other = sum(m for y, m in counts[x].items() if y >> (7 - b) == (c >> (7 - b)) ^ 1)
                     rates.append((math.log((same + 0.05) / (other + 0.05)), min(12, (same + other).bit_length()) + 13 * (same > 0 and other > 0)))
-                v = sum(w[k, rates[3][1], g] * r for k, (r, g) in enumerate(rates))
+                v = sum(w[k, rates[2][1], g] * r for k, (r, g) in enumerate(rates))
                 one = (c >> (7 - b)) & 1
                 at = ((1 << b) | (c >> (8 - b)), lm._knot(np.array([v if one else -v]))[0])
                 refined[0][at] += n
                 refined[1][at] += n * one
                 for k, (r, g) in enumerate(rates):
-                    step[k, rates[3][1], g] += n * (1 - 1 / (1 + math.exp(-v))) * r
-                    used[k, rates[3][1], g] += n
+                    step[k, rates[2][1], g] += n * (1 - 1 / (1 + math.exp(-v))) * r
+                    used[k, rates[2][1], g] += n
         step /= total
         square += step * step
         w += 0.05 * step / np.sqrt(square)
     want = np.concatenate([used.ravel(), (w * used).ravel(), refined.ravel()])
     near = np.abs(got - want) <= 1e-3 * np.maximum(1, np.abs(want))
-    assert near[: 8 * 676].all() and near.mean() > 0.999  # a prediction between two knots may go to either
+    assert near[: 6 * 676].all() and near.mean() > 0.999  # a prediction between two knots may go to either
 
 
 @pytest.mark.parametrize("sf", list(GAIN))

@@ -1,8 +1,13 @@
 """A corpus from documents: each stage is written as Parquet and reread as the next one's documents.
 
 run(spark, sf_dir) applies STAGES to the table documents. ORACLE_SQL is None: language
-identification, fingerprints, sampling by hashed numbers and the encoding are not SQL; tests hold
-each stage against a brute-force version.
+identification, fingerprints, sampling by hashed numbers and the encoding are not SQL; the operators
+of the stages are tested against brute force, and the stages on small tables.
+
+Nulls: a document with a null or empty text, or one without letters, is rejected by language
+identification; a null lang, source or n_chars is kept, a null doc_id too, as the last of its copies.
+Of rows that repeat a text one stays. An empty table gives no rows. Columns beyond those of documents
+are dropped, whatever their names. Texts are processed whole.
 """
 
 from __future__ import annotations

@@ -208,7 +208,8 @@ class Chunk:
         i = np.repeat(np.arange(len(lo)), n)
         p = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + lo[i]
         half = p + LENGTH // 2
-        return done, p, self._entries(span_hash(self.sums, p, half), span_hash(self.sums, half, p + LENGTH), multi[i])
+        first, second = span_hash(self.sums, p, half), span_hash(self.sums, half, p + LENGTH)
+        return done, p, Entries.of_items(pair(first, second), first, second, multi[i], self.bits)  # dealt by both, as one half may be common
 
     def removed(self, answers: pa.Table) -> np.ndarray:
         """For each byte, whether a repeated string covers it."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as fv
-from .operators import graph, knn, labels, maintenance, metrics, pq, profile
+from .operators import disk, graph, knn, labels, maintenance, metrics, pq, profile
 from .plans import layouts
 from .plans.tables import written
 
@@ -667,6 +667,61 @@ def pq_adc_topk(spark, sf_dir):
     return pq.table_distances(pq.encode(base, book), asked(base), book, 10)
 
 
+@query(f"""WITH {_PQ}, n AS (SELECT count(*) AS n FROM v) SELECT (id * 7) % n AS id, string_agg(centre::VARCHAR, ',' ORDER BY c) AS code FROM code, n GROUP BY ALL""")
+def pq_codes_permuted(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    codes, n = pq.encode(base, pq.fixed_codebook(base.where("id < 16"), 8)), base.count()
+    moved = disk.permute_codes(codes, base.select(((F.col("id") * 7) % n).alias("new_id"), F.col("id").alias("old_id")))
+    return moved.select("id", F.array_join(F.col("code").cast("array<string>"), ",").alias("code"))
+
+
+# ---------------------------------------------------------------- disk layout and what stays in memory
+
+
+@query(f"""WITH {_E}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), g AS MATERIALIZED (SELECT src AS id, count(*) AS n_nbrs FROM b GROUP BY src),
+    p AS (SELECT 4096 // (256 + 4 * (max(n_nbrs) + 1)) AS per, (SELECT count(*) FROM v) AS n FROM g)
+    SELECT id, n_nbrs, 1 + id // per AS sector, id % per AS slot, 1 + (n + per - 1) // per + id // 16 AS reorder_sector, id % 16 AS reorder_slot FROM g, p""")
+def disk_layout(spark, sf_dir):
+    placed = disk.layout(graph.undirected(edges(spark, sf_dir)), embeddings(spark, sf_dir).count(), 64, 4, 64)
+    return placed.select("id", F.size("nbrs").cast("bigint").alias("n_nbrs"), "sector", "slot", "reorder_sector", "reorder_slot")
+
+
+@query(f"""WITH RECURSIVE {_E}, s AS (SELECT 0::BIGINT AS id, -1::BIGINT AS place UNION ALL SELECT min(id), label FROM v WHERE label IS NOT NULL GROUP BY label),
+    r(id, level) AS (SELECT id, 0::BIGINT FROM s UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.id WHERE r.level < 32),
+    l AS MATERIALIZED (SELECT id, min(level) AS level FROM r GROUP BY id),
+    p AS (SELECT id, 0 AS level, min(place) AS parent FROM s GROUP BY id UNION ALL
+        SELECT c.id, c.level, min(a.id) FROM l c JOIN e ON e.dst = c.id JOIN l a ON a.id = e.src AND a.level = c.level - 1 GROUP BY c.id, c.level),
+    o AS (SELECT id, level, row_number() OVER (ORDER BY level, parent, id) AS at_ FROM p), n AS (SELECT greatest(1, least({BUDGET}, floor(count(*) * 0.1 + 0.5)::BIGINT)) AS n FROM v)
+    SELECT id, level::BIGINT AS level FROM o, n WHERE at_ <= n.n""")
+def cache_list_levels(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    own = base.where("label is not null").groupBy(F.col("label").cast("bigint").alias("place")).agg(F.min("id").alias("id"))
+    starts = own.select("id", "place").unionByName(base.where("id = 0").select("id", F.lit(-1).cast("bigint").alias("place")))
+    return disk.cache_by_levels(edges(spark, sf_dir), starts, BUDGET, base.count())
+
+
+@query(f"""WITH {_TRACE}, c AS (SELECT node_id AS id, count(*) AS n FROM t WHERE event = 'visit' GROUP BY node_id), x AS (SELECT v.id, coalesce(c.n, 0) AS n_visits FROM v LEFT JOIN c USING (id))
+    SELECT id, n_visits FROM (SELECT *, row_number() OVER (ORDER BY n_visits DESC, id) AS at_ FROM x) WHERE at_ <= {BUDGET}""")
+def cache_list_sample_queries(spark, sf_dir):
+    visits = trace(spark, sf_dir).where("event = 'visit'").select("query_id", F.col("node_id").alias("id"))
+    return disk.cache_by_visits(visits, embeddings(spark, sf_dir), BUDGET)
+
+
+@query(f"""WITH {_V}, d AS (SELECT q.id AS query_id, b.id AS id, b.label = 3 AS own, {_L2} AS distance FROM v q, v b WHERE q.id % 100 = 0),
+    r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS at_, row_number() OVER (PARTITION BY query_id, own ORDER BY distance, id) AS own_at, own FROM d)
+    SELECT query_id, id FROM r WHERE at_ <= 10 OR own AND own_at <= 10""")
+def candidate_pool_union(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return disk.union_pools(knn.exact(base, asked(base), 10), knn.exact(base.where("label = 3"), asked(base), 10))
+
+
+@query(f"""WITH {_V}, n AS (SELECT count(*) - 10 AS n FROM v), d AS (SELECT q.id AS query_id, b.id AS id, {_L2} AS distance FROM v q, v b, n WHERE q.id % 100 = 0 AND b.id < n.n),
+    r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM d) SELECT query_id, rank, id, distance FROM r WHERE rank <= 10""")
+def knn_without_frozen(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return disk.without_frozen(knn.exact(base, asked(base), 20), base.count() - 10, 10)
+
+
 # ---------------------------------------------------------------- D: maintenance
 
 

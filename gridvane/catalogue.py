@@ -7,13 +7,15 @@ scaled by 1 + id % 7 (so that metrics rank differently), quantised vectors, labe
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as fv
 from .operators import disk, graph, knn, labels, maintenance, metrics, pq, profile
 from .plans import layouts
-from .plans.tables import written
+from .plans.tables import shared_folder, written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -833,6 +835,44 @@ def range_search_graph(spark, sf_dir):
     return metrics.range_recall(asked(base), knn.in_range(base, asked(base), 1.2), found)
 
 
+def _routed(base):
+    """A routed index in about seven shards, fewer points each than any shard may have."""
+    from .operators import routed, vamana
+
+    size = max(1, min(vamana.SHARD, base.count() // 2))
+    return routed.RoutedIndex.build(base, f"{shared_folder(base.sparkSession)}/tables/{uuid.uuid4().hex}", degree=32, complexity=50, shard_size=size, filtered="labels" in base.columns)
+
+
+@query(None)
+def routed_search(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    index = _routed(base)
+    return _recall(base, asked(base), index.search(asked(base), 10, 100, max(1, index.meta["shards"] // 2)))
+
+
+@query(None)
+def routed_filtered_search(spark, sf_dir):
+    base = labelled(spark, sf_dir)
+    queries = asked(base, F.col("label").cast("bigint").alias("label"))
+    index = _routed(base)
+    found = index.search(queries, 10, 100, index.meta["shards"], universal=99)
+    return metrics.recall_at_k(knn.exact_with_label(base, queries, 20, universal=99), found, 10)
+
+
+@query("SELECT count(*) AS n_points, true AS covered, true AS within FROM embeddings")
+def grown_partitions(spark, sf_dir):
+    """Whether parts of a fifth of the table cover every vector, once or twice, and hold no more than they may."""
+    from .operators import vamana
+
+    base = embeddings(spark, sf_dir)
+    most = max(1, base.count() // 5)
+    dealt = written(vamana.assign_shards(base.select("id", "vec"), most))
+    sizes = dealt.groupBy("shard").count().agg((F.max("count") <= most).alias("within"))
+    per = dealt.groupBy("id").count().agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("copies"))
+    n = base.agg(F.count(F.lit(1)).alias("n_points"))
+    return n.join(F.broadcast(per)).join(F.broadcast(sizes)).select("n_points", ((F.col("n") == F.col("n_points")) & (F.col("copies") <= 2)).alias("covered"), "within")
+
+
 @query(None)
 def kmeans_clusters(spark, sf_dir):
     base = embeddings(spark, sf_dir)

@@ -11,6 +11,9 @@ import math
 
 import numpy as np
 
+#: Points from which a label's start is chosen.
+STARTS = 25
+
 
 def pairwise(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(len(a), len(b)) distances by one matrix product; cosine expects unit vectors."""
@@ -269,3 +272,26 @@ def drop(lists: list[np.ndarray], dead: np.ndarray, x: np.ndarray, degree: int,
                 keep = robust_prune(keep, pairwise(metric, x[i : i + 1], x[keep])[0], x, degree, alpha, metric=metric)
         out.append(keep)
     return out
+
+
+def label_starts(members: dict[int, np.ndarray], n: int, seed: int = 0, pool: int = STARTS) -> dict[int, int]:
+    """A start point for each label: of some of its points, the one that the fewest labels before it start from.
+
+    members: the points of each label. Labels take their turn by number; of equals the smallest point.
+    """
+    rng, used, out = np.random.default_rng(seed), np.zeros(n, np.int64), {}
+    for label in sorted(members):
+        some = members[label]
+        some = np.sort(rng.choice(some, pool, replace=False)) if len(some) > pool else np.sort(some)
+        out[label] = int(some[used[some].argmin()])
+        used[out[label]] += 1
+    return out
+
+
+def members_of(labels: list) -> dict[int, np.ndarray]:
+    """The points of each label, from the labels of each point."""
+    out: dict[int, list[int]] = {}
+    for i, own in enumerate(labels):
+        for v in sorted(set(own or ())):
+            out.setdefault(v, []).append(i)
+    return {v: np.array(p, np.int64) for v, p in out.items()}

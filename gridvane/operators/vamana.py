@@ -13,11 +13,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import check_metric
-from . import kernels, pq
+from ..plans.tables import written
+from . import kernels, partition, pq
 from .graph import nearest_centres
 from .knn import QUERY_BLOCK, distances, ranked
 
@@ -67,23 +68,14 @@ def _with_labels(vectors: DataFrame) -> DataFrame:
     return vectors if "labels" in vectors.columns else vectors.withColumn("labels", F.lit(None).cast("array<bigint>"))
 
 
-def assign_shards(vectors: DataFrame, n: int, copies: int = 2, seed: int = 0) -> DataFrame:
-    """vectors with a shard column: each row in its `copies` nearest of n k-means clusters."""
-    if n <= 1:
-        return vectors.withColumn("shard", F.lit(0))
-    centres = pq.kmeans_distributed(vectors.select("id", "vec"), n, 6, seed)
-    table = vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "query_id bigint, vec array<double>")
-    near = nearest_centres(vectors, table, copies).select("id", F.col("centre").cast("int").alias("shard"))
-    return vectors.join(near, "id")
+def assign_shards(vectors: DataFrame, most: int, copies: int = 2, seed: int = 0) -> DataFrame:
+    """vectors with a shard column: each row in its `copies` nearest of parts that grew until each holds `most` rows at most.
 
-
-def _bounded(rows: DataFrame, shard_size: int) -> DataFrame:
-    """rows(shard, id, ...) with clusters beyond shard_size dealt into even parts by a hash of the id."""
-    n = F.count(F.lit(1))
-    sizes = rows.groupBy("shard").agg(F.when(n <= shard_size, 1).otherwise(F.ceil(n / (0.8 * shard_size))).cast("int").alias("parts"))  # hashing is not quite even
-    sizes = sizes.withColumn("before", F.sum("parts").over(Window.orderBy("shard")) - F.col("parts"))  # a row a cluster
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    return rows.join(sizes, "shard").withColumn("shard", (F.col("before") + part).cast("int")).drop("parts", "before")
+    Parts that still hold more, as equal vectors do, are dealt by a hash of the id.
+    """
+    tree = partition.fit(vectors, most, copies, seed)
+    near = partition.nearest_parts(vectors, tree, copies).select("id", F.col("part").alias("shard"))
+    return partition.bounded(vectors.join(near, "id"), most)
 
 
 def build(vectors: DataFrame, degree: int = DEFAULTS["degree"], width: int = DEFAULTS["width"], alpha: float = DEFAULTS["alpha"], metric: str = "l2", shard_size: int = SHARD, copies: int = 2, seed: int = 0, filtered: bool = False, book: pq.Codebook | None = None) -> DataFrame:
@@ -94,9 +86,8 @@ def build(vectors: DataFrame, degree: int = DEFAULTS["degree"], width: int = DEF
     """
     check_build(degree, width, alpha)
     check_metric(metric)
-    n = vectors.count()
-    shards = 1 if n <= shard_size else math.ceil(n * copies / shard_size)
-    own = degree if shards == 1 else max(4, 2 * degree // 3)
+    one = vectors.limit(shard_size + 1).count() <= shard_size
+    own = degree if one else max(4, 2 * degree // 3)
 
     def make(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("id")
@@ -107,28 +98,23 @@ def build(vectors: DataFrame, degree: int = DEFAULTS["degree"], width: int = DEF
         adjacency, start = kernels.build(_ready(x, metric), own, width, alpha, metric, seed, labels=sets)
         return _rows(table.column("shard")[0].as_py(), ids, table.column("vec").combine_chunks(), [r[r >= 0] for r in adjacency], table.column("labels"), start)
 
-    rows = assign_shards(_with_labels(vectors), shards, copies, seed).select("shard", "id", F.col("vec").cast("array<float>").alias("vec"), F.col("labels").cast("array<bigint>").alias("labels"))
-    rows = _bounded(rows, shard_size) if shards > 1 else rows
+    rows = _with_labels(vectors).select("id", F.col("vec").cast("array<float>").alias("vec"), F.col("labels").cast("array<bigint>").alias("labels"))
+    rows = rows.withColumn("shard", F.lit(0)) if one else assign_shards(rows, shard_size, copies, seed)
     return rows.groupBy("shard").applyInArrow(make, _INDEX)
 
 
-def fitting_shards(n: int, dims: int, degree: int, budget_bytes: int, copies: int = 2) -> int:
-    """The smallest of 1, 3, 5, 7, ... shards of which each fits into a budget, vectors and lists in memory."""
+def points_within(dims: int, degree: int, budget_bytes: int) -> int:
+    """How many points a task's memory budget holds: a vector, a list with its slack, and what goes with them."""
     each = 4 * dims + 8 * math.ceil(1.3 * degree) + 64
-    if budget_bytes < each * copies:
+    if budget_bytes < each:
         raise ValueError("the budget does not hold a single point")
-    if n * each <= budget_bytes:
-        return 1
-    parts = max(3, math.ceil(n * copies * each / budget_bytes))
-    return parts + 1 - parts % 2
+    return budget_bytes // each
 
 
 def build_within(vectors: DataFrame, budget_bytes: int, degree: int = DEFAULTS["degree"], width: int = DEFAULTS["width"], alpha: float = DEFAULTS["alpha"], metric: str = "l2", **options) -> DataFrame:
-    """build() in as many shards as a task's memory budget asks for; a cluster that still would not fit is split."""
-    n = vectors.count()
+    """build() in the fewest of 1, 3, 5, ... shards that each fit into a task's memory budget."""
     dims = vectors.select(F.size("vec").alias("d")).first()
-    shards = fitting_shards(n, dims.d if dims else 1, degree, budget_bytes)
-    return build(vectors, degree, width, alpha, metric, shard_size=max(1, n if shards == 1 else math.ceil(2 * n / shards)), **options)
+    return build(vectors, degree, width, alpha, metric, shard_size=points_within(dims.d if dims else 1, degree, budget_bytes), **options)
 
 
 def build_stitched(points: DataFrame, degree: int = 64, width: int = 100, alpha: float = 1.2, metric: str = "l2", stitched_degree: int | None = None, seed: int = 0, shard_size: int = SHARD) -> DataFrame:
@@ -140,10 +126,9 @@ def build_stitched(points: DataFrame, degree: int = 64, width: int = 100, alpha:
     """
     check_build(degree, width, alpha)
     most = stitched_degree or degree
-    n = points.count()
-    shards = 1 if n <= shard_size else math.ceil(2 * n / shard_size)
-    points = assign_shards(points.select("id", F.col("vec").cast("array<float>").alias("vec"), "labels"), shards, 2, seed)
-    points = _bounded(points, shard_size) if shards > 1 else points
+    points = points.select("id", F.col("vec").cast("array<float>").alias("vec"), "labels")
+    one = points.limit(shard_size + 1).count() <= shard_size
+    points = points.withColumn("shard", F.lit(0)) if one else written(assign_shards(points, shard_size, 2, seed))
     exploded = points.select("shard", "id", "vec", F.explode("labels").alias("label"))
 
     def make(table: pa.Table) -> pa.Table:
@@ -229,7 +214,8 @@ def _searcher(block, label, k, width, metric, universal, book, beam, io_limit, r
         x = _ready(full, metric)
         nbrs = kernels.padded(lists, max((len(v) for v in lists), default=1))
         dead = table.column("dead").combine_chunks().to_numpy(zero_copy_only=False)
-        sets = [frozenset(v or ()) for v in table.column("labels").to_pylist()] if label else None
+        members = kernels.members_of(table.column("labels").to_pylist()) if label else {}
+        firsts = kernels.label_starts(members, len(ids))
         codes = book.encode(full) if book is not None else None
         masks: dict = {}
         rows = []
@@ -239,12 +225,13 @@ def _searcher(block, label, k, width, metric, universal, book, beam, io_limit, r
             allowed, entry = None, starts
             if label:
                 if r["label"] not in masks:
-                    masks[r["label"]] = np.array([r["label"] in s or (universal is not None and universal in s) for s in sets])
-                allowed = masks[r["label"]]
-                own = np.flatnonzero(allowed)
-                # an entry point that has the label: the labels' own starts, else the one nearest their middle
-                entry = starts[allowed[starts]] if allowed[starts].any() else own[:0]
-                entry = np.append(entry, own[((x[own] - x[own].mean(0)) ** 2).sum(1).argmin()]) if len(own) else entry
+                    mask, first = np.zeros(len(x), bool), []
+                    for v in {r["label"], universal if universal is not None else r["label"]} & members.keys():
+                        mask[members[v]] = True
+                        first.append(firsts[v])
+                    # the shard's entry points that have the label, and the label's own start
+                    masks[r["label"]] = mask, np.append(starts[mask[starts]], np.array(first, np.int64))
+                allowed, entry = masks[r["label"]]
             measure = None
             if book is not None:
                 tables = book.tables(q, "l2" if metric != "ip" else "ip")

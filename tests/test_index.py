@@ -72,12 +72,13 @@ def test_build_by_codes_and_within_a_budget(data):
     base, queries = data
     index = vamana.build(base, 16, 32, book=pq.train(base, 5, 64))
     assert recall(base, queries, vamana.search(index, queries.drop("label"), 5, 32)) >= 90
-    assert vamana.fitting_shards(1500, 10, 16, 1 << 20) == 1 and vamana.fitting_shards(1500, 10, 16, 150_000) % 2 == 1
+    most = vamana.points_within(10, 16, 150_000)
+    assert vamana.points_within(10, 16, 1 << 20) > 1500 > most
     with pytest.raises(ValueError):
-        vamana.fitting_shards(10, 10, 16, 100)
+        vamana.points_within(10, 16, 100)
     small = vamana.build_within(base, 150_000, 16, 32).cache()
-    shards = vamana.fitting_shards(1500, 10, 16, 150_000)
-    assert small.groupBy("shard").count().agg(F.max("count")).first()[0] <= -(-3000 // shards)
+    assert small.groupBy("shard").count().agg(F.max("count")).first()[0] <= most
+    assert small.select("shard").distinct().count() < 3 * 3000 / most
     assert recall(base, queries, vamana.search(small, queries.drop("label"), 5, 32)) >= 95
 
 

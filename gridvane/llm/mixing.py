@@ -2,12 +2,17 @@
 
 Every source gets a target number of words. Dividing it by the source's words gives the expected
 copies of each of its documents. Copies that are certain are allocated first: the whole part of what
-is expected. What the target still lacks is a sample with unequal inclusion probabilities: a document
-counts by its size, but one of more than BLOCK words, whose single copy would upset the target, less
-so: p = f / (f + (1 - f) * max(1, size / BLOCK)), f the fraction of a copy that is expected. Documents
-are ranked by the odds of a random number over the inclusion odds, (u / (1 - u)) / (p / (1 - p)), and
-taken in that order until their words reach what is lacking. The random number is a hash of the
-document id, so reruns agree.
+is expected. What the target still lacks is a sample with unequal inclusion probabilities: documents
+are alike, but one that alone makes more than UPSET of what is lacking is less likely, as a single
+copy of it would upset the target. The odds are p / (1 - p) = c * min(1, UPSET * lack / size), and the
+source's one number c is solved for, so that the words times p of all its documents add up to what is
+lacking: p is the probability of inclusion, and where no document is that large it is the same for
+all. Documents are ranked by the odds of a random number over the inclusion odds,
+(u / (1 - u)) / (p / (1 - p)), and taken in that order until the sample has its fixed size, the words
+that are lacking. The random number is a hash of the document id, so reruns agree.
+
+c comes from the words of the source's documents by size, in classes of 1/64 of a power of two (some
+2,000 rows a source whatever its size); the size that enters the odds is the least of its class.
 
 The order within a source is never sorted in one task: words are summed by source and rank bucket,
 which names the one bucket that a source's cut falls in, and only that bucket's rows are sorted.
@@ -31,8 +36,8 @@ from .common import flat, numbered, parts_for, slices, words, written
 
 #: Sources up to which the table of sources (one short row each) is broadcast; beyond, it is joined.
 BROADCAST_SOURCES = 10_000
-#: Words from which on a document is less likely to be sampled.
-BLOCK = 1000
+#: Share of a source's lacking words from which on a document is less likely to be sampled.
+UPSET = 0.01
 
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -81,12 +86,38 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def size_class(size: Column) -> Column:
+    """The least size of the class: sizes below 128 stand alone, larger ones by their seven leading bits."""
+    low = F.greatest(F.length(F.bin(size)) - 7, F.lit(0))
+    step = F.pow(F.lit(2.0), low).cast("bigint")
+    return size - size % step
+
+
+def scales(classes: DataFrame) -> DataFrame:
+    """(source, scale) of classes(source, least, words, lack): the number c of each source."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        lack = table.column("lack")[0].as_py()
+        words_, least = (np.array(table.column(n).to_pylist(), np.float64) for n in ("words", "least"))
+        order = np.argsort(least)  # sums do not depend on the order of arrival
+        words_, w = words_[order], np.minimum(1, UPSET * lack / least[order])
+        low, high = -60.0, 60.0
+        for _ in range(120 if lack > 0 else 0):  # words grow with c; halve its logarithm's range
+            mid = (low + high) / 2
+            odds = np.exp(mid) * w
+            low, high = (mid, high) if (words_ * (odds / (1 + odds))).sum() < lack else (low, mid)
+        return pa.table([table.column("source")[:1], pa.array([float(np.exp((low + high) / 2)) if lack > 0 else 0.0])], names=["source", "scale"])
+
+    return classes.groupBy("source").applyInArrow(solve, f"source {classes.schema['source'].dataType.simpleString()}, scale double")
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 8, uid: Column | None = None,
 ) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken, uid) of every row.
+    """(id, source, size, source_size, target, copies, taken, p, uid) of every row.
 
+    p: the probability that a copy beyond the certain ones is taken.
     weights: of the sources in order of their names by code point, repeating; share: words of the
     mix over words of the corpus; most: copies that no document exceeds; uid: what numbers the rows
     of docs; whoever joins the result with docs gives a column of a written table (common.numbered).
@@ -96,7 +127,7 @@ def mix(
     buckets = 256 * parts_for(base, 1 << 23)
     table = written(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    table = table.withColumn("whole", F.floor(expected).cast("bigint")).withColumn("p", expected - F.floor(expected))
+    table = table.withColumn("whole", F.floor(expected).cast("bigint"))
     table = table.withColumn("lack", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     small = table.count() <= BROADCAST_SOURCES
 
@@ -104,10 +135,14 @@ def mix(
         right = right.withColumnRenamed("source", "its")
         return left.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("its")), "left").drop("its")
 
+    classes = base.where("size > 0").groupBy("source", size_class(F.col("size")).alias("least")).agg(F.sum("size").alias("words"))
+    solved = written(scales(with_source(classes, table.select("source", "lack"))))
+    table = with_source(table, solved)
     u = uniform(F.col("id"), seed)
-    odds = F.col("p") / (1 - F.col("p")) / F.greatest(F.lit(1.0), F.col("size") / BLOCK)
-    rank = (u / (1 - u)) / odds
-    ranked = with_source(base, table).withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), rank))
+    odds = F.col("scale") * F.least(F.lit(1.0), UPSET * F.col("lack") / size_class(F.col("size")))
+    sampled = (F.col("scale") > 0) & (F.col("size") > 0)
+    ranked = with_source(base, table).withColumn("odds", F.when(sampled, odds)).withColumn("p", F.when(sampled, F.col("odds") / (1 + F.col("odds"))).otherwise(0.0))
+    ranked = ranked.withColumn("rank", F.when(F.col("odds") > 0, (u / (1 - u)) / F.col("odds"))).drop("odds", "scale")
     ranked = ranked.withColumn("bucket", F.when(F.col("rank").isNotNull(), F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * buckets), F.lit(buckets - 1))))
 
     sums = ranked.where("rank is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("lack").alias("lack"))
@@ -124,7 +159,7 @@ def mix(
     # without a cut, all sampled rows fit
     rest = x.where("not (bucket <=> cut and bucket is not null)").withColumn("more", F.coalesce((F.col("bucket") < F.coalesce("cut", F.lit(buckets))).cast("bigint"), F.lit(0)))
     out = middle.unionByName(rest).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(F.lit(0)).cast("bigint"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "uid")
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "p", "uid")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

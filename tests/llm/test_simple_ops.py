@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -119,12 +120,18 @@ def brute_mix(rows):
     target, out = brute_targets(sizes), []
     for s in sizes:
         e = min(3.0, target[s] / sizes[s]) if sizes[s] else 0.0
-        whole, f = int(e), e - int(e)
+        whole = int(e)
         lack, ranked = target[s] - whole * sizes[s], []
-        for i, n, _, u in (r for r in rows if r[2] == s):
-            p = f / (f + (1 - f) * max(1, n / mixing.BLOCK)) if f else 0.0
-            if p and n:
-                ranked.append((u / (1 - u) / (p / (1 - p)), i is not None, i or 0, n, i))
+        own = [r for r in rows if r[2] == s]
+        weight = lambda n: min(1, mixing.UPSET * lack / (n >> max(0, n.bit_length() - 7) << max(0, n.bit_length() - 7)))
+        low, high = -60.0, 60.0
+        for _ in range(200):  # the scale at which words times probability add up to what is lacking
+            c = math.exp((low + high) / 2)
+            less = sum(n * (c * weight(n) / (1 + c * weight(n))) for _, n, _, _ in own if n) < lack
+            low, high = ((low + high) / 2, high) if less else (low, (low + high) / 2)
+        for i, n, _, u in own:
+            if n and lack > 0:
+                ranked.append((u / (1 - u) / (c * weight(n)), i is not None, i or 0, n, i))
             else:
                 out.append((i, n, whole if n else 0))
         done = 0
@@ -160,13 +167,33 @@ def test_mixing(spark, odd, which):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
-def test_mixing_prefers_short_documents(spark):
-    """Of documents with one expected share, those above BLOCK words are sampled less often."""
-    docs = spark.createDataFrame([(i, "a " * (8 * mixing.BLOCK if i % 2 else 100), "xyz"[i % 3]) for i in range(3000)], "doc_id bigint, text string, source string")
-    rows = [r for r in mixing.mix(docs).collect() if r.source == "x"]
-    long = [r.copies for r in rows if r.size > 1000]
-    short = [r.copies for r in rows if r.size <= 1000]
-    assert sum(short) / len(short) > 1.2 * sum(long) / len(long) > 0
+@pytest.mark.parametrize("large", [1, 400])
+def test_inclusion_is_as_stated(spark, large):
+    """Over seeds, documents are sampled as often as p says, and p times words adds up to what is lacking.
+
+    large: words of every fourth document over those of the others; 400 times as long, one alone
+    would upset the target.
+    """
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "a " * (5 * (large if i % 4 == 0 else 1)), "xyz"[i % 3]) for i in range(2400)], "doc_id bigint, text string, source string")
+    sizes = mixing.word_counts(docs, "doc_id", "text", "source").toDF("doc_id", "source", "size").toPandas()
+    more, seeds = collections.Counter(), 5
+    for seed in range(seeds):
+        rows = mixing.mix(docs.repartition(2), seed=seed).toPandas()
+        for r in rows.itertuples():
+            more[r.source, r.size] += r.copies - r.target // r.source_size
+    for s, own in rows.groupby("source"):
+        whole = own.target.iloc[0] // own.source_size.iloc[0]
+        assert (own.p * own["size"]).sum() == pytest.approx(own.target.iloc[0] - whole * own.source_size.iloc[0], abs=1e-3)
+        for n, same in own.groupby("size"):
+            assert same.p.nunique() == 1
+            # five standard deviations of independent draws, which fixed-size sampling stays within
+            p, k = same.p.iloc[0], len(same) * seeds
+            assert abs(more[s, n] / k - p) <= 5 * math.sqrt(p * (1 - p) / k) + 0.5 / len(same)
+    assert len(sizes) == 2400
+    if large == 1:
+        assert rows.groupby("source").p.nunique().max() == 1
 
 
 def test_mixing_clashing_names(spark):

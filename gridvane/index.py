@@ -1,8 +1,10 @@
 """Index classes over folders of tables: in memory, on disk, and the dynamic one.
 
-StaticIndex is a graph index; DiskIndex adds product codes that guide the search, so only expanded
-nodes are read in full. Both are a folder with the table "index" and one line of meta (dtype, metric,
-points, dims, degree, ...), which open() reads, so dtype and metric need not be given again.
+StaticIndex is a graph index; DiskIndex keeps product codes and lists in a row a shard and the vectors
+beside them, so a search reads codes, visits the shards it is told to and looks up only the vectors of
+expanded nodes. Both are a folder with the table "index" and one line of meta (dtype, metric, points,
+dims, degree, ...), which open() reads, so dtype and metric need not be given again. RoutedIndex is the
+part of a DiskIndex that a search reads, for labels that are numbers already.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from pyspark.sql import functions as F
 from .functions.vectors import check_metric, converted
 from .operators import labels as label_ops
 from .operators import pq, vamana
+from .operators.routed import RoutedIndex
 from .sources import texts
 from .streaming.dynamic import DynamicIndex
 
-__all__ = ["StaticIndex", "DiskIndex", "DynamicIndex"]
+__all__ = ["StaticIndex", "DiskIndex", "DynamicIndex", "RoutedIndex"]
 
 
 class StaticIndex:
@@ -59,8 +62,13 @@ class StaticIndex:
             index = vamana.build(vectors, degree, complexity, alpha, metric, shard_size)
         meta |= {"dtype": dtype, "metric": metric, "points": vectors.count(), "dims": first.d, "degree": degree, "alpha": alpha, **cls._more(vectors, metric, path)}
         texts.save_tables(path, {"index": index}, meta)
+        cls._beside(texts.load_tables(spark, path, ["index"])[0]["index"], metric, path)
         return cls(spark, path)
 
+    @classmethod
+    def _beside(cls, index: DataFrame, metric: str, path: str) -> None:
+        """Writes what a kind of index has beside the table "index"."""
+
     @classmethod
     def _more(cls, vectors: DataFrame, metric: str, path: str) -> dict:
         return {}
@@ -82,7 +90,10 @@ class StaticIndex:
             if row is None:
                 raise ValueError(f"unknown label {filter_label!r}")
             queries = queries.withColumn("label", F.lit(row.label_id))
-        return vamana.search(self.table, queries, k, complexity, self.meta["metric"], self.meta.get("universal"), **self._options(), **options)
+        return self._found(queries, k, complexity, **options)
+
+    def _found(self, queries: DataFrame, k: int, complexity: int, **options) -> DataFrame:
+        return vamana.search(self.table, queries, k, complexity, self.meta["metric"], self.meta.get("universal"), **options)
 
     def search_one(self, query, k: int, complexity: int, filter_label: str | None = None) -> tuple[list[int], list[float]]:
         """(ids, distances) of one vector."""
@@ -97,10 +108,24 @@ class StaticIndex:
 
 
 class DiskIndex(StaticIndex):
-    """An index whose search is guided by product codes of `pq_chunks` bytes."""
+    """An index whose search is guided by stored product codes of `pq_chunks` bytes.
+
+    search(..., visit=m) goes to the m nearest shards of each query; without it, to all.
+    """
 
     pq_chunks: int = 32
 
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path)
+        self.routed = RoutedIndex(spark, f"{path}/routed")
+
+    @classmethod
+    def _beside(cls, index: DataFrame, metric: str, path: str) -> None:
+        RoutedIndex.pack(index, f"{path}/routed", metric, cls.pq_chunks)
+
+    def _found(self, queries: DataFrame, k: int, complexity: int, visit: int | None = None, **options) -> DataFrame:
+        return self.routed.search(queries, k, complexity, visit or self.routed.meta["shards"], self.meta.get("universal"), **options)
+
     @classmethod
     def _more(cls, vectors: DataFrame, metric: str, path: str) -> dict:
         dims = vectors.select(F.size("vec").alias("d")).first().d

@@ -22,15 +22,19 @@ def pairwise(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return -dots
     if metric == "cosine":
         return 1 - dots
+    if metric == "fast_l2":  # squared distances without the norm of a, which rank alike
+        return (b * b).sum(1)[None, :] - 2 * dots
     return np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * dots)
 
 
-def greedy_search(query: np.ndarray, x: np.ndarray, nbrs: np.ndarray, starts: np.ndarray, width: int, metric: str = "l2", allowed: np.ndarray | None = None, measure=None, beam: int = 1, io_limit: int = 0):
+def greedy_search(query: np.ndarray, x: np.ndarray, nbrs: np.ndarray, starts: np.ndarray, width: int, metric: str = "l2", allowed: np.ndarray | None = None, measure=None, beam: int = 1, io_limit: int = 0, seeds: np.ndarray | None = None, pool: int = 0):
     """Best-first search: (numbers by distance, distances, expanded numbers, hops, comparisons).
 
     Keeps the `width` nearest found and expands the `beam` nearest unexpanded ones at a time until
     none is left. allowed: nodes that may be found at all (labels are checked before distances).
-    measure(ids) gives distances of nodes (a quantised guide), else the vectors are compared.
+    measure(ids) gives distances of nodes (a quantised guide), else the vectors are compared. seeds: of
+    each node, whose pages it lies on; a beam then prefers nodes that lie together (see seed_beam),
+    among the `pool` nearest unexpanded ones.
     """
     measure = measure or (lambda ids: pairwise(metric, query[None, :], x[ids])[0])
     seen = np.zeros(len(x), bool)
@@ -44,7 +48,8 @@ def greedy_search(query: np.ndarray, x: np.ndarray, nbrs: np.ndarray, starts: np
     while not done.all():
         if io_limit and len(expanded) >= io_limit:
             break
-        take = np.flatnonzero(~done)[:beam]
+        take = np.flatnonzero(~done)
+        take = take[:beam] if seeds is None else take[seed_beam(seeds[ids[take]], beam, pool or 2 * beam)]
         done[take] = True
         expanded.extend(ids[take].tolist())
         hops += 1
@@ -62,6 +67,42 @@ def greedy_search(query: np.ndarray, x: np.ndarray, nbrs: np.ndarray, starts: np
     return ids, dist, np.array(expanded, np.int64), hops, compared
 
 
+def seed_beam(seeds: np.ndarray, beam: int, pool: int) -> np.ndarray:
+    """Places of up to `beam` of the first `pool` nodes, given the seeds of nodes by distance.
+
+    The nearest is taken, then each time the nearest of those whose seed one of the taken has, else
+    the nearest of all: what is read together is expanded together.
+    """
+    left, taken, met = list(range(min(pool, len(seeds)))), [], set()
+    while left and len(taken) < beam:
+        at = next((i for i in left if seeds[i] in met), left[0])
+        left.remove(at)
+        taken.append(at)
+        met.add(seeds[at])
+    return np.array(taken, np.int64)
+
+
+def nearest_of_seeds(dist: np.ndarray, done: np.ndarray, seeds: np.ndarray, preferred: set, slack: float) -> int:
+    """The place to expand next in a list by distance: -1 if all is expanded.
+
+    Of the open nodes from the nearest one on, up to the next expanded one and within `slack` of its
+    distance, the nearest whose seed is preferred; the nearest open node if there is none.
+    """
+    open_ = np.flatnonzero(~done)
+    if not len(open_):
+        return -1
+    first = open_[0]
+    after = np.flatnonzero(done[first:])
+    run = np.arange(first, first + after[0] if len(after) else len(dist))
+    run = run[dist[run] <= dist[first] + slack]
+    return int(next((i for i in run if seeds[i] in preferred), first))
+
+
+def open_of_seeds(ids: np.ndarray, done: np.ndarray, seeds: np.ndarray, wanted: set, without: set) -> np.ndarray:
+    """The open nodes whose seed is wanted, but for those in `without`, in the order of the list."""
+    return np.array([i for i, d, s in zip(ids.tolist(), done.tolist(), seeds.tolist()) if not d and s in wanted and i not in without], np.int64)
+
+
 def robust_prune(pool: np.ndarray, dist: np.ndarray, x: np.ndarray, degree: int, alpha: float = 1.2, most: int = 750, metric: str = "l2", labels: list[frozenset] | None = None, own: frozenset | None = None, saturate: bool = False) -> np.ndarray:
     """At most `degree` of the pool, nearest first, none that a chosen one shadows.
 
@@ -110,8 +151,9 @@ def padded(lists: list[np.ndarray], degree: int) -> np.ndarray:
     return out
 
 
-def add_back_edges(lists: list[np.ndarray], changed: np.ndarray, x: np.ndarray, degree: int, alpha: float, metric: str, slack: float = 1.3, labels: list[frozenset] | None = None) -> None:
-    """Gives each neighbour of the changed nodes an edge back; beyond slack * degree, a node is pruned anew."""
+def add_back_edges(lists: list[np.ndarray], changed: np.ndarray, x: np.ndarray, degree: int, alpha: float, metric: str, slack: float = 1.3, labels: list[frozenset] | None = None) -> list[int]:
+    """Gives each neighbour of the changed nodes an edge back; beyond slack * degree, a node is pruned anew. Returns the nodes that got one."""
+    got: list[int] = []
     back: dict[int, list[int]] = {}
     for i in changed.tolist():
         for j in lists[i].tolist():
@@ -124,6 +166,8 @@ def add_back_edges(lists: list[np.ndarray], changed: np.ndarray, x: np.ndarray,
         if len(union) > slack * degree:
             union = robust_prune(union, pairwise(metric, x[j : j + 1], x[union])[0], x, degree, alpha, metric=metric, labels=labels, own=labels[j] if labels is not None else None)
         lists[j] = union
+        got.append(j)
+    return got
 
 
 def visited(points: np.ndarray, x: np.ndarray, nbrs: np.ndarray, starts: np.ndarray, width: int, metric: str = "l2") -> list[np.ndarray]:
@@ -164,8 +208,8 @@ def medoid_of(x: np.ndarray) -> int:
     return int(((x - x.mean(0)) ** 2).sum(1).argmin())
 
 
-def build(x: np.ndarray, degree: int, width: int, alpha: float = 1.2, metric: str = "l2", seed: int = 0, pool: int | None = None, labels: list[frozenset] | None = None) -> tuple[np.ndarray, int]:
-    """(adjacency, medoid) of one shard.
+def build(x: np.ndarray, degree: int, width: int, alpha: float = 1.2, metric: str = "l2", seed: int = 0, pool: int | None = None, labels: list[frozenset] | None = None, start: int | None = None) -> tuple[np.ndarray, int]:
+    """(adjacency, start) of one shard; the start is the medoid unless it is given.
 
     First each point's pool is its exact nearest neighbours (blocks of matrix products) and some random
     points as far reach; pools are pruned, edges get their way back. Then every point is searched for in
@@ -196,7 +240,7 @@ def build(x: np.ndarray, degree: int, width: int, alpha: float = 1.2, metric: st
             ids = ids[ids != a + i]
             lists.append(robust_prune(ids, d[i, ids], x, degree, alpha, metric=metric, labels=labels, own=own(a + i), saturate=True))
     add_back_edges(lists, np.arange(n), x, degree, alpha, metric, labels=labels)
-    start = medoid_of(x)
+    start = medoid_of(x) if start is None else start
     graph = padded(lists, math.ceil(1.3 * degree))
     step = max(1, min(512, (1 << 26) // (2 * n)))
     for a in range(0, n, step):
@@ -244,19 +288,69 @@ def _connect(lists: list[np.ndarray], start: int, x: np.ndarray, degree: int, me
         todo = [int(lost[0])]
 
 
-def insert(x: np.ndarray, lists: list[np.ndarray], first: int, start: int, degree: int, width: int, alpha: float, metric: str) -> None:
-    """Links the points from number `first` on into the graph of those before, one after another."""
-    for p in range(first, len(x)):
-        ids, _, expanded, _, _ = greedy_search(x[p], x[:p], padded(lists[:p], int(1.3 * degree) + 1), np.array([start]), width, metric)
-        pool = np.unique(np.concatenate([ids, expanded]))
-        pool = pool[pool != p]
-        chosen = robust_prune(pool, pairwise(metric, x[p : p + 1], x[pool])[0], x, degree, alpha, metric=metric)
-        lists.append(chosen)
-        add_back_edges(lists, np.array([p]), x, degree, alpha, metric)
+class Sharing:
+    """Indexed by points, says which of them have one of the labels `own`; labels are bits of a row."""
+
+    def __init__(self, labels: list[frozenset]):
+        self.number = {v: i for i, v in enumerate(sorted(set().union(*labels)))}
+        self.bits = np.zeros((len(labels), len(self.number) // 64 + 1), np.uint64)
+        for i, own in enumerate(labels):
+            self.bits[i] = self._row(own)
+        self.own = self.bits[:1]
 
+    def _row(self, labels: frozenset) -> np.ndarray:
+        row = np.zeros(self.bits.shape[1], np.uint64)
+        for v in labels:
+            row[self.number[v] >> 6] |= np.uint64(1) << np.uint64(self.number[v] & 63)
+        return row
 
-def drop(lists: list[np.ndarray], dead: np.ndarray, x: np.ndarray, degree: int, alpha: float, metric: str) -> list[np.ndarray]:
-    """Lists after deletion: a dead neighbour is replaced by its live ones; too many are pruned."""
+    def of(self, labels: frozenset) -> Sharing:
+        self.own = self._row(labels)
+        return self
+
+    def __getitem__(self, points: np.ndarray) -> np.ndarray:
+        return (self.bits[points] & self.own).any(1)
+
+
+def insert(x: np.ndarray, lists: list[np.ndarray], first: int, starts: np.ndarray, degree: int, width: int, alpha: float, metric: str, labels: list[frozenset] | None = None) -> np.ndarray:
+    """Links the points from number `first` on into the graph of those before, one after another; returns the older points whose lists changed.
+
+    With labels a point is also searched for among the points that share one, from the starts of its
+    labels, and pruning minds them. Only the rows of the neighbour matrix that change are written.
+    """
+    n, width_of = len(x), math.ceil(1.3 * degree) + 1
+    graph = np.full((n, max([width_of, *map(len, lists)])), -1, np.int64)
+    graph[: len(lists)] = padded(lists, graph.shape[1])
+    shares = Sharing(labels) if labels is not None else None
+    entry = label_starts(members_of(labels[:first]), first) if labels is not None else {}
+    changed = np.zeros(n, bool)
+
+    def write(i: int) -> None:
+        graph[i] = -1
+        graph[i, : len(lists[i])] = lists[i]
+        changed[i] = True
+
+    for p in range(first, n):
+        ids, _, expanded, _, _ = greedy_search(x[p], x[:p], graph, starts, width, metric)
+        pool = [ids, expanded]
+        own = labels[p] if labels is not None else None
+        if own:
+            known = np.array([entry[v] for v in own if v in entry], np.int64)
+            if len(known):
+                ids, _, expanded, _, _ = greedy_search(x[p], x[:p], graph, known, width, metric, shares.of(own))
+                pool += [ids, expanded]
+            for v in own:
+                entry.setdefault(v, p)
+        pool = np.unique(np.concatenate(pool))
+        lists.append(robust_prune(pool, pairwise(metric, x[p : p + 1], x[pool])[0], x, degree, alpha, metric=metric, labels=labels, own=own, saturate=own is not None))
+        write(p)
+        for j in add_back_edges(lists, np.array([p]), x, degree, alpha, metric, labels=labels):
+            write(j)
+    return np.flatnonzero(changed[:first])
+
+
+def drop(lists: list[np.ndarray], dead: np.ndarray, x: np.ndarray, degree: int, alpha: float, metric: str, labels: list[frozenset] | None = None) -> list[np.ndarray]:
+    """Lists after deletion: a dead neighbour is replaced by its live ones; too many are pruned, minding the labels if they are given."""
     out = []
     for i, own in enumerate(lists):
         if dead[i]:
@@ -269,11 +363,38 @@ def drop(lists: list[np.ndarray], dead: np.ndarray, x: np.ndarray, degree: int,
             keep = np.unique(np.concatenate([keep, more[~dead[more]]]))
             keep = keep[keep != i]
             if len(keep) > degree:
-                keep = robust_prune(keep, pairwise(metric, x[i : i + 1], x[keep])[0], x, degree, alpha, metric=metric)
+                keep = robust_prune(keep, pairwise(metric, x[i : i + 1], x[keep])[0], x, degree, alpha, metric=metric, labels=labels, own=labels[i] if labels is not None else None, saturate=labels is not None)
         out.append(keep)
     return out
 
 
+def connect_labels(lists: list[np.ndarray], labels: list[frozenset], x: np.ndarray, metric: str) -> None:
+    """Makes the points of each label reachable from its start through points that have it.
+
+    A point that is not gets an edge from the nearest one that is, beyond the degree if need be.
+    """
+    members = members_of(labels)
+    for label, start in label_starts(members, len(lists)).items():
+        inside, reached = np.zeros(len(lists), bool), np.zeros(len(lists), bool)
+        inside[members[label]] = True
+        todo = [start]
+        reached[start] = True
+        while True:
+            while todo:
+                new = lists[todo.pop()]
+                new = new[inside[new] & ~reached[new]]
+                reached[new] = True
+                todo.extend(new.tolist())
+            lost = np.flatnonzero(inside & ~reached)
+            if not len(lost):
+                break
+            have = np.flatnonzero(reached)
+            near = have[pairwise(metric, x[lost[:1]], x[have])[0].argmin()]
+            lists[near] = np.append(lists[near], lost[0])
+            reached[lost[0]] = True
+            todo = [int(lost[0])]
+
+
 def label_starts(members: dict[int, np.ndarray], n: int, seed: int = 0, pool: int = STARTS) -> dict[int, int]:
     """A start point for each label: of some of its points, the one that the fewest labels before it start from.
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
+
 
 def insert_new(points: DataFrame, rows: DataFrame, capacity: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(points with the accepted rows, rejected(id, reason)).
@@ -19,11 +21,12 @@ def insert_new(points: DataFrame, rows: DataFrame, capacity: int | None = None)
     x = rows.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(F.monotonically_increasing_id())))
     x = x.join(points.select("id", F.lit(True).alias("__there")), "id", "left")
     reason = F.when(F.col("id") == 0, "reserved").when(F.col("__there") | (F.col("__n") > 1), "duplicate")
+    x = x.withColumn("reason", reason)
     if capacity is not None:
         room = points.agg(F.greatest(F.lit(0), F.lit(capacity) - F.count(F.lit(1))).alias("__room"))
-        x = x.join(F.broadcast(room)).withColumn("__place", F.sum(F.when(reason.isNull(), 1).otherwise(0)).over(Window.orderBy("id", "__n")))
-        reason = F.coalesce(reason, F.when(F.col("__place") > F.col("__room"), "full"))
-    x = x.withColumn("reason", reason)
+        new = numbered(x.where("reason is null"), "id", "__n", place="__place").join(F.broadcast(room))
+        new = new.withColumn("reason", F.when(F.col("__place") > F.col("__room"), "full"))
+        x = x.where("reason is not null").unionByName(new.select(*x.columns))
     return points.unionByName(x.where("reason is null").select(*points.columns)), x.where("reason is not null").select("id", "reason")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
 from ..functions.vectors import norm
 
 
@@ -51,10 +52,12 @@ def range_recall(queries: DataFrame, truth: DataFrame, results: DataFrame) -> Da
 
 def percentile_at(rows: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
     """(by..., share, value): the sorted value at index floor(share * n), counted from 0, the last at most."""
-    by = by or []
-    order = Window.partitionBy(*by).orderBy(value)
-    whole = Window.partitionBy(*by)
-    x = rows.withColumn("__n", F.count(F.lit(1)).over(whole)).withColumn("__at", F.row_number().over(order) - 1)
+    if by:
+        x = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by))).withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1)
+    else:
+        by = []
+        x = numbered(rows, value, place="__at", first=0)
+        x = x.join(F.broadcast(x.agg(F.count(F.lit(1)).alias("__n"))))
     x = x.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
     index = F.least(F.floor(F.col("share") * F.col("__n")), F.col("__n") - 1)
     return x.where(F.col("__at") == index).select(*by, "share", F.col(value).alias("value"))
@@ -68,8 +71,8 @@ def norm_percentiles(vectors: DataFrame, step: int = 5) -> DataFrame:
 
 def count_profile(counts: DataFrame, column: str) -> DataFrame:
     """(percent, value) of the non-zero counts, largest first, at index floor(p (n - 1) / 100)."""
-    order = Window.orderBy(F.desc(column))
-    x = counts.where(F.col(column) > 0).withColumn("at", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    x = numbered(counts.where(F.col(column) > 0).select(column), F.desc(column), place="at", first=0)
+    x = x.join(F.broadcast(x.agg(F.count(F.lit(1)).alias("n"))))
     x = x.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in (1, 5, 10, 25, 50, 75, 90, 95, 99)])))
     return x.where(F.col("at") == F.floor(F.col("percent") * (F.col("n") - 1) / 100)).select(F.col("percent").cast("bigint").alias("percent"), F.col(column).alias("value"))
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .knn import distances
 
 CENTRES = 256
+#: Rounds of codes and rotation.
+OPQ_ROUNDS = 20
 #: Vectors that training reads at most, as a hash sample.
 TRAIN_VECTORS = 256_000
 
@@ -142,7 +144,7 @@ def train(vectors: DataFrame, chunks: int, centres: int = CENTRES, metric: str =
     fit = lambda y: [kmeans(y[:, a:b], centres, seed=seed + i) for i, (a, b) in enumerate(zip(offsets, offsets[1:]))]
     if opq:
         rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(x.shape[1],) * 2))[0]
-        for _ in range(8):  # codes for the rotation, then the rotation for the codes
+        for _ in range(OPQ_ROUNDS):  # codes for the rotation, then the rotation for the codes
             book = Codebook(fit(x @ rotation), offsets)
             u, _, v = np.linalg.svd(x.T @ book.decode(book.encode(x @ rotation)))
             rotation = u @ v

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
+
 
 def node_counters(trace: DataFrame) -> DataFrame:
     """node_profile of a trace: expansions, visits, and credited edges that leave the node."""
@@ -98,8 +100,7 @@ def top4_first(edge_profile: DataFrame) -> DataFrame:
     """(place, id, heat, covered): parents whose four hottest children take all their heat come first, then by heat."""
     x = children(edge_profile).groupBy(F.col("u").alias("id")).agg(F.max("total").alias("heat"), F.sum(F.when(F.col("rn") <= 4, F.col("cnt")).otherwise(0)).alias("top4"))
     x = x.withColumn("covered", F.col("top4") == F.col("heat"))
-    order = Window.orderBy(F.desc("covered"), F.desc("heat"), "id")
-    return x.select(F.row_number().over(order).cast("bigint").alias("place"), "id", "heat", "covered")
+    return numbered(x, F.desc("covered"), F.desc("heat"), "id").select("place", "id", "heat", "covered")
 
 
 def edge_templates(edge_profile: DataFrame, beam: int) -> DataFrame:
@@ -130,7 +131,8 @@ def cooccurrence(templates: DataFrame) -> DataFrame:
 def sweep_cut(edge_profile: DataFrame, seed_share: float, child_share: float) -> DataFrame:
     """(u, v): the hottest share of parents with the hottest share of each one's children, rounded up."""
     heat = out_heat(edge_profile)
-    heat = heat.withColumn("place", F.row_number().over(Window.orderBy(F.desc("heat"), "id"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    heat = numbered(heat, F.desc("heat"), "id")
+    heat = heat.join(F.broadcast(heat.agg(F.count(F.lit(1)).alias("n"))))
     seeds = heat.where(F.col("place") <= F.ceil(F.col("n") * seed_share)).select(F.col("id").alias("u"))
     x = children(edge_profile).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("u")))
     return x.where(F.col("rn") <= F.ceil(F.col("n") * child_share)).join(seeds, "u", "left_semi").select("u", "v")

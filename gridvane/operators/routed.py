@@ -117,7 +117,7 @@ class RoutedIndex:
         """Writes an index of vamana.build(), build_stitched(), insert() or consolidate() for routed search."""
         check_metric(metric)
         spark, index = index.sparkSession, written(index)
-        once = index.select("id", "vec").dropDuplicates(["id"])
+        once = index.where(~vamana.is_frozen(F.col("id"))).select("id", "vec").dropDuplicates(["id"])
         first = index.select(F.size("vec").alias("d")).first()
         if first is None:
             raise ValueError("there are no vectors")
@@ -212,6 +212,7 @@ class RoutedIndex:
                 allowed, starts = entry(v) if label and v is not None else (None, array("starts"))
                 measure = lambda near, t=tables[:, q]: t[chunk, codes[near]].sum(1)
                 _, _, expanded, hops, compared = kernels.greedy_search(own[q], codes, nbrs, starts, width, metric, allowed, measure, beam, io_limit)
+                expanded = expanded[~vamana.is_frozen(ids[expanded])]
                 out.append((ids[expanded], hops, compared, len(expanded)))
             columns = [row["query_ids"].values, pa.array(list(array("vecs").reshape(-1, dims)), pa.list_(pa.float64())), pa.array([o[0] for o in out], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(columns + [pa.array([o[j] for o in out], pa.int64()) for j in (1, 2, 3)], ["query_id", "vec", "ids", "hops", "n_compared", "n_ios"])

@@ -13,7 +13,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import check_metric
@@ -26,6 +27,10 @@ DEFAULTS = {"degree": 64, "width": 100, "alpha": 1.2, "most": 750}
 #: Points of a shard, at most about.
 SHARD = 20_000
 _INDEX = "shard int, id bigint, vec array<float>, nbrs array<bigint>, labels array<bigint>, start boolean"
+#: What a step changed: vec and labels are null where only the list of a point did; gone: the point was taken away.
+CHANGES = _INDEX + ", gone boolean"
+#: Ids from here on stand for start points that are no rows of the table.
+_FROZEN = -(1 << 63)
 
 
 def check_build(degree: int, width: int, alpha: float) -> None:
@@ -48,7 +53,33 @@ def _ready(x: np.ndarray, metric: str) -> np.ndarray:
     return x.astype(np.float32)
 
 
-def _rows(shard: int, ids, vec: pa.Array, lists: list[np.ndarray], labels, start: int) -> pa.Table:
+def is_frozen(ids):
+    """Which ids, in numpy or as a column, stand for start points that no vector of the table has."""
+    return ids < _FROZEN + (1 << 32)
+
+
+def start_points(x: np.ndarray, n: int, kind: str = "medoid", radius: float = 1.0, seed: int = 0) -> np.ndarray:
+    """n vectors to start from: copies of the medoid of x, or random ones at a distance of `radius` from the origin."""
+    if kind == "medoid":
+        return np.repeat(x[kernels.medoid_of(x)][None], n, axis=0)
+    if kind != "sphere":
+        raise ValueError("start points are copies of the medoid or random on a sphere")
+    v = np.random.default_rng(seed).normal(size=(n, x.shape[1]))
+    return radius * v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def empty(spark: SparkSession, dims: int, n: int = 1, radius: float = 1.0, seed: int = 0) -> DataFrame:
+    """An index without vectors: one shard of n random start points, each linked to the others, to insert into."""
+    if n < 1 or dims < 1:
+        raise ValueError("an empty index has a start point and a dimension")
+    vecs = start_points(np.zeros((0, dims)), n, "sphere", radius, seed)
+    ids = [_FROZEN + i for i in range(n)]
+    rows = [(0, ids[i], [float(v) for v in vecs[i]], [j for j in ids if j != ids[i]], None, i == 0) for i in range(n)]
+    return spark.createDataFrame(rows, _INDEX)
+
+
+def _rows(shard: int, ids, vec: pa.Array, lists: list[np.ndarray], labels, start) -> pa.Table:
+    """start: a number, or an array of them."""
     flags = np.zeros(len(ids), bool)
     if len(ids):
         flags[start] = True
@@ -64,6 +95,11 @@ def _local(table: pa.Table):
     return table, ids, _matrix(table.column("vec")), lists, start if len(start) else np.zeros(1, np.int64)
 
 
+def _graph(metric: str) -> str:
+    """What graphs are built by: fast_l2 ranks the neighbours of one point like l2, but is no distance between points."""
+    return "l2" if metric == "fast_l2" else metric
+
+
 def _with_labels(vectors: DataFrame) -> DataFrame:
     return vectors if "labels" in vectors.columns else vectors.withColumn("labels", F.lit(None).cast("array<bigint>"))
 
@@ -78,11 +114,13 @@ def assign_shards(vectors: DataFrame, most: int, copies: int = 2, seed: int = 0)
     return partition.bounded(vectors.join(near, "id"), most)
 
 
-def build(vectors: DataFrame, degree: int = DEFAULTS["degree"], width: int = DEFAULTS["width"], alpha: float = DEFAULTS["alpha"], metric: str = "l2", shard_size: int = SHARD, copies: int = 2, seed: int = 0, filtered: bool = False, book: pq.Codebook | None = None) -> DataFrame:
+def build(vectors: DataFrame, degree: int = DEFAULTS["degree"], width: int = DEFAULTS["width"], alpha: float = DEFAULTS["alpha"], metric: str = "l2", shard_size: int = SHARD, copies: int = 2, seed: int = 0, filtered: bool = False, book: pq.Codebook | None = None, frozen: int = 0, frozen_kind: str = "medoid", radius: float = 1.0) -> DataFrame:
     """An index of vectors(id, vec[, labels]); above shard_size rows in overlapping shards of two thirds the degree.
 
     filtered: pools and pruning mind the labels, so that the points of a label stay connected. book:
-    points are compared by their product codes, as where the vectors themselves would not fit.
+    points are compared by their product codes, as where the vectors themselves would not fit. frozen:
+    so many start points are put into each shard beside the vectors (see start_points); a search starts
+    from them, walks them and never returns them, and they outlive every deletion.
     """
     check_build(degree, width, alpha)
     check_metric(metric)
@@ -94,9 +132,15 @@ def build(vectors: DataFrame, degree: int = DEFAULTS["degree"], width: int = DEF
         ids = table.column("id").to_numpy()
         x = _matrix(table.column("vec"))
         x = book.decode(book.encode(x)) if book is not None else x
-        sets = [frozenset(v or ()) for v in table.column("labels").to_pylist()] if filtered else None
-        adjacency, start = kernels.build(_ready(x, metric), own, width, alpha, metric, seed, labels=sets)
-        return _rows(table.column("shard")[0].as_py(), ids, table.column("vec").combine_chunks(), [r[r >= 0] for r in adjacency], table.column("labels"), start)
+        vec, labels = table.column("vec").combine_chunks(), table.column("labels").combine_chunks()
+        if frozen:
+            first = start_points(x, frozen, frozen_kind, radius, seed)
+            ids, x = np.concatenate([_FROZEN + np.arange(frozen), ids]), np.concatenate([first, x])
+            vec = pa.concat_arrays([pa.array(list(first.astype(np.float32)), pa.list_(pa.float32())), vec.cast(pa.list_(pa.float32()))])
+            labels = pa.concat_arrays([pa.nulls(frozen, labels.type), labels])
+        sets = [frozenset(v or ()) for v in labels.to_pylist()] if filtered else None
+        adjacency, start = kernels.build(_ready(x, metric), own, width, alpha, _graph(metric), seed, labels=sets, start=0 if frozen else None)
+        return _rows(table.column("shard")[0].as_py(), ids, vec, [r[r >= 0] for r in adjacency], labels, np.arange(frozen) if frozen else start)
 
     rows = _with_labels(vectors).select("id", F.col("vec").cast("array<float>").alias("vec"), F.col("labels").cast("array<bigint>").alias("labels"))
     rows = rows.withColumn("shard", F.lit(0)) if one else assign_shards(rows, shard_size, copies, seed)
@@ -134,7 +178,7 @@ def build_stitched(points: DataFrame, degree: int = 64, width: int = 100, alpha:
     def make(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("id")
         ids = table.column("id").to_numpy()
-        adjacency, start = kernels.build(_ready(_matrix(table.column("vec")), metric), degree, width, alpha, metric, seed)
+        adjacency, start = kernels.build(_ready(_matrix(table.column("vec")), metric), degree, width, alpha, _graph(metric), seed)
         src, k = np.nonzero(adjacency >= 0)
         n, shard = len(src), table.column("shard")[0].as_py()
         return pa.table([pa.array([shard] * (n + 1), pa.int32()), pa.array(np.append(ids[src], ids[start])), pa.array(np.append(ids[adjacency[src, k]], -1)), pa.array([False] * n + [True])], names=["shard", "src", "dst", "start"])
@@ -150,7 +194,7 @@ def build_stitched(points: DataFrame, degree: int = 64, width: int = 100, alpha:
         x = _ready(np.concatenate([_matrix(table.column("nvec")), _matrix(table.column("vec"))[:1]]), metric)
         keep = np.arange(len(dst))
         if len(dst) > most:
-            keep = kernels.robust_prune(keep, kernels.pairwise(metric, x[-1:], x[:-1])[0], x, most, alpha, metric=metric)
+            keep = kernels.robust_prune(keep, kernels.pairwise(_graph(metric), x[-1:], x[:-1])[0], x, most, alpha, metric=_graph(metric))
         return pa.table([table.column("shard")[:1], table.column("src")[:1], pa.array([dst[keep].tolist()], pa.list_(pa.int64()))], names=["shard", "id", "nbrs"])
 
     pruned = full.groupBy("shard", "src").applyInArrow(cut, "shard int, id bigint, nbrs array<bigint>")
@@ -162,7 +206,8 @@ def merge_shards(index: DataFrame, degree: int) -> DataFrame:
     """(src, dst): one edge table out of all shards, without copies, at most `degree` a node."""
     from .graph import union_truncate
 
-    return union_truncate([index.select(F.col("id").alias("src"), F.explode("nbrs").alias("dst"))], degree)
+    edges = index.select(F.col("id").alias("src"), F.explode("nbrs").alias("dst"))
+    return union_truncate([edges.where(~is_frozen(F.col("src")) & ~is_frozen(F.col("dst")))], degree)
 
 
 def _query_blocks(queries: DataFrame, label: bool):
@@ -176,9 +221,13 @@ def _query_blocks(queries: DataFrame, label: bool):
         yield rows
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, width: int, metric: str = "l2", universal: int | None = None, tombstones: DataFrame | None = None, book: pq.Codebook | None = None, beam: int = 1, io_limit: int = 0, radius: float | None = None) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, width: int, metric: str = "l2", universal: int | None = None, tombstones: DataFrame | None = None, book: pq.Codebook | None = None, beam: int = 1, io_limit: int = 0, radius: float | None = None, seeds: DataFrame | None = None, random_starts: bool = False) -> DataFrame:
     """(query_id, rank, id, distance, hops, n_compared, n_ios) by graph search in every shard.
 
+    seeds(id, seed): whose pages nodes lie on; a beam prefers nodes that lie together. random_starts:
+    the list begins with the entry point, its neighbours and random points up to its width, as a search
+    by fast_l2 does; an index built for l2 serves it.
+
     queries(query_id, vec[, label]): with a label only points that have it (or the universal one) are
     met. book: product codes guide the search and only expanded nodes are measured in full, as on
     disk; n_ios counts the nodes read. radius: all points found within it are returned, and the list
@@ -192,12 +241,14 @@ def search(index: DataFrame, queries: DataFrame, k: int, width: int, metric: str
     label = "label" in queries.columns
     schema = "query_id bigint, id bigint, distance double, hops bigint, n_compared bigint, n_ios bigint"
     if tombstones is not None:
-        index = index.join(tombstones.select("id", F.lit(True).alias("dead")), "id", "left").withColumn("dead", F.coalesce("dead", F.lit(False)))
+        index = index.join(tombstones.select("id").distinct().withColumn("dead", F.lit(True)), "id", "left").withColumn("dead", F.coalesce("dead", F.lit(False)))
     else:
         index = index.withColumn("dead", F.lit(False))
+    if seeds is not None:
+        index = index.join(seeds.select("id", F.col("seed").cast("bigint").alias("seed")), "id", "left").withColumn("seed", F.coalesce("seed", "id"))
     out = None
     for block in _query_blocks(queries, label):
-        found = index.groupBy("shard").applyInArrow(_searcher(block, label, k, width, metric, universal, book, beam, io_limit, radius), schema)
+        found = index.groupBy("shard").applyInArrow(_searcher(block, label, k, width, metric, universal, book, beam, io_limit, radius, random_starts), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = index.sparkSession.createDataFrame([], schema)
@@ -208,21 +259,25 @@ def search(index: DataFrame, queries: DataFrame, k: int, width: int, metric: str
     return top.join(stats, "query_id").select("query_id", "rank", "id", "distance", "hops", "n_compared", "n_ios")
 
 
-def _searcher(block, label, k, width, metric, universal, book, beam, io_limit, radius):
+def _searcher(block, label, k, width, metric, universal, book, beam, io_limit, radius, random_starts):
     def run(table: pa.Table) -> pa.Table:
         table, ids, full, lists, starts = _local(table)
         x = _ready(full, metric)
         nbrs = kernels.padded(lists, max((len(v) for v in lists), default=1))
-        dead = table.column("dead").combine_chunks().to_numpy(zero_copy_only=False)
+        dead = table.column("dead").combine_chunks().to_numpy(zero_copy_only=False) | is_frozen(ids)
         members = kernels.members_of(table.column("labels").to_pylist()) if label else {}
         firsts = kernels.label_starts(members, len(ids))
         codes = book.encode(full) if book is not None else None
+        own_seeds = table.column("seed").to_numpy() if "seed" in table.column_names else None
         masks: dict = {}
         rows = []
         for r in block:
             q = np.array([r["vec"]], np.float64)
             qx = _ready(q, metric)[0]
             allowed, entry = None, starts
+            if random_starts:
+                some = np.random.default_rng(int(r["query_id"]) & 0xFFFFFFFF).choice(len(x), min(width, len(x)), replace=False)
+                entry = np.unique(np.concatenate([starts, *[lists[s] for s in starts], some]))
             if label:
                 if r["label"] not in masks:
                     mask, first = np.zeros(len(x), bool), []
@@ -238,7 +293,7 @@ def _searcher(block, label, k, width, metric, universal, book, beam, io_limit, r
                 measure = lambda i: sum(t[0, codes[i, c]] for c, t in enumerate(tables))
             w = width
             while True:
-                got, _, expanded, hops, compared = kernels.greedy_search(qx, x, nbrs, entry, w, metric, allowed, measure, beam, io_limit)
+                got, _, expanded, hops, compared = kernels.greedy_search(qx, x, nbrs, entry, w, metric, allowed, measure, beam, io_limit, own_seeds)
                 pool = expanded if book is not None else got
                 pool = pool[~dead[pool]]
                 d = distances(metric, q, full[pool])[0] if len(pool) else np.zeros(0)
@@ -258,49 +313,103 @@ def _searcher(block, label, k, width, metric, universal, book, beam, io_limit, r
 def insert(index: DataFrame, rows: DataFrame, degree: int = 64, width: int = 100, alpha: float = 1.2, metric: str = "l2") -> DataFrame:
     """The index with rows(id, vec[, labels]) linked in, each in the shard whose entry point is nearest.
 
-    A shard that would outgrow SHARD twice over should be built anew.
+    Labels are minded where points have some. A shard that would outgrow SHARD twice over should be built anew.
     """
+    return merged(index, insert_changes(index, rows, degree, width, alpha, metric))
+
+
+def insert_changes(index: DataFrame, rows: DataFrame, degree: int = 64, width: int = 100, alpha: float = 1.2, metric: str = "l2") -> DataFrame:
+    """What insert() changes: the new points, and the older ones that got an edge. Only shards that get a point are read by the graph step."""
     # new columns throughout: rows may come from the index's own table
     rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])
     entries = index.where("start").groupBy("shard").agg(F.min_by("vec", "id").alias("vec")).select(F.col("shard").cast("bigint").alias("query_id"), "vec")
     placed = nearest_centres(rows, entries, 1).select("id", F.col("centre").cast("int").alias("shard"))
     new = _with_labels(rows).join(placed, "id").select(F.col("shard").alias("shard"), F.col("id").alias("id"), F.col("vec").cast("array<float>").alias("vec"), F.col("labels").cast("array<bigint>").alias("labels"))
+    new = written(new)
 
     def link(old: pa.Table, new: pa.Table) -> pa.Table:
         if not new.num_rows:
-            return old.select(["shard", "id", "vec", "nbrs", "labels", "start"])
+            return pa.schema(_EMPTY).empty_table()
         old, ids, full, lists, starts = _local(old)
         new = new.combine_chunks().sort_by("id")
         vec = pa.concat_arrays([old.column("vec").combine_chunks(), new.column("vec").combine_chunks()])
         labels = pa.concat_arrays([old.column("labels").combine_chunks(), new.column("labels").combine_chunks()])
-        x = _ready(_matrix(vec), metric)
-        kernels.insert(x, lists, len(ids), int(starts[0]), degree, width, alpha, metric)
-        return _rows(new.column("shard")[0].as_py(), np.concatenate([ids, new.column("id").to_numpy()]), vec, lists, labels, int(starts[0]))
+        sets = [frozenset(v or ()) for v in labels.to_pylist()]
+        first = len(ids)
+        ids = np.concatenate([ids, new.column("id").to_numpy()])
+        touched = kernels.insert(_ready(_matrix(vec), metric), lists, first, starts, degree, width, alpha, _graph(metric), sets if any(sets) else None)
+        out = _rows(new.column("shard")[0].as_py(), ids, vec, lists, labels, starts)
+        return _changes(out, np.concatenate([touched, np.arange(first, len(ids))]), first)
 
-    return index.groupBy("shard").cogroup(new.groupBy("shard")).applyInArrow(link, _INDEX)
+    near = index.join(new.select(F.col("shard").alias("shard")).distinct(), "shard", "left_semi")
+    return near.groupBy("shard").cogroup(new.groupBy("shard")).applyInArrow(link, CHANGES)
+
+
+_EMPTY = [("shard", pa.int32()), ("id", pa.int64()), ("vec", pa.list_(pa.float32())), ("nbrs", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64())), ("start", pa.bool_()), ("gone", pa.bool_())]
+
+
+def _changes(rows: pa.Table, touched: np.ndarray, first: int) -> pa.Table:
+    """The touched rows; those numbered below first keep their vector and labels elsewhere."""
+    rows, older = rows.take(pa.array(touched)), pa.array(touched < first)
+    columns = {name: rows.column(name).combine_chunks() for name in rows.column_names}
+    for name in ("vec", "labels"):
+        columns[name] = pa.compute.if_else(older, pa.nulls(len(touched), columns[name].type), columns[name])
+    return pa.table(columns | {"gone": pa.array([False] * len(touched))}).cast(pa.schema(_EMPTY))
+
+
+def merged(index: DataFrame, changes: DataFrame) -> DataFrame:
+    """The index after one step's changes. Few changes are broadcast by Catalyst, many are joined."""
+    new = changes.select("shard", "id", *[F.col(c).alias(f"new_{c}") for c in ("vec", "nbrs", "labels", "start", "gone")])
+    pick = lambda c: F.coalesce(F.col(f"new_{c}"), F.col(c)).alias(c)
+    old = index.join(new, ["shard", "id"], "left").where("not coalesce(new_gone, false)")
+    old = old.select("shard", "id", pick("vec"), F.when(F.col("new_gone").isNotNull(), F.col("new_nbrs")).otherwise(F.col("nbrs")).alias("nbrs"), pick("labels"), pick("start"))
+    added = changes.where("vec is not null and not gone").join(index.select("shard", "id"), ["shard", "id"], "left_anti")
+    return old.unionByName(added.select(*old.columns))
 
 
 def consolidate(index: DataFrame, tombstones: DataFrame, degree: int = 64, alpha: float = 1.2, metric: str = "l2") -> DataFrame:
     """The index without the deleted points; their neighbours are linked to what they led to."""
-    marked = index.join(tombstones.select("id", F.lit(True).alias("dead")), "id", "left").withColumn("dead", F.coalesce("dead", F.lit(False)))
+    return merged(index, consolidate_changes(index, tombstones, degree, alpha, metric))
+
+
+def consolidate_changes(index: DataFrame, tombstones: DataFrame, degree: int = 64, alpha: float = 1.2, metric: str = "l2") -> DataFrame:
+    """What consolidate() changes: points that go, and points whose lists or start flags differ afterwards.
+
+    Labels are minded where points have some: pruning keeps what leads on within a label, and the
+    points of a label stay reachable from its start.
+    """
+    tombstones = tombstones.select(F.col("id").alias("id")).distinct()
+    marked = index.join(tombstones.withColumn("dead", F.lit(True)), "id", "left").withColumn("dead", F.coalesce("dead", F.lit(False)) & ~is_frozen(F.col("id")))
+    touched = marked.where("dead").select(F.col("shard").alias("shard")).distinct()
 
     def clean(table: pa.Table) -> pa.Table:
-        table, ids, full, lists, _ = _local(table)
+        table, ids, full, old, starts = _local(table)
         dead = table.column("dead").combine_chunks().to_numpy(zero_copy_only=False)
-        x = _ready(full, metric)
-        lists = kernels.drop(lists, dead, x, degree, alpha, metric)
+        x, n = _ready(full, metric), len(ids)
+        sets = [frozenset(v or ()) for v in table.column("labels").to_pylist()]
+        lists = kernels.drop(old, dead, x, degree, alpha, _graph(metric), sets if any(sets) else None)
         live = np.flatnonzero(~dead)
-        number = np.cumsum(~dead) - 1
-        left = [number[lists[i]] for i in live]
+        flags = np.zeros(n, bool)
         if len(live):
-            start = kernels.medoid_of(x[live])
-            kernels._connect(left, start, x[live], degree, metric)
-        else:
-            start = 0
-        pick = pa.array(live)
-        return _rows(table.column("shard")[0].as_py() if table.num_rows else 0, ids[live], table.column("vec").combine_chunks().take(pick), left, table.column("labels").combine_chunks().take(pick), start)
-
-    return marked.groupBy("shard").applyInArrow(clean, _INDEX)
+            number = np.cumsum(~dead) - 1
+            left = [number[lists[i]] for i in live]
+            kept = number[starts[~dead[starts]]]
+            kept = kept if len(kept) else np.array([kernels.medoid_of(x[live])])
+            kernels._connect(left, int(kept[0]), x[live], degree, _graph(metric))
+            if any(sets):
+                kernels.connect_labels(left, [sets[i] for i in live], x[live], _graph(metric))
+            flags[live[kept]] = True
+            for i, v in zip(live.tolist(), left):
+                lists[i] = live[v]
+        before = np.zeros(n, bool)
+        before[starts] = True
+        differ = dead | (flags != before) | np.array([len(a) != len(b) or (a != b).any() for a, b in zip(old, lists)], bool)
+        at = np.flatnonzero(differ)
+        out = _rows(table.column("shard")[0].as_py(), ids, table.column("vec").combine_chunks(), lists, table.column("labels").combine_chunks(), np.flatnonzero(flags))
+        out = _changes(out, at, n)
+        return out.set_column(out.column_names.index("gone"), "gone", pa.array(dead[at]))
+
+    return marked.join(touched, "shard", "left_semi").groupBy("shard").applyInArrow(clean, CHANGES)
 
 
 def tune_beam(measure, first: int = 2, most: int = 64) -> int:

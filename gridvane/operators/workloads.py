@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
 from .graph import bfs
 
 
@@ -58,25 +59,35 @@ MIXES = {"uniform": (0.0, 0.0, 1.0), "x_only": (1.0, 0.0, 0.0), "y_only": (0.0,
 
 
 def query_mix(vectors: DataFrame, x: DataFrame, y: DataFrame, n: int, mix: str, seed: int = 42) -> DataFrame:
-    """(query_id, vec, source): n queries drawn from regions x(id) and y(id) and from all vectors; "x_then_y" asks x first."""
+    """(query_id, vec, source): n queries drawn from regions x(id) and y(id) and from all vectors; "x_then_y" asks x first.
+
+    Each source gives exactly its share of n. A region that is large enough gives different points, by
+    the smallest hashes; a smaller one, and the draw from all vectors, may give a point again.
+    """
     if mix == "x_then_y":
         a, b = (query_mix(vectors, x, y, k, m, seed) for k, m in ((n - n // 2, "x_only"), (n // 2, "y_only")))
         return a.unionByName(b.withColumn("query_id", F.col("query_id") + (n - n // 2)))
     if mix not in MIXES:
         raise ValueError(f"mix must be x_then_y or one of {sorted(MIXES)}")
-    spark = vectors.sparkSession
-    picks = spark.range(n).withColumn("r", luck(seed, F.col("id")))
     a, b, _ = MIXES[mix]
-    source = F.when(F.col("r") < a, "x").when(F.col("r") < a + b, "y").otherwise("all")
-    picks = picks.select(F.col("id").alias("query_id"), source.alias("source"), luck(seed + 1, F.col("id")).alias("at"))
-    pools = [(x, "x"), (y, "y"), (vectors, "all")]
-    numbered = None
-    for rows, name in pools:
-        part = rows.select("id").withColumn("source", F.lit(name)).withColumn("place", F.row_number().over(Window.orderBy("id")) - 1)
-        numbered = part if numbered is None else numbered.unionByName(part)
-    sizes = numbered.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
-    asked = picks.join(F.broadcast(sizes), "source").withColumn("place", F.floor(F.col("at") * F.col("size")).cast("int"))
-    return asked.join(numbered, ["source", "place"]).join(vectors.select("id", "vec"), "id").select("query_id", "vec", "source")
+    cuts = [0, round(a * n), round((a + b) * n), n]
+    asked = None
+    for i, (pool, name) in enumerate(((x, "x"), (y, "y"), (vectors, "all"))):
+        first, k = cuts[i], cuts[i + 1] - cuts[i]
+        size = pool.count() if k else 0
+        if not size:
+            if k:
+                raise ValueError(f"there is no point to draw {k} queries from")
+            continue
+        rows = numbered(pool.select("id").withColumn("at", luck(seed + i, F.col("id"))), "at", "id", place="place", first=0)
+        if name != "all" and size >= k:
+            got = rows.where(F.col("place") < k).select((F.col("place") + first).alias("query_id"), "id")
+        else:
+            picks = vectors.sparkSession.range(first, first + k).select(F.col("id").alias("query_id"), F.floor(luck(seed + 3, F.col("id")) * size).alias("place"))
+            got = picks.join(rows, "place").select("query_id", "id")
+        got = got.withColumn("source", F.lit(name))
+        asked = got if asked is None else asked.unionByName(got)
+    return asked.join(vectors.select("id", "vec"), "id").select("query_id", "vec", "source")
 
 
 def page_capture(trace: DataFrame, pages: DataFrame) -> DataFrame:

@@ -233,29 +233,24 @@ def templates_of(p: Packer, beam: int) -> list[tuple[int, list[int]]]:
 
 
 def _frontier(p: Packer, templates: list[tuple[int, list[int]]]) -> None:
-    """Templates go where most of their nodes are, if the rest fits, else to a new page."""
+    """What is new of each template, in pieces of a page, goes to the first page that has room for the piece, or to a new one."""
     pages: list[list[int]] = []
-    at: dict[int, int] = {}
+    placed: set[int] = set()
+    from_page = [0] * (p.cap + 1)  # by size of a piece; rooms only shrink, so the first page with room only moves on
     for _, nodes in templates:
-        if sum(map(len, pages)) >= p.budget:
+        if len(placed) >= p.budget:
             break
-        new = [n for n in nodes if n in p.pending and n not in at]
-        if not new:
-            continue
-        votes: dict[int, int] = defaultdict(int)
-        for n in nodes:
-            if n in at:
-                votes[at[n]] += 1
-        fits = [i for i in sorted(votes, key=lambda i: (-votes[i], i)) if len(pages[i]) + len(new) <= p.cap]
+        new = [n for n in nodes if n in p.pending and n not in placed]
         for a in range(0, len(new), p.cap):
             part = new[a : a + p.cap]
-            if fits:
-                i = fits[0]
-            else:
-                i = len(pages)
+            i = from_page[len(part)]
+            while i < len(pages) and len(pages[i]) + len(part) > p.cap:
+                i += 1
+            from_page[len(part)] = i
+            if i == len(pages):
                 pages.append([])
             pages[i] += part
-            at.update((n, i) for n in part)
+            placed.update(part)
     for page in pages:
         p.emit(page)
 

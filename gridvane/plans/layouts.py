@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from ..operators import profile
 from ..operators.graph import undirected
+from .numbering import numbered
 
 
 def hot_nodes(node_profile: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """(place, id, n_expand): expanded nodes by (n_expand descending, id), without excluded(id)."""
     x = node_profile.where("n_expand > 0")
     x = x.join(excluded.select("id"), "id", "left_anti") if excluded is not None else x
-    return x.select(F.row_number().over(Window.orderBy(F.desc("n_expand"), "id")).cast("bigint").alias("place"), "id", "n_expand")
+    return numbered(x.select("id", "n_expand"), F.desc("n_expand"), "id").select("place", "id", "n_expand")
 
 
 def memory_tier(node_profile: DataFrame, n: int, skip: int = 0) -> DataFrame:
@@ -80,10 +81,7 @@ def seed_replica_pages(edge_profile: DataFrame, node_profile: DataFrame, share:
     nodes = F.when(F.col("hot") & (F.col("page_no") == 0), F.concat(F.array("u"), kids)).otherwise(kids)
     pages = pages.select(F.col("u").alias("seed"), (~F.col("hot")).alias("is_cold"), F.col("page_no").cast("bigint").alias("page_no"), nodes.alias("nodes"), "heat", (F.col("heat") / F.greatest(F.lit(1), F.col("n_hot"))).alias("benefit"))
     keys = [F.desc("benefit"), F.desc("heat"), F.col("seed")] if rank == "benefit" else [F.desc("heat"), F.col("seed")]
-    emitted = Window.orderBy("is_cold", "page_no", *keys)
-    pages = pages.withColumn("page_seq", F.row_number().over(emitted).cast("bigint"))
-    before = F.coalesce(F.sum(F.size("nodes").cast("bigint")).over(Window.orderBy("page_seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pages = pages.withColumn("before", before)
+    pages = numbered(pages, "is_cold", "page_no", *keys, place="page_seq", before="before", value=F.size("nodes"))
     pages = pages.where(F.col("before") < budget) if budget else pages
     return pages.select("page_seq", "seed", "page_no", "is_cold", "nodes", "before")
 
@@ -126,10 +124,9 @@ def child_only_pages(edge_profile: DataFrame, node_profile: DataFrame, share: fl
 def _child_pages(x: DataFrame, cap: int, budget: int) -> DataFrame:
     x = x.withColumn("page_no", profile.page_of(F.col("n"), cap, seeded=False).cast("bigint"))
     pages = x.groupBy("u", "page_no").agg(F.max("total").alias("heat"), F.sort_array(F.collect_list(F.struct("n", "v"))).alias("kids"))
-    order = Window.orderBy(F.desc("heat"), "u", "page_no")
-    pages = pages.select(F.row_number().over(order).cast("bigint").alias("page_seq"), F.col("u").alias("seed"), "page_no", F.transform("kids", lambda k: k["v"]).alias("nodes"))
-    before = F.coalesce(F.sum(F.size("nodes").cast("bigint")).over(Window.orderBy("page_seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pages = pages.withColumn("before", before)
+    pages = pages.select("heat", F.col("u").alias("seed"), "page_no", F.transform("kids", lambda k: k["v"]).alias("nodes"))
+    pages = numbered(pages, F.desc("heat"), "seed", "page_no", place="page_seq", before="before", value=F.size("nodes"))
+    pages = pages.select("page_seq", "seed", "page_no", "nodes", "before")
     if budget:
         pages = pages.where(F.col("before") < budget).withColumn("nodes", F.slice("nodes", 1, (F.lit(budget) - F.col("before")).cast("int")))
     return pages
@@ -139,8 +136,9 @@ def permutation(pages: DataFrame, node_profile: DataFrame, nodes: DataFrame) ->
     """(new_id, old_id) of all nodes(id): first by place on pages(page_seq, nodes), then by heat, then by id."""
     on = pages.select("page_seq", F.posexplode("nodes").alias("slot", "id")).groupBy("id").agg(F.min(F.struct("page_seq", "slot")).alias("at"))
     x = nodes.select("id").join(on, "id", "left").join(node_profile.select("id", "n_expand"), "id", "left")
-    order = Window.orderBy(F.col("at").isNull(), "at", F.desc(F.coalesce("n_expand", F.lit(0))), "id")
-    return x.select((F.row_number().over(order) - 1).cast("bigint").alias("new_id"), F.col("id").alias("old_id"))
+    x = x.select("id", "at", F.coalesce("n_expand", F.lit(0)).alias("heat"))
+    x = numbered(x, F.col("at").isNull(), "at", F.desc("heat"), "id", place="new_id", first=0)
+    return x.select("new_id", F.col("id").alias("old_id"))
 
 
 def spans(sectors: DataFrame, by: str = "query_id") -> DataFrame:

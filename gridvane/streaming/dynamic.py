@@ -5,6 +5,10 @@ that names the folders of its tables, so what a step leaves alone is not written
 from the last version below it, in a fresh folder, and named when its tables are there. A batch of a
 stream that is replayed finds its versions named and leaves them; one that was cut short is made
 again from the same base.
+
+An insert or a consolidation writes what it changed (new points, lists that got or lost an edge,
+points that went), not the index: a version is a base and a log of changes, merged when it is read.
+After COMPACT changes the next one writes a new base; compact() does so at any time.
 """
 
 from __future__ import annotations
@@ -21,16 +25,18 @@ from ..plans.tables import written
 
 _POINTS = vamana._INDEX
 _TABLES = {"index": _POINTS, "tombstones": "id bigint"}
+#: Changes that a version may have beside its base.
+COMPACT = 8
 
 
 class DynamicIndex:
     """Insert, delete, consolidate and search over versions; ids are the tags, 0 is reserved."""
 
-    def __init__(self, spark: SparkSession, path: str, metric: str = "l2", degree: int = 64, width: int = 100, alpha: float = 1.2, capacity: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, metric: str = "l2", degree: int = 64, width: int = 100, alpha: float = 1.2, capacity: int | None = None, frozen: int = 0):
         vamana.check_build(degree, width, alpha)
         vamana.check_metric(metric)
         self.spark, self.path, self.metric = spark, path, metric
-        self.degree, self.width, self.alpha, self.capacity = degree, width, alpha, capacity
+        self.degree, self.width, self.alpha, self.capacity, self.frozen = degree, width, alpha, capacity, frozen
 
     # ------------------------------------------------------------ versions
 
@@ -55,8 +61,8 @@ class DynamicIndex:
         fs, path = self._fs()
         return fs.exists(path(f"{self.path}/current/{version}"))
 
-    def _folders(self, version: int) -> dict[str, str]:
-        """The folder of each table of a version, as its commit names them."""
+    def _folders(self, version: int) -> dict:
+        """The folder of each table of a version, as its commit names them, and those of its changes in order."""
         fs, path = self._fs()
         stream = fs.open(path(f"{self.path}/current/{version}"))
         try:
@@ -68,17 +74,41 @@ class DynamicIndex:
         v = self.version() if version is None else version
         if v < 0:
             return self.spark.createDataFrame([], _TABLES[name])
-        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{self._folders(v)[name]}")
-
-    def _commit(self, version: int, base: int, **tables: DataFrame) -> None:
+        folders = self._folders(v)
+        rows = self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{folders[name]}")
+        logs = folders.get("changes", []) if name == "index" else []
+        if not logs:
+            return rows
+        read = self.spark.read.schema(vamana.CHANGES)
+        parts = [read.parquet(f"{self.path}/{f}").withColumn("at", F.lit(i)) for i, f in enumerate(logs)]
+        log = parts[0]
+        for p in parts[1:]:
+            log = log.unionByName(p)
+        # of each point, the last list and flags, and the last vector and labels that a change carries
+        last = lambda c, at=F.col("at"): F.max_by(F.when(at.isNotNull(), F.struct(c)), at)[c].alias(c)
+        carried = F.when(F.col("vec").isNotNull(), F.col("at"))
+        return vamana.merged(rows, log.groupBy("shard", "id").agg(last("vec", carried), last("nbrs"), last("labels", carried), last("start"), last("gone")))
+
+    def _commit(self, version: int, base: int, changes: DataFrame | None = None, **tables: DataFrame) -> None:
         """Writes tables to a fresh folder and then names them, and the base's others, as a version.
 
-        The name appears at once by a rename; who finds it there already leaves it as it is.
+        changes: what the version's index has beyond the base's; written as such, or as a new index
+        where the base has COMPACT of them. The name appears at once by a rename; who finds it there
+        already leaves it as it is.
         """
         own = f"v{version}-{uuid.uuid4().hex}"
+        folders = self._folders(base) if base >= 0 else {}
+        logs = folders.get("changes", [])
+        if changes is not None and len(logs) >= COMPACT:
+            tables["index"] = vamana.merged(self.table("index", base), written(changes))
+        elif changes is not None:
+            changes.write.parquet(f"{self.path}/{own}/changes")
+            folders["changes"] = [*logs, f"{own}/changes"]
+        if "index" in tables:
+            folders["changes"] = []
         for name, t in tables.items():
             t.write.parquet(f"{self.path}/{own}/{name}")
-        folders = (self._folders(base) if base >= 0 else {}) | {name: f"{own}/{name}" for name in tables}
+        folders |= {name: f"{own}/{name}" for name in tables}
         fs, path = self._fs()
         made = path(f"{self.path}/current/_{own}")
         stream = fs.create(made, True)
@@ -94,8 +124,12 @@ class DynamicIndex:
 
     # ------------------------------------------------------------ changes
 
+    def points(self, version: int | None = None) -> DataFrame:
+        """(shard, id, vec, nbrs, labels, start) without start points that are no rows."""
+        return self.table("index", version).where(~vamana.is_frozen(F.col("id")))
+
     def n_live(self) -> int:
-        return self.table("index").select("id").distinct().join(self.table("tombstones"), "id", "left_anti").count()
+        return self.points().select("id").distinct().join(self.table("tombstones"), "id", "left_anti").count()
 
     def insert(self, rows: DataFrame, version: int | None = None) -> DataFrame:
         """Adds rows(id, vec[, labels]); returns rejected(id, reason).
@@ -105,7 +139,7 @@ class DynamicIndex:
         """
         version, base = self._numbers(version)
         index, dead = self.table("index", base), self.table("tombstones", base)
-        old = index.select("id", "vec").dropDuplicates(["id"])
+        old = index.where(~vamana.is_frozen(F.col("id"))).select("id", "vec").dropDuplicates(["id"])
         plain = rows.select("id", F.col("vec").cast("array<float>").alias("vec"))
         accepted, rejected = maintenance.insert_new(old, plain)
         new = accepted.join(old.select("id"), "id", "left_anti")
@@ -116,23 +150,28 @@ class DynamicIndex:
                 raise RuntimeError(f"capacity {self.capacity} would be passed")
             warnings.warn("capacity would be passed: consolidating deletions first", stacklevel=2)
             index = written(vamana.consolidate(index, dead, self.degree, self.alpha, self.metric))
-            if index.select("id").distinct().count() + n_new > self.capacity:
+            if index.where(~vamana.is_frozen(F.col("id"))).select("id").distinct().count() + n_new > self.capacity:
                 raise RuntimeError(f"capacity {self.capacity} would be passed")
             tables = {"index": index, "tombstones": dead.limit(0)}
         labels = rows.select("id", F.col("labels").cast("array<bigint>").alias("labels")).dropDuplicates(["id"]) if "labels" in rows.columns else None
         new = new.join(labels, "id", "left") if labels is not None else new
-        if n_new:
-            tables["index"] = vamana.insert(index, new, self.degree, self.width, self.alpha, self.metric) if not index.isEmpty() else vamana.build(new, self.degree, self.width, self.alpha, self.metric)
+        changes = None
+        if n_new and index.isEmpty():
+            tables["index"] = vamana.build(new, self.degree, self.width, self.alpha, self.metric, filtered=labels is not None, frozen=self.frozen)
+        elif n_new and "index" in tables:  # the index is written anew in any case
+            tables["index"] = vamana.insert(index, new, self.degree, self.width, self.alpha, self.metric)
+        elif n_new:
+            changes = vamana.insert_changes(index, new, self.degree, self.width, self.alpha, self.metric)
         if base < 0:
             tables = {"index": index, "tombstones": dead} | tables
-        self._commit(version, base, **tables)
+        self._commit(version, base, changes, **tables)
         return rejected
 
     def delete(self, ids: DataFrame, version: int | None = None) -> DataFrame:
         """Marks ids(id) as deleted; returns failed(id): unknown or deleted before. The index is not written again."""
         version, base = self._numbers(version)
         index = self.table("index", base)
-        dead, failed = maintenance.lazy_delete(index.select("id").distinct(), self.table("tombstones", base), ids)
+        dead, failed = maintenance.lazy_delete(index.where(~vamana.is_frozen(F.col("id"))).select("id").distinct(), self.table("tombstones", base), ids)
         self._commit(version, base, tombstones=dead, **({"index": index} if base < 0 else {}))
         return failed
 
@@ -140,12 +179,18 @@ class DynamicIndex:
         """Removes deleted points for good; returns a one-row report."""
         version, base = self._numbers(version)
         index, dead = self.table("index", base), self.table("tombstones", base)
-        edges = index.select(F.col("id").alias("src"), F.explode("nbrs").alias("dst"))
-        report = maintenance.consolidate_report(index.select("id").distinct(), edges, dead, self.capacity or 0)
-        clean = vamana.consolidate(index, dead, self.degree, self.alpha, self.metric)
-        self._commit(version, base, index=clean, tombstones=dead.limit(0))
+        real = index.where(~vamana.is_frozen(F.col("id")))
+        edges = real.select(F.col("id").alias("src"), F.explode("nbrs").alias("dst"))
+        report = maintenance.consolidate_report(real.select("id").distinct(), edges.where(~vamana.is_frozen(F.col("dst"))), dead, self.capacity or 0)
+        self._commit(version, base, vamana.consolidate_changes(index, dead, self.degree, self.alpha, self.metric), tombstones=dead.limit(0))
         return report
 
+    def compact(self, version: int | None = None) -> None:
+        """Writes the index with its changes as a new base."""
+        version, base = self._numbers(version)
+        if base >= 0:
+            self._commit(version, base, index=self.table("index", base))
+
     def search(self, queries: DataFrame, k: int, width: int, version: int | None = None, **options) -> DataFrame:
         """As vamana.search; a width below k is raised to k with a warning."""
         if width < k:
@@ -161,7 +206,15 @@ class DynamicIndex:
     # ------------------------------------------------------------ streams
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        """One micro-batch of changes (op, id, vec): inserts, then deletes, then consolidations; versions are its own."""
+        """One micro-batch of changes (op, id, vec[, seq]): inserts, then deletes, then consolidations; versions are its own.
+
+        With a column seq the batch is a log in that order: of the changes of one id the last counts, so
+        a point that is deleted and then inserted is there afterwards. An insert of an id that is there
+        is rejected as always; a log that replaces points deletes and consolidates in an earlier batch.
+        """
+        if "seq" in batch.columns:
+            last = batch.where("id is not null").groupBy("id").agg(F.max_by(F.struct("op", "vec"), "seq").alias("last")).select("last.op", "id", "last.vec")
+            batch = last.unionByName(batch.where("id is null").select("op", "id", "vec"))
         batch = batch.persist()
         try:
             ops = {r.op for r in batch.select("op").distinct().collect()}

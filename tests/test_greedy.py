@@ -87,3 +87,39 @@ def test_best_path_like_brute_force(region):
                 ways += level
             want = max(((t / (len(w) - 1), [-x for x in w[1:]]) for w, t in ways), default=(0, []))[1]
             assert p.path((u, v), hops, [u, v]) == [-x for x in want]
+
+
+def test_frontier_is_first_fit():
+    """Against a plain scan of all pages for each piece."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(50):
+        cap, budget = rng.randint(1, 6), rng.choice([10, 1000])
+        templates = [(1, rng.sample(range(60), rng.randint(1, 10))) for _ in range(30)]
+        eligible = set(rng.sample(range(60), 50))
+        out = []
+
+        class Pages:
+            pending = eligible
+
+            def __init__(self):
+                self.cap, self.budget = cap, budget
+
+            def emit(self, page):
+                out.append(list(page))
+
+        greedy._frontier(Pages(), templates)
+        pages, seen = [], set()
+        for _, nodes in templates:
+            if len(seen) >= budget:
+                break
+            new = [n for n in nodes if n in eligible and n not in seen]
+            for a in range(0, len(new), cap):
+                part = new[a : a + cap]
+                page = next((p for p in pages if len(p) + len(part) <= cap), None)
+                if page is None:
+                    pages.append(page := [])
+                page += part
+                seen.update(part)
+        assert out == pages

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridvane.operators import kernels, knn, maintenance, metrics, pq, vamana
+from gridvane.plans.tables import written
 
 
 @pytest.fixture(scope="module")
@@ -127,6 +128,154 @@ def test_insert_and_consolidate(spark, data):
     assert recall(base.where("id % 7 <> 0"), queries, vamana.search(left, queries.drop("label"), 5, 40)) >= 90
 
 
+def test_labels_outlive_maintenance(data):
+    """A fifth goes in and a fifth comes out; searches by label find what they found before."""
+    base, queries = data
+    truth = lambda rows: knn.exact_with_label(rows, queries, 10)
+    kept = base.where("id % 5 <> 2 or id >= 1250")
+    for index in (vamana.build(base.where("id < 1250"), 16, 32, filtered=True), vamana.build_stitched(base.where("id < 1250"), 12, 32, stitched_degree=16)):
+        grown = written(vamana.insert(written(index), base.where("id >= 1250"), 16, 32))
+        assert grown.count() == 1500
+        assert metrics.recall_at_k(truth(base), vamana.search(grown, queries, 5, 40), 5).first().recall >= 95
+        dead = base.where("id % 5 = 2 and id < 1250").select("id")
+        left = written(vamana.consolidate(grown, dead, 16))
+        assert left.count() == kept.count() and left.where("start").count() >= 1
+        found = vamana.search(left, queries, 5, 40)
+        assert metrics.recall_at_k(truth(kept), found, 5).first().recall >= 95
+        assert found.join(base.select("id", "labels"), "id").join(queries.select("query_id", "label"), "query_id").where("not array_contains(labels, label)").count() == 0
+
+
+def test_points_of_a_label_stay_reachable():
+    rng = np.random.default_rng(8)
+    x = rng.random((120, 4)).astype(np.float32)
+    labels = [frozenset({i % 3, 3 + i % 2}) for i in range(120)]
+    lists = [np.array([(i + 1) % 120]) for i in range(120)]
+    kernels.connect_labels(lists, labels, x, "l2")
+    members = kernels.members_of(labels)
+    for v, start in kernels.label_starts(members, 120).items():
+        seen, todo = {start}, [start]
+        while todo:
+            new = [j for j in lists[todo.pop()].tolist() if v in labels[j] and j not in seen]
+            seen.update(new)
+            todo += new
+        assert seen == set(members[v].tolist())
+
+
+def test_insert_writes_what_it_touches():
+    """The neighbour matrix is not built anew for each point, and lists that did not change are not named."""
+    rng = np.random.default_rng(5)
+    x = rng.random((420, 6)).astype(np.float32)
+    adjacency, start = kernels.build(x[:400], 12, 24)
+    lists = [r[r >= 0] for r in adjacency]
+    before = [v.copy() for v in lists]
+    touched = kernels.insert(x, lists, 400, np.array([start]), 12, 24, 1.2, "l2")
+    assert len(lists) == 420 and max(map(len, lists)) <= 1.3 * 12 + 1
+    assert set(touched) == {i for i in range(400) if not np.array_equal(before[i], lists[i])} and len(touched) < 400
+    found, *_ = kernels.greedy_search(x[410], x, kernels.padded(lists, 20), np.array([start]), 24)
+    assert found[0] == 410
+
+
+def plain_beam(dist, seeds, beam, pool):
+    """Pick after pick, over all that is left, by distance and place."""
+    left, out = [(d, i) for i, d in enumerate(dist)][:pool], []
+    while left and len(out) < beam:
+        together = [c for c in left if any(seeds[c[1]] == seeds[i] for i in out)]
+        best = min(together or left)
+        out.append(best[1])
+        left.remove(best)
+    return out
+
+
+def test_seed_queue_like_plain():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n = int(rng.integers(1, 30))
+        dist, done, seeds = np.sort(rng.random(n)), rng.random(n) < 0.4, rng.integers(0, 6, n)
+        open_ = np.flatnonzero(~done)
+        beam, pool = int(rng.integers(1, 6)), int(rng.integers(1, 12))
+        assert kernels.seed_beam(seeds[open_], beam, pool).tolist() == plain_beam(dist[open_], seeds[open_], beam, pool)
+        preferred, slack = set(rng.integers(0, 6, 2).tolist()), float(rng.random() * 0.4)
+        want = -1
+        if len(open_):
+            near = []
+            for i in range(open_[0], n):
+                if done[i] or dist[i] > dist[open_[0]] + slack:
+                    break
+                near.append(i)
+            want = next((i for i in near if seeds[i] in preferred), int(open_[0]))
+        assert kernels.nearest_of_seeds(dist, done, seeds, preferred, slack) == want
+        ids = rng.permutation(n)
+        without = set(ids[:3].tolist())
+        assert kernels.open_of_seeds(ids, done, seeds, preferred, without).tolist() == [int(i) for i, d, s in zip(ids, done, seeds) if not d and s in preferred and i not in without]
+
+
+def test_search_by_seeds(data):
+    """Beams that prefer nodes of one seed find as much and meet fewer seeds a beam."""
+    base, queries = data
+    index = written(vamana.build(base, 16, 32))
+    seeds = base.select("id", (F.col("id") % 40).alias("seed"))
+    plain, own = queries.drop("label"), vamana.search(index, queries.drop("label"), 5, 40, beam=4, seeds=seeds)
+    assert recall(base, queries, own) >= 95
+    table, ids, x, lists, starts = vamana._local(index.toArrow())
+    nbrs, groups = kernels.padded(lists, 16), ids % 40
+    hops = lambda s: [kernels.greedy_search(np.array(r.vec, np.float32), x.astype(np.float32), nbrs, starts, 40, beam=4, seeds=s)[2] for r in plain.collect()]
+    together = lambda found: np.mean([len(set(groups[e[i : i + 4]])) for e in found for i in range(0, len(e), 4)])
+    assert together(hops(groups)) < together(hops(None))
+
+
+def test_sharing_is_like_sets():
+    rng = np.random.default_rng(6)
+    labels = [frozenset(rng.choice(200, rng.integers(0, 5)).tolist()) for _ in range(300)]
+    shares = kernels.Sharing(labels)
+    for own in labels[:40]:
+        assert shares.of(own)[np.arange(300)].tolist() == [bool(own & v) for v in labels]
+
+
+@pytest.mark.parametrize("kind", ["medoid", "sphere"])
+def test_start_points_are_never_returned(data, kind):
+    base, queries = data
+    index = written(vamana.build(base, 16, 32, frozen=3, frozen_kind=kind, radius=2.0, shard_size=1000))
+    shards = index.select("shard").distinct().count()
+    frozen = index.where(vamana.is_frozen(F.col("id")))
+    assert shards > 1 and frozen.count() == 3 * shards == index.where("start").count()
+    if kind == "sphere":
+        norms = frozen.select(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)).alias("n")).collect()
+        assert all(abs(r.n - 2) < 1e-5 for r in norms)
+    plain = queries.drop("label")
+    found = vamana.search(index, plain, 5, 40)
+    assert found.where(vamana.is_frozen(F.col("id"))).count() == 0 and recall(base, queries, found) >= 95
+    assert vamana.merge_shards(index, 16).where(vamana.is_frozen(F.col("src")) | vamana.is_frozen(F.col("dst"))).count() == 0
+    left = written(vamana.consolidate(index, base.where("id % 3 = 0").select("id").unionByName(frozen.select("id")), 16))
+    assert left.where(vamana.is_frozen(F.col("id"))).count() == 3 * shards
+    assert recall(base.where("id % 3 <> 0"), queries, vamana.search(left, plain, 5, 40)) >= 90
+
+
+def test_insert_into_an_empty_index(spark, data):
+    base, queries = data
+    index = written(vamana.insert(vamana.empty(spark, 10, 2, seed=1), base.where("id < 600"), 16, 32))
+    assert index.count() == 602
+    assert recall(base.where("id < 600"), queries, vamana.search(index, queries.drop("label"), 5, 40)) >= 90
+    gone = written(vamana.consolidate(index, base.select("id"), 16))
+    assert gone.count() == 2 and vamana.search(gone, queries.drop("label"), 5, 40).count() == 0
+    assert vamana.insert(gone, base.where("id < 50"), 16, 32).count() == 52
+    for bad in (lambda: vamana.empty(spark, 0), lambda: vamana.start_points(np.zeros((2, 2)), 1, "x")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_fast_l2_from_random_points(data):
+    base, queries = data
+    index = written(vamana.build(base, 16, 32))
+    plain = queries.drop("label")
+    found = vamana.search(index, plain, 5, 40, "fast_l2", random_starts=True)
+    assert recall(base, queries, found) >= 95
+    # without the query's norm, which is the same for all points: the order of l2
+    exact = {(r.query_id, r.id): r.distance for r in knn.exact(base, queries, 1500, "fast_l2").collect()}
+    assert all(abs(exact[r.query_id, r.id] - r.distance) < 1e-9 for r in found.collect())
+    assert found.agg(F.min("n_compared")).first()[0] >= 40
+    assert sorted(vamana.search(index, plain, 5, 40, "fast_l2", random_starts=True).collect()) == sorted(found.collect())
+
+
 def test_checks(data):
     base, queries = data
     for bad in (lambda: vamana.build(base, 0, 10), lambda: vamana.build(base, 8, 8, 0.5), lambda: vamana.build(base, 8, 8, metric="x"), lambda: vamana.search(base, queries, 10, 5), lambda: vamana.search(base, queries, 0, 5), lambda: knn.exact(base, queries, 0)):

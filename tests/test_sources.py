@@ -1,12 +1,14 @@
 """Files and texts: round trips and refusals."""
 
+import collections
 import json
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridvane.operators import labels
+from gridvane.operators import labels, workloads
 from gridvane.sources import texts, vectors
 
 
@@ -71,10 +73,34 @@ def test_tables(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 5
 
 
-def test_synthetic_labels(spark):
-    zipf = labels.synthetic(spark, 2000, 20, "zipf")
-    n = {r.label: r.n_points for r in labels.label_counts(zipf).collect()}
-    assert abs(n[1] - 1400) < 120 and n[1] > n[5] > n[20]
+def test_synthetic_labels(spark, monkeypatch):
+    for n, block in ((2000, 65_536), (2003, 300), (1, 5), (0, 5)):
+        monkeypatch.setattr(labels, "BLOCK", block)
+        zipf = labels.synthetic(spark, n, 20, "zipf").collect()
+        assert sorted(r.id for r in zipf) == list(range(n))
+        got = collections.Counter(v for r in zipf for v in r.labels)
+        assert {v: got[v] for v in range(1, 21)} == {v: math.ceil(0.7 * n) // v for v in range(1, 21)}
+        assert all(r.labels == sorted(set(r.labels)) and r.labels and (0 not in r.labels or r.labels == [0]) for r in zipf)
+    assert labels.synthetic(spark, 500, 6, "random").where(F.size("labels") > 6).count() == 0
     assert labels.synthetic(spark, 100, 4, "one_per_point").where(F.size("labels") != 1).count() == 0
     with pytest.raises(ValueError):
         labels.synthetic(spark, 1, 1, "x")
+
+
+def test_query_mixes_have_their_counts(spark):
+    base = spark.range(400).select("id", F.array(F.col("id").cast("float")).alias("vec"))
+    x, y = base.where("id < 100").select("id"), base.where("id >= 380").select("id")
+    for mix, want in (("uniform", (0, 0, 50)), ("x_only", (50, 0, 0)), ("mostly_x", (40, 0, 10)), ("mostly_y", (0, 40, 10)), ("both", (25, 25, 0)), ("x_then_y", (25, 25, 0))):
+        rows = workloads.query_mix(base, x, y, 50, mix).collect()
+        assert sorted(r.query_id for r in rows) == list(range(50))
+        n = collections.Counter(r.source for r in rows)
+        assert (n["x"], n["y"], n["all"]) == want
+        inside = {"x": range(100), "y": range(380, 400), "all": range(400)}
+        assert all(int(r.vec[0]) in inside[r.source] for r in rows)
+        if n["x"]:  # large enough: no point twice
+            assert len({r.vec[0] for r in rows if r.source == "x"}) == n["x"]
+        assert sorted(workloads.query_mix(base.repartition(3), x, y, 50, mix).collect()) == sorted(rows)
+    order = sorted(workloads.query_mix(base, x, y, 51, "x_then_y").collect())
+    assert [r.source for r in order] == ["x"] * 26 + ["y"] * 25
+    with pytest.raises(ValueError):
+        workloads.query_mix(base, x.limit(0), y, 5, "x_only")

@@ -83,6 +83,58 @@ def test_replayed_batches(spark, tmp_path):
     assert index._folders(12)["index"] == index._folders(11)["index"] and index.n_live() == 77
 
 
+def test_log_in_its_order(spark, tmp_path):
+    """With a column seq, the last change of an id counts."""
+    index = DynamicIndex(spark, str(tmp_path / "i"), degree=8, width=16)
+    kind = "seq bigint, op string, id bigint, vec array<float>"
+    vec = [0.5] * 6
+    index.apply(points(spark, 30).select(F.lit("insert").alias("op"), "id", "vec"), 0)
+    rows = [(1, "insert", 50, vec), (2, "delete", 50, None), (3, "insert", 50, vec), (4, "insert", 51, vec), (5, "delete", 51, None), (6, "delete", 7, None), (7, "consolidate", None, None)]
+    index.apply(spark.createDataFrame(rows, kind).repartition(3), 1)
+    live = {r.id for r in index.points().select("id").collect()}
+    assert live == set(range(1, 31)) - {7} | {50} and index.table("tombstones").isEmpty()
+
+
+def test_changes_are_what_is_written(spark, tmp_path):
+    """A batch writes in proportion to itself; what is read is the same before and after compaction."""
+    home = tmp_path / "i"
+    index = DynamicIndex(spark, str(home), degree=8, width=16)
+    size = lambda: sum(f.stat().st_size for f in home.rglob("*.parquet"))
+    rows = lambda: sorted((r.shard, r.id, tuple(r.vec), tuple(sorted(r.nbrs)), r.start) for r in index.table("index").collect())
+    index.insert(points(spark, 2000))
+    base = size()
+    index.insert(points(spark, 5, 5000))
+    one = size() - base
+    assert one < base / 4
+    index.delete(points(spark, 3, 40).select("id"))
+    index.consolidate()
+    index.insert(points(spark, 2, 41))  # ids that went come back with other vectors
+    folders = index._folders(index.version())
+    assert len(folders["changes"]) == 3 and folders["index"].startswith("v0-")
+    before = rows()
+    assert len(before) == 2004 and index.n_live() == 2004 and index.vector(40) is None
+    assert np.allclose(index.vector(41), np.random.default_rng(41).random((2, 6))[0])
+    index.compact()
+    assert rows() == before and index._folders(index.version())["changes"] == []
+    for i in range(10):
+        index.insert(points(spark, 1, 6000 + i))
+    assert len(index._folders(index.version())["changes"]) <= 8 and index.n_live() == 2014
+    ask = spark.createDataFrame([(1, index.vector(6009))], "query_id bigint, vec array<float>")
+    assert index.search(ask, 1, 16).first().id == 6009
+
+
+def test_start_points_of_a_dynamic_index(spark, tmp_path):
+    index = DynamicIndex(spark, str(tmp_path / "i"), degree=8, width=16, capacity=60, frozen=2)
+    index.insert(points(spark, 40))
+    assert index.n_live() == 40 and index.table("index").count() == 42
+    index.delete(points(spark, 40).select("id"))
+    assert index.consolidate().first().n_freed == 40 and index.n_live() == 0
+    index.insert(points(spark, 60, 100))  # linked to the start points that stayed
+    ask = spark.createDataFrame([(1, [0.5] * 6)], "query_id bigint, vec array<float>")
+    found = index.search(ask, 10, 30)
+    assert found.count() == 10 and found.where("id < 100").count() == 0
+
+
 def test_sliding_window(spark, tmp_path):
     data = points(spark, 60, 1).select((F.col("id") - 1).alias("position"), "vec")
     index = DynamicIndex(spark, str(tmp_path / "w"), degree=8, width=16)

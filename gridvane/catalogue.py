@@ -873,6 +873,66 @@ def grown_partitions(spark, sf_dir):
     return n.join(F.broadcast(per)).join(F.broadcast(sizes)).select("n_points", ((F.col("n") == F.col("n_points")) & (F.col("copies") <= 2)).alias("covered"), "within")
 
 
+_TREE_CENTRES = 16
+
+
+@query(f"""
+    WITH c AS (SELECT vec_id AS part, embedding AS e FROM embeddings WHERE vec_id < {_TREE_CENTRES}),
+    d AS (
+        SELECT v.vec_id AS id, c.part, list_sum(list_transform(list_zip(v.embedding, c.e), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS d
+        FROM embeddings v, c)
+    SELECT id, part::INT AS part, rank FROM (SELECT id, part, row_number() OVER (PARTITION BY id ORDER BY d, part) AS rank FROM d) WHERE rank <= 3""")
+def tree_nearest_parts(spark, sf_dir):
+    """The three nearest of some centres for every vector, through the tree that routes queries."""
+    from .operators import partition
+
+    base = embeddings(spark, sf_dir)
+    tree = partition.tree_of(base.where(f"id < {_TREE_CENTRES}").select("id", "vec"))
+    return partition.nearest_parts(base, tree, 3).select("id", "part", "rank")
+
+
+@query("SELECT label, ((7 * n + 9) // 10) // label AS n_points FROM (SELECT unnest(range(1, 21)) AS label, (SELECT count(*) FROM embeddings) AS n)")
+def label_quotas(spark, sf_dir):
+    """How many points each of twenty zipf labels is on, for as many points as there are vectors."""
+    dealt = labels.synthetic(spark, embeddings(spark, sf_dir).count(), 20, "zipf")
+    return labels.label_counts(dealt).where("label > 0").select(F.col("label").cast("bigint").alias("label"), "n_points")
+
+
+@query("""
+    WITH n AS (SELECT count(*) // 4 AS n FROM embeddings)
+    SELECT 'x' AS source, round(0.8 * n)::BIGINT AS n_queries FROM n UNION ALL SELECT 'all', n - round(0.8 * n)::BIGINT FROM n""")
+def query_mix_counts(spark, sf_dir):
+    """Queries of each source in a mix of a quarter as many queries as vectors; region x are the vectors of label 0."""
+    from .operators import workloads
+
+    base = embeddings(spark, sf_dir)
+    x, y = base.where("label = 0").select("id"), base.where("label = 1").select("id")
+    return workloads.query_mix(base, x, y, base.count() // 4, "mostly_x").groupBy("source").agg(F.count(F.lit(1)).alias("n_queries"))
+
+
+@query(None)
+def maintained_filtered_search(spark, sf_dir):
+    """Recall by label after a fifth of the vectors went in and a fifth came out."""
+    from .operators import vamana
+
+    base = labelled(spark, sf_dir)
+    index = written(vamana.build(base.where("id % 5 <> 4"), 32, 50, filtered=True))
+    index = written(vamana.insert(index, base.where("id % 5 = 4"), 32, 50))
+    index = written(vamana.consolidate(index, base.where("id % 5 = 3").select("id"), 32))
+    left = base.where("id % 5 <> 3")
+    queries = asked(base, F.col("label").cast("bigint").alias("label"))
+    return metrics.recall_at_k(knn.exact_with_label(left, queries, 20, universal=99), vamana.search(index, queries, 10, 50, universal=99), 10)
+
+
+@query(None)
+def fast_l2_graph_search(spark, sf_dir):
+    from .operators import vamana
+
+    base = scaled(spark, sf_dir)
+    found = vamana.search(written(vamana.build(base, 32, 50, frozen=2)), asked(base), 10, 50, "fast_l2", random_starts=True)
+    return _recall(base, asked(base), found, metric="fast_l2")
+
+
 @query(None)
 def kmeans_clusters(spark, sf_dir):
     base = embeddings(spark, sf_dir)

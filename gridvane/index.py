@@ -19,6 +19,7 @@ from .functions.vectors import check_metric, converted
 from .operators import labels as label_ops
 from .operators import pq, vamana
 from .operators.routed import RoutedIndex
+from .plans.tables import scratch
 from .sources import texts
 from .streaming.dynamic import DynamicIndex
 
@@ -46,6 +47,12 @@ class StaticIndex:
         """
         check_metric(metric, dtype)
         vamana.check_build(degree, complexity, alpha)
+        with scratch(vectors.sparkSession):
+            cls._write(vectors, path, metric, dtype, degree, complexity, alpha, filter_complexity, universal_label, stitched_degree, shard_size)
+        return cls(vectors.sparkSession, path)
+
+    @classmethod
+    def _write(cls, vectors, path, metric, dtype, degree, complexity, alpha, filter_complexity, universal_label, stitched_degree, shard_size) -> None:
         spark, meta = vectors.sparkSession, {}
         vectors = vectors.withColumn("vec", converted(F.col("vec"), dtype))
         first = vectors.select(F.size("vec").alias("d")).first()
@@ -63,7 +70,6 @@ class StaticIndex:
         meta |= {"dtype": dtype, "metric": metric, "points": vectors.count(), "dims": first.d, "degree": degree, "alpha": alpha, **cls._more(vectors, metric, path)}
         texts.save_tables(path, {"index": index}, meta)
         cls._beside(texts.load_tables(spark, path, ["index"])[0]["index"], metric, path)
-        return cls(spark, path)
 
     @classmethod
     def _beside(cls, index: DataFrame, metric: str, path: str) -> None:

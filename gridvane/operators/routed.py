@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import check_metric, distance, normalised
-from ..plans.tables import written
+from ..plans.tables import scratch, written
 from ..sources import texts
 from . import kernels, partition, pq, vamana
 from .knn import ranked
@@ -109,13 +109,20 @@ class RoutedIndex:
 
         copies: shards that a vector's code and list are kept in; the vector itself is kept once.
         """
-        index = vamana.build(vectors, degree, complexity, alpha, metric, shard_size, copies, seed, filtered)
-        return cls.pack(index, path, metric, pq_chunks, seed)
+        with scratch(vectors.sparkSession):
+            index = vamana.build(vectors, degree, complexity, alpha, metric, shard_size, copies, seed, filtered)
+            return cls.pack(index, path, metric, pq_chunks, seed)
 
     @classmethod
     def pack(cls, index: DataFrame, path: str, metric: str = "l2", pq_chunks: int = 32, seed: int = 0) -> RoutedIndex:
         """Writes an index of vamana.build(), build_stitched(), insert() or consolidate() for routed search."""
         check_metric(metric)
+        with scratch(index.sparkSession):
+            cls._write(index, path, metric, pq_chunks, seed)
+        return cls(index.sparkSession, path)
+
+    @staticmethod
+    def _write(index: DataFrame, path: str, metric: str, pq_chunks: int, seed: int) -> None:
         spark, index = index.sparkSession, written(index)
         once = index.where(~vamana.is_frozen(F.col("id"))).select("id", "vec").dropDuplicates(["id"])
         first = index.select(F.size("vec").alias("d")).first()
@@ -133,7 +140,6 @@ class RoutedIndex:
         codebook = spark.createDataFrame([(i, j, c.tolist()) for i, own in enumerate(book.centres) for j, c in enumerate(own)], "chunk int, centre int, vec array<double>")
         meta |= {"offsets": book.offsets.tolist(), "mean": book.mean.tolist() if book.mean is not None else None}
         texts.save_tables(path, {"cells": cells, "parts": tree.parts, "codebook": codebook}, meta)
-        return cls(spark, path)
 
     def route(self, queries: DataFrame, visit: int) -> DataFrame:
         """(query_id, shard) of the `visit` shards whose centres are nearest to each of queries(query_id, vec)."""

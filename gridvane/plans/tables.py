@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that written() made within the innermost scratch(), if there is one.
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a temporary folder for a local master and an error for a cluster."""
@@ -24,4 +30,23 @@ def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder, by the denser of Parquet's codecs, and read again."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what written() makes within, at the end; for steps whose results are elsewhere by then.
+
+    A DataFrame that is built within and not yet written or collected must not leave it.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

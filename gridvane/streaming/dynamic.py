@@ -13,6 +13,7 @@ After COMPACT changes the next one writes a new base; compact() does so at any t
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 import warnings
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maintenance, vamana
-from ..plans.tables import written
+from ..plans.tables import scratch, written
 
 _POINTS = vamana._INDEX
 _TABLES = {"index": _POINTS, "tombstones": "id bigint"}
@@ -29,6 +30,17 @@ _TABLES = {"index": _POINTS, "tombstones": "id bigint"}
 COMPACT = 8
 
 
+def _tidy(step):
+    """The step without the shared tables that it made: what it leaves is named in a version."""
+
+    @functools.wraps(step)
+    def run(self, *args, **options):
+        with scratch(self.spark):
+            return step(self, *args, **options)
+
+    return run
+
+
 class DynamicIndex:
     """Insert, delete, consolidate and search over versions; ids are the tags, 0 is reserved."""
 
@@ -131,6 +143,7 @@ class DynamicIndex:
     def n_live(self) -> int:
         return self.points().select("id").distinct().join(self.table("tombstones"), "id", "left_anti").count()
 
+    @_tidy
     def insert(self, rows: DataFrame, version: int | None = None) -> DataFrame:
         """Adds rows(id, vec[, labels]); returns rejected(id, reason).
 
@@ -175,6 +188,7 @@ class DynamicIndex:
         self._commit(version, base, tombstones=dead, **({"index": index} if base < 0 else {}))
         return failed
 
+    @_tidy
     def consolidate(self, version: int | None = None) -> DataFrame:
         """Removes deleted points for good; returns a one-row report."""
         version, base = self._numbers(version)

@@ -20,10 +20,10 @@ def test_like_a_sort(spark, n, hot):
 
 
 def test_no_task_sees_all_rows(spark):
-    """Spark joins small ranges; told that little is much, it leaves them apart."""
-    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    """Spark joins small ranges unless it is told not to."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
     before = spark.conf.get(name)
-    spark.conf.set(name, "16k")
+    spark.conf.set(name, "false")
     try:
         rows = spark.range(20_000).select("id", (F.col("id") % 2).alias("key"))
         out = numbered(rows, "key", "id")

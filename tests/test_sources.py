@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridvane.operators import labels, workloads
-from gridvane.sources import texts, vectors
+from gridvane.sources import texts, truth, vectors
 
 
 @pytest.mark.parametrize("kind,dtype", [("vecbin", "float"), ("vecbin", "int8"), ("vecbin", "uint8"), ("vecs", "float"), ("vecs", "uint8"), ("vecs", "int32")])
@@ -104,3 +104,38 @@ def test_query_mixes_have_their_counts(spark):
     assert [r.source for r in order] == ["x"] * 26 + ["y"] * 25
     with pytest.raises(ValueError):
         workloads.query_mix(base, x.limit(0), y, 5, "x_only")
+
+
+@pytest.mark.parametrize("far", [True, False])
+def test_truth_files_come_back(spark, tmp_path, far):
+    rng = np.random.default_rng(3)
+    rows = [(q, r, int(rng.integers(0, 2**32)), float(np.float32(rng.random()))) for q in range(700) for r in range(1, 6)]
+    t = spark.createDataFrame(rows, "query_id bigint, rank bigint, id bigint, distance double").repartition(5)
+    t = t if far else t.drop("distance")
+    path = str(tmp_path / "t")
+    truth.write_truth(t, path)
+    back = truth.read_truth(spark, path)
+    assert (tmp_path / "t").stat().st_size == 8 + 4 * 3500 * (2 if far else 1)
+    assert sorted(map(tuple, back.select("query_id", "rank", "id", *(["distance"] if far else [])).collect())) == sorted(r if far else r[:3] for r in rows)
+    for bad in (t.where("query_id <> 3"), t.where("not (query_id = 9 and rank = 2)"), t.withColumn("id", F.col("id") - (1 << 33))):
+        with pytest.raises(ValueError):
+            truth.write_truth(bad, str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists()
+
+
+def test_range_truth_and_id_maps_come_back(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(q, int(i)) for q in range(300) for i in rng.choice(5000, rng.integers(0, 9), replace=False) if q % 7]
+    pairs = spark.createDataFrame(rows, "query_id bigint, id bigint").repartition(5)
+    path = str(tmp_path / "r")
+    truth.write_range_truth(pairs, 300, path)
+    assert sorted(map(tuple, truth.read_range_truth(spark, path).collect())) == sorted(rows)
+    truth.write_range_truth(pairs.limit(0), 4, path)
+    assert truth.read_range_truth(spark, path).count() == 0 and (tmp_path / "r").stat().st_size == 8 + 16
+    with pytest.raises(ValueError):
+        truth.write_range_truth(pairs, 100, path)
+    ids = spark.range(1000).select(F.col("id").alias("place"), (F.col("id") * 4_000_000 + 7).alias("id")).repartition(3)
+    truth.write_id_map(ids, str(tmp_path / "m"))
+    assert sorted(map(tuple, truth.read_id_map(spark, str(tmp_path / "m")).collect())) == sorted(map(tuple, ids.collect()))
+    with pytest.raises(ValueError):
+        truth.write_id_map(ids.where("place > 0"), str(tmp_path / "x"))

@@ -43,6 +43,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
     keep = np.ones(len(code), bool)
     if len(code):
         keep[1:] = (code[1:] != 32) | (code[:-1] != 32)
+        keep[offsets[:-1][offsets[:-1] < len(code)]] = True  # a text's first space is its own, whatever text stands before it
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))[keep]
     code = code[keep]
     space, wide = code == 32, code.astype(np.uint64)

@@ -6,7 +6,7 @@ import contextlib
 import contextvars
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +28,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder, by the denser of Parquet's codecs, and read again."""
+    path = _write(df)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _write(df: DataFrame) -> str:
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, written; the tables that it needed on the way are deleted."""
+    with scratch(spark):
+        df = make()
+        path = _write(df)
     if (made := _MADE.get()) is not None:
         made.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager

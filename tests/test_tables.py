@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridvane.index import RoutedIndex
 from gridvane.plans.numbering import numbered
-from gridvane.plans.tables import scratch, shared_folder, written
+from gridvane.plans.tables import scratch, settled, shared_folder, written
 from gridvane.streaming.dynamic import DynamicIndex
 
 
@@ -32,6 +32,8 @@ def test_scratch(spark, tmp_path):
             written(spark.range(1))
             1 / 0
     assert held(spark) == before
+    kept = settled(spark, lambda: numbered(written(spark.range(10)), "id"))
+    assert len(held(spark) - before) == 1 and kept.where("place = id + 1").count() == 10
 
 
 def test_indexes_leave_no_tables(spark, tmp_path):

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridvane.llm import bpe, exact, langid, mixing, simhash
-from gridvane.llm.common import numbered, written
+from gridvane.llm.common import numbered
 from gridvane.llm.queries import RANKS
+from gridvane.plans.tables import settled
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is rejected if fewer of its letter n-grams than this share belong to the language found.
@@ -65,7 +66,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; in the shared folder, only the documents of the stages stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -162,7 +162,8 @@ def nearest_parts(rows: DataFrame, tree: Tree, m: int, probe: int = PROBE) -> Da
 def tree_of(centres: DataFrame, seed: int = 0) -> Tree:
     """A tree over a table of centres(id, vec), which keep their numbers."""
     n = centres.count()
-    cells = pq.kmeans(pq.sample(centres, 50 * CELLS, seed), 1 if n <= FLAT else min(CELLS, math.ceil(math.sqrt(n))), 6, seed)
+    cells = 1 if n <= FLAT else min(CELLS, math.ceil(math.sqrt(n)))
+    cells = pq.kmeans(pq.sample(centres, max(1000, 50 * cells), seed), cells, 6, seed)
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("id")
@@ -192,7 +193,7 @@ def fit(vectors: DataFrame, cap: int, copies: int = 2, seed: int = 0, probe: int
         raise ValueError("there are no vectors")
     want = 1 if n <= cap else math.ceil(n * copies / cap)
     cells = 1 if want <= FLAT else min(CELLS, math.ceil(math.sqrt(want)))
-    coarse = pq.kmeans(pq.sample(vectors, 50 * CELLS, seed), cells, 6, seed)
+    coarse = pq.kmeans(pq.sample(vectors, max(1000, 50 * cells), seed), cells, 6, seed)
     rate = min(1.0, max(PER_PART * want, 2048) / n)
     part = vectors.where(_luck(seed + 1) < rate)
     coarse, dealt = _present(coarse, written(cells_of(part, coarse)))

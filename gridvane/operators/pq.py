@@ -19,6 +19,8 @@ from .knn import distances
 CENTRES = 256
 #: Rounds of codes and rotation.
 OPQ_ROUNDS = 20
+#: Rows that are compared with all centres at once.
+ASSIGN = 8192
 #: Vectors that training reads at most, as a hash sample.
 TRAIN_VECTORS = 256_000
 
@@ -78,9 +80,12 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
         near = np.minimum(near, ((x - centres[i]) ** 2).sum(1))
     before = np.inf
     for _ in range(rounds):
-        d = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)
-        own = d.argmin(1)
-        residual = float(np.maximum(0, d[np.arange(len(x)), own]).sum())
+        own, residual = np.empty(len(x), np.int64), 0.0
+        for a in range(0, len(x), ASSIGN):
+            part = x[a : a + ASSIGN]
+            d = (part * part).sum(1)[:, None] - 2 * part @ centres.T + (centres * centres).sum(1)
+            own[a : a + ASSIGN] = d.argmin(1)
+            residual += float(np.maximum(0, d.min(1)).sum())
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         n = np.bincount(own, minlength=k)
@@ -122,34 +127,64 @@ def _rows(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def sample(vectors: DataFrame, n: int, seed: int = 0) -> np.ndarray:
-    """About n vectors, chosen by a hash of the id."""
+def sampled(vectors: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """About n of vectors(id, vec), chosen by a hash of the id."""
     total = max(1, vectors.count())
     luck = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / float(1 << 53)
-    rows = vectors.where(luck <= min(1.0, n / total)).select("id", "vec").toPandas().sort_values("id")
+    return vectors.where(luck <= min(1.0, n / total)).select("id", "vec")
+
+
+def sample(vectors: DataFrame, n: int, seed: int = 0) -> np.ndarray:
+    """About n vectors, chosen by a hash of the id, on the driver."""
+    rows = sampled(vectors, n, seed).toPandas().sort_values("id")
     return np.array([np.asarray(v, np.float64) for v in rows["vec"]])
 
 
 def train(vectors: DataFrame, chunks: int, centres: int = CENTRES, metric: str = "l2", opq: bool = False, seed: int = 0, n: int = TRAIN_VECTORS) -> Codebook:
-    """A codebook from about n vectors; the mean is taken off unless metric is ip or opq is set."""
+    """A codebook from about n vectors; the mean is taken off unless metric is ip or opq is set.
+
+    Each chunk is learned by a task of its own from the sample's components of that chunk. With opq
+    the sample comes to the driver, as each round needs all of it for the rotation.
+    """
     if not 0 < centres <= CENTRES:
         raise ValueError(f"centres must be between 1 and {CENTRES}")
-    x = sample(vectors, n, seed)
-    if not len(x):
+    first = vectors.select(F.size("vec").alias("d")).first()
+    if first is None:
         raise ValueError("no vectors to train on")
-    mean = None if opq or metric == "ip" else x.mean(0)
-    x = x - mean if mean is not None else x
-    offsets = chunk_offsets(x.shape[1], chunks)
-    rotation = None
-    fit = lambda y: [kmeans(y[:, a:b], centres, seed=seed + i) for i, (a, b) in enumerate(zip(offsets, offsets[1:]))]
+    offsets = chunk_offsets(first.d, chunks)
     if opq:
-        rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(x.shape[1],) * 2))[0]
-        for _ in range(OPQ_ROUNDS):  # codes for the rotation, then the rotation for the codes
-            book = Codebook(fit(x @ rotation), offsets)
-            u, _, v = np.linalg.svd(x.T @ book.decode(book.encode(x @ rotation)))
-            rotation = u @ v
-        return Codebook(fit(x @ rotation), offsets, None, rotation)
-    return Codebook(fit(x), offsets, mean)
+        return _train_rotated(sample(vectors, n, seed), offsets, centres, seed)
+    centred = metric != "ip"
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("id")
+        i = table.column("chunk")[0].as_py()
+        x = _rows(table.column("part").combine_chunks(), int(offsets[i + 1] - offsets[i]))
+        mean = x.mean(0) if centred else np.zeros(x.shape[1])
+        own = kmeans(x - mean, centres, seed=seed + i)
+        k = len(own)
+        return pa.table([pa.array([i] * k, pa.int32()), pa.array(np.arange(k, dtype=np.int32)), pa.array(list(own), pa.list_(pa.float64())), pa.array([mean] * k, pa.list_(pa.float64()))], names=["chunk", "centre", "vec", "mean"])
+
+    vec = F.col("vec").cast("array<double>")
+    parts = F.array(*[F.struct(F.lit(i).alias("chunk"), F.slice(vec, int(a) + 1, int(b - a)).alias("part")) for i, (a, b) in enumerate(zip(offsets, offsets[1:]))])
+    rows = sampled(vectors, n, seed).select("id", F.explode(parts).alias("p")).select("id", "p.chunk", "p.part")
+    found = rows.groupBy("chunk").applyInArrow(fit, "chunk int, centre int, vec array<double>, mean array<double>").collect()  # a byte's centres a chunk
+    if not found:
+        raise ValueError("no vectors to train on")
+    found.sort(key=lambda r: (r.chunk, r.centre))
+    own = [np.array([r.vec for r in found if r.chunk == i]) for i in range(chunks)]
+    mean = np.concatenate([next(np.array(r.mean) for r in found if r.chunk == i) for i in range(chunks)])
+    return Codebook(own, offsets, mean if centred else None)
+
+
+def _train_rotated(x: np.ndarray, offsets: np.ndarray, centres: int, seed: int) -> Codebook:
+    fit = lambda y: [kmeans(y[:, a:b], centres, seed=seed + i) for i, (a, b) in enumerate(zip(offsets, offsets[1:]))]
+    rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(x.shape[1],) * 2))[0]
+    for _ in range(OPQ_ROUNDS):  # codes for the rotation, then the rotation for the codes
+        book = Codebook(fit(x @ rotation), offsets)
+        u, _, v = np.linalg.svd(x.T @ book.decode(book.encode(x @ rotation)))
+        rotation = u @ v
+    return Codebook(fit(x @ rotation), offsets, None, rotation)
 
 
 def fixed_codebook(rows: DataFrame, chunks: int) -> Codebook:

@@ -24,18 +24,18 @@ def numbered(df: DataFrame, *order: str | Column, place: str = "place", first: i
     """
     names = df.columns
     value = F.lit(0) if value is None else value
-    rows = df.withColumn("__value", value.cast("bigint")).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = written(rows.withColumn("__at", F.monotonically_increasing_id()))
-    rows = rows.withColumn("__range", F.shiftright("__at", _ROW_BITS))
-    counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n"), F.sum("__value").alias("total"))
+    rows = df.withColumn("__numbered_value", value.cast("bigint")).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.withColumn("__numbered_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__numbered_range", F.shiftright("__numbered_at", _ROW_BITS))
+    counts = rows.groupBy("__numbered_range").agg(F.count(F.lit(1)).alias("n"), F.sum("__numbered_value").alias("total"))
     starts, n, total = [], 0, 0
     for r in sorted(counts.collect()):  # a row for each range, as many as shuffle partitions
-        starts.append((r["__range"], n, total))
+        starts.append((r["__numbered_range"], n, total))
         n, total = n + r.n, total + (r.total or 0)
-    out = rows.join(F.broadcast(df.sparkSession.createDataFrame(starts, "__range bigint, __n bigint, __total bigint")), "__range")
-    at = F.col("__n") + F.col("__at").bitwiseAND((1 << _ROW_BITS) - 1) + first
+    out = rows.join(F.broadcast(df.sparkSession.createDataFrame(starts, "__numbered_range bigint, __numbered_n bigint, __numbered_total bigint")), "__numbered_range")
+    at = F.col("__numbered_n") + F.col("__numbered_at").bitwiseAND((1 << _ROW_BITS) - 1) + first
     columns = [*names, at.alias(place)]
     if before is not None:
-        own = Window.partitionBy("__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-        columns.append((F.col("__total") + F.coalesce(F.sum("__value").over(own), F.lit(0))).alias(before))
+        own = Window.partitionBy("__numbered_range").orderBy("__numbered_at").rowsBetween(Window.unboundedPreceding, -1)
+        columns.append((F.col("__numbered_total") + F.coalesce(F.sum("__numbered_value").over(own), F.lit(0))).alias(before))
     return out.select(*columns)

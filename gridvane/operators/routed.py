@@ -7,8 +7,8 @@ A routed index is a folder of tables that a build writes once:
     full      (id, vec): the vectors, bucketed by id
     centres   (id, vec): the mean of each shard, and a tree over them that finds a query's shards
 
-A search has three joins. Queries go to their nearest shards through the tree. Blocks of queries meet
-the row of their shard, which stays in its bucket, and walk its graph by codes. What they expand is
+A search has three joins. Queries go to their nearest shards through the tree. Blocks of queries, all
+that want a shard together, meet its row, which stays in its bucket, and walk its graph by codes. What they expand is
 looked up in the vectors, which stay in their buckets too, and measured in double. Queries are a table
 throughout; only the codebook, of a fixed size, and the tree's first level reach the driver.
 A shard that more than HOT blocks of queries want is dealt to several tasks.
@@ -166,16 +166,19 @@ class RoutedIndex:
         return ranked(best, k).join(stats, "query_id").select("query_id", "rank", "id", "distance", "hops", "n_compared", "n_ios")
 
     def _met(self, blocks: DataFrame) -> DataFrame:
-        """Each block of queries with the row of its shard. Rows of shards move only where many blocks want one."""
+        """The blocks of queries of each shard, put together, with the row of the shard: once, whatever the number of queries.
+
+        Rows of shards move only where more than HOT blocks want one; each copy of it then gets some HOT of them.
+        """
         copies = F.ceil(F.col("count") / HOT).cast("int")
         hot = written(blocks.groupBy("shard").count().where(F.col("count") > HOT).select("shard", copies.alias("copies")))
-        beside = lambda b: b.repartition(self.meta["shard_buckets"], "shard").join(self.walk, "shard")  # noqa: E731  as the buckets lie
+        beside = lambda b: _together(b.repartition(self.meta["shard_buckets"], "shard"), "shard").join(self.walk, "shard")  # noqa: E731  as the buckets lie
         if hot.isEmpty():
             return beside(blocks)
         cold = beside(blocks.join(hot, "shard", "left_anti"))
         dealt = blocks.join(hot, "shard").withColumn("copy", F.pmod(F.xxhash64("query_ids"), F.col("copies")).cast("int")).drop("copies")
         rows = self.walk.join(hot, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-        return cold.unionByName(dealt.join(rows, ["shard", "copy"]).drop("copy"))
+        return cold.unionByName(_together(dealt, "shard", "copy").join(rows, ["shard", "copy"]).drop("copy"))
 
     def _walker(self, label: bool, universal: int | None, width: int, beam: int, io_limit: int):
         book, metric, dims = self.book, self.metric, self.meta["dims"]
@@ -184,14 +187,17 @@ class RoutedIndex:
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = {name: batch.column(name)[i] for name in batch.schema.names}
-                    yield walk(row)
+                    n = len(row["query_ids"].values)
+                    for a in range(0, n, BLOCK):
+                        m = min(BLOCK, n - a)
+                        yield walk(row, row["query_ids"].values.slice(a, m), row["vecs"].values.slice(a * dims, m * dims), row["wanted"].values.slice(a, m))
 
-        def walk(row) -> pa.RecordBatch:
+        def walk(row, query_ids: pa.Array, vecs: pa.Array, wanted: pa.Array) -> pa.RecordBatch:
             array = lambda name: row[name].values.to_numpy(zero_copy_only=False)
             ids = array("ids")
             codes = np.frombuffer(row["codes"].as_buffer(), np.uint8).reshape(len(ids), -1)
             nbrs = np.frombuffer(row["nbrs"].as_buffer(), np.int32).reshape(len(ids), -1)
-            own = vamana._ready(array("vecs").reshape(-1, dims), metric).astype(np.float64)
+            own = vamana._ready(vecs.to_numpy(zero_copy_only=False).reshape(-1, dims), metric).astype(np.float64)
             tables = np.zeros((codes.shape[1], len(own), pq.CENTRES))
             for c, t in enumerate(book.tables(own, "ip" if metric == "ip" else "l2")):
                 tables[c, :, : t.shape[1]] = t
@@ -213,19 +219,24 @@ class RoutedIndex:
                 return seen[v]
 
             out = []
-            wanted = row["wanted"].values.to_pylist()
-            for q, v in enumerate(wanted):
+            for q, v in enumerate(wanted.to_pylist()):
                 allowed, starts = entry(v) if label and v is not None else (None, array("starts"))
                 measure = lambda near, t=tables[:, q]: t[chunk, codes[near]].sum(1)
                 _, _, expanded, hops, compared = kernels.greedy_search(own[q], codes, nbrs, starts, width, metric, allowed, measure, beam, io_limit)
                 expanded = expanded[~vamana.is_frozen(ids[expanded])]
                 out.append((ids[expanded], hops, compared, len(expanded)))
-            columns = [row["query_ids"].values, pa.array(list(array("vecs").reshape(-1, dims)), pa.list_(pa.float64())), pa.array([o[0] for o in out], pa.list_(pa.int64()))]
+            columns = [query_ids, pa.array(list(vecs.to_numpy(zero_copy_only=False).reshape(-1, dims)), pa.list_(pa.float64())), pa.array([o[0] for o in out], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(columns + [pa.array([o[j] for o in out], pa.int64()) for j in (1, 2, 3)], ["query_id", "vec", "ids", "hops", "n_compared", "n_ios"])
 
         return run
 
 
+def _together(blocks: DataFrame, *by: str) -> DataFrame:
+    """The blocks of queries with the same keys as one row."""
+    every = blocks.groupBy(*by).agg(F.collect_list(F.struct("query_ids", "vecs", "wanted")).alias("every"))
+    return every.select(*by, *[F.flatten(F.col(f"every.{c}")).alias(c) for c in ("query_ids", "vecs", "wanted")])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Queries (shard, query_id, vec, label) as rows of up to BLOCK queries of one shard, packed where they are."""
     names = ["shard", "query_ids", "vecs", "wanted"]

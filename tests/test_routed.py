@@ -179,3 +179,15 @@ def test_metrics(spark, base, tmp_path, metric):
     for bad in ((0, 10, 1), (5, 4, 1), (5, 10, 0)):
         with pytest.raises(ValueError):
             index.search(asked(base), *bad)
+
+
+def test_a_shard_comes_once(spark, index):
+    """However many blocks of queries want a shard, they meet its row once, and each query is walked as if alone."""
+    vecs = np.random.default_rng(3).standard_normal((40, 64))
+    rows = [(q % 2, [100 + q, q], [*vecs[q].tolist(), *vecs[39 - q].tolist()], [None, q % 10]) for q in range(40)]
+    blocks = written(spark.createDataFrame(rows, "shard int, query_ids array<bigint>, vecs array<double>, wanted array<bigint>"))
+    met = index._met(blocks)
+    assert sorted((r.shard, len(r.query_ids)) for r in met.select("shard", "query_ids").collect()) == [(0, 40), (1, 40)]
+    walk = index._walker(True, 99, 60, 4, 0)
+    plain = index.walk.join(blocks, "shard").mapInArrow(walk, routed._WALKED)
+    assert sorted(map(tuple, met.mapInArrow(walk, routed._WALKED).collect())) == sorted(map(tuple, plain.collect()))

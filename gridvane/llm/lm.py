@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, lowered, mixed, powers, prefix_sums, span_hash, words
+from .common import PIECE, flat, lowered, mixed, powers, prefix_sums, span_hash, words
 from .exchange import binary_rows, bucket_bits, chunked, measured, sliced_rows
 
 END, SPACE = 10, 32
@@ -63,6 +63,9 @@ _LOW = np.uint64(0xFF)
 #: Leading bits that two bytes share, by their exclusive or.
 _SHARED = np.array([8 - int(i).bit_length() for i in range(256)], np.int64)
 _PLACE = np.arange(8)
+#: Of each byte's eight bits: the place in the tree of bits times KNOTS, and the bit.
+_NODE = ((1 << _PLACE) | (np.arange(256)[:, None] >> (8 - _PLACE))) * KNOTS
+_ONE = (np.arange(256)[:, None] >> (7 - _PLACE)) & 1 == 1
 #: What ends a word, if it is no letter, digit, full stop or comma.
 _MARK = np.array([0 if i > 127 or chr(i).isalnum() or chr(i) in ".," else i for i in range(256)], np.uint8)
 
@@ -146,8 +149,8 @@ class Events:
         pairs.append(_context(LEADS, so_far) | follows)
         return cls(pairs, byte, step.astype(np.int32), begin, token, at, np.add.reduceat((ends - starts + 1), at[:-1]) if len(per) else per)
 
-    def entries(self, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """(distinct pairs of all predictors, ascending; of each predictor, decision -> pair; counts of the pairs)"""
+    def entries(self, count: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray | None]:
+        """(distinct pairs of all predictors, ascending; of each predictor, decision -> pair; counts of the pairs, if those of decisions are given)"""
         found, of, n = [], [], 0
         for p in self.pairs:
             first, own = _distinct(mixed(p))  # pairs of a context are alike in their upper bits, which _distinct() sorts by
@@ -159,7 +162,7 @@ class Events:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         of = [rank.take(o) for o in of]
-        return pair[order], of, sum(np.bincount(o, weights=count, minlength=len(pair)) for o in of)
+        return pair[order], of, None if count is None else sum(np.bincount(o, weights=count, minlength=len(pair)) for o in of)
 
     def counts(self, words: np.ndarray | None = None) -> np.ndarray:
         """How often each decision occurs in the words for which `words` is set."""
@@ -181,19 +184,23 @@ def rated(pair: np.ndarray, of: np.ndarray, children: Children, less: int = 0) -
 
     of: the place of each pair's context in children; less: occurrences of the pair itself to be left out.
     """
-    n = np.diff(children.start)[of]
-    who = np.repeat(np.arange(len(of)), n)
-    child = np.arange(len(who)) + np.repeat(children.start[:-1][of] - (np.cumsum(n) - n), n)
-    shared = _SHARED[(pair & _LOW).astype(np.uint8)[who] ^ children.byte[child]]
-    m = np.bincount(who * 9 + shared, weights=children.count[child], minlength=9 * len(of)).reshape(-1, 9)
-    other = m[:, :8].astype(np.float32)
-    same = np.cumsum(m[:, :0:-1], axis=1)[:, ::-1].astype(np.float32)
-    same = np.maximum(0, same - np.float32(less)) if less else same
-    gate = ((same + other).view(np.int32) >> 23) - 126  # the binary digits of a count
-    np.clip(gate, 0, SEEN - 1, out=gate)
-    gate += np.int32(SEEN) * ((same > 0) & (other > 0))
-    v = np.log((same + np.float32(0.05)) / (other + np.float32(0.05)))
-    return (v.view(np.uint32) & ~np.uint32(31)) | gate.astype(np.uint32)
+    out = np.empty((len(of), 8), np.uint32)
+    for a in range(0, len(of), PIECE):
+        part = slice(a, a + PIECE)
+        start, n = children.start[of[part]], children.start[of[part] + 1] - children.start[of[part]]
+        who = np.repeat(np.arange(len(n)), n)
+        child = np.arange(len(who)) + np.repeat(start - (np.cumsum(n) - n), n)
+        shared = _SHARED[(pair[part] & _LOW).astype(np.uint8)[who] ^ children.byte[child]]
+        m = np.bincount(who * 9 + shared, weights=children.count[child], minlength=9 * len(n)).reshape(-1, 9)
+        other = m[:, :8].astype(np.float32)
+        same = np.cumsum(m[:, :0:-1], axis=1)[:, ::-1].astype(np.float32)
+        same = np.maximum(0, same - np.float32(less)) if less else same
+        gate = ((same + other).view(np.int32) >> 23) - 126  # the binary digits of a count
+        np.clip(gate, 0, SEEN - 1, out=gate)
+        gate += np.int32(SEEN) * ((same > 0) & (other > 0))
+        v = np.log((same + np.float32(0.05)) / (other + np.float32(0.05)))
+        out[part] = (v.view(np.uint32) & ~np.uint32(31)) | gate.astype(np.uint32)
+    return out
 
 
 def _contexts(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,20 +218,19 @@ def _knot(x: np.ndarray) -> np.ndarray:
     return np.rint((np.clip(x, -np.float32(REACH), np.float32(REACH)) + np.float32(REACH)) * np.float32((KNOTS - 1) / (2 * REACH))).astype(np.int64)
 
 
-def _mixed(got: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(mixed predictions, the place of each weight that was used)"""
+def _mixed(got: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(mixed predictions, the place of each weight that was used, the predictions)"""
     lead = (got[LEADS] & np.uint32(31)).astype(np.int64) * GATES
-    at = [lead + (g & np.uint32(31)) for g in got]
+    at, said = [lead + (g & np.uint32(31)) for g in got], [(g & ~np.uint32(31)).view(np.float32) for g in got]
     x = np.zeros(lead.shape, np.float32)
-    for g, w, a in zip(got, weights, at):
-        x += w.take(a, mode="clip") * (g & ~np.uint32(31)).view(np.float32)
-    return x, at
+    for v, w, a in zip(said, weights, at):
+        x += w.take(a, mode="clip") * v
+    return x, at, said
 
 
 def _nodes(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of each bit in the tree of a byte's bits times KNOTS, bit), eight to a byte."""
-    wide = byte.astype(np.int64)[:, None]
-    return ((1 << _PLACE) | (wide >> (8 - _PLACE))) * KNOTS, (wide >> (7 - _PLACE)) & 1 == 1
+    return _NODE.take(byte, axis=0), _ONE.take(byte, axis=0)
 
 
 @dataclass
@@ -235,9 +241,9 @@ class Model:
     def bits(self, events: Events, rates: np.ndarray, of: list[np.ndarray]) -> np.ndarray:
         """Bits of each decision; rates: rated() of the pairs, of: for each predictor, decision -> pair."""
         out, refined, weights = np.zeros(len(events.byte)), self.refined.astype(np.float32).ravel(), self.weights.astype(np.float32)
-        for a in range(0, len(out), 8 * BATCH):
-            part = slice(a, a + 8 * BATCH)
-            x, _ = _mixed([rates.take(o[part], axis=0) for o in of], weights)
+        for a in range(0, len(out), BATCH):
+            part = slice(a, a + BATCH)
+            x, _, _ = _mixed([rates.take(o[part], axis=0) for o in of], weights)
             node, one = _nodes(events.byte[part])
             p = refined.take(node + _knot(np.where(one, x, -x)), mode="clip")
             p = (_squash(x) + np.where(one, p, 1 - p)) * np.float32(0.5)
@@ -256,16 +262,16 @@ def learned(e: Events, many: np.ndarray, rates: np.ndarray, of: list[np.ndarray]
     for a in range(0, len(who), BATCH):
         part = who[a : a + BATCH]
         got = [rates.take(o[part], axis=0) for o in of]
-        x, at = _mixed(got, weights)
+        x, at, said = _mixed(got, weights)
         c = np.repeat(many[part].astype(np.float32), 8)
         node, one = _nodes(e.byte[part])
         place = (node + _knot(np.where(one, x, -x))).ravel()
         refined[0] += np.bincount(place, weights=c, minlength=256 * KNOTS)
         refined[1] += np.bincount(place, weights=c * one.ravel(), minlength=256 * KNOTS)
         error, total = c * (1 - _squash(x)).ravel(), c.sum()
-        for k, g in enumerate(got):
+        for k, v in enumerate(said):
             cell = at[k].ravel()
-            step = np.bincount(cell, weights=error * (g & ~np.uint32(31)).view(np.float32).ravel(), minlength=GATES * GATES) / total
+            step = np.bincount(cell, weights=error * v.ravel(), minlength=GATES * GATES) / total
             square[k] += step * step
             weights[k] += rate * step / np.sqrt(square[k])
             used[k] += np.bincount(cell, weights=c, minlength=GATES * GATES)
@@ -305,9 +311,9 @@ def _values(raw: bytes, kind: type, n: int, at: int, width: int | None = None) -
 
 
 class Chunk:
-    """A chunk's texts, their decisions, and what it asks the buckets for."""
+    """A chunk's texts, their decisions, and what it asks the buckets for; counted: also how often they occur in training texts."""
 
-    def __init__(self, docs: pa.Table, bits: int):
+    def __init__(self, docs: pa.Table, bits: int, counted: bool = True):
         self.docs = docs.combine_chunks().sort_by("uid")
         self.held = self.docs.column("held").to_numpy(zero_copy_only=False).astype(bool)
         data, offsets = flat(self.docs.column("text"))
@@ -316,7 +322,7 @@ class Chunk:
         self.n_tokens = np.diff(e.at) + (e.size > 1)  # an empty text has one token, the end
         self.doc = np.repeat(np.arange(len(self.held)), np.diff(e.at))
         del data
-        self.many = e.counts(~self.held[self.doc])
+        self.many = e.counts(~self.held[self.doc]) if counted else None
         self.pair, self.of, self.count = e.entries(self.many)
         self.first, self.context = _contexts(self.pair)
         self.bucket = (self.pair[self.first] >> np.uint64(63 - bits)) >> np.uint64(1)
@@ -355,27 +361,31 @@ class Chunk:
 
 _NAMES = ["bucket", "chunk", "pairs", "contexts", "texts"]
 _KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-_SAID, _SAID_KINDS = ["chunk", "bucket", "said", "tokens", "known"], [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-_SUMS = "chunk int, bucket int, said binary, tokens bigint, known bigint"
+_SAID, _SAID_KINDS = ["chunk", "bucket", "said"], [pa.int32(), pa.int32(), pa.binary()]
+_TALLY, _TALLY_KINDS = ["bucket", "taught", "tokens", "known"], [pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+_SUMS = "bucket int, taught binary, tokens bigint, known bigint"
 _SENT = "bucket int, chunk int, pairs binary, contexts bigint, texts bigint"
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    """To each chunk of one bucket, the bytes that followed its contexts; to chunk -1, training tokens and how many differ.
+def _sent(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, how many bytes follow each, these bytes, their counts) of a chunk's row of n contexts."""
+    raw = zstandard.decompress(raw)
+    widths = _values(raw, np.uint16, n, 7 * n).astype(np.int64)
+    total = int(widths.sum())
+    return _values(raw, np.uint64, n, 0, 7), widths, np.frombuffer(raw, np.uint8, total, 9 * n), _values(raw, np.uint32, total, 9 * n + total)
 
-    What chunks learned comes in buckets below 0; its sums go to chunk -1 as well.
-    """
+
+def _counted(table: pa.Table) -> pa.Table:
+    """To each chunk of one bucket, the bytes that followed its contexts. What chunks learned, below bucket 0, has no answer."""
     rows = sorted(zip(*(table.column(c).to_pylist() for c in _NAMES)), key=lambda r: r[1])
     if rows[0][0] < 0:
-        return binary_rows([(-1, rows[0][0], _summed(r[2] for r in rows), 0, 0)], _SAID, _SAID_KINDS)
-    contexts, widths, pairs, counts = [], [], [], []
+        return binary_rows([], _SAID, _SAID_KINDS)
+    contexts, pairs, counts = [], [], []
     for _, _, raw, n, _ in rows:
-        raw = zstandard.decompress(raw)
-        contexts.append(_values(raw, np.uint64, n, 0, 7))
-        widths.append(_values(raw, np.uint16, n, 7 * n).astype(np.int64))
-        total = int(widths[-1].sum())
-        pairs.append(np.repeat(contexts[-1], widths[-1]) | np.frombuffer(raw, np.uint8, total, 9 * n))
-        counts.append(_values(raw, np.uint32, total, 9 * n + total))
+        own, widths, follows, count = _sent(raw, n)
+        contexts.append(own)
+        pairs.append(np.repeat(own, widths) | follows)
+        counts.append(count)
     pair, count = np.concatenate(pairs), np.concatenate(counts).astype(np.float64)
     some = count > 0
     pair, count = pair[some], count[some]
@@ -391,13 +401,26 @@ def _counted(table: pa.Table) -> pa.Table:
         lo, hi = np.searchsorted(pair, c), np.searchsorted(pair, c | _LOW, "right")
         n = hi - lo
         at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
-        out.append((r[1], r[0], _pack(_planes(n.astype(np.uint16)), follows[at], _planes(sums[at])), None, None))
-    ends = ((follows == SPACE) | (follows == END)) & ((pair >> np.uint64(8)) & np.uint64(3) == LEADS) & (pair & ~_LOW != _NO_WORD)
-    differ = len(np.unique(pair[ends] & ~_LOW))
-    out.append((-1, rows[0][0], None, int(total[ends].sum()) + sum(r[4] for r in rows), differ))
+        out.append((r[1], r[0], _pack(_planes(n.astype(np.uint16)), follows[at], _planes(sums[at]))))
     return binary_rows(out, _SAID, _SAID_KINDS)
 
 
+def _tallied(table: pa.Table) -> pa.Table:
+    """One row of what a bucket adds to the sums: training tokens and how many differ, or, below bucket 0, what chunks learned."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in _NAMES)), key=lambda r: r[1])
+    if rows[0][0] < 0:
+        return binary_rows([(rows[0][0], _summed(r[2] for r in rows), 0, 0)], _TALLY, _TALLY_KINDS)
+    ended, tokens = [], sum(r[4] for r in rows)
+    for _, _, raw, n, _ in rows:
+        contexts, widths, follows, counts = _sent(raw, n)
+        at = np.flatnonzero(((follows == SPACE) | (follows == END)) & (counts > 0))
+        context = contexts[np.searchsorted(np.cumsum(widths), at, "right")]
+        words = ((context >> np.uint64(8)) & np.uint64(3) == LEADS) & (context != _NO_WORD)
+        tokens += int(counts[at[words]].sum(dtype=np.int64))
+        ended.append(context[words])
+    return binary_rows([(rows[0][0], None, tokens, len(np.unique(np.concatenate(ended))))], _TALLY, _TALLY_KINDS)
+
+
 def _summed(parts) -> bytes | None:
     """The sum of packed arrays; None if there are none."""
     some = [np.frombuffer(zstandard.decompress(p)) for p in parts if p is not None]
@@ -405,9 +428,9 @@ def _summed(parts) -> bytes | None:
 
 
 def _total(table: pa.Table) -> pa.Table:
-    """Sums of the rows for chunk -1."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "said", "tokens", "known"))), key=lambda r: r[0])
-    return binary_rows([(-1, rows[0][0], _summed(r[1] for r in rows), sum(r[2] for r in rows), sum(r[3] for r in rows))], _SAID, _SAID_KINDS)
+    """The sum of some rows of _tallied()."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in _TALLY)), key=lambda r: r[0])
+    return binary_rows([(rows[0][0], _summed(r[1] for r in rows), sum(r[2] for r in rows), sum(r[3] for r in rows))], _TALLY, _TALLY_KINDS)
 
 
 def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -428,7 +451,7 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
         names, kinds = ["id", "held_out", "n_tokens", "n_known", "logs", "bits", "size"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         if not d.num_rows:
             return binary_rows([], names, kinds)
-        c = Chunk(d, bits)
+        c = Chunk(d, bits, counted=False)
         brought = [m for m in a.column("model").to_pylist() if m is not None]
         model = model_of(np.frombuffer(zstandard.decompress(brought[0])) if brought else None)
         e, children, n = c.events, c.children(a), len(c.held)
@@ -444,10 +467,12 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
         total = np.add.reduceat(of_token[e.token], e.at[:-1])
         return pa.table([c.docs.column("id"), c.docs.column("held"), pa.array(c.n_tokens.astype(np.int64)), pa.array(known), pa.array(logs), pa.array(total), pa.array(e.size.astype(np.int64))], names=names)
 
-    said = rows.groupBy("chunk").applyInArrow(send, _SENT).groupBy("bucket").applyInArrow(_counted, _SUMS)
-    # one row in the end, whatever the number of chunks: a step adds FAN_IN rows of those that bring sums
-    sums = said.where("chunk < 0").groupBy(F.floor(F.col("bucket") / FAN_IN)).applyInArrow(_total, _SUMS).groupBy("chunk").applyInArrow(_total, _SUMS)
-    answers = said.where("chunk >= 0").select("chunk", "bucket", "said", F.when(F.col("bucket") == 0, sums.select("said").scalar()).alias("model"))
+    # both steps read one exchange; answers are made in one of them only
+    sent = rows.groupBy("chunk").applyInArrow(send, _SENT).groupBy("bucket")
+    # one row in the end, whatever the number of chunks: a step adds FAN_IN rows
+    sums = sent.applyInArrow(_tallied, _SUMS).groupBy(F.floor(F.col("bucket") / FAN_IN)).applyInArrow(_total, _SUMS).groupBy().applyInArrow(_total, _SUMS)
+    said = sent.applyInArrow(_counted, "chunk int, bucket int, said binary")
+    answers = said.select("chunk", "bucket", "said", F.when(F.col("bucket") == 0, sums.select("taught").scalar()).alias("model"))
     out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, bits double, size bigint")
     ended = docs.where("not held").agg(F.count(F.lit(1)).alias("n")).select("n").scalar()  # how often the end token was seen
     n, v = F.coalesce(sums.select("tokens").scalar(), F.lit(0)), F.coalesce(sums.select("known").scalar(), F.lit(0)) + F.when(ended > 0, 1).otherwise(0)

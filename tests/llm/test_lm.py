@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from gridvane.llm import exchange, lm, queries
+from gridvane.llm import common, exchange, lm, queries
 from gridvane.llm.common import split_of
 
 from .test_simple_ops import ROWS, SCHEMA, SF, documents
@@ -168,3 +168,25 @@ def test_gain_on_held_out_texts(spark, sf):
     new = queries.op9_lm_score(spark, sf).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     print(sf, new)
     assert new["sum(score)"] >= new["sum(base_score)"] * (1 - GAIN[sf])
+
+
+def test_sums_without_answers():
+    """The step that adds up tokens and different words makes no answers, and finds what a walk over the texts does; neither do its rows depend on pieces."""
+    held = [False, False, False, False, True, False, True]
+    chunk = chunk_of(TEXTS, held)
+    rows = chunk.rows()
+    ended = collections.Counter(w for t, h in zip(TEXTS, held) if not h for w in tokens(t))
+    got = lm._tallied(rows.filter(pc.field("bucket") == 0))
+    assert got.column_names == ["bucket", "taught", "tokens", "known"]
+    assert got.column("tokens")[0].as_py() == sum(ended.values()) and got.column("known")[0].as_py() == len(ended) - 1  # the end is counted beside them
+    assert lm._tallied(rows.filter(pc.field("bucket") < 0)).column("taught")[0].as_py() is not None
+    assert lm._counted(rows.filter(pc.field("bucket") < 0)).num_rows == 0
+
+
+def test_pieces(monkeypatch):
+    chunk = chunk_of(TEXTS, [False] * len(TEXTS))
+    own = asked(chunk)
+    whole, h = lm.rated(chunk.pair, chunk.context, own), common.mixed(chunk.pair)
+    monkeypatch.setattr(lm, "PIECE", 3)
+    monkeypatch.setattr(common, "PIECE", 3)
+    assert (lm.rated(chunk.pair, chunk.context, own) == whole).all() and (common.mixed(chunk.pair) == h).all()

@@ -204,6 +204,39 @@ def visited(points: np.ndarray, x: np.ndarray, nbrs: np.ndarray, starts: np.ndar
     return [np.flatnonzero(e) for e in expanded]
 
 
+def walked(dist: np.ndarray, nbrs: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best-first searches of one shard in step, a row of `dist` (queries, nodes) for each: (numbers by distance, which of these the list holds in the end, hops, comparisons).
+
+    As greedy_search with a beam of one. The nodes stand in the order of their distance, so the next to be expanded is
+    the first open one, and a search ends when `width` nearer ones were met.
+    """
+    q, n = dist.shape
+    order = np.argsort(dist, axis=1, kind="stable")
+    rank = np.full((q, n + 1), n)  # what pads the lists, -1, is the last place
+    np.put_along_axis(rank, order, np.arange(n)[None, :], 1)
+    seen, open_ = np.zeros((q, n + 1), bool), np.zeros((q, n + 1), bool)
+    first = rank[:, np.unique(starts)]
+    np.put_along_axis(seen, first, True, 1)
+    np.put_along_axis(open_, first, True, 1)
+    seen[:, n] = True
+    met, opened, places, hops, rows = seen.ravel(), open_.ravel(), rank.ravel(), np.zeros(q, np.int64), np.arange(q)
+    while len(rows):
+        at = open_[rows].argmax(1)
+        go = opened[rows * (n + 1) + at]
+        late = np.flatnonzero(go & (hops[rows] >= width))  # before that, not so many can be nearer
+        if len(late):
+            go[late] = (seen[rows[late]] & (np.arange(n + 1) < at[late, None])).sum(1) < width
+        rows, at = rows[go], at[go]
+        opened[rows * (n + 1) + at] = False
+        hops[rows] += 1
+        near = nbrs[order[rows, at]]
+        where = (rows * (n + 1))[:, None] + places.take((rows * (n + 1))[:, None] + np.where(near < 0, n, near))
+        where = where[~met.take(where)]
+        met[where] = opened[where] = True
+    seen = seen[:, :n]
+    return order, seen & (np.cumsum(seen, 1) <= width), hops, seen.sum(1)
+
+
 def medoid_of(x: np.ndarray) -> int:
     return int(((x - x.mean(0)) ** 2).sum(1).argmin())
 

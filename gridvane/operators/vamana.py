@@ -10,6 +10,7 @@ Distances that are returned are measured in double.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,13 @@ from ..functions.vectors import check_metric
 from ..plans.tables import written
 from . import kernels, partition, pq
 from .graph import nearest_centres
-from .knn import QUERY_BLOCK, distances, ranked
+from .knn import QUERY_BLOCK, _Nearest, _pairwise, distances, ranked
 
 DEFAULTS = {"degree": 64, "width": 100, "alpha": 1.2, "most": 750}
 #: Points of a shard, at most about.
 SHARD = 20_000
+#: Points of a shard up to which all distances to a block of queries are worked out together, and distances at once.
+SMALL, AT_ONCE = 2048, 1 << 18
 _INDEX = "shard int, id bigint, vec array<float>, nbrs array<bigint>, labels array<bigint>, start boolean"
 #: What a step changed: vec and labels are null where only the list of a point did; gone: the point was taken away.
 CHANGES = _INDEX + ", gone boolean"
@@ -246,9 +249,13 @@ def search(index: DataFrame, queries: DataFrame, k: int, width: int, metric: str
         index = index.withColumn("dead", F.lit(False))
     if seeds is not None:
         index = index.join(seeds.select("id", F.col("seed").cast("bigint").alias("seed")), "id", "left").withColumn("seed", F.coalesce("seed", "id"))
+    # a search without extras meets its shards one after another, a partition's at a time, and keeps k of what they give
+    plain = metric == "l2" and not label and book is None and beam == 1 and not io_limit and radius is None and seeds is None and not random_starts
+    if plain:
+        index = index.repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard")
     out = None
     for block in _query_blocks(queries, label):
-        found = index.groupBy("shard").applyInArrow(_searcher(block, label, k, width, metric, universal, book, beam, io_limit, radius, random_starts), schema)
+        found = index.mapInArrow(_plain_searcher(block, k, width), schema) if plain else index.groupBy("shard").applyInArrow(_searcher(block, label, k, width, metric, universal, book, beam, io_limit, radius, random_starts), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = index.sparkSession.createDataFrame([], schema)
@@ -259,6 +266,78 @@ def search(index: DataFrame, queries: DataFrame, k: int, width: int, metric: str
     return top.join(stats, "query_id").select("query_id", "rank", "id", "distance", "hops", "n_compared", "n_ios")
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The shards of a partition that is sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and held[0].column("shard")[0].as_py() != shard[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _plain_searcher(block, k, width):
+    """Searches all shards of a partition by L2 for a block of queries; leaves k rows and one of statistics for each query."""
+    query_ids, q = np.array([r["query_id"] for r in block], np.int64), np.array([r["vec"] for r in block], np.float64)
+
+    def listed(qx: np.ndarray, x: np.ndarray, nbrs: np.ndarray, starts: np.ndarray):
+        """(query, node) of what is on the lists of some queries in the end, the distances, hops and comparisons"""
+        if len(x) <= SMALL:
+            d = kernels.pairwise("l2", qx, x)
+            if np.isfinite(d).all():
+                order, held, hops, compared = kernels.walked(d, nbrs, starts, width)
+                row, at = np.nonzero(held)
+                node = order[row, at]
+                return row, node, d[row, node], hops, compared
+        found = [kernels.greedy_search(v, x, nbrs, starts, width) for v in qx]
+        node, d = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), node, d, np.array([f[3] for f in found]), np.array([f[4] for f in found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, hops, compared, ios, any_shard = _Nearest(len(q), k), np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), False
+        for table in _shards(batches):
+            any_shard = True
+            table, ids, full, lists, starts = _local(table)
+            x = _ready(full, "l2")
+            nbrs = kernels.padded(lists, max((len(v) for v in lists), default=1))
+            dead = table.column("dead").combine_chunks().to_numpy(zero_copy_only=False) | is_frozen(ids)
+            # single precision errs by no more than this, see knn._meet
+            unit, longest = (full.shape[1] + 16) * 2.0**-24, np.sqrt((full * full).sum(1).max(initial=0))
+            step = max(1, AT_ONCE // len(x))
+            for a in range(0, len(q), step):
+                part = np.arange(a, min(a + step, len(q)))
+                row, node, d, h, c = listed(_ready(q[part], "l2"), x, nbrs, starts)
+                hops[part], compared[part], ios[part] = np.maximum(hops[part], h), compared[part] + c, ios[part] + h
+                row, node, d = (v[~dead[node]] for v in (row, node, d))
+                # of each query, the k nearest of the list by these distances, what may tie with them, and nothing that is farther than what other shards gave
+                slack = unit * (np.sqrt((q[part] * q[part]).sum(1)) + longest) ** 2 + 1e-37
+                begin = np.searchsorted(row, np.arange(len(part) + 1))
+                kth = begin[:-1] + k - 1
+                limit = np.where(kth < begin[1:], np.append(d, 0)[np.minimum(kth, len(d))] + 2 * slack, np.inf)
+                limit = np.fmin(limit, best.d[part, -1] + slack)
+                near = ~(d > limit[row])
+                row, node = part[row[near]], node[near]
+                new = ~(best.id[row] == ids[node][:, None]).any(1)  # a point may be in two shards
+                row, node = row[new], node[new]
+                if len(row):
+                    best.add(row, _pairwise(q[row], full[node]), ids[node])
+        if any_shard:
+            who, ids, d = best.rows(query_ids)
+            names = ["query_id", "id", "distance", "hops", "n_compared", "n_ios"]
+            zero, n = pa.array(np.zeros(len(who), np.int64)), len(query_ids)
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids), pa.array(d), zero, zero, zero], names)
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(hops), pa.array(compared), pa.array(ios)], names)
+
+    return run
+
+
 def _searcher(block, label, k, width, metric, universal, book, beam, io_limit, radius, random_starts):
     def run(table: pa.Table) -> pa.Table:
         table, ids, full, lists, starts = _local(table)

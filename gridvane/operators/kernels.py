@@ -151,57 +151,167 @@ def padded(lists: list[np.ndarray], degree: int) -> np.ndarray:
     return out
 
 
-def add_back_edges(lists: list[np.ndarray], changed: np.ndarray, x: np.ndarray, degree: int, alpha: float, metric: str, slack: float = 1.3, labels: list[frozenset] | None = None) -> list[int]:
+#: Numbers of the distances among candidates that prune() holds at once.
+PRUNED_AT_ONCE = 1 << 22
+
+
+def prune(points: np.ndarray, pools: list[np.ndarray], x: np.ndarray, degree: int, alpha: float = 1.2, most: int = 750, metric: str = "l2", labels: Sharing | None = None, saturate: bool = False) -> list[np.ndarray]:
+    """robust_prune() of a pool for each of some points, many together: points of like pools share the matrix products and the steps.
+
+    A pool names each of its nodes once. labels: of all nodes of x.
+    """
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(points)
+    sizes = np.array([len(v) for v in pools], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    end = len(order)
+    while end > 0:
+        widest = max(1, int(sizes[order[end - 1]]))
+        begin = max(0, end - max(1, PRUNED_AT_ONCE // max(widest, x.shape[1]) // widest))
+        some = order[begin:end]
+        for i, v in zip(some.tolist(), _prune(points[some], [pools[i] for i in some], sizes[some], x, degree, alpha, most, metric, labels, saturate)):
+            out[i] = v
+        end = begin
+    return out
+
+
+def _prune(points, pools, sizes, x, degree, alpha, most, metric, labels, saturate) -> list[np.ndarray]:
+    n, wide = len(points), int(sizes.max(initial=0))
+    if not wide:
+        return list(pools)
+    real = np.arange(wide) < sizes[:, None]
+    pool = np.full((n, wide), np.iinfo(np.int64).max)
+    pool[real] = np.concatenate(pools)
+    at = np.where(real, pool, 0)
+    own = x[points]
+    dots = np.matmul(x[at], own[:, :, None])[:, :, 0]
+    norms = (x * x).sum(1) if metric == "l2" else np.zeros(0, x.dtype)
+    dist = -dots if metric == "ip" else 1 - dots if metric == "cosine" else np.maximum(0, norms[points][:, None] + norms[at] - 2 * dots)
+    dist = np.where(real, dist, np.inf)
+    nearest = np.lexsort((pool, dist))[:, :most]
+    pool, dist, real = (np.take_along_axis(v, nearest, 1) for v in (pool, dist.astype(np.float64), real))
+    wide = pool.shape[1]
+    at = np.where(real, pool, 0)
+    near = x[at]
+    between = np.matmul(near, near.transpose(0, 2, 1))
+    between = -between if metric == "ip" else 1 - between if metric == "cosine" else np.maximum(0, norms[at][:, :, None] + norms[at][:, None, :] - 2 * between)
+    have = labels.bits[at] & labels.bits[points][:, None, :] if labels is not None else None  # which of the point's labels a candidate has
+    shadow, picked, column = np.zeros((n, wide)), ~real, np.arange(wide)
+    chosen, count = np.zeros((n, degree), np.int64), np.zeros(n, np.int64)
+    level, place, rows = np.ones(n), np.zeros(n, np.int64), np.arange(n)
+    dist[~real] = 0
+    while len(rows):
+        free = ~picked[rows] & (shadow[rows] <= level[rows, None]) & (column >= place[rows, None])
+        first = free.argmax(1)
+        any_ = free[np.arange(len(rows)), first]
+        late = rows[~any_]  # nobody is left at this level
+        level[late] *= 1.2
+        place[late] = 0
+        r, i = rows[any_], first[any_]
+        picked[r, i] = True
+        chosen[r, count[r]] = i
+        count[r] += 1
+        place[r] = i + 1
+        gap = between[r, i]
+        if metric == "ip":
+            ratio = np.where(-gap > level[r, None] * -dist[r], np.inf, 0.0)
+        else:
+            ratio = np.where(gap > 0, dist[r] / np.maximum(gap, 1e-30), np.inf)
+        if have is not None:
+            ratio[(have[r] & ~have[r, i][:, None, :]).any(2)] = 0.0
+        shadow[r] = np.where(column > i[:, None], np.maximum(shadow[r], ratio), shadow[r])
+        rows = rows[(count[rows] < degree) & (level[rows] <= alpha + 1e-9)]
+    out = []
+    for i in range(n):
+        taken = chosen[i, : count[i]]
+        if saturate and alpha > 1 and count[i] < degree and sizes[i] > 1:
+            taken = np.concatenate([taken, np.flatnonzero(~picked[i])[: degree - count[i]]])
+        out.append(pool[i, taken])
+    return out
+
+
+def add_back_edges(lists: list[np.ndarray], changed: np.ndarray, x: np.ndarray, degree: int, alpha: float, metric: str, slack: float = 1.3, labels: Sharing | None = None) -> list[int]:
     """Gives each neighbour of the changed nodes an edge back; beyond slack * degree, a node is pruned anew. Returns the nodes that got one."""
-    got: list[int] = []
-    back: dict[int, list[int]] = {}
-    for i in changed.tolist():
-        for j in lists[i].tolist():
-            back.setdefault(j, []).append(i)
-    for j, more in back.items():
-        new = np.setdiff1d(np.array(more, np.int64), np.append(lists[j], j))
-        if not len(new):
-            continue
-        union = np.concatenate([lists[j], new])
-        if len(union) > slack * degree:
-            union = robust_prune(union, pairwise(metric, x[j : j + 1], x[union])[0], x, degree, alpha, metric=metric, labels=labels, own=labels[j] if labels is not None else None)
-        lists[j] = union
-        got.append(j)
+    n = len(x)
+    to, back = np.concatenate([lists[i] for i in changed] or [np.zeros(0, np.int64)]), np.repeat(changed, [len(lists[i]) for i in changed])
+    nodes = np.unique(to)
+    have = np.concatenate([lists[j] for j in nodes] or [np.zeros(0, np.int64)]) + np.repeat(nodes, [len(lists[j]) for j in nodes]) * n
+    new = np.setdiff1d((to * n + back)[to != back], have)
+    got, at = np.unique(new // n, return_index=True)
+    got = got.tolist()
+    long = []
+    for j, more in zip(got, np.split(new % n, at[1:])):
+        lists[j] = np.concatenate([lists[j], more])
+        if len(lists[j]) > slack * degree:
+            long.append(j)
+    for j, kept in zip(long, prune(np.array(long, np.int64), [lists[j] for j in long], x, degree, alpha, metric=metric, labels=labels)):
+        lists[j] = kept
     return got
 
 
-def visited(points: np.ndarray, x: np.ndarray, nbrs: np.ndarray, starts: np.ndarray, width: int, metric: str = "l2") -> list[np.ndarray]:
-    """The nodes that a best-first search for each of the points expands, all searches in step.
+def stepped(points: np.ndarray, x: np.ndarray, nbrs: np.ndarray, starts: np.ndarray, width: int, metric: str = "l2", allowed: np.ndarray | None = None):
+    """Best-first searches for some points in step: (numbers by distance, -1 after the last; their distances; (searches, nodes) that were expanded; hops; comparisons).
 
-    starts: one entry for each search. As greedy_search with a beam of one; a list holds `width` nodes.
+    starts: a row of distinct nodes for each search, padded with -1. As greedy_search with a beam of one, but of
+    nodes at the same distance the one that was met first is the nearer. allowed: of all searches, or a row for each.
     """
     n, m = len(points), len(x)
-    rows = np.arange(n)
-    seen, expanded = np.zeros((n, m), bool), np.zeros((n, m), bool)
-    seen[rows, starts] = True
-    ids, done = np.full((n, width), -1, np.int64), np.ones((n, width), bool)
-    dist = np.full((n, width), np.inf, np.float32)
-    ids[:, 0], done[:, 0] = starts, False
-    dist[:, 0] = np.array([pairwise(metric, points[i : i + 1], x[starts[i : i + 1]])[0, 0] for i in rows], np.float32)
-    norms = (x * x).sum(1)
+    norms = (x * x).sum(1) if metric in ("l2", "fast_l2") else None
+    own = (points * points).sum(1)
+
+    def measure(r: np.ndarray, node: np.ndarray) -> np.ndarray:
+        dots = np.einsum("ij,ij->i", x[node], points[r])
+        if metric == "ip":
+            return -dots
+        if metric == "cosine":
+            return 1 - dots
+        return norms[node] - 2 * dots if metric == "fast_l2" else np.maximum(0, norms[node] - 2 * dots + own[r])
+
+    seen = np.zeros((n, m), bool) if allowed is None else np.array(np.broadcast_to(~allowed, (n, m)))
+    ids, dist = np.full((n, max(width, starts.shape[1])), -1, np.int64), np.full((n, max(width, starts.shape[1])), np.inf, np.float32)
+    real = (starts >= 0) & ~seen[np.arange(n)[:, None], starts]
+    r, c = np.nonzero(real)
+    seen[r, starts[r, c]] = True
+    ids[r, c] = starts[r, c]
+    dist[r, c] = measure(r, starts[r, c])
+    order = np.argsort(dist, axis=1, kind="stable")[:, :width]
+    ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+    done = ids < 0
+    hops, compared, went = np.zeros(n, np.int64), real.sum(1), []
+    rows = np.flatnonzero(~done.all(1))
     while len(rows):
         take = np.argmin(done[rows], axis=1)  # lists are sorted, so the first open one is the nearest
         node = ids[rows, take]
         done[rows, take] = True
-        expanded[rows, node] = True
+        hops[rows] += 1
+        went.append((rows, node))
         near = nbrs[node]
         fresh = (near >= 0) & ~seen[rows[:, None], near]
-        at = np.nonzero(fresh)
-        seen[rows[at[0]], near[at]] = True
-        dots = np.matmul(x[near], points[rows][:, :, None])[:, :, 0]
-        d = -dots if metric == "ip" else 1 - dots if metric == "cosine" else norms[near] - 2 * dots + (points[rows] ** 2).sum(1)[:, None]
-        d = np.where(fresh, np.maximum(d, 0) if metric == "l2" else d, np.inf)
-        all_d, all_i = np.concatenate([dist[rows], d], 1), np.concatenate([ids[rows], near], 1)
-        all_done = np.concatenate([done[rows], ~fresh], 1)
-        order = np.argsort(all_d, axis=1, kind="stable")[:, :width]
-        dist[rows], ids[rows], done[rows] = (np.take_along_axis(v, order, 1) for v in (all_d, all_i, all_done))
+        r, c = np.nonzero(fresh)
+        r_all, met = rows[r], near[r, c]
+        seen[r_all, met] = True
+        compared[rows] += fresh.sum(1)
+        d = measure(r_all, met)
+        keep = d < dist[r_all, -1]  # the others are beyond a full list
+        keep |= ids[r_all, -1] < 0
+        r, r_all, met, d = r[keep], r_all[keep], met[keep], d[keep]
+        if len(r):
+            some, first, count = np.unique(r, return_index=True, return_counts=True)
+            line, place = np.repeat(np.arange(len(some)), count), np.arange(len(r)) - np.repeat(first, count) + width
+            some, shape = rows[some], (len(some), width + int(count.max()))
+            all_d, all_i, all_done = np.full(shape, np.inf, np.float32), np.full(shape, -1), np.ones(shape, bool)
+            all_d[:, :width], all_i[:, :width], all_done[:, :width] = dist[some], ids[some], done[some]
+            all_d[line, place], all_i[line, place], all_done[line, place] = d, met, False
+            order = np.argsort(all_d, axis=1, kind="stable")[:, :width]
+            dist[some], ids[some], done[some] = (np.take_along_axis(v, order, 1) for v in (all_d, all_i, all_done))
         rows = rows[~done[rows].all(1)]
-    return [np.flatnonzero(e) for e in expanded]
+    went = tuple(np.concatenate(v) for v in zip(*went)) if went else (np.zeros(0, np.int64),) * 2
+    return ids, dist, went, hops, compared
+
+
+def visited(points: np.ndarray, x: np.ndarray, nbrs: np.ndarray, starts: np.ndarray, width: int, metric: str = "l2") -> list[np.ndarray]:
+    """The nodes that a best-first search for each of the points expands, ascending; starts: one entry for each search."""
+    _, _, (row, node), hops, _ = stepped(points, x, nbrs, starts[:, None], width, metric)
+    return np.split(node[np.lexsort((node, row))], np.cumsum(hops)[:-1])
 
 
 def walked(dist: np.ndarray, nbrs: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -260,32 +370,33 @@ def build(x: np.ndarray, degree: int, width: int, alpha: float = 1.2, metric: st
     take = min(n - 1, pool or max(width, 2 * degree))
     far = rng.integers(0, n, (n, min(n - 1, max(4, degree // 4))))
     lists: list[np.ndarray] = []
-    own = lambda i: labels[i] if labels is not None else None
-    members = {v: np.array([i for i, s in enumerate(labels) if v in s]) for v in set().union(*labels)} if labels is not None else {}
+    shares = Sharing(labels) if labels is not None else None
+    members = members_of(labels) if labels is not None else {}
+    some = lambda points, pools: prune(points, pools, x, degree, alpha, metric=metric, labels=shares, saturate=True)
     for a in range(0, n, 512):
         d = pairwise(metric, x[a : a + 512], x)
         d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        near = np.argpartition(d, take - 1, axis=1)[:, :take]
+        near = np.concatenate([np.argpartition(d, take - 1, axis=1)[:, :take], far[a : a + len(d)]], 1)
+        pools = []
         for i in range(len(d)):
-            ids = np.unique(np.concatenate([near[i], far[a + i]]))
-            if labels is not None:
-                ids = np.union1d(ids, _sharing(d[i], members, labels[a + i], take))
-            ids = ids[ids != a + i]
-            lists.append(robust_prune(ids, d[i, ids], x, degree, alpha, metric=metric, labels=labels, own=own(a + i), saturate=True))
-    add_back_edges(lists, np.arange(n), x, degree, alpha, metric, labels=labels)
+            ids = np.unique(near[i] if labels is None else np.concatenate([near[i], _sharing(d[i], members, labels[a + i], take)]))
+            pools.append(ids[ids != a + i])
+        lists += some(np.arange(a, a + len(d)), pools)
+    add_back_edges(lists, np.arange(n), x, degree, alpha, metric, labels=shares)
     start = medoid_of(x) if start is None else start
     graph = padded(lists, math.ceil(1.3 * degree))
     step = max(1, min(512, (1 << 26) // (2 * n)))
     for a in range(0, n, step):
         part = np.arange(a, min(n, a + step))
-        met = visited(x[part], x, graph, np.full(len(part), start), width, metric)
-        for i, found in zip(part.tolist(), met):
+        pools = []
+        for i, found in zip(part.tolist(), visited(x[part], x, graph, np.full(len(part), start), width, metric)):
             ids = np.union1d(found, lists[i])
-            ids = ids[ids != i]
-            lists[i] = robust_prune(ids, pairwise(metric, x[i : i + 1], x[ids])[0], x, degree, alpha, metric=metric, labels=labels, own=own(i), saturate=True)
-    add_back_edges(lists, np.arange(n), x, degree, alpha, metric, labels=labels)
-    for i in np.flatnonzero([len(v) > degree for v in lists]):
-        lists[i] = robust_prune(lists[i], pairwise(metric, x[i : i + 1], x[lists[i]])[0], x, degree, alpha, metric=metric, labels=labels, own=own(i), saturate=True)
+            pools.append(ids[ids != i])
+        lists[a : a + len(part)] = some(part, pools)
+    add_back_edges(lists, np.arange(n), x, degree, alpha, metric, labels=shares)
+    long = np.flatnonzero([len(v) > degree for v in lists])
+    for i, kept in zip(long.tolist(), some(long, [lists[i] for i in long])):
+        lists[i] = kept
     _connect(lists, start, x, degree, metric)
     return padded(lists, degree), start
 
@@ -300,7 +411,8 @@ def _sharing(dist: np.ndarray, members: dict, own: frozenset, most: int) -> np.n
 
 
 def _connect(lists: list[np.ndarray], start: int, x: np.ndarray, degree: int, metric: str) -> None:
-    reached = np.zeros(len(lists), bool)
+    reached, length = np.zeros(len(lists), bool), np.array([len(v) for v in lists])
+    norms = (x * x).sum(1) if metric == "l2" else None
     todo = [start]
     reached[start] = True
     while True:
@@ -312,11 +424,11 @@ def _connect(lists: list[np.ndarray], start: int, x: np.ndarray, degree: int, me
         lost = np.flatnonzero(~reached)
         if not len(lost):
             return
-        room = np.flatnonzero(reached & np.array([len(v) < degree for v in lists]))
-        room = room if len(room) else np.flatnonzero(reached)
-        d = pairwise(metric, x[lost[:1]], x[room])[0]
-        near = room[d.argmin()]
+        room = reached & (length < degree)
+        d = pairwise(metric, x[lost[:1]], x)[0] if norms is None else norms - 2 * (x @ x[lost[0]])
+        near = int(np.where(room if room.any() else reached, d, np.inf).argmin())
         lists[near] = np.append(lists[near][: degree - 1], lost[0]) if len(lists[near]) >= degree else np.append(lists[near], lost[0])
+        length[near] = len(lists[near])
         reached[lost[0]] = True
         todo = [int(lost[0])]
 
@@ -345,9 +457,15 @@ class Sharing:
         return (self.bits[points] & self.own).any(1)
 
 
+#: Points that insert() links together, at most.
+INSERTED = 64
+
+
 def insert(x: np.ndarray, lists: list[np.ndarray], first: int, starts: np.ndarray, degree: int, width: int, alpha: float, metric: str, labels: list[frozenset] | None = None) -> np.ndarray:
-    """Links the points from number `first` on into the graph of those before, one after another; returns the older points whose lists changed.
+    """Links the points from number `first` on into the graph of those before; returns the older points whose lists changed.
 
+    Few points at a time (a 32nd of those before at most) are searched for in step; each also has all of these that come
+    before it as candidates, which it would have met had they been linked one after another.
     With labels a point is also searched for among the points that share one, from the starts of its
     labels, and pruning minds them. Only the rows of the neighbour matrix that change are written.
     """
@@ -363,28 +481,38 @@ def insert(x: np.ndarray, lists: list[np.ndarray], first: int, starts: np.ndarra
         graph[i, : len(lists[i])] = lists[i]
         changed[i] = True
 
-    for p in range(first, n):
-        ids, _, expanded, _, _ = greedy_search(x[p], x[:p], graph, starts, width, metric)
-        pool = [ids, expanded]
-        own = labels[p] if labels is not None else None
-        if own:
-            known = np.array([entry[v] for v in own if v in entry], np.int64)
-            if len(known):
-                ids, _, expanded, _, _ = greedy_search(x[p], x[:p], graph, known, width, metric, shares.of(own))
-                pool += [ids, expanded]
-            for v in own:
-                entry.setdefault(v, p)
-        pool = np.unique(np.concatenate(pool))
-        lists.append(robust_prune(pool, pairwise(metric, x[p : p + 1], x[pool])[0], x, degree, alpha, metric=metric, labels=labels, own=own, saturate=own is not None))
-        write(p)
-        for j in add_back_edges(lists, np.array([p]), x, degree, alpha, metric, labels=labels):
+    def found(part: np.ndarray, entries: np.ndarray, allowed: np.ndarray | None = None) -> list[np.ndarray]:
+        """Of each of the points, what its search has on its list in the end and what it expands."""
+        ids, _, (row, node), _, _ = stepped(x[part], x[: part[0]], graph, entries, width, metric, allowed)
+        r, c = np.nonzero(ids >= 0)
+        keys = np.unique(np.concatenate([r, row]) * n + np.concatenate([ids[r, c], node]))
+        return np.split(keys % n, np.searchsorted(keys // n, np.arange(1, len(part))))
+
+    p = first
+    while p < n:
+        part = np.arange(p, min(n, p + max(1, min(INSERTED, p // 32))))
+        pools = found(part, np.broadcast_to(np.unique(starts), (len(part), len(np.unique(starts)))))
+        if labels is not None:
+            known = [np.unique([entry[v] for v in labels[i] if v in entry]).astype(np.int64) for i in part]
+            entries = padded(known, max(map(len, known)))
+            same = (shares.bits[None, :p] & shares.bits[part][:, None, :]).any(2)
+            pools = [np.union1d(a, b) for a, b in zip(pools, found(part, entries, same))]
+            for i in part.tolist():
+                for v in labels[i]:
+                    entry.setdefault(v, i)
+        pools = [np.concatenate([pool, part[:i]]) for i, pool in enumerate(pools)]
+        lists += prune(part, pools, x, degree, alpha, metric=metric, labels=shares, saturate=labels is not None)
+        for i in part.tolist():
+            write(i)
+        for j in add_back_edges(lists, part, x, degree, alpha, metric, labels=shares):
             write(j)
+        p += len(part)
     return np.flatnonzero(changed[:first])
 
 
 def drop(lists: list[np.ndarray], dead: np.ndarray, x: np.ndarray, degree: int, alpha: float, metric: str, labels: list[frozenset] | None = None) -> list[np.ndarray]:
     """Lists after deletion: a dead neighbour is replaced by its live ones; too many are pruned, minding the labels if they are given."""
-    out = []
+    out, long = [], []
     for i, own in enumerate(lists):
         if dead[i]:
             out.append(np.zeros(0, np.int64))
@@ -396,8 +524,11 @@ def drop(lists: list[np.ndarray], dead: np.ndarray, x: np.ndarray, degree: int,
             keep = np.unique(np.concatenate([keep, more[~dead[more]]]))
             keep = keep[keep != i]
             if len(keep) > degree:
-                keep = robust_prune(keep, pairwise(metric, x[i : i + 1], x[keep])[0], x, degree, alpha, metric=metric, labels=labels, own=labels[i] if labels is not None else None, saturate=labels is not None)
+                long.append(i)
         out.append(keep)
+    shares = Sharing(labels) if labels is not None else None
+    for i, kept in zip(long, prune(np.array(long, np.int64), [out[i] for i in long], x, degree, alpha, metric=metric, labels=shares, saturate=labels is not None)):
+        out[i] = kept
     return out
 
 

@@ -22,7 +22,7 @@ from ..functions.vectors import check_metric
 from ..plans.tables import written
 from . import kernels, partition, pq
 from .graph import nearest_centres
-from .knn import QUERY_BLOCK, _Nearest, _pairwise, distances, ranked
+from .knn import QUERY_BLOCK, _Nearest, _pairwise, distances, paired, ranked
 
 DEFAULTS = {"degree": 64, "width": 100, "alpha": 1.2, "most": 750}
 #: Points of a shard, at most about.
@@ -32,6 +32,8 @@ SMALL, AT_ONCE = 2048, 1 << 18
 _INDEX = "shard int, id bigint, vec array<float>, nbrs array<bigint>, labels array<bigint>, start boolean"
 #: What a step changed: vec and labels are null where only the list of a point did; gone: the point was taken away.
 CHANGES = _INDEX + ", gone boolean"
+#: Searches of a larger shard in step, at most, and marks of what they have seen.
+IN_STEP, SEEN = 512, 1 << 25
 #: Ids from here on stand for start points that are no rows of the table.
 _FROZEN = -(1 << 63)
 
@@ -103,6 +105,13 @@ def _graph(metric: str) -> str:
     return "l2" if metric == "fast_l2" else metric
 
 
+def _dealt(rows: DataFrame, tasks: int = 0) -> DataFrame:
+    """rows with the shards spread evenly over tasks; left alone, some tasks would get several shards and others none."""
+    spark = rows.sparkSession
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartitionById(tasks, F.col("shard"))
+
+
 def _with_labels(vectors: DataFrame) -> DataFrame:
     return vectors if "labels" in vectors.columns else vectors.withColumn("labels", F.lit(None).cast("array<bigint>"))
 
@@ -146,7 +155,7 @@ def build(vectors: DataFrame, degree: int = DEFAULTS["degree"], width: int = DEF
         return _rows(table.column("shard")[0].as_py(), ids, vec, [r[r >= 0] for r in adjacency], labels, np.arange(frozen) if frozen else start)
 
     rows = _with_labels(vectors).select("id", F.col("vec").cast("array<float>").alias("vec"), F.col("labels").cast("array<bigint>").alias("labels"))
-    rows = rows.withColumn("shard", F.lit(0)) if one else assign_shards(rows, shard_size, copies, seed)
+    rows = rows.withColumn("shard", F.lit(0)) if one else _dealt(assign_shards(rows, shard_size, copies, seed), 2 * math.ceil(vectors.count() * copies / shard_size))
     return rows.groupBy("shard").applyInArrow(make, _INDEX)
 
 
@@ -253,6 +262,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, width: int, metric: str
     plain = metric == "l2" and not label and book is None and beam == 1 and not io_limit and radius is None and seeds is None and not random_starts
     if plain:
         index = index.repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard")
+    else:
+        index = _dealt(index)
     out = None
     for block in _query_blocks(queries, label):
         found = index.mapInArrow(_plain_searcher(block, k, width), schema) if plain else index.groupBy("shard").applyInArrow(_searcher(block, label, k, width, metric, universal, book, beam, io_limit, radius, random_starts), schema)
@@ -296,6 +307,10 @@ def _plain_searcher(block, k, width):
                 row, at = np.nonzero(held)
                 node = order[row, at]
                 return row, node, d[row, node], hops, compared
+        if np.isfinite(qx).all() and np.isfinite(x).all():
+            node, d, _, hops, compared = kernels.stepped(qx, x, nbrs, np.broadcast_to(np.unique(starts), (len(qx), len(np.unique(starts)))), width)
+            row, at = np.nonzero(node >= 0)
+            return row, node[row, at], d[row, at], hops, compared
         found = [kernels.greedy_search(v, x, nbrs, starts, width) for v in qx]
         node, d = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         return np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), node, d, np.array([f[3] for f in found]), np.array([f[4] for f in found])
@@ -310,7 +325,7 @@ def _plain_searcher(block, k, width):
             dead = table.column("dead").combine_chunks().to_numpy(zero_copy_only=False) | is_frozen(ids)
             # single precision errs by no more than this, see knn._meet
             unit, longest = (full.shape[1] + 16) * 2.0**-24, np.sqrt((full * full).sum(1).max(initial=0))
-            step = max(1, AT_ONCE // len(x))
+            step = max(1, AT_ONCE // len(x) if len(x) <= SMALL else min(IN_STEP, SEEN // len(x)))
             for a in range(0, len(q), step):
                 part = np.arange(a, min(a + step, len(q)))
                 row, node, d, h, c = listed(_ready(q[part], "l2"), x, nbrs, starts)
@@ -338,12 +353,71 @@ def _plain_searcher(block, k, width):
     return run
 
 
+def _in_step(ids, full, lists, starts, dead, q, qx, entries, k, width, metric, allowed=None):
+    """(query, id, distance) of the k nearest that searches of one shard find, hops and comparisons; entries: where each begins."""
+    x, nbrs = _ready(full, metric), kernels.padded(lists, max((len(v) for v in lists), default=1))
+    out, hops, compared = [], np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+    step = max(1, min(IN_STEP, SEEN // len(x)))
+    for members, mask in allowed if allowed is not None else [(np.arange(len(q)), None)]:
+        for a in range(0, len(members), step):
+            part = members[a : a + step]
+            first = [entries(i) for i in part.tolist()]
+            got, _, _, hops[part], compared[part] = kernels.stepped(qx[part], x, nbrs, kernels.padded(first, max(map(len, first))), width, metric, mask)
+            row, at = np.nonzero(got >= 0)
+            node = got[row, at]
+            row, node = row[~dead[node]], node[~dead[node]]
+            d = paired(metric, q[part[row]], full[node])
+            order = np.lexsort((ids[node], d, row))
+            row, node, d = row[order], node[order], d[order]
+            near = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append((part[row[near]], ids[node[near]], d[near]))
+    return [np.concatenate(v) for v in zip(*out)], hops, compared
+
+
 def _searcher(block, label, k, width, metric, universal, book, beam, io_limit, radius, random_starts):
+    query_ids, vecs = np.array([r["query_id"] for r in block], np.int64), np.array([r["vec"] for r in block], np.float64)
+
+    def in_step(table, ids, full, lists, starts, dead) -> pa.Table:
+        def some(i: int) -> np.ndarray:
+            some = np.random.default_rng(int(query_ids[i]) & 0xFFFFFFFF).choice(len(ids), min(width, len(ids)), replace=False)
+            return np.unique(np.concatenate([starts, *[lists[s] for s in starts], some]))
+
+        groups, first = None, np.unique(starts)
+        entries = some if random_starts else lambda i: first
+        if label:
+            members = kernels.members_of(table.column("labels").to_pylist())
+            firsts = kernels.label_starts(members, len(ids))
+            asking: dict = {}
+            for i, r in enumerate(block):
+                asking.setdefault(r["label"], []).append(i)
+            begin, groups = {}, []
+            for v, own in asking.items():
+                mask = np.zeros(len(ids), bool)
+                known = {v, universal if universal is not None else v} & members.keys()
+                for name in known:
+                    mask[members[name]] = True
+                # the shard's entry points that have the label, and the label's own start
+                begin[v] = np.unique(np.append(starts[mask[starts]], np.array([firsts[name] for name in known], np.int64)))
+                groups.append((np.array(own), mask))
+            entries = lambda i: begin[block[i]["label"]]
+        (who, found, d), hops, compared = _in_step(ids, full, lists, starts, dead, vecs, _ready(vecs, metric), entries, k, width, metric, groups)
+        n, rows = len(block), len(who)
+        nulls = pa.array(np.arange(rows + n) >= rows)
+        columns = [
+            pa.array(np.concatenate([query_ids[who], query_ids])),
+            pa.compute.if_else(nulls, pa.nulls(rows + n, pa.int64()), pa.array(np.concatenate([found, np.zeros(n, np.int64)]))),
+            pa.compute.if_else(nulls, pa.nulls(rows + n, pa.float64()), pa.array(np.concatenate([d, np.zeros(n)]))),
+            *[pa.array(np.concatenate([np.zeros(rows, np.int64), v])) for v in (hops, compared, hops)],
+        ]
+        return pa.table(columns, names=["query_id", "id", "distance", "hops", "n_compared", "n_ios"])
+
     def run(table: pa.Table) -> pa.Table:
         table, ids, full, lists, starts = _local(table)
+        dead = table.column("dead").combine_chunks().to_numpy(zero_copy_only=False) | is_frozen(ids)
+        if book is None and beam == 1 and not io_limit and radius is None and "seed" not in table.column_names and np.isfinite(full).all() and np.isfinite(vecs).all():
+            return in_step(table, ids, full, lists, starts, dead)
         x = _ready(full, metric)
         nbrs = kernels.padded(lists, max((len(v) for v in lists), default=1))
-        dead = table.column("dead").combine_chunks().to_numpy(zero_copy_only=False) | is_frozen(ids)
         members = kernels.members_of(table.column("labels").to_pylist()) if label else {}
         firsts = kernels.label_starts(members, len(ids))
         codes = book.encode(full) if book is not None else None
@@ -421,7 +495,7 @@ def insert_changes(index: DataFrame, rows: DataFrame, degree: int = 64, width: i
         return _changes(out, np.concatenate([touched, np.arange(first, len(ids))]), first)
 
     near = index.join(new.select(F.col("shard").alias("shard")).distinct(), "shard", "left_semi")
-    return near.groupBy("shard").cogroup(new.groupBy("shard")).applyInArrow(link, CHANGES)
+    return _dealt(near).groupBy("shard").cogroup(_dealt(new).groupBy("shard")).applyInArrow(link, CHANGES)
 
 
 _EMPTY = [("shard", pa.int32()), ("id", pa.int64()), ("vec", pa.list_(pa.float32())), ("nbrs", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64())), ("start", pa.bool_()), ("gone", pa.bool_())]
@@ -488,7 +562,7 @@ def consolidate_changes(index: DataFrame, tombstones: DataFrame, degree: int = 6
         out = _changes(out, at, n)
         return out.set_column(out.column_names.index("gone"), "gone", pa.array(dead[at]))
 
-    return marked.join(touched, "shard", "left_semi").groupBy("shard").applyInArrow(clean, CHANGES)
+    return _dealt(marked.join(touched, "shard", "left_semi")).groupBy("shard").applyInArrow(clean, CHANGES)
 
 
 def tune_beam(measure, first: int = 2, most: int = 64) -> int:

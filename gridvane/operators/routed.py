@@ -9,7 +9,7 @@ A routed index is a folder of tables that a build writes once:
 
 A search has three joins. Queries go to their nearest shards through the tree. Blocks of queries, all
 that want a shard together, meet its row, which stays in its bucket, and walk its graph by codes. What they expand is
-looked up in the vectors, which stay in their buckets too, and measured in double. Queries are a table
+looked up in the vectors, each once a query, which stay in their buckets too, and measured in double. Queries are a table
 throughout; only the codebook, of a fixed size, and the tree's first level reach the driver.
 A shard that more than HOT blocks of queries want is dealt to several tasks.
 """
@@ -41,7 +41,7 @@ _WALK = (
     "shard int, ids array<bigint>, codes binary, nbrs binary, degree int, starts array<int>, "
     "labels array<bigint>, ends array<int>, members array<int>, label_starts array<int>"
 )
-_WALKED = "query_id bigint, vec array<double>, ids array<bigint>, hops bigint, n_compared bigint, n_ios bigint"
+_WALKED = "query_id bigint, ids array<bigint>, hops bigint, n_compared bigint, n_ios bigint"
 
 
 def packed(index: DataFrame, book: pq.Codebook, metric: str = "l2", seed: int = 0) -> DataFrame:
@@ -158,10 +158,11 @@ class RoutedIndex:
         blocks = self.route(asked, visit).join(asked, "query_id").select("shard", "query_id", "vec", "label")
         blocks = written(blocks.mapInArrow(_blocks, "shard int, query_ids array<bigint>, vecs array<double>, wanted array<bigint>"))
         found = written(self._met(blocks).mapInArrow(self._walker("label" in queries.columns, universal, complexity, beam, io_limit), _WALKED))
-        some = found.select("query_id", F.col("vec").alias("q"), F.explode("ids").alias("id"))
-        some = some.join(tombstones.select("id"), "id", "left_anti") if tombstones is not None else some
-        measured = some.repartition(self.meta["vector_buckets"], "id").join(self.full, "id").select("query_id", "id", distance(self.metric, F.col("vec"), F.col("q")).alias("distance"))
-        best = measured.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+        # a query's candidates once each, one after another, so that its vector beside each takes little in the shuffle; the side of the vectors is hashed, as sorting the candidates would spill them all
+        once = found.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+        some = once.select("query_id", F.explode("ids").alias("id")).join(tombstones.select("id"), "id", "left_anti").groupBy("query_id").agg(F.collect_list("id").alias("ids")) if tombstones is not None else once
+        some = some.join(asked.select("query_id", F.col("vec").alias("q")), "query_id").select("query_id", "q", F.explode("ids").alias("id"))
+        best = some.repartition(self.meta["vector_buckets"], "id").join(self.full.hint("shuffle_hash"), "id").select("query_id", "id", distance(self.metric, F.col("vec"), F.col("q")).alias("distance"))
         stats = found.groupBy("query_id").agg(F.max("hops").alias("hops"), F.sum("n_compared").alias("n_compared"), F.sum("n_ios").alias("n_ios"))
         return ranked(best, k).join(stats, "query_id").select("query_id", "rank", "id", "distance", "hops", "n_compared", "n_ios")
 
@@ -225,8 +226,8 @@ class RoutedIndex:
                 _, _, expanded, hops, compared = kernels.greedy_search(own[q], codes, nbrs, starts, width, metric, allowed, measure, beam, io_limit)
                 expanded = expanded[~vamana.is_frozen(ids[expanded])]
                 out.append((ids[expanded], hops, compared, len(expanded)))
-            columns = [query_ids, pa.array(list(vecs.to_numpy(zero_copy_only=False).reshape(-1, dims)), pa.list_(pa.float64())), pa.array([o[0] for o in out], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns + [pa.array([o[j] for o in out], pa.int64()) for j in (1, 2, 3)], ["query_id", "vec", "ids", "hops", "n_compared", "n_ios"])
+            columns = [query_ids, pa.array([o[0] for o in out], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns + [pa.array([o[j] for o in out], pa.int64()) for j in (1, 2, 3)], ["query_id", "ids", "hops", "n_compared", "n_ios"])
 
         return run
 
